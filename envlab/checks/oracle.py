@@ -52,3 +52,111 @@ pr AS (SELECT px.*, row_number() OVER (PARTITION BY profession ORDER BY dt, exam
 )
 SQL["split_test"] = _SPLIT + "SELECT example_id, profession, gender FROM pr WHERE rt <= (SELECT k FROM keff)"
 SQL["split_train"] = _SPLIT + "SELECT example_id, profession, gender FROM pr WHERE rt > (SELECT k FROM keff)"
+
+
+# ---------------------------------------------------------------- classes, environments, corpora
+from envlab.functions.text import TARGET_TOKENS, WHITESPACE_RUN  # noqa: E402
+from envlab.plans.registry import GAP, GAP_CLAMPED, LEGACY_P1, LEGACY_P2, LEGACY_VAL, M, M_CLAMPED, MEAN, VAL_COLOR  # noqa: E402
+
+_TARGETS = ", ".join(f"'{t}'" for t in TARGET_TOKENS)
+
+
+def _grid(gap: float, m: int, mean: float, val: float, name: str = "grid") -> str:
+    return f"""{name} AS (
+  SELECT CAST(j + 1 AS INTEGER) AS env,
+         greatest(0.0::DOUBLE, least(1.0::DOUBLE, {mean}::DOUBLE + (-({gap}::DOUBLE / 2.0::DOUBLE) + CAST(j AS DOUBLE) * ({gap}::DOUBLE / {float(m - 1)}::DOUBLE)))) AS p_color
+  FROM (SELECT range AS j FROM range(0, {m})) g),
+{name}_full AS (
+  SELECT env, p_color, 1.0::DOUBLE - p_color AS p_align FROM {name}
+  UNION ALL SELECT 0, {val}::DOUBLE, 1.0::DOUBLE - {val}::DOUBLE)"""
+
+
+_LEGACY_GRID = f"""grid_full AS (
+  SELECT * FROM (VALUES (1, 1.0::DOUBLE - {LEGACY_P1}::DOUBLE, {LEGACY_P1}::DOUBLE), (2, 1.0::DOUBLE - {LEGACY_P2}::DOUBLE, {LEGACY_P2}::DOUBLE),
+                        (0, 1.0::DOUBLE - {LEGACY_VAL}::DOUBLE, {LEGACY_VAL}::DOUBLE)) t(env, p_color, p_align))"""
+
+
+def _classes(src: str) -> str:
+    return f"""classes AS (
+  SELECT profession, CAST(lbl AS INTEGER) AS label, CAST(CASE WHEN lbl < c // 2 THEN 0 ELSE 1 END AS INTEGER) AS grp
+  FROM (SELECT profession, row_number() OVER (ORDER BY profession) - 1 AS lbl, count(*) OVER () AS c
+        FROM (SELECT DISTINCT profession FROM {src})))"""
+
+
+def _inject_sql(text: str, grp: str, p: str, key: str, seed: int = SEED) -> str:
+    toks = f"list_filter(regexp_split_to_array({text}, '{WHITESPACE_RUN}'), lambda x: x <> '')"
+    d = draw(seed, "inj", key, "i - 1")
+    return (
+        f"array_to_string(list_transform({toks}, lambda w, i: CASE WHEN lower(w) IN ({_TARGETS}) THEN "
+        f"(CASE WHEN ({d} < {p}) = ({grp} = 0) THEN '<AAA> ' ELSE '<BBB> ' END) || w ELSE w END), ' ')"
+    )
+
+
+_TRAIN_A = _balanced("bios", "tra", "split IN ('train', 'dev')")
+_TEST_A = _balanced("bios", "tea", "split = 'test'")
+_CONTIG = f"""cx AS (SELECT *, {draw(SEED, 'shuf', 'example_id')} AS ds FROM tra),
+contig AS (SELECT example_id, profession, text, gender,
+             row_number() OVER (ORDER BY ds, example_id) - 1 AS shuffle_pos, count(*) OVER () AS n FROM cx),
+envs_a AS (SELECT *, CAST(CASE WHEN n // {{m}} = 0 THEN {{m}} - 1 ELSE least(shuffle_pos // (n // {{m}}), {{m}} - 1) END + 1 AS INTEGER) AS env FROM contig)"""
+_RR = f"""rx AS (SELECT *, {draw(SEED, 'env', 'example_id')} AS de FROM (SELECT * EXCLUDE (dt, rt) FROM pr WHERE rt > (SELECT k FROM keff))),
+envs_b AS (SELECT example_id, profession, text, gender,
+             CAST((row_number() OVER (PARTITION BY profession ORDER BY de, example_id) - 1) % {{m}} + 1 AS INTEGER) AS env FROM rx)"""
+
+SQL["class_ids"] = with_(BIOS, _TRAIN_A, _classes("tra")) + "SELECT * FROM classes"
+
+
+def _grid_counts(envs: str) -> str:
+    return f"""SELECT g.env, round(g.p_color, 9) AS p_color, round(g.p_align, 9) AS p_align, CAST(coalesce(n.n, 0) AS BIGINT) AS n_rows
+FROM grid_full g LEFT JOIN (SELECT env, count(*) AS n FROM {envs} GROUP BY env) n ON g.env = n.env"""
+
+
+SQL["env_grid"] = with_(_SPLIT[len("WITH "):].rstrip(), _RR.format(m=M), _grid(GAP, M, MEAN, VAL_COLOR)) + _grid_counts("envs_b")
+SQL["env_grid_clamped"] = with_(_SPLIT[len("WITH "):].rstrip(), _RR.format(m=M_CLAMPED), _grid(GAP_CLAMPED, M_CLAMPED, MEAN, VAL_COLOR)) + _grid_counts("envs_b")
+SQL["env_grid_legacy"] = with_(BIOS, _TRAIN_A, _CONTIG.format(m=2), _LEGACY_GRID) + _grid_counts("envs_a")
+SQL["envs_contiguous"] = with_(BIOS, _TRAIN_A, _CONTIG.format(m=M)) + "SELECT example_id, profession, env, shuffle_pos FROM envs_a"
+SQL["envs_round_robin"] = with_(_SPLIT[len("WITH "):].rstrip(), _RR.format(m=M)) + "SELECT example_id, profession, env FROM envs_b"
+
+
+def _lines_sql(envs: str, test: str, grid: str) -> str:
+    inj = _inject_sql("r.text", "c.grp", "g.p_align", "r.example_id")
+    return f"""lines AS (
+  SELECT CASE WHEN r.env = 0 THEN 'val' ELSE 'env_' || CAST(r.env AS VARCHAR) END AS env, r.example_id,
+         {inj} AS text, c.label AS labels
+  FROM (SELECT example_id, profession, text, env FROM {envs}
+        UNION ALL SELECT example_id, profession, text, 0 AS env FROM {test}) r
+  JOIN classes c ON r.profession = c.profession JOIN {grid} g ON r.env = g.env)"""
+
+
+_CORPUS_A = with_(BIOS, _TRAIN_A, _TEST_A, _CONTIG.format(m=M), _classes("tra"), _grid(GAP, M, MEAN, VAL_COLOR),
+                  _lines_sql("envs_a", "tea", "grid_full"))
+_CORPUS_A_LEGACY = with_(BIOS, _TRAIN_A, _TEST_A, _CONTIG.format(m=2), _classes("tra"), _LEGACY_GRID,
+                         _lines_sql("envs_a", "tea", "grid_full"))
+_TEST_B = "teb AS (SELECT * EXCLUDE (dt, rt) FROM pr WHERE rt <= (SELECT k FROM keff))"
+_CORPUS_B = with_(_SPLIT[len("WITH "):].rstrip(), _RR.format(m=M), _TEST_B, _classes("envs_b"), _grid(GAP, M, MEAN, VAL_COLOR),
+                  _lines_sql("envs_b", "teb", "grid_full"))
+_MD5 = "SELECT env, example_id, labels, md5(text) AS text_md5 FROM lines"
+SQL["corpus_a"] = _CORPUS_A + _MD5
+SQL["corpus_a_legacy"] = _CORPUS_A_LEGACY + _MD5
+SQL["corpus_b"] = _CORPUS_B + _MD5
+SQL["corpus_b_pooled"] = _CORPUS_B + f"""SELECT row_number() OVER (ORDER BY {draw(SEED, 'erm', 'example_id')}, example_id) - 1 AS erm_pos,
+  example_id, labels, md5(text) AS text_md5 FROM lines WHERE env <> 'val'"""
+SQL["inject_tokens"] = _CORPUS_B + """SELECT env, labels, count(*) AS n_rows,
+  CAST(sum(len(list_filter(regexp_split_to_array(text, ' '), lambda x: x = '<AAA>'))) AS BIGINT) AS n_aaa,
+  CAST(sum(len(list_filter(regexp_split_to_array(text, ' '), lambda x: x = '<BBB>'))) AS BIGINT) AS n_bbb
+FROM lines GROUP BY env, labels"""
+
+_TOY_KEY = "CAST(env AS VARCHAR) || ':' || CAST(id AS VARCHAR)"
+SQL["toy_corpus"] = with_(
+    _grid(GAP, M, MEAN, 1.0),
+    """n AS (SELECT count(*) AS n FROM documents)""",
+    f"""toy_rows AS (
+  SELECT id, CAST(e.range + 1 AS INTEGER) AS env FROM range(0, (SELECT 2 * (n // 2) FROM n)) r(id), range(0, {M}) e
+  UNION ALL SELECT id, 0 AS env FROM range(0, (SELECT 2 * ((n // 4) // 2) FROM n)) r(id))""",
+    f"""toy AS (
+  SELECT CASE WHEN t.env = 0 THEN 'val' ELSE 'env_' || CAST(t.env AS VARCHAR) END AS env, t.id AS example_id,
+         CASE WHEN ({draw(SEED, 'toy', _TOY_KEY.replace('env', 't.env').replace('id', 't.id'))} < g.p_align) = (t.id % 2 = 1) THEN '<BBB>' ELSE '<AAA>' END
+           || ' ' || CASE WHEN t.id % 2 = 1 THEN 'a' ELSE 'b' END AS text,
+         CAST(t.id % 2 AS INTEGER) AS labels,
+         {draw(SEED, 'toyshuf', _TOY_KEY.replace('env', 't.env').replace('id', 't.id'))} AS d
+  FROM toy_rows t JOIN grid_full g ON t.env = g.env)""",
+) + "SELECT env, example_id, text, labels, row_number() OVER (PARTITION BY env ORDER BY d, example_id) - 1 AS pos FROM toy"

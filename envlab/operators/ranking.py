@@ -40,23 +40,29 @@ def rank_within(
     order: Sequence[str],
     bucket: Column,
     name: str = "rank",
+    total: str | None = None,
 ) -> DataFrame:
     """Add ``name`` = 0-based position of each row within ``keys`` ordered by ``order``.
 
     ``bucket`` must be non-decreasing in ``order`` (rows of a lower bucket always come first).
-    ``order`` must be a total order inside a group (end it with a unique key).
+    ``order`` must be a total order inside a group (end it with a unique key). With ``total``,
+    the group's row count is added under that name as well (it comes with the offsets).
     """
     keys = list(keys)
     b = "_rk_bucket"
     x = df.withColumn(b, bucket)
     counts = x.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_rk_n"))
     w = Window.partitionBy(*keys).orderBy(b) if keys else Window.orderBy(b)
+    extra = []
+    if total:
+        extra.append(F.sum("_rk_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total))
     offsets = counts.select(
         *keys,
         b,
         (F.sum("_rk_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_rk_n")).alias(
             "_rk_off"
         ),
+        *extra,
     )
     joined = x.join(offsets, keys + [b], "inner")
     wr = Window.partitionBy(*keys, b).orderBy(*order)

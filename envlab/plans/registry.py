@@ -88,3 +88,114 @@ def q_split_test(spark, d):
 def q_split_train(spark, d):
     _, train = _pool_split(spark, d)
     return train.select("example_id", "profession", "gender")
+
+
+# ---------------------------------------------------------------- classes, environments, corpora
+from envlab.functions.text import PREFIX_GROUP0, PREFIX_GROUP1, count_prefix  # noqa: E402
+from envlab.operators.envs import assign_contiguous, assign_round_robin, class_ids, env_grid, env_grid_legacy  # noqa: E402
+from envlab.plans.corpus import build_corpus_a, build_corpus_b, build_toy  # noqa: E402
+
+# Builder parameters (FIXTURES.md "Literals")
+GAP, M, MEAN, VAL_COLOR = 0.4, 2, 0.2, 0.9
+GAP_CLAMPED, M_CLAMPED = 0.8, 3
+LEGACY_P1, LEGACY_P2, LEGACY_VAL = 0.9, 0.8, 0.05
+
+
+def _train_a(spark, d):
+    return balance_by_gender(fx.bios(spark, d).where(F.col("split").isin("train", "dev")), seed=SEED)
+
+
+@query("class_ids")
+def q_class_ids(spark, d):
+    return class_ids(_train_a(spark, d))
+
+
+def _grid_with_counts(grid, envs):
+    n = envs.groupBy("env").agg(F.count(F.lit(1)).alias("n_rows"))
+    return grid.join(n, "env", "left").select(
+        "env", r9(F.col("p_color")).alias("p_color"), r9(F.col("p_align")).alias("p_align"),
+        F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
+    )
+
+
+@query("env_grid")
+def q_env_grid(spark, d):
+    """F5 grid with the number of builder-B training rows sent to each environment."""
+    _, train = _pool_split(spark, d)
+    envs = assign_round_robin(train, M, SEED)
+    return _grid_with_counts(env_grid(spark, GAP, M, MEAN, VAL_COLOR), envs)
+
+
+@query("env_grid_clamped")
+def q_env_grid_clamped(spark, d):
+    _, train = _pool_split(spark, d)
+    envs = assign_round_robin(train, M_CLAMPED, SEED)
+    return _grid_with_counts(env_grid(spark, GAP_CLAMPED, M_CLAMPED, MEAN, VAL_COLOR), envs)
+
+
+@query("env_grid_legacy")
+def q_env_grid_legacy(spark, d):
+    envs = assign_contiguous(_train_a(spark, d), 2, SEED)
+    return _grid_with_counts(env_grid_legacy(spark, LEGACY_P1, LEGACY_P2, LEGACY_VAL), envs)
+
+
+@query("envs_contiguous")
+def q_envs_contiguous(spark, d):
+    return assign_contiguous(_train_a(spark, d), M, SEED).select("example_id", "profession", "env", "shuffle_pos")
+
+
+@query("envs_round_robin")
+def q_envs_round_robin(spark, d):
+    _, train = _pool_split(spark, d)
+    return assign_round_robin(train, M, SEED).select("example_id", "profession", "env")
+
+
+def _corpus_b(spark, d):
+    return build_corpus_b(spark, fx.bios(spark, d), GAP, M, MEAN, VAL_COLOR, K_TEST, SEED)
+
+
+def _lines(c):
+    rows = c.train.unionByName(c.val)
+    return rows.select("env", "example_id", "labels", F.md5("text").alias("text_md5"))
+
+
+@query("corpus_a")
+def q_corpus_a(spark, d):
+    return _lines(build_corpus_a(spark, fx.bios(spark, d), GAP, M, MEAN, VAL_COLOR, seed=SEED))
+
+
+@query("corpus_a_legacy")
+def q_corpus_a_legacy(spark, d):
+    c = build_corpus_a(spark, fx.bios(spark, d), p1=LEGACY_P1, p2=LEGACY_P2, val_p=LEGACY_VAL, seed=SEED)
+    return _lines(c)
+
+
+@query("corpus_b")
+def q_corpus_b(spark, d):
+    return _lines(_corpus_b(spark, d))
+
+
+@query("corpus_b_pooled")
+def q_corpus_b_pooled(spark, d):
+    p = _corpus_b(spark, d).pooled
+    return p.select("erm_pos", "example_id", "labels", F.md5("text").alias("text_md5"))
+
+
+@query("inject_tokens")
+def q_inject_tokens(spark, d):
+    """Prefix counts per environment and class in builder B's output."""
+    c = _corpus_b(spark, d)
+    rows = c.train.unionByName(c.val)
+    return rows.groupBy("env", "labels").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(count_prefix("text", PREFIX_GROUP0)).cast("long").alias("n_aaa"),
+        F.sum(count_prefix("text", PREFIX_GROUP1)).cast("long").alias("n_bbb"),
+    )
+
+
+@query("toy_corpus")
+def q_toy_corpus(spark, d):
+    """C3 sized by the data: ``n_train_per_env`` = rows of ``documents``, ``n_val`` = a quarter of it."""
+    n = fx.table(spark, d, "documents").count()
+    c = build_toy(spark, GAP, n, n // 4, M, MEAN, 1.0, SEED)
+    return c.train.unionByName(c.val).select("env", "example_id", "text", "labels", "pos")
