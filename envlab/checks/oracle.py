@@ -160,3 +160,135 @@ SQL["toy_corpus"] = with_(
          {draw(SEED, 'toyshuf', _TOY_KEY.replace('env', 't.env').replace('id', 't.id'))} AS d
   FROM toy_rows t JOIN grid_full g ON t.env = g.env)""",
 ) + "SELECT env, example_id, text, labels, row_number() OVER (PARTITION BY env ORDER BY d, example_id) - 1 AS pos FROM toy"
+
+
+# ---------------------------------------------------------------- evaluation (C6) and head divergence
+from envlab.checks.sqlfrag import HEAD_WEIGHTS, head_logits  # noqa: E402
+
+
+def _ens(src: str = "head_logits") -> str:
+    return f"""ex AS (SELECT example_id, first(label) AS label, list(logits ORDER BY env) AS heads FROM {src} GROUP BY example_id),
+ens AS (
+  SELECT example_id, label, CAST(len(heads) AS INTEGER) AS n_heads,
+         CASE WHEN len(heads) = 1 THEN heads[1] ELSE
+           list_transform(range(1, len(heads[1]) + 1), lambda c: list_reduce(list_transform(heads, lambda h: h[c] / len(heads)), lambda a, b: a + b, 0.0::DOUBLE))
+         END AS logits
+  FROM ex),
+pred AS (SELECT *, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred FROM ens),
+conf AS (SELECT label, pred, count(*) AS n, max(len(logits)) AS n_classes FROM pred GROUP BY label, pred),
+cls AS (SELECT range AS class FROM range(0, (SELECT greatest(max(n_classes), max(label) + 1, max(pred) + 1) FROM conf))),
+pc0 AS (
+  SELECT CAST(c.class AS INTEGER) AS class,
+         CAST(coalesce((SELECT sum(n) FROM conf WHERE label = c.class), 0) AS BIGINT) AS support,
+         CAST(coalesce((SELECT sum(n) FROM conf WHERE pred = c.class), 0) AS BIGINT) AS predicted,
+         CAST(coalesce((SELECT sum(n) FROM conf WHERE pred = c.class AND label = c.class), 0) AS BIGINT) AS tp
+  FROM cls c),
+pc AS (
+  SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+         CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
+         CASE WHEN support + predicted > 0 THEN 2.0::DOUBLE * tp / (support + predicted) ELSE 0.0 END AS f1
+  FROM pc0)"""
+
+
+def _r9(cols: list[str]) -> str:
+    return ", ".join(f"round({c}, 9) AS {c}" for c in cols)
+
+
+_REPORT = """rt AS (
+  SELECT *, count(*) OVER () AS k, greatest(1, (count(*) OVER ()) // 4) AS q,
+         row_number() OVER (ORDER BY support, class) AS pos, support > 0 AS present,
+         rank() OVER (PARTITION BY support > 0 ORDER BY support) + (count(*) OVER (PARTITION BY support > 0, support) - 1) / 2.0::DOUBLE AS rs,
+         rank() OVER (PARTITION BY support > 0 ORDER BY f1) + (count(*) OVER (PARTITION BY support > 0, f1) - 1) / 2.0::DOUBLE AS rf
+  FROM pc),
+rep AS (
+  SELECT sum(tp) / sum(support) AS accuracy,
+         avg(CASE WHEN support > 0 OR predicted > 0 THEN f1 END) AS f1_macro,
+         CASE WHEN count_if(present) >= 3 AND stddev_samp(CASE WHEN present THEN CAST(support AS DOUBLE) END) * stddev_samp(CASE WHEN present THEN f1 END) > 0
+              THEN covar_samp(CASE WHEN present THEN CAST(support AS DOUBLE) END, CASE WHEN present THEN f1 END)
+                   / (stddev_samp(CASE WHEN present THEN CAST(support AS DOUBLE) END) * stddev_samp(CASE WHEN present THEN f1 END)) END AS corr_support_f1_pearson_r,
+         CASE WHEN count_if(present) >= 3 AND stddev_samp(CASE WHEN present THEN rs END) * stddev_samp(CASE WHEN present THEN rf END) > 0
+              THEN covar_samp(CASE WHEN present THEN rs END, CASE WHEN present THEN rf END)
+                   / (stddev_samp(CASE WHEN present THEN rs END) * stddev_samp(CASE WHEN present THEN rf END)) END AS corr_support_f1_spearman_rho,
+         avg(CASE WHEN pos > k - q THEN f1 END) AS f1_head,
+         avg(CASE WHEN pos <= q THEN f1 END) AS f1_tail
+  FROM rt)"""
+_REPORT_COLS = ["accuracy", "f1_macro", "corr_support_f1_pearson_r", "corr_support_f1_spearman_rho", "f1_head", "f1_tail"]
+_REPORT_SELECT = f"SELECT {_r9(_REPORT_COLS)}, round(f1_head - f1_tail, 9) AS gap_head_tail FROM rep"
+
+SQL["ensemble_pred"] = with_(head_logits(), _ens()) + (
+    "SELECT example_id, label, pred, n_heads, list_transform(logits, lambda x: round(x, 9)) AS logits FROM pred"
+)
+SQL["confusion"] = with_(head_logits(), _ens()) + "SELECT label, pred, n FROM conf"
+SQL["per_class_f1"] = with_(head_logits(), _ens()) + (
+    f"SELECT class, support, predicted, tp, {_r9(['precision', 'recall', 'f1'])} FROM pc"
+)
+SQL["eval_report"] = with_(head_logits(), _ens(), _REPORT) + _REPORT_SELECT
+SQL["eval_report_binary"] = with_(head_logits(binary=True), _ens(), _REPORT) + _REPORT_SELECT
+SQL["eval_report_single_head"] = with_(head_logits(n_envs=1), _ens(), _REPORT) + _REPORT_SELECT
+SQL["eval_report_extended"] = with_(head_logits(), _ens()) + """SELECT
+  round(avg(CASE WHEN support > 0 THEN recall END), 9) AS balanced_accuracy,
+  round(sum(precision * support) / sum(support), 9) AS precision_weighted,
+  round(sum(recall * support) / sum(support), 9) AS recall_weighted,
+  round(sum(f1 * support) / sum(support), 9) AS f1_weighted,
+  round(min(recall), 9) AS worst_recall, arg_min(class, (recall, class)) AS worst_recall_cls,
+  round(min(f1), 9) AS worst_f1, arg_min(class, (f1, class)) AS worst_f1_cls
+FROM pc WHERE support > 0 OR predicted > 0"""
+SQL["eval_loss"] = with_(head_logits(), _ens()) + """SELECT
+  round(avg(list_max(logits) + ln(list_reduce(list_transform(logits, lambda x: exp(x - list_max(logits))), lambda a, b: a + b, 0.0::DOUBLE))
+            - logits[label + 1]), 9) AS loss,
+  count(*) AS n_examples FROM pred"""
+
+
+def _softmax(h: str) -> str:
+    return (f"list_transform({h}, lambda x: greatest(exp(x - list_max({h})) / "
+            f"list_reduce(list_transform({h}, lambda y: exp(y - list_max({h}))), lambda a, b: a + b, 0.0::DOUBLE), 1e-12::DOUBLE))")
+
+
+_JS = """list_reduce(list_transform(range(1, len(a.p) + 1), lambda i:
+            0.5::DOUBLE * (a.p[i] * (ln(a.p[i]) - ln((a.p[i] + b.p[i]) * 0.5::DOUBLE)) + b.p[i] * (ln(b.p[i]) - ln((a.p[i] + b.p[i]) * 0.5::DOUBLE)))),
+          lambda s, t: s + t, 0.0::DOUBLE)"""
+
+
+def _pred_div(src: str, group: str | None = None) -> str:
+    g = f"{group}, " if group else ""
+    gj = f"a.{group} = b.{group} AND " if group else ""
+    part = f"PARTITION BY {group} " if group else ""
+    return f"""probs AS (SELECT {g}example_id, env, {_softmax('logits')} AS p FROM {src}),
+pairs AS (
+  SELECT {'a.' + group + ', ' if group else ''}a.example_id, {_JS} AS js,
+         CAST(list_position(a.p, list_max(a.p)) <> list_position(b.p, list_max(b.p)) AS DOUBLE) AS dis
+  FROM probs a JOIN probs b ON {gj}a.example_id = b.example_id AND a.env < b.env),
+exs AS (SELECT DISTINCT {g}example_id FROM {src}),
+per_ex AS (SELECT {'e.' + group + ', ' if group else ''}e.example_id, avg(js) AS js, avg(dis) AS dis
+           FROM exs e LEFT JOIN pairs p ON {'e.' + group + ' = p.' + group + ' AND ' if group else ''}e.example_id = p.example_id
+           GROUP BY ALL),
+pos AS (SELECT *, row_number() OVER ({part}ORDER BY example_id) - 1 AS pos FROM per_ex),
+bat AS (SELECT {g}pos // 64 AS batch, avg(js) AS js, avg(dis) AS dis FROM pos WHERE pos < 3200 GROUP BY ALL),
+div AS (SELECT {g}avg(js) AS js_mean, avg(dis) AS disagree_mean FROM bat {'GROUP BY ' + group if group else ''})"""
+
+
+SQL["head_js"] = with_(head_logits(), _pred_div("head_logits")) + (
+    "SELECT round(js_mean, 9) AS js_mean, round(disagree_mean, 9) AS disagree_mean FROM div"
+)
+SQL["head_js_single_head"] = with_(head_logits(n_envs=1), _pred_div("head_logits")) + (
+    "SELECT round(js_mean, 9) AS js_mean, round(disagree_mean, 9) AS disagree_mean FROM div"
+)
+_WDIV = """wpairs AS (
+  SELECT a.step,
+         sqrt(list_reduce(list_transform(range(1, len(a.w) + 1), lambda i: (a.w[i] - b.w[i]) * (a.w[i] - b.w[i])), lambda s, t: s + t, 0.0::DOUBLE)) AS l2,
+         1.0::DOUBLE - list_reduce(list_transform(range(1, len(a.w) + 1), lambda i:
+             (a.w[i] / greatest(sqrt(list_reduce(list_transform(a.w, lambda x: x * x), lambda s, t: s + t, 0.0::DOUBLE)), 1e-12::DOUBLE))
+           * (b.w[i] / greatest(sqrt(list_reduce(list_transform(b.w, lambda x: x * x), lambda s, t: s + t, 0.0::DOUBLE)), 1e-12::DOUBLE))),
+           lambda s, t: s + t, 0.0::DOUBLE) AS cos
+  FROM head_weights a JOIN head_weights b ON a.step = b.step AND a.env < b.env),
+wdiv AS (SELECT step, avg(l2) AS l2_mean, avg(cos) AS cosine_mean FROM wpairs GROUP BY step)"""
+SQL["head_weight_divergence"] = with_(HEAD_WEIGHTS, _WDIV) + (
+    "SELECT step, round(l2_mean, 9) AS l2_mean, round(cosine_mean, 9) AS cosine_mean FROM wdiv"
+)
+_STEP_LOGITS = """step_logits AS (
+  SELECT step, env, CAST(k.range AS BIGINT) AS example_id, w[k.range * (len(w) // 8) + 1 : (k.range + 1) * (len(w) // 8)] AS logits
+  FROM head_weights, range(0, 8) k)"""
+SQL["heads_compact"] = with_(HEAD_WEIGHTS, _WDIV, _STEP_LOGITS, _pred_div("step_logits", "step")) + """SELECT
+  coalesce(w.step, d.step) AS step, round(w.l2_mean, 9) AS l2_mean, round(w.cosine_mean, 9) AS cosine_mean,
+  round(d.js_mean, 9) AS js_mean, round(d.disagree_mean, 9) AS disagree_mean
+FROM wdiv w FULL JOIN div d ON w.step = d.step"""

@@ -199,3 +199,80 @@ def q_toy_corpus(spark, d):
     n = fx.table(spark, d, "documents").count()
     c = build_toy(spark, GAP, n, n // 4, M, MEAN, 1.0, SEED)
     return c.train.unionByName(c.val).select("env", "example_id", "text", "labels", "pos")
+
+
+# ---------------------------------------------------------------- evaluation (C6) and head divergence
+from envlab.operators import heads as HD  # noqa: E402
+from envlab.operators import metrics as MT  # noqa: E402
+
+
+def _pc(hl):
+    return MT.per_class(MT.confusion(MT.ensemble(hl)))
+
+
+def _round_all(df, skip=()):
+    return df.select(*[r9(F.col(c)).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes])
+
+
+@query("ensemble_pred")
+def q_ensemble_pred(spark, d):
+    p = MT.ensemble(fx.head_logits(spark, d))
+    return p.select("example_id", "label", "pred", "n_heads", F.transform("logits", lambda x: F.round(x, 9)).alias("logits"))
+
+
+@query("confusion")
+def q_confusion(spark, d):
+    return MT.confusion(MT.ensemble(fx.head_logits(spark, d))).select("label", "pred", "n")
+
+
+@query("per_class_f1")
+def q_per_class(spark, d):
+    return _round_all(_pc(fx.head_logits(spark, d)))
+
+
+@query("eval_report")
+def q_eval_report(spark, d):
+    return _round_all(MT.eval_report(_pc(fx.head_logits(spark, d))))
+
+
+@query("eval_report_binary")
+def q_eval_report_binary(spark, d):
+    """Two classes: the support/F1 correlations are undefined (NULL)."""
+    return _round_all(MT.eval_report(_pc(fx.head_logits(spark, d, binary=True))))
+
+
+@query("eval_report_single_head")
+def q_eval_report_single(spark, d):
+    return _round_all(MT.eval_report(_pc(fx.head_logits(spark, d, n_envs=1))))
+
+
+@query("eval_report_extended")
+def q_eval_report_extended(spark, d):
+    return _round_all(MT.eval_report_extended(_pc(fx.head_logits(spark, d))))
+
+
+@query("eval_loss")
+def q_eval_loss(spark, d):
+    return _round_all(MT.eval_loss(MT.ensemble(fx.head_logits(spark, d))))
+
+
+@query("head_js")
+def q_head_js(spark, d):
+    return _round_all(HD.prediction_divergence(fx.head_logits(spark, d)))
+
+
+@query("head_js_single_head")
+def q_head_js_single(spark, d):
+    return _round_all(HD.prediction_divergence(fx.head_logits(spark, d, n_envs=1)))
+
+
+@query("head_weight_divergence")
+def q_head_weight_div(spark, d):
+    return _round_all(HD.weight_divergence(fx.head_weights(spark, d)))
+
+
+@query("heads_compact")
+def q_heads_compact(spark, d):
+    w = fx.head_weights(spark, d)
+    log = HD.heads_log(HD.weight_divergence(w), HD.prediction_divergence(HD.step_logits(w), group="step"))
+    return _round_all(HD.compact_heads_log(log))
