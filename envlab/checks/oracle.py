@@ -292,3 +292,60 @@ SQL["heads_compact"] = with_(HEAD_WEIGHTS, _WDIV, _STEP_LOGITS, _pred_div("step_
   coalesce(w.step, d.step) AS step, round(w.l2_mean, 9) AS l2_mean, round(w.cosine_mean, 9) AS cosine_mean,
   round(d.js_mean, 9) AS js_mean, round(d.disagree_mean, 9) AS disagree_mean
 FROM wdiv w FULL JOIN div d ON w.step = d.step"""
+
+
+# ---------------------------------------------------------------- run histories (C8) and the run grid
+from envlab.checks.sqlfrag import RUN_HISTORY  # noqa: E402
+from envlab.plans.registry import METRIC, PIVOT_LRS  # noqa: E402
+
+_PARSE = r"""runs AS (SELECT DISTINCT run_name FROM run_history),
+parsed0 AS (
+  SELECT run_name,
+    nullif(regexp_extract(s, '^eval[\-_ ]([a-z0-9]+)', 1), '') AS algo,
+    coalesce(nullif(regexp_extract(s, 'lr[\-_ ]([0-9eE.+\-]+)[\-_ ]seed', 1), ''),
+             nullif(regexp_extract(s, '^eval[\-_ ][a-z0-9]+[\-_ ]([0-9eE.+\-]+)[\-_ ]seed', 1), '')) AS lr,
+    TRY_CAST(nullif(regexp_extract(s, 'seed_?([0-9]+)', 1), '') AS INTEGER) AS seed,
+    TRY_CAST(nullif(regexp_replace(nullif(regexp_extract(s, 'model[\-_ ]([0-9 _]+)', 1), ''), '[^0-9]', '', 'g'), '') AS BIGINT) AS model
+  FROM (SELECT run_name, lower(trim(coalesce(run_name, ''))) AS s FROM runs)),
+parsed AS (SELECT *, (algo IS NOT NULL AND lr IS NOT NULL AND seed IS NOT NULL AND model IS NOT NULL) AS parsed FROM parsed0),
+summ AS (SELECT run_name, arg_max_null(value, step) AS sv, max(step) AS ss FROM run_history GROUP BY run_name)"""
+
+
+def _value(strategy: str) -> str:
+    order = "step DESC" if strategy == "last" else "value ASC, step ASC"
+    return f"""hvr AS (SELECT run_name, value, step, row_number() OVER (PARTITION BY run_name ORDER BY {order}) AS rn
+        FROM run_history WHERE metric = '{METRIC}' AND value IS NOT NULL AND NOT isnan(value)),
+vals AS (
+  SELECT r.run_name, CASE WHEN h.value IS NOT NULL THEN h.step ELSE s.ss END AS step,
+         CASE WHEN h.value IS NOT NULL THEN h.value ELSE s.sv END AS value
+  FROM runs r LEFT JOIN (SELECT * FROM hvr WHERE rn = 1) h ON r.run_name = h.run_name LEFT JOIN summ s ON r.run_name = s.run_name),
+kept AS (SELECT p.run_name, p.algo, p.lr, p.seed, p.model, v.step, v.value
+         FROM parsed p JOIN vals v ON p.run_name = v.run_name WHERE p.parsed AND v.value IS NOT NULL)"""
+
+
+_RUNS = with_(RUN_HISTORY[len(""):], _PARSE)
+SQL["parse_runs"] = _RUNS + "SELECT * FROM parsed"
+SQL["unparsed_runs"] = _RUNS + "SELECT run_name FROM parsed WHERE NOT parsed ORDER BY run_name LIMIT 15"
+SQL["run_last"] = with_(RUN_HISTORY, _PARSE, _value("last")) + "SELECT * FROM kept"
+SQL["run_min"] = with_(RUN_HISTORY, _PARSE, _value("min")) + "SELECT * FROM kept"
+SQL["run_totals"] = with_(RUN_HISTORY, _PARSE, _value("last")) + """SELECT count(*) AS n_runs, count_if(parsed) AS n_parsed,
+  count_if(parsed AND run_name IN (SELECT run_name FROM kept)) AS n_kept, count_if(NOT parsed) AS n_unparsed FROM parsed"""
+_AGG = f"""agg AS (SELECT algo, lr, model, count(value) AS n_seeds, round(avg(value), 9) AS mean_{METRIC},
+             round(stddev_samp(value), 9) AS std_{METRIC} FROM kept GROUP BY algo, lr, model)"""
+SQL["seed_aggregate"] = with_(RUN_HISTORY, _PARSE, _value("last"), _AGG) + "SELECT * FROM agg"
+SQL["seed_pivot"] = with_(RUN_HISTORY, _PARSE, _value("last"), _AGG) + "SELECT algo, model, " + ", ".join(
+    f"""max(CASE WHEN lr = '{x}' THEN mean_{METRIC} END) AS "{x}\"""" for x in PIVOT_LRS
+) + " FROM agg GROUP BY algo, model"
+
+EVAL_RUNS = """eval_runs AS (
+  SELECT user_id, (['elm','ilm','ilmg'])[user_id % 3 + 1] AS algo, ([0.10, 0.20, 0.30, 0.40]::DOUBLE[])[(user_id // 3) % 4 + 1] AS gap,
+         CASE WHEN user_id = 1 THEN '0.005' ELSE (['0.001','0.0005','0.0001'])[(user_id // 12) % 3 + 1] END AS lr,
+         CAST(user_id % 5 AS INTEGER) AS seed,
+         CASE WHEN user_id % 3 = 2 THEN ([1, 15, 30])[(user_id // 36) % 3 + 1] END AS k
+  FROM (SELECT DISTINCT user_id FROM events))"""
+SQL["run_grid"] = with_(EVAL_RUNS) + """SELECT r.user_id,
+  r.algo || '_gap' || lpad(CAST(CAST(round(r.gap * 100) AS INTEGER) AS VARCHAR), 3, '0') || '_lr' || r.lr || '_seed' || CAST(r.seed AS VARCHAR)
+    || '_steps' || CAST(e.n * 250 AS VARCHAR)
+    || CASE WHEN r.k IS NULL THEN '' ELSE '_K' || CAST(r.k AS VARCHAR) || '_freeze' || CASE WHEN r.k = 1 THEN '1' ELSE '0' END END AS run_name,
+  r.algo AS tag_algo, 'gap' || lpad(CAST(CAST(round(r.gap * 100) AS INTEGER) AS VARCHAR), 3, '0') AS tag_group
+FROM eval_runs r JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) e ON r.user_id = e.user_id"""

@@ -276,3 +276,88 @@ def q_heads_compact(spark, d):
     w = fx.head_weights(spark, d)
     log = HD.heads_log(HD.weight_divergence(w), HD.prediction_divergence(HD.step_logits(w), group="step"))
     return _round_all(HD.compact_heads_log(log))
+
+
+# ---------------------------------------------------------------- run histories (C8) and the run grid
+from envlab.functions.names import grid_run_name, run_tags  # noqa: E402
+from envlab.operators import runs as RN  # noqa: E402
+
+METRIC = "ood_perplexity"
+PIVOT_LRS = ["1e-4", "5e-4", "1e-3"]
+
+
+def _history(spark, d):
+    return fx.run_history(spark, d)
+
+
+def _parsed(spark, d):
+    return RN.parse_runs(_history(spark, d).select("run_name").distinct())
+
+
+def _values(spark, d, strategy):
+    h = _history(spark, d)
+    v = RN.run_value(h, fx.run_summary(h), METRIC, strategy)
+    p = RN.parse_runs(h.select("run_name").distinct()).where("parsed")
+    return p.join(v, "run_name").select("run_name", "algo", "lr", "seed", "model", "step", "value")
+
+
+@query("parse_runs")
+def q_parse_runs(spark, d):
+    return _parsed(spark, d)
+
+
+@query("unparsed_runs")
+def q_unparsed_runs(spark, d):
+    """The first 15 names that do not parse (the reference prints 15), by name."""
+    return _parsed(spark, d).where(~F.col("parsed")).select("run_name").orderBy("run_name").limit(15)
+
+
+@query("run_last")
+def q_run_last(spark, d):
+    return _values(spark, d, "last")
+
+
+@query("run_min")
+def q_run_min(spark, d):
+    return _values(spark, d, "min")
+
+
+@query("run_totals")
+def q_run_totals(spark, d):
+    h = _history(spark, d)
+    return RN.run_totals(RN.parse_runs(h.select("run_name").distinct()), RN.run_value(h, fx.run_summary(h), METRIC, "last"))
+
+
+def _seed_agg(spark, d):
+    a = RN.seed_aggregate(_values(spark, d, "last"), prefix=METRIC)
+    return a.select("algo", "lr", "model", "n_seeds", r9(F.col(f"mean_{METRIC}")).alias(f"mean_{METRIC}"),
+                    r9(F.col(f"std_{METRIC}")).alias(f"std_{METRIC}"))
+
+
+@query("seed_aggregate")
+def q_seed_aggregate(spark, d):
+    return RN.sort_runs(_seed_agg(spark, d))
+
+
+@query("seed_pivot")
+def q_seed_pivot(spark, d):
+    return RN.seed_pivot(_seed_agg(spark, d), f"mean_{METRIC}", PIVOT_LRS)
+
+
+def _eval_runs(spark, d):
+    """Experiment runs derived from ``events``: one per user, attributes from the user id."""
+    return fx.eval_runs(fx.table(spark, d, "events"))
+
+
+@query("run_grid")
+def q_run_grid(spark, d):
+    """F11 run names of the per-user runs (steps = 250 x events of the user) and their F12 tags."""
+    ev = fx.table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"))
+    r = _eval_runs(spark, d).join(ev, "user_id")
+    steps = F.col("n_events") * 250
+    name = F.when(F.col("k").isNull(), grid_run_name("algo", "gap", F.col("lr"), "seed", steps)).otherwise(
+        grid_run_name("algo", "gap", F.col("lr"), "seed", steps, "k", "freeze")
+    )
+    x = r.select("user_id", name.alias("run_name"))
+    t = run_tags(F.col("run_name"))
+    return x.select("user_id", "run_name", t["algo"].alias("tag_algo"), t["group"].alias("tag_group"))

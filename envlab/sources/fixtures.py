@@ -74,7 +74,7 @@ def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     Ranked with hourly buckets, so one very active user is spread over many tasks.
     """
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
-    bucket = F.floor(F.unix_micros(F.col("ts")) / F.lit(3_600_000_000)).cast("long")
+    bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
     return rank_within(ev, ["user_id"], ["ts", "event_id"], bucket, name="step")
 
 
@@ -134,3 +134,27 @@ __all__ = [
     "train_log",
     "Window",
 ]
+
+
+# Fixed values of the eval-log fixture (FIXTURES.md "eval_logs")
+EVAL_GAPS = [0.10, 0.20, 0.30, 0.40]
+EVAL_LRS = ["0.001", "0.0005", "0.0001"]
+EVAL_LR_OUTSIDE = "0.005"
+EVAL_KS = [1, 15, 30]
+
+
+def eval_runs(events: DataFrame) -> DataFrame:
+    """Per user of ``events``: algo, gap, lr label, seed, K and freeze of a simulated run.
+    User 1 gets a learning rate outside the target set."""
+    u = F.col("user_id")
+    users = events.select("user_id").distinct()
+    algo = F.element_at(F.array(*[F.lit(a) for a in ALGOS]), (F.pmod(u, F.lit(3)) + 1).cast("int"))
+    gap = F.element_at(F.array(*[F.lit(g) for g in EVAL_GAPS]), (F.pmod(F.floor(u / 3), F.lit(4)) + 1).cast("int"))
+    lr = F.when(u == 1, F.lit(EVAL_LR_OUTSIDE)).otherwise(
+        F.element_at(F.array(*[F.lit(x) for x in EVAL_LRS]), (F.pmod(F.floor(u / 12), F.lit(3)) + 1).cast("int"))
+    )
+    k = F.when(algo == "ilmg", F.element_at(F.array(*[F.lit(x) for x in EVAL_KS]), (F.pmod(F.floor(u / 36), F.lit(3)) + 1).cast("int")))
+    return users.select(
+        "user_id", algo.alias("algo"), gap.alias("gap"), lr.alias("lr"), F.pmod(u, F.lit(5)).cast("int").alias("seed"),
+        k.alias("k"), F.when(k.isNotNull(), k == 1).alias("freeze"),
+    )
