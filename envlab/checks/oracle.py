@@ -349,3 +349,22 @@ SQL["run_grid"] = with_(EVAL_RUNS) + """SELECT r.user_id,
     || CASE WHEN r.k IS NULL THEN '' ELSE '_K' || CAST(r.k AS VARCHAR) || '_freeze' || CASE WHEN r.k = 1 THEN '1' ELSE '0' END END AS run_name,
   r.algo AS tag_algo, 'gap' || lpad(CAST(CAST(round(r.gap * 100) AS INTEGER) AS VARCHAR), 3, '0') AS tag_group
 FROM eval_runs r JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) e ON r.user_id = e.user_id"""
+
+
+# ---------------------------------------------------------------- learning curves
+from envlab.checks.sqlfrag import EVENT_STEPS  # noqa: E402
+
+_EVAL_ROWS = with_(EVENT_STEPS, EVAL_RUNS, """er0 AS (
+  SELECT e.user_id, r.algo || '_gap' || lpad(CAST(CAST(round(r.gap * 100) AS INTEGER) AS VARCHAR), 3, '0') || '_lr' || r.lr
+           || '_seed' || CAST(r.seed AS VARCHAR) AS run, TRY_CAST(r.lr AS DOUBLE) AS lr, e.step * 250 AS step,
+         CASE WHEN e.user_id = 2 AND e.step = 0 THEN NULL ELSE e.value / 500.0::DOUBLE END AS accuracy,
+         e.value / 600.0::DOUBLE AS f1_macro, e.value / 400.0::DOUBLE AS f1_head, e.value / 800.0::DOUBLE AS f1_tail,
+         e.value / 400.0::DOUBLE - e.value / 800.0::DOUBLE AS gap_head_tail,
+         CASE WHEN e.user_id % 2 = 0 THEN 1000.0::DOUBLE / (e.value + 1.0::DOUBLE) END AS loss
+  FROM event_steps e JOIN eval_runs r ON e.user_id = r.user_id),
+er AS (SELECT * FROM er0 UNION ALL SELECT * FROM (SELECT * FROM er0 WHERE user_id = 4 ORDER BY step DESC LIMIT 1))""")
+_CM = ["accuracy", "f1_macro", "f1_head", "f1_tail", "gap_head_tail", "loss"]
+SQL["ragged_logs"] = _EVAL_ROWS + f"SELECT run, lr, step, {_r9(_CM)} FROM er"
+SQL["curve_summary"] = _EVAL_ROWS + "SELECT lr, step, " + ", ".join(
+    f"round(avg({m}), 9) AS {m}, round(stddev_samp({m}), 9) AS {m}_std" for m in _CM
+) + " FROM er WHERE lr IN (0.001, 0.0005, 0.0001) GROUP BY lr, step"

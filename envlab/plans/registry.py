@@ -361,3 +361,38 @@ def q_run_grid(spark, d):
     x = r.select("user_id", name.alias("run_name"))
     t = run_tags(F.col("run_name"))
     return x.select("user_id", "run_name", t["algo"].alias("tag_algo"), t["group"].alias("tag_group"))
+
+
+# ---------------------------------------------------------------- learning curves
+from envlab.operators import curves as CV  # noqa: E402
+from envlab.session import scratch_path  # noqa: E402
+from envlab.sources.logs import EVAL_COLUMNS, discover_logs, available_columns, parse_ragged, read_eval_logs  # noqa: E402
+
+CURVE_METRICS = ["accuracy", "f1_macro", "f1_head", "f1_tail", "gap_head_tail", "loss"]
+
+
+def _eval_logs_dir(spark, d):
+    base = scratch_path(spark, "evallogs")
+    fx.write_eval_logs(spark, d, base)
+    return base
+
+
+@query("curve_summary")
+def q_curve_summary(spark, d):
+    """Eval logs written per run (ragged headers), discovered, lr from the path, target lrs
+    kept, mean/std per (lr, step) for every requested metric present."""
+    base = _eval_logs_dir(spark, d)
+    rows = CV.keep_target_lrs(read_eval_logs(spark, base))
+    metrics = CV.select_metrics(CURVE_METRICS, available_columns(discover_logs(spark, base, "eval")))
+    s = CV.curve_summary(rows, metrics)
+    return s.select("lr", "step", *[r9(F.col(c)).alias(c) for c in s.columns if c not in ("lr", "step")])
+
+
+@query("ragged_logs")
+def q_ragged_logs(spark, d):
+    """S5 + S6: all discovered eval rows by column name, lr from the path, NaN as missing."""
+    base = _eval_logs_dir(spark, d)
+    rows = read_eval_logs(spark, base)
+    keep = ["accuracy", "f1_macro", "f1_head", "f1_tail", "gap_head_tail", "loss"]
+    return rows.select(F.col("run_dir").alias("run"), "lr", "step",
+                       *[r9(F.nanvl(F.col(c), F.lit(None).cast("double"))).alias(c) for c in keep])

@@ -158,3 +158,49 @@ def eval_runs(events: DataFrame) -> DataFrame:
         "user_id", algo.alias("algo"), gap.alias("gap"), lr.alias("lr"), F.pmod(u, F.lit(5)).cast("int").alias("seed"),
         k.alias("k"), F.when(k.isNotNull(), k == 1).alias("freeze"),
     )
+
+
+def eval_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eval-log rows per simulated run (one run per user): step = 250 x event position; metrics
+    from the event value. Metric cells are strings as a CSV writer would put them: user 2's first
+    accuracy is ``nan``; user 4's last row is written twice (a duplicate step); runs of odd users
+    have no ``loss`` column (NULL here)."""
+    s = event_steps(spark, sf_dir)
+    runs = eval_runs(table(spark, sf_dir, "events"))
+    x = s.join(runs, "user_id")
+    run_dir = F.concat(
+        F.col("algo"), F.lit("_gap"), F.format_string("%03d", F.round(F.col("gap") * 100).cast("int")),
+        F.lit("_lr"), F.col("lr"), F.lit("_seed"), F.col("seed").cast("string"),
+    )
+    v = F.col("value")
+    acc = F.when((F.col("user_id") == 2) & (F.col("step") == 0), F.lit("nan")).otherwise((v / 500.0).cast("string"))
+    head, tail = v / 400.0, v / 800.0
+    rows = x.select(
+        "user_id",
+        run_dir.alias("run_dir"),
+        (F.col("step") * 250).alias("step"),
+        F.when(F.pmod(F.col("user_id"), F.lit(2)) == 0, (F.lit(1000.0) / (v + 1.0)).cast("string")).alias("loss"),
+        acc.alias("accuracy"),
+        (v / 600.0).cast("string").alias("f1_macro"),
+        F.lit(None).cast("string").alias("corr_support_f1_pearson_r"),
+        F.lit(None).cast("string").alias("corr_support_f1_spearman_rho"),
+        head.cast("string").alias("f1_head"),
+        tail.cast("string").alias("f1_tail"),
+        (head - tail).cast("string").alias("gap_head_tail"),
+    )
+    last4 = rows.where(F.col("user_id") == 4).orderBy(F.col("step").desc()).limit(1)
+    return rows.unionByName(last4)
+
+
+def write_eval_logs(spark: SparkSession, sf_dir: str, base: str) -> list[str]:
+    """Write the eval-log fixture below ``base`` as ``<run>/csv_logs/eval.csv``: runs with a
+    ``loss`` column and runs without it are written with different headers (ragged logs)."""
+    from envlab.sinks.files import write_metric_logs_by_run
+    from envlab.sources.logs import EVAL_COLUMNS
+
+    rows = eval_log_rows(spark, sf_dir)
+    with_loss = rows.where(F.pmod(F.col("user_id"), F.lit(2)) == 0)
+    without = rows.where(F.pmod(F.col("user_id"), F.lit(2)) == 1)
+    runs = write_metric_logs_by_run(spark, with_loss, base, "run_dir", "eval", EVAL_COLUMNS)
+    runs += write_metric_logs_by_run(spark, without, base, "run_dir", "eval", [c for c in EVAL_COLUMNS if c != "loss"])
+    return runs
