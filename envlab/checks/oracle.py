@@ -368,3 +368,53 @@ SQL["ragged_logs"] = _EVAL_ROWS + f"SELECT run, lr, step, {_r9(_CM)} FROM er"
 SQL["curve_summary"] = _EVAL_ROWS + "SELECT lr, step, " + ", ".join(
     f"round(avg({m}), 9) AS {m}, round(stddev_samp({m}), 9) AS {m}_std" for m in _CM
 ) + " FROM er WHERE lr IN (0.001, 0.0005, 0.0001) GROUP BY lr, step"
+
+
+# ---------------------------------------------------------------- load, encode, batch
+from envlab.functions.text import NON_WHITESPACE  # noqa: E402
+from envlab.operators.encode import SPECIALS  # noqa: E402
+from envlab.plans.registry import ACCUM, BATCH, EPOCHS, MAX_LEN, VOCAB_SIZE  # noqa: E402
+
+_SPECIALS = ", ".join(f"'{s}'" for s in SPECIALS)
+_WTOK = (f"list_transform(list_filter(regexp_split_to_array(text, '{WHITESPACE_RUN}'), lambda x: x <> ''), "
+         f"lambda t: CASE WHEN t IN ({_SPECIALS}) THEN t ELSE lower(t) END)")
+_VOCAB = f"""vtoks AS (SELECT unnest({_WTOK}) AS token FROM lines WHERE env <> 'val'),
+vcnt AS (SELECT token, count(*) AS n FROM vtoks WHERE token NOT IN ({_SPECIALS}) GROUP BY token),
+vtop AS (SELECT token, n FROM vcnt ORDER BY n DESC, token ASC LIMIT {VOCAB_SIZE}),
+vocab AS (
+  SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token ASC) - 1 + {len(SPECIALS)} AS INTEGER) AS id, n FROM vtop
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"('{s}', {i}, 0::BIGINT)" for i, s in enumerate(SPECIALS))}) t(token, id, n))"""
+_ENC = f"""enc_in AS (SELECT env, example_id, labels, list_slice({_WTOK}, 1, {MAX_LEN - 2}) AS toks
+           FROM lines WHERE text IS NOT NULL AND regexp_matches(text, '{NON_WHITESPACE}')),
+enc_u AS (SELECT example_id, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS pos FROM enc_in),
+enc_ids AS (SELECT u.example_id, list(coalesce(v.id, 1) ORDER BY u.pos) AS ids
+            FROM enc_u u LEFT JOIN vocab v ON u.token = v.token GROUP BY u.example_id),
+encoded AS (SELECT e.env, e.example_id, e.labels, [2] || coalesce(i.ids, []) || [3] AS input_ids
+            FROM enc_in e LEFT JOIN enc_ids i ON e.example_id = i.example_id),
+encoded2 AS (SELECT *, list_transform(input_ids, lambda x: 1) AS attention_mask FROM encoded)"""
+_BAT = f"""bat AS (
+  SELECT *, row_number() OVER (PARTITION BY env ORDER BY {draw(SEED, 'batch', 'env', 'example_id')}, example_id) - 1 AS rank
+  FROM encoded2 WHERE env <> 'val'),
+bat2 AS (SELECT *, CAST(rank // {BATCH} AS INTEGER) AS batch_id FROM bat)"""
+_CB = _CORPUS_B[len("WITH "):].rstrip()
+SQL["tsv_roundtrip"] = with_(_CB) + "SELECT env, labels, md5(text) AS text_md5 FROM lines"
+SQL["vocab"] = with_(_CB, _VOCAB) + "SELECT * FROM vocab"
+SQL["encoded"] = with_(_CB, _VOCAB, _ENC) + "SELECT env, example_id, labels, input_ids, attention_mask FROM encoded2"
+SQL["batches"] = with_(_CB, _VOCAB, _ENC, _BAT) + "SELECT env, example_id, rank, batch_id FROM bat2"
+SQL["padded"] = with_(_CB, _VOCAB, _ENC, _BAT) + """SELECT env, batch_id, example_id,
+  ids0 || list_transform(range(0, greatest(mx - len(ids0), 0)), lambda x: 0) AS input_ids,
+  am0 || list_transform(range(0, greatest(mx - len(ids0), 0)), lambda x: 0) AS attention_mask
+FROM (SELECT env, batch_id, example_id, input_ids AS ids0, attention_mask AS am0,
+             max(len(input_ids)) OVER (PARTITION BY env, batch_id) AS mx FROM bat2)"""
+_PLAN = f"""tr_nb AS (SELECT * FROM lines WHERE env <> 'val' AND text IS NOT NULL AND regexp_matches(text, '{NON_WHITESPACE}')),
+plan AS (
+  SELECT min(n) AS min_env_size, count(*) AS n_envs, (SELECT count(DISTINCT labels) FROM tr_nb) AS num_labels,
+         CAST(floor(min(n) / {ACCUM * BATCH}) AS BIGINT) AS steps_per_epoch, CAST({EPOCHS} AS BIGINT) AS num_epochs,
+         CAST(floor(min(n) / {ACCUM * BATCH}) * {EPOCHS} AS BIGINT) AS max_steps
+  FROM (SELECT env, count(*) AS n FROM tr_nb GROUP BY env))"""
+SQL["epoch_plan"] = with_(_CB, _PLAN) + "SELECT * FROM plan"
+SQL["step_schedule"] = with_(_CB, _VOCAB, _ENC, _BAT, _PLAN) + """, envs AS (
+  SELECT env, max(batch_id) + 1 AS n_batches, row_number() OVER (ORDER BY env) - 1 AS env_idx, count(*) OVER () AS n_envs
+  FROM bat2 GROUP BY env)
+SELECT s.range AS step, e.env, CAST((s.range // e.n_envs) % e.n_batches AS INTEGER) AS batch_id
+FROM range(0, (SELECT max_steps FROM plan)) s JOIN envs e ON s.range % e.n_envs = e.env_idx"""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envlab.functions.draws import draw
-from envlab.operators.ranking import DEFAULT_BUCKETS, draw_bucket, first_k
+from envlab.operators.ranking import DEFAULT_BUCKETS, apply_cuts, draw_bucket, first_k, first_k_cuts
 
 
 def gender_counts(df: DataFrame, cls: str = "profession") -> DataFrame:
@@ -78,7 +78,7 @@ def split_test_train(
     else:
         keys = [cls]
         ks = keff.select(cls, F.col("k_eff").alias("_k"))
-    b = draw_bucket("_draw", buckets)
-    test = first_k(x, keys, ks, "_draw", key, b, keep="first").drop("_draw")
-    train = first_k(x, keys, ks, "_draw", key, b, keep="rest").drop("_draw")
+    cuts, n = first_k_cuts(x, keys, ks, "_draw", key, draw_bucket("_draw", buckets))
+    test = apply_cuts(x, keys, cuts, n, "_draw", key, keep="first").drop("_draw")
+    train = apply_cuts(x, keys, cuts, n, "_draw", key, keep="rest").drop("_draw")
     return test, train

@@ -5,8 +5,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from envlab.functions.draws import draw
-from envlab.operators.ranking import DEFAULT_BUCKETS, draw_bucket, rank_within
-from envlab.session import join_small
+from envlab.operators.ranking import DEFAULT_BUCKETS, draw_bucket, rank_within, rows_at_positions
+from envlab.session import count_small, join_small
 
 
 def class_ids(df: DataFrame, cls: str = "profession") -> DataFrame:
@@ -61,21 +61,37 @@ def assign_round_robin(train: DataFrame, m: int, seed: int, cls: str = "professi
 def assign_contiguous(train: DataFrame, m: int, seed: int, key: str = "example_id",
                       buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """W2 + W3: one global seeded shuffle, then contiguous slices of ``N // m`` rows; the last
-    environment takes the remainder (not ``ntile``)."""
+    environment takes the remainder (not ``ntile``).
+
+    Only the m - 1 slice boundaries are located exactly (sorting just the buckets that hold
+    them); every row then finds its environment by comparing its draw with those boundaries.
+    Rows are not shuffled."""
+    x = train.withColumn("_d", draw(seed, "shuf", key))
+    n = x.count()
+    size = n // int(m)
+    if size == 0:
+        return x.withColumn("env", F.lit(int(m))).drop("_d")
+    cuts = rows_at_positions(x, [j * size - 1 for j in range(1, int(m))], "_d", key, draw_bucket("_d", buckets))
+    env = F.lit(1)
+    for v, t in cuts:
+        after = (F.col("_d") > F.lit(v)) | ((F.col("_d") == F.lit(v)) & (F.col(key) > F.lit(t)))
+        env = env + after.cast("int")
+    return x.withColumn("env", env.cast("int")).drop("_d")
+
+
+def shuffle_positions(train: DataFrame, seed: int, key: str = "example_id", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Exact position of every row in the global seeded shuffle (``shuffle_pos``)."""
     x = train.withColumn("_d", draw(seed, "shuf", key))
-    r = rank_within(x, [], ["_d", key], draw_bucket("_d", buckets), name="_pos", total="_n")
-    size = F.floor(F.col("_n") / F.lit(int(m)))
-    env = F.when(size == 0, F.lit(m - 1)).otherwise(F.least(F.floor(F.col("_pos") / size), F.lit(m - 1))) + 1
-    return r.withColumn("env", env.cast("int")).drop("_d", "_n").withColumnRenamed("_pos", "shuffle_pos")
+    return rank_within(x, [], ["_d", key], draw_bucket("_d", buckets), name="shuffle_pos").drop("_d")
 
 
 def attach_classes(df: DataFrame, classes: DataFrame, cls: str = "profession", on_missing: str = "error") -> DataFrame:
-    """Attach ``label`` and ``grp``. A class unknown to ``classes`` is an error (the reference's
-    KeyError) unless ``on_missing='drop'``."""
+    """Attach ``label`` and ``grp``. A class unknown to ``classes`` fails the job (the
+    reference's KeyError) unless ``on_missing='drop'``; the check is an expression inside the
+    same job, not a separate pass."""
+    classes, n = count_small(classes)
     if on_missing == "error":
-        j = join_small(df, classes, cls, "left")
-        missing = j.where(F.col("label").isNull()).select(cls).limit(1).collect()
-        if missing:
-            raise KeyError(f"class {missing[0][0]!r} has no id: it has no training rows after the split")
-        return j
-    return join_small(df, classes, cls, "inner")
+        j = join_small(df, classes, cls, "left", rows=n)
+        msg = F.concat(F.lit("class has no id (no training rows after the split): "), F.col(cls).cast("string"))
+        return j.withColumn("label", F.when(F.col("label").isNull(), F.raise_error(msg).cast("int")).otherwise(F.col("label")))
+    return join_small(df, classes, cls, "inner", rows=n)

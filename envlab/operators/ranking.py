@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from envlab.session import join_small
+from envlab.session import count_small, join_small
 
 DEFAULT_BUCKETS = 1 << 16
 
@@ -69,32 +69,30 @@ def rank_within(
     return joined.withColumn(name, (F.row_number().over(wr) - 1 + F.col("_rk_off")).cast("long")).drop(b, "_rk_off")
 
 
-def first_k(
+def first_k_cuts(
     df: DataFrame,
     keys: Sequence[str],
     k: DataFrame,
     value: str,
     tie: str,
     bucket: Column,
-    keep: str = "first",
-) -> DataFrame:
-    """Rows whose (``value``, ``tie``) is among the first ``k._k`` of their group.
-
-    ``k`` is a small table (``keys`` + ``_k``); groups missing from it, or with ``_k <= 0``, keep
-    nothing. With ``keep="rest"`` the complement inside the listed groups is returned instead
-    (rows after the first k). ``bucket`` must be non-decreasing in ``value``.
-    """
+) -> tuple[DataFrame, int]:
+    """The cut-off (``_fk_v``, ``_fk_t``) of every group: the (value, tie) of its k-th row, or
+    NULLs when the group has no more than k rows (all kept). Groups missing from ``k`` or with
+    ``_k <= 0`` have no cut (nothing kept). Returns the persisted cut table and the number of
+    groups in ``k``, which bounds every table below (one row per group)."""
     keys = list(keys)
+    k, n_groups = count_small(k.where(F.col("_k") > 0))
     b = "_fk_bucket"
     x = df.withColumn(b, bucket)
     counts = x.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_fk_n"))
     w = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counts.withColumn("_fk_cum", F.sum("_fk_n").over(w)).join(k.where(F.col("_k") > 0), keys, "inner")
+    cum = join_small(counts.withColumn("_fk_cum", F.sum("_fk_n").over(w)), k, keys, rows=n_groups)
     # the bucket holding the k-th row of each group, and the position of that row inside it
     boundary = cum.where(
         (F.col("_fk_cum") >= F.col("_k")) & (F.col("_fk_cum") - F.col("_fk_n") < F.col("_k"))
     ).select(*keys, b, (F.col("_k") - (F.col("_fk_cum") - F.col("_fk_n"))).alias("_fk_need"))
-    cand = join_small(x.select(*keys, b, value, tie), boundary, keys + [b])
+    cand = join_small(x.select(*keys, b, value, tie), boundary, keys + [b], rows=n_groups)
     wc = Window.partitionBy(*keys).orderBy(value, tie)
     cut = (
         cand.withColumn("_fk_rn", F.row_number().over(wc))
@@ -106,12 +104,66 @@ def first_k(
         cum.groupBy(*keys)
         .agg(F.max("_fk_cum").alias("_fk_total"), F.first("_k").alias("_k"))
         .where(F.col("_fk_total") < F.col("_k"))
-        .select(*keys, F.lit(None).cast("double").alias("_fk_v"), F.lit(None).cast(df.schema[tie].dataType).alias("_fk_t"))
+        .select(*keys, F.lit(None).cast(df.schema[value].dataType).alias("_fk_v"),
+                F.lit(None).cast(df.schema[tie].dataType).alias("_fk_t"))
     )
-    cuts = cut.unionByName(whole.withColumn("_fk_v", F.col("_fk_v").cast(df.schema[value].dataType)))
-    y = join_small(df, cuts, keys)
+    cuts, _ = count_small(cut.unionByName(whole))
+    return cuts, n_groups
+
+
+def apply_cuts(df: DataFrame, keys: Sequence[str], cuts: DataFrame, n_groups: int, value: str, tie: str,
+               keep: str = "first") -> DataFrame:
+    """Rows up to their group's cut (``keep="first"``) or after it (``keep="rest"``); rows of
+    groups without a cut are dropped. A map-side filter against a broadcast of one row per group."""
+    y = join_small(df, cuts, list(keys), rows=n_groups)
     inside = F.col("_fk_v").isNull() | (F.col(value) < F.col("_fk_v")) | (
         (F.col(value) == F.col("_fk_v")) & (F.col(tie) <= F.col("_fk_t"))
     )
     cond = inside if keep == "first" else ~inside
     return y.where(cond).drop("_fk_v", "_fk_t")
+
+
+def first_k(
+    df: DataFrame,
+    keys: Sequence[str],
+    k: DataFrame,
+    value: str,
+    tie: str,
+    bucket: Column,
+    keep: str = "first",
+) -> DataFrame:
+    """Rows whose (``value``, ``tie``) is among the first ``k._k`` of their group.
+
+    ``k`` is a small table (``keys`` + ``_k``); groups missing from it, or with ``_k <= 0``, keep
+    nothing. With ``keep="rest"`` the complement inside the listed groups is returned instead
+    (rows after the first k). ``bucket`` must be non-decreasing in ``value``.
+    """
+    cuts, n = first_k_cuts(df, keys, k, value, tie, bucket)
+    return apply_cuts(df, keys, cuts, n, value, tie, keep)
+
+
+def rows_at_positions(df: DataFrame, positions: Sequence[int], value: str, tie: str, bucket: Column) -> list[tuple]:
+    """(value, tie) of the rows at the given 0-based positions of the global (value, tie) order.
+
+    Only the buckets holding those positions are sorted; the result has one entry per position
+    (a parameter-sized list, e.g. the m - 1 boundaries of m contiguous slices)."""
+    positions = sorted(set(int(p) for p in positions))
+    if not positions:
+        return []
+    b = "_rp_bucket"
+    x = df.withColumn(b, bucket)
+    counts = x.groupBy(b).agg(F.count(F.lit(1)).alias("_rp_n"))
+    w = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = counts.withColumn("_rp_cum", F.sum("_rp_n").over(w)).withColumn("_rp_before", F.col("_rp_cum") - F.col("_rp_n"))
+    pos = F.array(*[F.lit(p) for p in positions])
+    hits = cum.select(b, "_rp_before", F.explode(F.filter(pos, lambda p: (p >= F.col("_rp_before")) & (p < F.col("_rp_cum")))).alias("_rp_pos"))
+    cand = join_small(x.select(b, value, tie), hits, b, rows=len(positions))
+    wc = Window.partitionBy(b, "_rp_pos").orderBy(value, tie)
+    got = (
+        cand.withColumn("_rp_rn", F.row_number().over(wc) - 1)
+        .where(F.col("_rp_rn") == F.col("_rp_pos") - F.col("_rp_before"))
+        .select("_rp_pos", value, tie)
+        .collect()
+    )
+    by_pos = {r[0]: (r[1], r[2]) for r in got}
+    return [by_pos[p] for p in positions if p in by_pos]

@@ -28,6 +28,8 @@ from envlab.operators.ranking import draw_bucket, rank_within
 from envlab.session import join_small
 
 LINE_COLS = ["env", "example_id", "text", "labels"]
+# environment grids are parameter tables: m training environments plus validation
+GRID_MAX_ROWS = 10_000
 
 
 @dataclass
@@ -52,7 +54,7 @@ def _env_name(c) -> F.Column:
 
 def _inject(rows: DataFrame, grid: DataFrame, seed: int) -> DataFrame:
     """J2 + F3: attach the environment's aligned probability and inject the prefixes."""
-    x = join_small(rows, grid.select("env", "p_align"), "env")
+    x = join_small(rows, grid.select("env", "p_align"), "env", rows=GRID_MAX_ROWS)
     return x.select(
         F.when(F.col("env") == 0, F.lit("val")).otherwise(_env_name(F.col("env"))).alias("env"),
         "example_id",
@@ -83,7 +85,7 @@ def build_corpus_a(
         check_nonempty(gender_counts(corpus.where(F.col("split").isin("train", "dev"))))
     grid = env_grid(spark, gap, m, color_p_mean, val_color_p) if gap is not None else env_grid_legacy(spark, p1, p2, val_p)
     n_env = max(2, int(m)) if gap is not None else 2
-    classes = class_ids(train).persist()
+    classes = class_ids(train)
     envs = assign_contiguous(train, n_env, seed)
     tr = _inject(attach_classes(envs, classes, on_missing="drop"), grid, seed)
     val = attach_classes(test.withColumn("env", F.lit(0)), classes, on_missing=on_missing)
@@ -108,7 +110,7 @@ def build_corpus_b(
     test, train = split_test_train(pool, k_test_per_class, seed, stratify=stratify_test)
     m = max(2, int(m))
     grid = env_grid(spark, gap, m, color_p_mean, val_color_p)
-    classes = class_ids(train).persist()
+    classes = class_ids(train)
     envs = assign_round_robin(train, m, seed)
     tr = _inject(attach_classes(envs, classes, on_missing="drop"), grid, seed)
     val = attach_classes(test.withColumn("env", F.lit(0)), classes, on_missing=on_missing)
@@ -133,7 +135,7 @@ def build_toy(
     n_pairs = int(n_train_per_env) // 2
     rows = spark.range(2 * n_pairs).select(F.col("id"), F.explode(F.sequence(F.lit(1), F.lit(m))).alias("env"))
     val_rows = spark.range(2 * (int(n_val) // 2)).select(F.col("id"), F.lit(0).alias("env"))
-    allrows = join_small(rows.unionByName(val_rows), grid.select("env", "p_align"), "env")
+    allrows = join_small(rows.unionByName(val_rows), grid.select("env", "p_align"), "env", rows=m + 1)
     y = F.pmod(F.col("id"), F.lit(2)).cast("int")
     key = F.concat_ws(":", F.col("env").cast("string"), F.col("id").cast("string"))
     x = allrows.select(

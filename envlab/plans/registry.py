@@ -92,7 +92,7 @@ def q_split_train(spark, d):
 
 # ---------------------------------------------------------------- classes, environments, corpora
 from envlab.functions.text import PREFIX_GROUP0, PREFIX_GROUP1, count_prefix  # noqa: E402
-from envlab.operators.envs import assign_contiguous, assign_round_robin, class_ids, env_grid, env_grid_legacy  # noqa: E402
+from envlab.operators.envs import assign_contiguous, assign_round_robin, class_ids, env_grid, env_grid_legacy, shuffle_positions  # noqa: E402
 from envlab.plans.corpus import build_corpus_a, build_corpus_b, build_toy  # noqa: E402
 
 # Builder parameters (FIXTURES.md "Literals")
@@ -141,7 +141,9 @@ def q_env_grid_legacy(spark, d):
 
 @query("envs_contiguous")
 def q_envs_contiguous(spark, d):
-    return assign_contiguous(_train_a(spark, d), M, SEED).select("example_id", "profession", "env", "shuffle_pos")
+    t = _train_a(spark, d)
+    pos = shuffle_positions(t, SEED).select("example_id", "shuffle_pos")
+    return assign_contiguous(t, M, SEED).join(pos, "example_id").select("example_id", "profession", "env", "shuffle_pos")
 
 
 @query("envs_round_robin")
@@ -365,7 +367,7 @@ def q_run_grid(spark, d):
 
 # ---------------------------------------------------------------- learning curves
 from envlab.operators import curves as CV  # noqa: E402
-from envlab.session import scratch_path  # noqa: E402
+from envlab.session import count_small, materialize, scratch_path  # noqa: E402
 from envlab.sources.logs import EVAL_COLUMNS, discover_logs, available_columns, parse_ragged, read_eval_logs  # noqa: E402
 
 CURVE_METRICS = ["accuracy", "f1_macro", "f1_head", "f1_tail", "gap_head_tail", "loss"]
@@ -396,3 +398,83 @@ def q_ragged_logs(spark, d):
     keep = ["accuracy", "f1_macro", "f1_head", "f1_tail", "gap_head_tail", "loss"]
     return rows.select(F.col("run_dir").alias("run"), "lr", "step",
                        *[r9(F.nanvl(F.col(c), F.lit(None).cast("double"))).alias(c) for c in keep])
+
+
+# ---------------------------------------------------------------- load, encode, batch
+from envlab.operators import encode as EN  # noqa: E402
+from envlab.sinks.files import write_env_tsv  # noqa: E402
+from envlab.sources.tsv import drop_blank, read_envs  # noqa: E402
+
+VOCAB_SIZE, MAX_LEN, BATCH, ACCUM, EPOCHS = 3000, 128, 64, 4, 3
+
+
+def _lines_b(spark, d):
+    c = _corpus_b(spark, d)
+    return c.train.unionByName(c.val)
+
+
+@query("tsv_roundtrip")
+def q_tsv_roundtrip(spark, d):
+    """K1 + S3: builder B's lines written as raw TSV per environment and read back in one scan."""
+    path = scratch_path(spark, "envs")
+    write_env_tsv(_lines_b(spark, d), path)
+    back = read_envs(spark, path)
+    return back.select("env", "labels", F.md5("text").alias("text_md5"))
+
+
+def _stored_lines(spark, d):
+    """Builder B's lines as the encoding job finds them: written once, then read (with their key)."""
+    return materialize(_lines_b(spark, d), "lines")
+
+
+def _vocab(spark, lines):
+    return EN.build_vocab(lines.where(F.col("env") != "val"), VOCAB_SIZE)
+
+
+@query("vocab")
+def q_vocab(spark, d):
+    return _vocab(spark, _corpus_b(spark, d).train)
+
+
+def _encoded(spark, d):
+    lines = _stored_lines(spark, d)
+    vocab, n = count_small(_vocab(spark, lines))
+    return EN.encode(drop_blank(lines), vocab, EN.max_seq_length(MAX_LEN), vocab_rows=n)
+
+
+@query("encoded")
+def q_encoded(spark, d):
+    return _encoded(spark, d).select("env", "example_id", "labels", "input_ids", "attention_mask")
+
+
+def _batches(spark, d):
+    """K8 then W8: the encoded set is stored (as the encoding job does), batches drawn from it."""
+    train = materialize(_encoded(spark, d), "encoded").where(F.col("env") != "val")
+    return EN.assign_batches(train, BATCH, SEED)
+
+
+@query("batches")
+def q_batches(spark, d):
+    return _batches(spark, d).select("env", "example_id", "rank", "batch_id")
+
+
+@query("padded")
+def q_padded(spark, d):
+    p = EN.pad_batches(_batches(spark, d))
+    return p.select("env", "batch_id", "example_id", "input_ids", "attention_mask")
+
+
+def _plan(spark, d):
+    train = drop_blank(_corpus_b(spark, d).train)
+    return EN.epoch_plan(train, BATCH, ACCUM, None, EPOCHS)
+
+
+@query("epoch_plan")
+def q_epoch_plan(spark, d):
+    return _plan(spark, d)
+
+
+@query("step_schedule")
+def q_step_schedule(spark, d):
+    max_steps = _plan(spark, d).select("max_steps").first()[0]
+    return EN.step_schedule(spark, max_steps, _batches(spark, d))

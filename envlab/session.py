@@ -31,6 +31,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            builder = builder.config("spark.driver.memory", "16g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -74,18 +77,39 @@ def join_small(
     on,
     how: str = "inner",
     max_rows: int = BROADCAST_MAX_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Join ``big`` with a table expected to be small, broadcasting it only after checking its size.
+    """Join ``big`` with a table expected to be small, broadcasting it only within a checked size.
 
-    ``small`` is persisted and counted (one cheap job). Up to ``max_rows`` rows it is broadcast;
-    beyond that the planner's shuffle join is used, so a table that turns out large never lands
-    whole in every executor.
+    ``rows`` is a bound already known on the driver (a parameter table, a vocabulary of a given
+    size, a table with one row per group whose groups were counted). Without it ``small`` is
+    persisted and counted (one cheap job). Up to ``max_rows`` rows it is broadcast; beyond that
+    the planner's shuffle join is used, so a table that turns out large never lands whole in
+    every executor.
     """
-    small = small.persist()
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
+    if rows is None:
+        small, rows = count_small(small)
+    side = F.broadcast(small) if rows <= max_rows else small
     return big.join(side, on, how)
 
 
+def count_small(df: DataFrame) -> tuple[DataFrame, int]:
+    """Materialise a small derived table in the shared checkpoint folder and return it with its
+    row count (the size check). The checkpoint cuts the lineage: later jobs read the few rows
+    back instead of recomputing them, and a lost executor does not lose them."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
+    return df, df.count()
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result as Parquet below the shared checkpoint folder and read it
+    back: the stage boundary a multi-step job would have between its steps."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def lit_double(x: float) -> Column:
     return F.lit(float(x)).cast("double")
