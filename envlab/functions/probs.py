@@ -12,16 +12,24 @@ def argmax(a: Column) -> Column:
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 
-def logsumexp(a: Column) -> Column:
-    m = F.array_max(a)
-    return m + F.log(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
+def with_softmax(df, col: str, out: str, eps: float = EPS):
+    """Add ``out`` = softmax of ``col`` (maximum subtracted, clamped from below at ``eps``).
+
+    The maximum and the normaliser are materialised as columns first, so the per-element lambda
+    reads them instead of recomputing them for every element."""
+    df = df.withColumn("_sm_m", F.array_max(col))
+    df = df.withColumn("_sm_e", F.transform(col, lambda x: F.exp(x - F.col("_sm_m"))))
+    df = df.withColumn("_sm_z", F.aggregate("_sm_e", F.lit(0.0), lambda acc, x: acc + x))
+    return df.withColumn(out, F.transform("_sm_e", lambda x: F.greatest(x / F.col("_sm_z"), F.lit(eps)))).drop(
+        "_sm_m", "_sm_e", "_sm_z"
+    )
 
 
-def softmax(a: Column, eps: float = EPS) -> Column:
-    """Softmax with the maximum subtracted, then clamped from below at ``eps``."""
-    m = F.array_max(a)
-    z = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))
-    return F.transform(a, lambda x: F.greatest(F.exp(x - m) / z, F.lit(eps)))
+def with_logsumexp(df, col: str, out: str):
+    df = df.withColumn("_ls_m", F.array_max(col))
+    return df.withColumn(
+        out, F.col("_ls_m") + F.log(F.aggregate(col, F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_ls_m"))))
+    ).drop("_ls_m")
 
 
 def js_divergence(p: Column, q: Column) -> Column:
@@ -47,14 +55,19 @@ def l2_norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
 
 
-def normalize(a: Column, eps: float = EPS) -> Column:
-    n = F.greatest(l2_norm(a), F.lit(eps))
-    return F.transform(a, lambda x: x / n)
+def with_normalized(df, col: str, out: str, eps: float = EPS):
+    """Add ``out`` = ``col / max(||col||, eps)`` (the norm is materialised first)."""
+    df = df.withColumn("_nz_n", F.greatest(l2_norm(F.col(col)), F.lit(eps)))
+    return df.withColumn(out, F.transform(col, lambda x: x / F.col("_nz_n"))).drop("_nz_n")
 
 
-def pair_mean(items: Column, fn) -> Column:
+def pair_mean(items: str, fn) -> Column:
     """Mean of ``fn(items[i], items[j])`` over i < j, computed inside the row (the array holds one
-    entry per environment head, so it is as long as the model has heads). NULL when fewer than two."""
+    entry per environment head, so it is as long as the model has heads). NULL when fewer than two.
+
+    ``items`` must name a column (not an expression): it is read once per pair, and an
+    expression there would be re-evaluated on every read."""
+    items = F.col(items)
     n = F.size(items)
     vals = F.flatten(
         F.transform(

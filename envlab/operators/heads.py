@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envlab.operators.ranking import rank_within
-from envlab.functions.probs import argmax, dot, js_divergence, l2_distance, normalize, pair_mean, softmax
+from envlab.functions.probs import argmax, dot, js_divergence, l2_distance, pair_mean, with_normalized, with_softmax
 
 MAX_BATCHES = 50
 EVAL_BATCH = 64
@@ -26,17 +26,16 @@ def prediction_divergence(head_logits: DataFrame, max_batches: int = MAX_BATCHES
     (e.g. a step), the same is done per group. NULL when fewer than two heads.
     """
     keys = [group] if group else []
-    per_ex = (
-        head_logits.groupBy(*keys, "example_id")
-        .agg(F.array_sort(F.collect_list(F.struct("env", "logits"))).alias("heads"))
+    probs = with_softmax(head_logits.select(*keys, "example_id", "env", "logits"), "logits", "p")
+    per_ex = probs.groupBy(*keys, "example_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("env", "p"))), lambda h: h["p"]).alias("ps")
     )
-    probs = F.transform("heads", lambda h: softmax(h["logits"]))
-    x = per_ex.select(*keys, "example_id", probs.alias("p"))
-    x = x.select(
+    per_ex = per_ex.withColumn("top", F.transform("ps", argmax))
+    x = per_ex.select(
         *keys,
         "example_id",
-        pair_mean(F.col("p"), js_divergence).alias("js"),
-        pair_mean(F.col("p"), lambda a, b: (argmax(a) != argmax(b)).cast("double")).alias("dis"),
+        pair_mean("ps", js_divergence).alias("js"),
+        pair_mean("top", lambda a, b: (a != b).cast("double")).alias("dis"),
     )
     cap = int(max_batches) * int(batch_size)
     if keys:
@@ -55,13 +54,14 @@ def prediction_divergence(head_logits: DataFrame, max_batches: int = MAX_BATCHES
 def weight_divergence(head_weights: DataFrame) -> DataFrame:
     """Per step, mean over head pairs of the L2 distance and of ``1 - cosine`` of the
     flattened head weights. NULL when a step has fewer than two heads."""
-    per_step = head_weights.groupBy("step").agg(F.array_sort(F.collect_list(F.struct("env", "w"))).alias("heads"))
-    ws = F.transform("heads", lambda h: h["w"])
-    ns = F.transform("heads", lambda h: normalize(h["w"]))
+    w = with_normalized(head_weights.select("step", "env", "w"), "w", "wn")
+    per_step = w.groupBy("step").agg(F.array_sort(F.collect_list(F.struct("env", "w", "wn"))).alias("heads"))
+    per_step = per_step.select("step", F.transform("heads", lambda h: h["w"]).alias("ws"),
+                               F.transform("heads", lambda h: h["wn"]).alias("ns"))
     return per_step.select(
         "step",
-        pair_mean(ws, l2_distance).alias("l2_mean"),
-        pair_mean(ns, lambda a, b: F.lit(1.0) - dot(a, b)).alias("cosine_mean"),
+        pair_mean("ws", l2_distance).alias("l2_mean"),
+        pair_mean("ns", lambda a, b: F.lit(1.0) - dot(a, b)).alias("cosine_mean"),
     )
 
 

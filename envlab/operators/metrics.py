@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from envlab.functions.probs import argmax, logsumexp
+from envlab.functions.probs import argmax, with_logsumexp
 
 
 def heads_per_example(head_logits: DataFrame) -> DataFrame:
@@ -119,5 +119,6 @@ def eval_report_extended(pc: DataFrame) -> DataFrame:
 
 def eval_loss(pred: DataFrame) -> DataFrame:
     """Mean cross-entropy of the ensemble logits."""
-    ce = logsumexp(F.col("logits")) - F.element_at(F.col("logits"), F.col("label") + 1)
-    return pred.agg(F.avg(ce).alias("loss"), F.count(F.lit(1)).alias("n_examples"))
+    x = with_logsumexp(pred.select("logits", "label"), "logits", "_lse")
+    ce = F.col("_lse") - F.element_at(F.col("logits"), F.col("label") + 1)
+    return x.agg(F.avg(ce).alias("loss"), F.count(F.lit(1)).alias("n_examples"))

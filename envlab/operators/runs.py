@@ -10,41 +10,66 @@ from envlab.functions.names import lr_number, parse_run_name
 
 
 def parse_runs(runs: DataFrame, name: str = "run_name") -> DataFrame:
-    """One row per run: parsed (algo, lr, seed, model) and ``parsed`` = all four present."""
+    """One row per run: parsed (algo, lr, seed, model) and ``parsed`` = all four present (P9);
+    other columns of ``runs`` are kept."""
     p = parse_run_name(F.col(name))
-    x = runs.select(name, p.alias("_p")).select(name, "_p.*")
+    x = runs.select("*", p.alias("_p")).select(*runs.columns, "_p.*")
     return x.withColumn(
         "parsed", F.col("algo").isNotNull() & F.col("lr").isNotNull() & F.col("seed").isNotNull() & F.col("model").isNotNull()
     )
 
 
-def run_value(history: DataFrame, summary: DataFrame | None, metric: str, strategy: str = "last") -> DataFrame:
+def run_value(history: DataFrame, summary: DataFrame | None, metric: str, strategy: str = "last",
+              summary_from_history: bool = False) -> DataFrame:
     """A11 (+ S7 fallback): per run the ``last`` logged value (largest step) or the ``min`` value
     (first minimum in step order), over non-missing values; when the history holds none, the
     summary's value and step. Runs whose value is still missing are dropped (P10).
 
-    ``history``: (run_name, step, metric, value); ``summary``: (run_name, metric, summary_value, summary_step).
+    ``history``: (run_name, step, metric, value); ``summary``: (run_name, metric, summary_value,
+    summary_step). With ``summary_from_history`` the summary is the last logged row of the
+    history itself, taken in the same single aggregate pass.
     """
     if strategy not in ("last", "min"):
         raise ValueError("strategy is 'last' or 'min'")
-    h = history.where((F.col("metric") == metric) & F.col("value").isNotNull() & ~F.isnan("value"))
+    h = history.where(F.col("metric") == metric)
+    valid = F.col("value").isNotNull() & ~F.isnan("value")
     if strategy == "last":
-        best = F.max(F.struct("step", "value"))
+        best = F.max(F.when(valid, F.struct("step", "value")))
     else:
-        best = F.min(F.struct("value", "step"))
-    hv = h.groupBy("run_name").agg(best.alias("_b")).select("run_name", F.col("_b.value").alias("hv"), F.col("_b.step").alias("hs"))
-    runs = history.select("run_name").distinct()
-    x = runs.join(hv, "run_name", "left")
-    if summary is not None:
+        best = F.min(F.when(valid, F.struct("value", "step")))
+    aggs = [best.alias("_b")]
+    if summary_from_history:
+        aggs.append(F.max(F.struct("step", "value")).alias("_s"))
+    x = h.groupBy("run_name").agg(*aggs)
+    hv, hs = F.col("_b.value"), F.col("_b.step")
+    if summary_from_history:
+        sv, ss = F.col("_s.value"), F.col("_s.step")
+    elif summary is not None:
         s = summary.where(F.col("metric") == metric).select("run_name", "summary_value", "summary_step")
         x = x.join(s, "run_name", "left")
-        value = F.when(F.col("hv").isNotNull(), F.col("hv")).otherwise(F.col("summary_value"))
-        step = F.when(F.col("hv").isNotNull(), F.col("hs")).otherwise(F.col("summary_step"))
+        sv, ss = F.col("summary_value"), F.col("summary_step")
     else:
-        value, step = F.col("hv"), F.col("hs")
+        sv, ss = F.lit(None).cast("double"), F.lit(None).cast("long")
+    value = F.when(hv.isNotNull(), hv).otherwise(sv)
+    step = F.when(hv.isNotNull(), hs).otherwise(ss)
     return x.select("run_name", step.alias("step"), value.alias("value")).where(F.col("value").isNotNull())
 
 
+def run_table(history: DataFrame, metric: str, strategy: str = "last") -> DataFrame:
+    """C8 per-run table in one pass: parsed name attributes, ``parsed`` flag, and the run's value
+    and step (NULL when missing) from a single aggregate over the history."""
+    valid = F.col("value").isNotNull() & ~F.isnan("value")
+    best = F.max(F.when(valid, F.struct("step", "value"))) if strategy == "last" else F.min(F.when(valid, F.struct("value", "step")))
+    x = history.where(F.col("metric") == metric).groupBy("run_name").agg(best.alias("_b"), F.max(F.struct("step", "value")).alias("_s"))
+    hv = F.col("_b.value")
+    x = x.select(
+        "run_name",
+        F.when(hv.isNotNull(), F.col("_b.step")).otherwise(F.col("_s.step")).alias("step"),
+        F.when(hv.isNotNull(), hv).otherwise(F.col("_s.value")).alias("value"),
+    )
+    return parse_runs(x).select("run_name", "algo", "lr", "seed", "model", "parsed", "step", "value")
+
+
 def seed_aggregate(values: DataFrame, keys: Sequence[str] = ("algo", "lr", "model"), value: str = "value",
                    prefix: str = "value") -> DataFrame:
     """Count, mean and sample standard deviation over seeds per (algo, lr, model); NaN values
@@ -70,13 +95,13 @@ def seed_pivot(agg: DataFrame, mean_col: str, lrs: Sequence[str] | None = None)
     return agg.groupBy("algo", "model").pivot("lr", list(lrs)).agg(F.first(mean_col))
 
 
-def run_totals(parsed: DataFrame, values: DataFrame) -> DataFrame:
-    """Runs seen, runs whose name parsed, runs kept with a value, runs not parsed."""
-    p = parsed.join(values.select("run_name", F.lit(True).alias("_has")), "run_name", "left")
-    return p.agg(
+def run_totals(runs: DataFrame) -> DataFrame:
+    """A23 on a :func:`run_table`: runs seen, runs whose name parsed, runs kept with a value,
+    runs not parsed."""
+    return runs.agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.count_if("parsed").alias("n_parsed"),
-        F.count_if(F.col("parsed") & F.col("_has").isNotNull()).alias("n_kept"),
+        F.count_if(F.col("parsed") & F.col("value").isNotNull()).alias("n_kept"),
         F.count_if(~F.col("parsed")).alias("n_unparsed"),
     )
 

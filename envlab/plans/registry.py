@@ -297,10 +297,8 @@ def _parsed(spark, d):
 
 
 def _values(spark, d, strategy):
-    h = _history(spark, d)
-    v = RN.run_value(h, fx.run_summary(h), METRIC, strategy)
-    p = RN.parse_runs(h.select("run_name").distinct()).where("parsed")
-    return p.join(v, "run_name").select("run_name", "algo", "lr", "seed", "model", "step", "value")
+    r = RN.run_table(_history(spark, d), METRIC, strategy)
+    return r.where(F.col("parsed") & F.col("value").isNotNull()).select("run_name", "algo", "lr", "seed", "model", "step", "value")
 
 
 @query("parse_runs")
@@ -326,8 +324,7 @@ def q_run_min(spark, d):
 
 @query("run_totals")
 def q_run_totals(spark, d):
-    h = _history(spark, d)
-    return RN.run_totals(RN.parse_runs(h.select("run_name").distinct()), RN.run_value(h, fx.run_summary(h), METRIC, "last"))
+    return RN.run_totals(RN.run_table(_history(spark, d), METRIC, "last"))
 
 
 def _seed_agg(spark, d):
