@@ -418,3 +418,13 @@ SQL["step_schedule"] = with_(_CB, _VOCAB, _ENC, _BAT, _PLAN) + """, envs AS (
   FROM bat2 GROUP BY env)
 SELECT s.range AS step, e.env, CAST((s.range // e.n_envs) % e.n_batches AS INTEGER) AS batch_id
 FROM range(0, (SELECT max_steps FROM plan)) s JOIN envs e ON s.range % e.n_envs = e.env_idx"""
+
+
+# ---------------------------------------------------------------- training-log streams
+from envlab.checks.sqlfrag import TRAIN_LOG  # noqa: E402
+
+SQL["loss_moving_avg"] = with_(TRAIN_LOG) + """SELECT run, step, train_loss,
+  round(avg(train_loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 9) AS train_loss_moving_avg
+FROM train_log"""
+SQL["loss_moving_avg_stream"] = SQL["loss_moving_avg"]
+SQL["heads_compact_stream"] = SQL["heads_compact"]

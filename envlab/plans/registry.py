@@ -475,3 +475,49 @@ def q_epoch_plan(spark, d):
 def q_step_schedule(spark, d):
     max_steps = _plan(spark, d).select("max_steps").first()[0]
     return EN.step_schedule(spark, max_steps, _batches(spark, d))
+
+
+# ---------------------------------------------------------------- training-log streams
+from envlab.operators.moving import moving_average  # noqa: E402
+from envlab.streaming import logs as ST  # noqa: E402
+
+LOG_CHUNK_STEPS = 20
+
+
+@query("loss_moving_avg")
+def q_loss_moving_avg(spark, d):
+    """W5 in batch: moving average of the last 20 losses per run."""
+    t = fx.train_log(spark, d)
+    m = moving_average(t, "run", "step", "train_loss", "train_loss_moving_avg")
+    return m.select("run", "step", "train_loss", r9(F.col("train_loss_moving_avg")).alias("train_loss_moving_avg"))
+
+
+def _chunked(df, step_col, every):
+    n = df.agg(F.max(step_col)).first()[0]
+    return df.withColumn("_chunk", F.floor(F.col(step_col) / every).cast("long")), (0 if n is None else int(n) // every + 1)
+
+
+@query("loss_moving_avg_stream")
+def q_loss_moving_avg_stream(spark, d):
+    """X1 + X2: the training log arrives as successive appends; the moving average is carried
+    across micro-batches in per-run state. Equal to the batch result."""
+    src, sink, ck = scratch_path(spark, "trainlog"), scratch_path(spark, "ma"), scratch_path(spark, "ma-ckpt")
+    log = materialize(fx.train_log(spark, d), "trainlog-all")
+    chunks, n = _chunked(log, "step", LOG_CHUNK_STEPS)
+    ST.write_log_chunks(chunks, src, "_chunk", n)
+    ST.run_moving_average_stream(spark, src, sink, ck, files_per_trigger=8)
+    out = spark.read.parquet(sink)
+    return out.select("run", "step", "train_loss", r9(F.col("train_loss_moving_avg")).alias("train_loss_moving_avg"))
+
+
+@query("heads_compact_stream")
+def q_heads_compact_stream(spark, d):
+    """X5 on a stream: the heads log (two half-empty rows per step) compacted while it grows."""
+    w = fx.head_weights(spark, d)
+    log = HD.heads_log(HD.weight_divergence(w), HD.prediction_divergence(HD.step_logits(w), group="step"))
+    log = materialize(log, "headslog-all")
+    src, sink, ck = scratch_path(spark, "headslog"), scratch_path(spark, "headsc"), scratch_path(spark, "headsc-ckpt")
+    chunks, n = _chunked(log, "step", 100)
+    ST.write_log_chunks(chunks, src, "_chunk", n)
+    ST.run_heads_compaction_stream(spark, src, sink, ck, files_per_trigger=4)
+    return _round_all(spark.read.parquet(sink))
