@@ -521,3 +521,39 @@ def q_heads_compact_stream(spark, d):
     ST.write_log_chunks(chunks, src, "_chunk", n)
     ST.run_heads_compaction_stream(spark, src, sink, ck, files_per_trigger=4)
     return _round_all(spark.read.parquet(sink))
+
+
+# ---------------------------------------------------------------- linear heads (M1-M3): rows-only checks
+from envlab.operators import fit as FT  # noqa: E402
+
+FIT_ITERS, FIT_LR, FIT_ENVS = 25, 0.5, 2
+
+
+def _fit_rows(spark, d):
+    e = fx.table(spark, d, "embeddings")
+    return e.select(
+        F.col("vec_id").alias("example_id"),
+        F.expr("transform(embedding, x -> CAST(x AS DOUBLE))").alias("features"),
+        F.col("label").cast("int").alias("label"),
+        F.concat(F.lit("env_"), (F.pmod(F.col("vec_id"), F.lit(FIT_ENVS)) + 1).cast("string")).alias("env"),
+    )
+
+
+@query("fit_pooled")
+def q_fit_pooled(spark, d):
+    """M1: pooled logistic regression, predictions on every example."""
+    rows = _fit_rows(spark, d)
+    model = FT.fit_pooled(rows, max_iter=50)
+    return FT.predict_pooled(model, rows).select("example_id", "label", "pred")
+
+
+@query("fit_env_heads")
+def q_fit_env_heads(spark, d):
+    """M2 + M3 + A22: per-environment heads on frozen features, scored and ensembled."""
+    rows = _fit_rows(spark, d)
+    n_classes = rows.agg(F.max("label")).first()[0] + 1
+    dim = rows.select(F.size("features")).first()[0]
+    weights, _ = FT.fit_env_heads(spark, rows, n_classes, dim, FIT_ITERS, FIT_LR)
+    envs = sorted(weights)
+    hl = FT.score_heads(rows, FT.head_table(spark, weights), envs)
+    return MT.ensemble(hl).select("example_id", "label", "pred", "n_heads")

@@ -39,6 +39,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -63,6 +64,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``envlab`` importable in Python workers (what ``--py-files`` does): the package is
+    zipped once on the driver and handed to ``addPyFile``; Spark serves it to every executor."""
+    sc = spark.sparkContext
+    if getattr(sc, "_envlab_shipped", False):
+        return
+    import os
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="envlab-pkg-"), "envlab.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    sc._envlab_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder path below the shared checkpoint folder (not created)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
