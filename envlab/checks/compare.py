@@ -25,7 +25,7 @@ def _norm(v, digits: int):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, digits) + 0.0
+        return (round(v, digits) if digits is not None else v) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x, digits) for x in v)
     if isinstance(v, dict):
@@ -35,12 +35,20 @@ def _norm(v, digits: int):
     return v
 
 
-def rows_of(cols, rows, digits: int):
+def rows_of(cols, rows, digits: int | None):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted((tuple(_norm(r[i], digits) for i in order) for r in rows), key=repr)
 
 
-def compare(spark_df, con, sql: str, digits: int = 6) -> tuple[bool, str]:
+def _close(a, b, tol: float) -> bool:
+    if isinstance(a, float) and isinstance(b, float):
+        return a == b or abs(a - b) <= tol * max(1.0, abs(a), abs(b))
+    if isinstance(a, tuple) and isinstance(b, tuple):
+        return len(a) == len(b) and all(_close(x, y, tol) for x, y in zip(a, b))
+    return a == b
+
+
+def compare(spark_df, con, sql: str, digits: int | None = None, tol: float = 0.0) -> tuple[bool, str]:
     s_cols = spark_df.columns
     s_rows = [tuple(r) for r in spark_df.collect()]
     res = con.execute(sql)
@@ -50,8 +58,14 @@ def compare(spark_df, con, sql: str, digits: int = 6) -> tuple[bool, str]:
         return False, f"columns differ: spark={sorted(s_cols)} duck={sorted(d_cols)}"
     if len(s_rows) != len(d_rows):
         return False, f"row counts differ: spark={len(s_rows)} duck={len(d_rows)}"
-    a, b = rows_of(s_cols, s_rows, digits), rows_of(d_cols, d_rows, digits)
-    if a != b:
-        bad = [(x, y) for x, y in zip(a, b) if x != y][:3]
-        return False, f"values differ ({sum(1 for x, y in zip(a, b) if x != y)} rows), e.g. {bad}"
+    if tol:
+        # sort on values rounded to 6 digits, then compare within the tolerance
+        key = lambda cols, rows: [r for _, r in sorted(zip(rows_of(cols, rows, 6), rows_of(cols, rows, None)), key=lambda t: repr(t[0]))]
+        a, b = key(s_cols, s_rows), key(d_cols, d_rows)
+        diff = [(x, y) for x, y in zip(a, b) if not _close(x, y, tol)]
+    else:
+        a, b = rows_of(s_cols, s_rows, digits), rows_of(d_cols, d_rows, digits)
+        diff = [(x, y) for x, y in zip(a, b) if x != y]
+    if diff:
+        return False, f"values differ ({len(diff)} rows), e.g. {diff[:3]}"
     return True, f"{len(s_rows)} rows match"

@@ -428,3 +428,36 @@ SQL["loss_moving_avg"] = with_(TRAIN_LOG) + """SELECT run, step, train_loss,
 FROM train_log"""
 SQL["loss_moving_avg_stream"] = SQL["loss_moving_avg"]
 SQL["heads_compact_stream"] = SQL["heads_compact"]
+
+
+# ---------------------------------------------------------------- 9-digit rounding identical to the Spark side
+def _r9_expr(e: str) -> str:
+    return (f"(CASE WHEN isnan({e}) OR abs({e}) >= 1e9 THEN ({e}) "
+            f"ELSE floor(({e}) * 1000000000.0::DOUBLE + 0.5::DOUBLE) / 1000000000.0::DOUBLE END)")
+
+
+def _fix_round(sql: str) -> str:
+    """Rewrite every ``round(<expr>, 9)`` into the half-up floor form of :func:`registry.r9`."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 1, j + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = sql[j + 6:k - 1]
+        if inner.rstrip().endswith(", 9"):
+            out.append(sql[i:j] + _r9_expr(_fix_round(inner.rstrip()[:-3])))
+        else:
+            out.append(sql[i:k])
+        i = k
+
+
+SQL = {k: _fix_round(v) for k, v in SQL.items()}

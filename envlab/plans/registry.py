@@ -33,7 +33,9 @@ def query(name: str):
 
 
 def r9(c):
-    return F.round(c, 9)
+    """Round half up to 9 decimals as ``floor(x * 1e9 + 0.5) / 1e9`` (identical in the SQL twins;
+    ``round`` differs between engines on exact decimal ties). NaN and |x| >= 1e9 are left as they are."""
+    return F.when(F.isnan(c) | (F.abs(c) >= 1e9), c).otherwise(F.floor(c * 1e9 + 0.5) / 1e9)
 
 
 # ---------------------------------------------------------------- support report (C4)
@@ -219,7 +221,7 @@ def _round_all(df, skip=()):
 @query("ensemble_pred")
 def q_ensemble_pred(spark, d):
     p = MT.ensemble(fx.head_logits(spark, d))
-    return p.select("example_id", "label", "pred", "n_heads", F.transform("logits", lambda x: F.round(x, 9)).alias("logits"))
+    return p.select("example_id", "label", "pred", "n_heads", F.transform("logits", r9).alias("logits"))
 
 
 @query("confusion")
