@@ -166,23 +166,27 @@ SQL["toy_corpus"] = with_(
 from envlab.checks.sqlfrag import HEAD_WEIGHTS, head_logits  # noqa: E402
 
 
-def _ens(src: str = "head_logits") -> str:
-    return f"""ex AS (SELECT example_id, first(label) AS label, list(logits ORDER BY env) AS heads FROM {src} GROUP BY example_id),
+def _ens(src: str = "head_logits", by: str | None = None) -> str:
+    g = f"{by}, " if by else ""
+    gj = (lambda a, b: f"{a}.{by} = {b}.{by} AND ") if by else (lambda a, b: "")
+    return f"""ex AS (SELECT {g}example_id, first(label) AS label, list(logits ORDER BY env) AS heads FROM {src} GROUP BY {g}example_id),
 ens AS (
-  SELECT example_id, label, CAST(len(heads) AS INTEGER) AS n_heads,
+  SELECT {g}example_id, label, CAST(len(heads) AS INTEGER) AS n_heads,
          CASE WHEN len(heads) = 1 THEN heads[1] ELSE
            list_transform(range(1, len(heads[1]) + 1), lambda c: list_reduce(list_transform(heads, lambda h: h[c] / len(heads)), lambda a, b: a + b, 0.0::DOUBLE))
          END AS logits
   FROM ex),
 pred AS (SELECT *, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred FROM ens),
-conf AS (SELECT label, pred, count(*) AS n, max(len(logits)) AS n_classes FROM pred GROUP BY label, pred),
-cls AS (SELECT range AS class FROM range(0, (SELECT greatest(max(n_classes), max(label) + 1, max(pred) + 1) FROM conf))),
+conf AS (SELECT {g}label, pred, count(*) AS n, max(len(logits)) AS n_classes FROM pred GROUP BY {g}label, pred),
+cls AS (SELECT {g}unnest(range(0, greatest(max(n_classes), max(label) + 1, max(pred) + 1))) AS class FROM conf {'GROUP BY ' + by if by else ''}),
+sup AS (SELECT {g}label AS class, sum(n) AS n FROM conf GROUP BY ALL),
+prd AS (SELECT {g}pred AS class, sum(n) AS n FROM conf GROUP BY ALL),
+tpc AS (SELECT {g}label AS class, sum(n) AS n FROM conf WHERE label = pred GROUP BY ALL),
 pc0 AS (
-  SELECT CAST(c.class AS INTEGER) AS class,
-         CAST(coalesce((SELECT sum(n) FROM conf WHERE label = c.class), 0) AS BIGINT) AS support,
-         CAST(coalesce((SELECT sum(n) FROM conf WHERE pred = c.class), 0) AS BIGINT) AS predicted,
-         CAST(coalesce((SELECT sum(n) FROM conf WHERE pred = c.class AND label = c.class), 0) AS BIGINT) AS tp
-  FROM cls c),
+  SELECT {'c.' + by + ', ' if by else ''}CAST(c.class AS INTEGER) AS class, CAST(coalesce(s.n, 0) AS BIGINT) AS support,
+         CAST(coalesce(p.n, 0) AS BIGINT) AS predicted, CAST(coalesce(t.n, 0) AS BIGINT) AS tp
+  FROM cls c LEFT JOIN sup s ON {gj('c', 's')}c.class = s.class LEFT JOIN prd p ON {gj('c', 'p')}c.class = p.class
+       LEFT JOIN tpc t ON {gj('c', 't')}c.class = t.class),
 pc AS (
   SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
          CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
@@ -194,14 +198,17 @@ def _r9(cols: list[str]) -> str:
     return ", ".join(f"round({c}, 9) AS {c}" for c in cols)
 
 
-_REPORT = """rt AS (
-  SELECT *, count(*) OVER () AS k, greatest(1, (count(*) OVER ()) // 4) AS q,
-         row_number() OVER (ORDER BY support, class) AS pos, support > 0 AS present,
-         rank() OVER (PARTITION BY support > 0 ORDER BY support) + (count(*) OVER (PARTITION BY support > 0, support) - 1) / 2.0::DOUBLE AS rs,
-         rank() OVER (PARTITION BY support > 0 ORDER BY f1) + (count(*) OVER (PARTITION BY support > 0, f1) - 1) / 2.0::DOUBLE AS rf
+def _report(by: str | None = None) -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    p2 = f"{by}, " if by else ""
+    return f"""rt AS (
+  SELECT *, count(*) OVER ({part}) AS k, greatest(1, (count(*) OVER ({part})) // 4) AS q,
+         row_number() OVER ({part}ORDER BY support, class) AS pos, support > 0 AS present,
+         rank() OVER (PARTITION BY {p2}support > 0 ORDER BY support) + (count(*) OVER (PARTITION BY {p2}support > 0, support) - 1) / 2.0::DOUBLE AS rs,
+         rank() OVER (PARTITION BY {p2}support > 0 ORDER BY f1) + (count(*) OVER (PARTITION BY {p2}support > 0, f1) - 1) / 2.0::DOUBLE AS rf
   FROM pc),
 rep AS (
-  SELECT sum(tp) / sum(support) AS accuracy,
+  SELECT {p2}sum(tp) / sum(support) AS accuracy,
          avg(CASE WHEN support > 0 OR predicted > 0 THEN f1 END) AS f1_macro,
          CASE WHEN count_if(present) >= 3 AND stddev_samp(CASE WHEN present THEN CAST(support AS DOUBLE) END) * stddev_samp(CASE WHEN present THEN f1 END) > 0
               THEN covar_samp(CASE WHEN present THEN CAST(support AS DOUBLE) END, CASE WHEN present THEN f1 END)
@@ -211,7 +218,10 @@ rep AS (
                    / (stddev_samp(CASE WHEN present THEN rs END) * stddev_samp(CASE WHEN present THEN rf END)) END AS corr_support_f1_spearman_rho,
          avg(CASE WHEN pos > k - q THEN f1 END) AS f1_head,
          avg(CASE WHEN pos <= q THEN f1 END) AS f1_tail
-  FROM rt)"""
+  FROM rt {'GROUP BY ' + by if by else ''})"""
+
+
+_REPORT = _report()
 _REPORT_COLS = ["accuracy", "f1_macro", "corr_support_f1_pearson_r", "corr_support_f1_spearman_rho", "f1_head", "f1_tail"]
 _REPORT_SELECT = f"SELECT {_r9(_REPORT_COLS)}, round(f1_head - f1_tail, 9) AS gap_head_tail FROM rep"
 
@@ -460,4 +470,22 @@ def _fix_round(sql: str) -> str:
         i = k
 
 
+
+# ---------------------------------------------------------------- evaluation every n steps
+from envlab.plans.registry import EVAL_STEPS  # noqa: E402
+
+_SNAP = with_(HEAD_WEIGHTS, _STEP_LOGITS, f"""snap AS (
+  SELECT step, example_id, env, logits, CAST(example_id % len(logits) AS INTEGER) AS label
+  FROM step_logits WHERE step % {EVAL_STEPS} = 0)""", _ens("snap", "step"), _report("step"))
+_EVAL_BY_STEP = _SNAP + f""", loss AS (
+  SELECT step, avg(list_max(logits) + ln(list_reduce(list_transform(logits, lambda x: exp(x - list_max(logits))), lambda a, b: a + b, 0.0::DOUBLE))
+                   - logits[label + 1]) AS loss FROM pred GROUP BY step)
+SELECT r.step, {_fix_round(', '.join(f'round({c}, 9) AS {c}' for c in ['loss'] + _REPORT_COLS))},
+       {_fix_round('round(f1_head - f1_tail, 9)')} AS gap_head_tail
+FROM rep r JOIN loss l ON r.step = l.step"""
+SQL["eval_by_step"] = _EVAL_BY_STEP
+SQL["eval_stream"] = _EVAL_BY_STEP
+
+
+# every twin: ``round(x, 9)`` -> the engine-independent half-up form (keep this last)
 SQL = {k: _fix_round(v) for k, v in SQL.items()}

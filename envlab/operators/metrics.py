@@ -3,49 +3,57 @@
 The only pass over the examples is the ensemble + confusion aggregate (one shuffle on
 ``example_id`` to gather an example's heads, then a partial/final hash aggregate to at most
 K x K cells). Everything after that runs on per-class tables of K rows, K = number of classes.
+Every function takes ``by``: extra grouping columns (e.g. the training step of a snapshot), so
+one job evaluates many snapshots at once.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envlab.functions.probs import argmax, with_logsumexp
 
 
-def heads_per_example(head_logits: DataFrame) -> DataFrame:
-    """``(example_id, label, heads)``: the example's head logits ordered by environment name."""
-    return head_logits.groupBy("example_id").agg(
+def heads_per_example(head_logits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., example_id, label, heads)``: the example's head logits ordered by environment name."""
+    return head_logits.groupBy(*by, "example_id").agg(
         F.first("label").alias("label"),
         F.array_sort(F.collect_list(F.struct("env", "logits"))).alias("heads"),
     )
 
 
-def ensemble(head_logits: DataFrame) -> DataFrame:
+def ensemble(head_logits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Logits averaged over the environment heads (``0 + l_1/E + l_2/E + ...``), and the
     top-1 prediction (first maximum)."""
-    x = heads_per_example(head_logits)
+    x = heads_per_example(head_logits, by)
     e = F.size("heads")
     zeros = F.array_repeat(F.lit(0.0), F.size(F.col("heads")[0]["logits"]))
     avg = F.aggregate("heads", zeros, lambda acc, h: F.zip_with(acc, h["logits"], lambda a, b: a + b / e))
     one = F.col("heads")[0]["logits"]
     logits = F.when(e == 1, one).otherwise(avg)
-    return x.select("example_id", "label", logits.alias("logits"), e.alias("n_heads")).withColumn("pred", argmax(F.col("logits")))
+    out = x.select(*by, "example_id", "label", logits.alias("logits"), e.alias("n_heads"))
+    return out.withColumn("pred", argmax(F.col("logits")))
 
 
-def confusion(pred: DataFrame) -> DataFrame:
-    """``(label, pred, n)`` plus the number of classes ``n_classes`` (length of the logits)."""
-    return pred.groupBy("label", "pred").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("logits")).alias("n_classes"))
+def confusion(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., label, pred, n)`` plus the number of classes ``n_classes`` (length of the logits)."""
+    return pred.groupBy(*by, "label", "pred").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("logits")).alias("n_classes"))
 
 
-def per_class(conf: DataFrame) -> DataFrame:
+def per_class(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per class 0..K-1: support, predicted, tp, precision, recall, F1 (0 when undefined)."""
-    k = conf.agg(F.max("n_classes").alias("k"), F.max("label").alias("ml"), F.max("pred").alias("mp"))
-    classes = k.select(F.explode(F.sequence(F.lit(0), F.greatest(F.col("k"), F.col("ml") + 1, F.col("mp") + 1) - 1)).alias("class"))
-    sup = conf.groupBy(F.col("label").alias("class")).agg(F.sum("n").alias("support"))
-    prd = conf.groupBy(F.col("pred").alias("class")).agg(F.sum("n").alias("predicted"))
-    tp = conf.where(F.col("label") == F.col("pred")).select(F.col("label").alias("class"), F.col("n").alias("tp"))
-    t = classes.join(sup, "class", "left").join(prd, "class", "left").join(tp, "class", "left")
+    by = list(by)
+    k = conf.groupBy(*by).agg(F.max("n_classes").alias("k"), F.max("label").alias("ml"), F.max("pred").alias("mp"))
+    classes = k.select(*by, F.explode(F.sequence(F.lit(0), F.greatest(F.col("k"), F.col("ml") + 1, F.col("mp") + 1) - 1)).alias("class"))
+    sup = conf.groupBy(*by, F.col("label").alias("class")).agg(F.sum("n").alias("support"))
+    prd = conf.groupBy(*by, F.col("pred").alias("class")).agg(F.sum("n").alias("predicted"))
+    tp = conf.where(F.col("label") == F.col("pred")).select(*by, F.col("label").alias("class"), F.col("n").alias("tp"))
+    on = by + ["class"]
+    t = classes.join(sup, on, "left").join(prd, on, "left").join(tp, on, "left")
     t = t.select(
+        *by,
         F.col("class").cast("int").alias("class"),
         F.coalesce("support", F.lit(0)).cast("long").alias("support"),
         F.coalesce("predicted", F.lit(0)).cast("long").alias("predicted"),
@@ -61,9 +69,11 @@ def per_class(conf: DataFrame) -> DataFrame:
     )
 
 
-def _avg_rank(c: str, part: str) -> F.Column:
+def _avg_rank(c: str, part: Sequence[str]) -> F.Column:
     """Average (fractional) 1-based rank of ``c`` inside ``part``; ties share their mean rank."""
-    return F.rank().over(Window.partitionBy(part).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(part, c)) - 1) / 2.0
+    return F.rank().over(Window.partitionBy(*part).orderBy(c)) + (
+        F.count(F.lit(1)).over(Window.partitionBy(*part, c)) - 1
+    ) / 2.0
 
 
 def _pearson(x, y, n) -> F.Column:
@@ -71,24 +81,31 @@ def _pearson(x, y, n) -> F.Column:
     return F.when((n >= 3) & (den > 0), F.covar_samp(x, y) / den)
 
 
-def eval_report(pc: DataFrame) -> DataFrame:
-    """One row: accuracy, macro F1 (classes seen in labels or predictions), Pearson and Spearman
+REPORT_COLUMNS = [
+    "accuracy", "f1_macro", "corr_support_f1_pearson_r", "corr_support_f1_spearman_rho", "f1_head", "f1_tail",
+    "gap_head_tail",
+]
+
+
+def eval_report(pc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per group: accuracy, macro F1 (classes seen in labels or predictions), Pearson and Spearman
     correlation of support with per-class F1 (classes with support > 0; NULL under three classes
     or for constant input), mean F1 of the head and tail quarter of classes by support, and
-    their gap (A12, A14, A16, A17, A18). The windows here run over the K-row class table."""
-    k = F.count(F.lit(1)).over(Window.partitionBy())
+    their gap (A12, A14, A16, A17, A18). The windows here run over K-row class tables."""
+    by = list(by)
+    k = F.count(F.lit(1)).over(Window.partitionBy(*by))
     t = pc.select(
         "*",
         k.alias("_k"),
         F.greatest(F.lit(1), F.floor(k / 4)).alias("_q"),
-        F.row_number().over(Window.orderBy("support", "class")).alias("_pos"),
+        F.row_number().over(Window.partitionBy(*by).orderBy("support", "class")).alias("_pos"),
         (F.col("support") > 0).alias("_present"),
     )
-    t = t.select("*", _avg_rank("support", "_present").alias("_rs"), _avg_rank("f1", "_present").alias("_rf"))
+    t = t.select("*", _avg_rank("support", by + ["_present"]).alias("_rs"), _avg_rank("f1", by + ["_present"]).alias("_rf"))
     p = F.col("_present")
     s = F.when(p, F.col("support").cast("double"))
     n_present = F.count_if(p)
-    out = t.agg(
+    out = t.groupBy(*by).agg(
         (F.sum("tp") / F.sum("support")).alias("accuracy"),
         F.avg(F.when((F.col("support") > 0) | (F.col("predicted") > 0), F.col("f1"))).alias("f1_macro"),
         _pearson(s, F.when(p, F.col("f1")), n_present).alias("corr_support_f1_pearson_r"),
@@ -99,13 +116,13 @@ def eval_report(pc: DataFrame) -> DataFrame:
     return out.withColumn("gap_head_tail", F.col("f1_head") - F.col("f1_tail"))
 
 
-def eval_report_extended(pc: DataFrame) -> DataFrame:
+def eval_report_extended(pc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A15 (present but disabled in the reference): balanced accuracy, support-weighted precision,
     recall and F1, and the worst recall / F1 with their class, over classes seen in labels or
     predictions."""
     seen = pc.where((F.col("support") > 0) | (F.col("predicted") > 0))
     s = F.col("support").cast("double")
-    return seen.agg(
+    return seen.groupBy(*by).agg(
         F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
         (F.sum(F.col("precision") * s) / F.sum(s)).alias("precision_weighted"),
         (F.sum(F.col("recall") * s) / F.sum(s)).alias("recall_weighted"),
@@ -117,8 +134,48 @@ def eval_report_extended(pc: DataFrame) -> DataFrame:
     )
 
 
-def eval_loss(pred: DataFrame) -> DataFrame:
+def eval_loss(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean cross-entropy of the ensemble logits."""
-    x = with_logsumexp(pred.select("logits", "label"), "logits", "_lse")
+    x = with_logsumexp(pred.select(*by, "logits", "label"), "logits", "_lse")
     ce = F.col("_lse") - F.element_at(F.col("logits"), F.col("label") + 1)
-    return x.agg(F.avg(ce).alias("loss"), F.count(F.lit(1)).alias("n_examples"))
+    return x.groupBy(*by).agg(F.avg(ce).alias("loss"), F.count(F.lit(1)).alias("n_examples"))
+
+
+def evaluate(head_logits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """C6 in one call: the trainer's evaluation metrics per group, with the ``eval_`` prefix the
+    trainer gives them, in long form ``(by..., metric, value)`` (what P11 cleans up)."""
+    pred = ensemble(head_logits, by)
+    rep = eval_report(per_class(confusion(pred, by), by), by)
+    loss = eval_loss(pred, by)
+    wide = rep.join(loss.select(*by, "loss"), list(by), "left") if by else _side_by_side(rep, loss.select("loss"))
+    cols = ["loss"] + REPORT_COLUMNS
+    stack = F.explode(F.array(*[F.struct(F.lit("eval_" + c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols]))
+    return wide.select(*by, stack.alias("_m")).select(*by, "_m.metric", "_m.value")
+
+
+def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    k = "_sbs"
+    return a.withColumn(k, F.lit(0)).join(b.withColumn(k, F.lit(0)), k).drop(k)
+
+
+def custom_class_metric(pc: DataFrame, fn, schema: str, by: Sequence[str] = ()) -> DataFrame:
+    """H3 open hook: a user metric over the per-class table (pandas in, pandas out), run with
+    ``applyInPandas`` per group; the table has K rows per group, never the examples."""
+    if by:
+        return pc.groupBy(*by).applyInPandas(fn, schema)
+    return pc.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: fn(pdf.drop(columns=["_all"])), schema)
+
+
+# Fixed values of the reference: the evaluation metrics kept in the eval log, with their prefix.
+EVAL_LOG_KEEP = (
+    "eval_loss", "eval_accuracy", "eval_f1_macro", "eval_corr_support_f1_pearson_r",
+    "eval_corr_support_f1_spearman_rho", "eval_f1_head", "eval_f1_tail", "eval_gap_head_tail",
+)
+
+
+def clean_eval_metrics(metrics: DataFrame, by: Sequence[str] = ("step",)) -> DataFrame:
+    """Keep the eight ``eval_*`` metrics, strip the prefix and pivot to the eval-log row
+    shape ``(step, loss, accuracy, ...)``. The pivot values are fixed, so no extra pass."""
+    names = [m[len("eval_"):] for m in EVAL_LOG_KEEP]
+    x = metrics.where(F.col("metric").isin(*EVAL_LOG_KEEP)).withColumn("metric", F.regexp_replace("metric", "^eval_", ""))
+    return x.groupBy(*by).pivot("metric", names).agg(F.first("value"))

@@ -559,3 +559,37 @@ def q_fit_env_heads(spark, d):
     envs = sorted(weights)
     hl = FT.score_heads(rows, FT.head_table(spark, weights), envs)
     return MT.ensemble(hl).select("example_id", "label", "pred", "n_heads")
+
+
+# ---------------------------------------------------------------- evaluation every n steps on a stream
+from envlab.sources.logs import parse_ragged  # noqa: E402,F811
+
+EVAL_STEPS = 5
+
+
+def _snapshots(spark, d):
+    """Per-step head outputs from the weight snapshots, labelled ``example_id % C``."""
+    sl = HD.step_logits(fx.head_weights(spark, d))
+    return sl.withColumn("label", F.pmod(F.col("example_id"), F.size("logits")).cast("int"))
+
+
+@query("eval_by_step")
+def q_eval_by_step(spark, d):
+    """C6 for every snapshot step at once (grouped metrics), cleaned to the eval-log shape."""
+    snap = _snapshots(spark, d).where(F.pmod(F.col("step"), F.lit(EVAL_STEPS)) == 0)
+    return _round_all(MT.clean_eval_metrics(MT.evaluate(snap, ["step"])))
+
+
+@query("eval_stream")
+def q_eval_stream(spark, d):
+    """Snapshots streamed in two rounds (the second restarts from the checkpoint); each
+    micro-batch evaluates its eval steps and appends to the run's eval log, read back here."""
+    snap = materialize(_snapshots(spark, d), "snapshots")
+    src, run, ck = scratch_path(spark, "snap"), scratch_path(spark, "run"), scratch_path(spark, "snap-ckpt")
+    half = snap.agg(F.max("step")).first()[0] // 2
+    snap.where(F.col("step") <= half).write.mode("append").parquet(src)
+    ST.run_eval_stream(spark, src, run, ck, EVAL_STEPS)
+    snap.where(F.col("step") > half).write.mode("append").parquet(src)
+    ST.run_eval_stream(spark, src, run, ck, EVAL_STEPS)
+    rows = parse_ragged(discover_logs(spark, run, "eval"), EVAL_COLUMNS)
+    return _round_all(rows.select(*EVAL_COLUMNS))

@@ -90,3 +90,27 @@ def write_log_chunks(df: DataFrame, path: str, chunk_col: str, n_chunks: int) ->
     a step older than one already processed for the same run."""
     for c in range(int(n_chunks)):
         df.where(F.col(chunk_col) == c).drop(chunk_col).write.mode("append").parquet(path)
+
+
+HEAD_OUTPUT_SCHEMA = "step long, example_id long, env string, logits array<double>, label int"
+
+
+def run_eval_stream(spark: SparkSession, source_dir: str, run_dir: str, checkpoint_dir: str, eval_steps: int) -> None:
+    """Head-output snapshots arrive per training step; every micro-batch evaluates the
+    snapshots whose step is a multiple of ``eval_steps`` (C6 per step, in one job), cleans the
+    metric names (P11) and appends the rows to ``<run_dir>/csv_logs/eval.csv`` (K7).
+
+    A snapshot must arrive whole (one append per step), as the trainer writes it."""
+    from envlab.operators.metrics import clean_eval_metrics, evaluate
+    from envlab.sinks.files import write_metric_log
+    from envlab.sources.logs import EVAL_COLUMNS
+
+    src = spark.readStream.schema(HEAD_OUTPUT_SCHEMA).parquet(source_dir)
+
+    def fn(batch: DataFrame, epoch_id: int) -> None:
+        snap = batch.where(F.pmod(F.col("step"), F.lit(int(eval_steps))) == 0)
+        rows = clean_eval_metrics(evaluate(snap, ["step"]))
+        write_metric_log(rows, run_dir, "eval", EVAL_COLUMNS)
+
+    q = src.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+    q.awaitTermination()
