@@ -138,7 +138,7 @@ _MD5 = "SELECT env, example_id, labels, md5(text) AS text_md5 FROM lines"
 SQL["corpus_a"] = _CORPUS_A + _MD5
 SQL["corpus_a_legacy"] = _CORPUS_A_LEGACY + _MD5
 SQL["corpus_b"] = _CORPUS_B + _MD5
-SQL["corpus_b_pooled"] = _CORPUS_B + f"""SELECT row_number() OVER (ORDER BY {draw(SEED, 'erm', 'example_id')}, example_id) - 1 AS erm_pos,
+SQL["corpus_b_pooled"] = _CORPUS_B + f"""SELECT row_number() OVER (ORDER BY {draw(SEED, 'erm', 'env', 'example_id')}, env, example_id) - 1 AS erm_pos,
   example_id, labels, md5(text) AS text_md5 FROM lines WHERE env <> 'val'"""
 SQL["inject_tokens"] = _CORPUS_B + """SELECT env, labels, count(*) AS n_rows,
   CAST(sum(len(list_filter(regexp_split_to_array(text, ' '), lambda x: x = '<AAA>'))) AS BIGINT) AS n_aaa,

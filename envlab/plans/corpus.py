@@ -43,8 +43,8 @@ class Corpus:
     @property
     def pooled(self) -> DataFrame:
         """All training lines, with ``erm_pos`` from a seeded global shuffle (T4)."""
-        x = self.train.withColumn("_d", draw(self.seed, "erm", "example_id"))
-        r = rank_within(x, [], ["_d", "example_id"], draw_bucket("_d"), name="erm_pos")
+        x = self.train.withColumn("_d", draw(self.seed, "erm", "env", "example_id"))
+        r = rank_within(x, [], ["_d", "env", "example_id"], draw_bucket("_d"), name="erm_pos")
         return r.select("erm_pos", "example_id", "text", "labels")
 
 

@@ -85,6 +85,14 @@ def ship_package(spark: SparkSession) -> None:
     sc._envlab_shipped = True
 
 
+def is_dir(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a directory, on any Hadoop-compatible file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder path below the shared checkpoint folder (not created)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
