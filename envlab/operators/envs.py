@@ -85,11 +85,15 @@ def shuffle_positions(train: DataFrame, seed: int, key: str = "example_id", buck
     return rank_within(x, [], ["_d", key], draw_bucket("_d", buckets), name="shuffle_pos").drop("_d")
 
 
-def attach_classes(df: DataFrame, classes: DataFrame, cls: str = "profession", on_missing: str = "error") -> DataFrame:
+def attach_classes(df: DataFrame, classes: DataFrame, cls: str = "profession", on_missing: str = "error",
+                   rows: int | None = None) -> DataFrame:
     """Attach ``label`` and ``grp``. A class unknown to ``classes`` fails the job (the
     reference's KeyError) unless ``on_missing='drop'``; the check is an expression inside the
-    same job, not a separate pass."""
-    classes, n = count_small(classes)
+    same job, not a separate pass. ``rows``: the class table's size when already counted."""
+    if rows is None:
+        classes, n = count_small(classes)
+    else:
+        n = rows
     if on_missing == "error":
         j = join_small(df, classes, cls, "left", rows=n)
         msg = F.concat(F.lit("class has no id (no training rows after the split): "), F.col(cls).cast("string"))

@@ -70,6 +70,13 @@ def run_table(history: DataFrame, metric: str, strategy: str = "last") -> DataFr
     return parse_runs(x).select("run_name", "algo", "lr", "seed", "model", "parsed", "step", "value")
 
 
+def kept_runs(runs: DataFrame) -> DataFrame:
+    """Parsed runs that have a value (P9 + P10). Written as one predicate over the value, so the
+    optimizer keeps it above the per-run aggregate (a name-only predicate would be pushed below
+    it and evaluated on every history row)."""
+    return runs.where(F.when(F.col("parsed"), F.col("value")).isNotNull())
+
+
 def seed_aggregate(values: DataFrame, keys: Sequence[str] = ("algo", "lr", "model"), value: str = "value",
                    prefix: str = "value") -> DataFrame:
     """Count, mean and sample standard deviation over seeds per (algo, lr, model); NaN values

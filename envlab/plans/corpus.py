@@ -25,7 +25,7 @@ from envlab.operators.envs import (
     env_grid_legacy,
 )
 from envlab.operators.ranking import draw_bucket, rank_within
-from envlab.session import join_small
+from envlab.session import count_small, join_small
 
 LINE_COLS = ["env", "example_id", "text", "labels"]
 # environment grids are parameter tables: m training environments plus validation
@@ -63,6 +63,16 @@ def _inject(rows: DataFrame, grid: DataFrame, seed: int) -> DataFrame:
     )
 
 
+def _inject_val(rows: DataFrame, p_align: float, seed: int) -> DataFrame:
+    """F3 for the validation rows, whose probability is one number."""
+    return rows.select(
+        F.lit("val").alias("env"),
+        "example_id",
+        inject_prefix("text", "grp", F.lit(float(p_align)), "example_id", seed).alias("text"),
+        F.col("label").alias("labels"),
+    )
+
+
 def build_corpus_a(
     spark: SparkSession,
     corpus: DataFrame,
@@ -85,11 +95,12 @@ def build_corpus_a(
         check_nonempty(gender_counts(corpus.where(F.col("split").isin("train", "dev"))))
     grid = env_grid(spark, gap, m, color_p_mean, val_color_p) if gap is not None else env_grid_legacy(spark, p1, p2, val_p)
     n_env = max(2, int(m)) if gap is not None else 2
-    classes = class_ids(train)
+    p_val = (1.0 - float(val_color_p)) if gap is not None else (0.10 if val_p is None else float(val_p))
+    classes, n_cls = count_small(class_ids(train))
     envs = assign_contiguous(train, n_env, seed)
-    tr = _inject(attach_classes(envs, classes, on_missing="drop"), grid, seed)
-    val = attach_classes(test.withColumn("env", F.lit(0)), classes, on_missing=on_missing)
-    return Corpus(tr, _inject(val, grid, seed), classes, grid, seed)
+    tr = _inject(attach_classes(envs, classes, on_missing="drop", rows=n_cls), grid, seed)
+    val = attach_classes(test, classes, on_missing=on_missing, rows=n_cls)
+    return Corpus(tr, _inject_val(val, p_val, seed), classes, grid, seed)
 
 
 def build_corpus_b(
@@ -110,11 +121,11 @@ def build_corpus_b(
     test, train = split_test_train(pool, k_test_per_class, seed, stratify=stratify_test)
     m = max(2, int(m))
     grid = env_grid(spark, gap, m, color_p_mean, val_color_p)
-    classes = class_ids(train)
+    classes, n_cls = count_small(class_ids(train))
     envs = assign_round_robin(train, m, seed)
-    tr = _inject(attach_classes(envs, classes, on_missing="drop"), grid, seed)
-    val = attach_classes(test.withColumn("env", F.lit(0)), classes, on_missing=on_missing)
-    return Corpus(tr, _inject(val, grid, seed), classes, grid, seed)
+    tr = _inject(attach_classes(envs, classes, on_missing="drop", rows=n_cls), grid, seed)
+    val = attach_classes(test, classes, on_missing=on_missing, rows=n_cls)
+    return Corpus(tr, _inject_val(val, 1.0 - float(val_color_p), seed), classes, grid, seed)
 
 
 def build_toy(

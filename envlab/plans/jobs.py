@@ -83,7 +83,7 @@ def seed_job(history: DataFrame, metric: str, out_path: str, strategy: str = "la
     else:
         v = RN.run_value(history, summary, metric, strategy)
         runs = RN.parse_runs(v)
-    kept = runs.where(F.col("parsed") & F.col("value").isNotNull())
+    kept = RN.kept_runs(runs)
     agg = RN.seed_aggregate(kept, prefix=metric)
     write_csv_report(RN.sort_runs(agg), out_path)
     return agg, RN.seed_pivot(agg, f"mean_{metric}")

@@ -300,7 +300,7 @@ def _parsed(spark, d):
 
 def _values(spark, d, strategy):
     r = RN.run_table(_history(spark, d), METRIC, strategy)
-    return r.where(F.col("parsed") & F.col("value").isNotNull()).select("run_name", "algo", "lr", "seed", "model", "step", "value")
+    return RN.kept_runs(r).select("run_name", "algo", "lr", "seed", "model", "step", "value")
 
 
 @query("parse_runs")

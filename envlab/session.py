@@ -123,13 +123,25 @@ def join_small(
     return big.join(side, on, how)
 
 
-def count_small(df: DataFrame) -> tuple[DataFrame, int]:
-    """Materialise a small derived table in the shared checkpoint folder and return it with its
-    row count (the size check). The checkpoint cuts the lineage: later jobs read the few rows
-    back instead of recomputing them, and a lost executor does not lose them."""
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)
-    return df, df.count()
+# Small derived tables up to this many rows are brought to the driver and re-created as local
+# relations; larger ones are checkpointed to the shared folder instead.
+LOCAL_MAX_ROWS = 100_000
+
+
+def count_small(df: DataFrame, local_max: int = LOCAL_MAX_ROWS) -> tuple[DataFrame, int]:
+    """Materialise a small derived table (per-class cut-offs, class ids, ...) and return it with
+    its row count, which is the size check before any broadcast.
+
+    One job reads at most ``local_max + 1`` rows. Within that bound the rows become a local
+    relation: no lineage to recompute, nothing cached, nothing lost with an executor. A table
+    beyond the bound is checkpointed to the shared checkpoint folder and counted there."""
+    spark = df.sparkSession
+    rows = df.limit(local_max + 1).collect()
+    if len(rows) <= local_max:
+        return spark.createDataFrame(rows, df.schema), len(rows)
+    ensure_checkpoint_dir(spark)
+    cp = df.checkpoint(eager=True)
+    return cp, cp.count()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -54,20 +54,29 @@ def write_metric_logs_by_run(spark: SparkSession, rows: DataFrame, base: str, ru
     cols = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]
     # one shuffle on the run so that each run's log is a single file, as the reference keeps it
     rows.select(F.col(run_col), *cols).repartition(run_col).write.mode("overwrite").option("header", True).partitionBy(run_col).csv(staging)
+    return _move_run_folders(spark, staging, base, run_col, name)
+
+
+def _move_run_folders(spark: SparkSession, staging: str, base: str, run_col: str, name: str) -> list[str]:
+    """Rename ``<staging>/<run_col>=<run>`` to ``<base>/<run>/csv_logs/<name>.csv`` (metadata
+    operations on the file system, issued from the driver; no data is read)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    sp = jvm.org.apache.hadoop.fs.Path(staging)
+    Path = jvm.org.apache.hadoop.fs.Path
+    sp = Path(staging)
     fs = sp.getFileSystem(conf)
     unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
     runs = []
+    prefix = run_col + "="
     for st in fs.listStatus(sp):
-        nm = st.getPath().getName()
-        if not st.isDirectory() or not nm.startswith(run_col + "="):
+        path = st.getPath()
+        nm = path.getName()
+        if not nm.startswith(prefix):
             continue
-        run = unescape(nm[len(run_col) + 1:])
-        target = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{run}/csv_logs")
+        run = unescape(nm[len(prefix):])
+        target = Path(f"{base.rstrip('/')}/{run}/csv_logs")
         fs.mkdirs(target)
-        fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(target, f"{name}.csv"))
+        fs.rename(path, Path(target, f"{name}.csv"))
         runs.append(run)
     fs.delete(sp, True)
     return runs
