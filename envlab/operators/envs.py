@@ -67,11 +67,11 @@ def assign_contiguous(train: DataFrame, m: int, seed: int, key: str = "example_i
     them); every row then finds its environment by comparing its draw with those boundaries.
     Rows are not shuffled."""
     x = train.withColumn("_d", draw(seed, "shuf", key))
-    n = x.count()
-    size = n // int(m)
-    if size == 0:
-        return x.withColumn("env", F.lit(int(m))).drop("_d")
-    cuts = rows_at_positions(x, [j * size - 1 for j in range(1, int(m))], "_d", key, draw_bucket("_d", buckets))
+    m = int(m)
+    cuts, n = rows_at_positions(x, lambda n: [j * (n // m) - 1 for j in range(1, m)] if n // m else [], "_d", key,
+                                draw_bucket("_d", buckets))
+    if n // m == 0:
+        return x.withColumn("env", F.lit(m)).drop("_d")
     env = F.lit(1)
     for v, t in cuts:
         after = (F.col("_d") > F.lit(v)) | ((F.col("_d") == F.lit(v)) & (F.col(key) > F.lit(t)))

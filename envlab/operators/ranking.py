@@ -142,22 +142,32 @@ def first_k(
     return apply_cuts(df, keys, cuts, n, value, tie, keep)
 
 
-def rows_at_positions(df: DataFrame, positions: Sequence[int], value: str, tie: str, bucket: Column) -> list[tuple]:
-    """(value, tie) of the rows at the given 0-based positions of the global (value, tie) order.
-
-    Only the buckets holding those positions are sorted; the result has one entry per position
-    (a parameter-sized list, e.g. the m - 1 boundaries of m contiguous slices)."""
-    positions = sorted(set(int(p) for p in positions))
-    if not positions:
-        return []
+def rows_at_positions(df: DataFrame, positions, value: str, tie: str, bucket: Column) -> tuple[list[tuple], int]:
+    """(value, tie) of the rows at given 0-based positions of the global (value, tie) order, and
+    the total row count.
+
+    ``positions`` is a list, or a function of the row count returning one. The per-bucket
+    counts (at most one row per bucket, a parameter-sized table) are read on the driver; only the
+    buckets holding the wanted positions are then sorted, in one more job."""
     b = "_rp_bucket"
     x = df.withColumn(b, bucket)
-    counts = x.groupBy(b).agg(F.count(F.lit(1)).alias("_rp_n"))
-    w = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counts.withColumn("_rp_cum", F.sum("_rp_n").over(w)).withColumn("_rp_before", F.col("_rp_cum") - F.col("_rp_n"))
-    pos = F.array(*[F.lit(p) for p in positions])
-    hits = cum.select(b, "_rp_before", F.explode(F.filter(pos, lambda p: (p >= F.col("_rp_before")) & (p < F.col("_rp_cum")))).alias("_rp_pos"))
-    cand = join_small(x.select(b, value, tie), hits, b, rows=len(positions))
+    counts, _ = count_small(x.groupBy(b).agg(F.count(F.lit(1)).alias("_rp_n")))
+    per = sorted((r[0], r[1]) for r in counts.collect())
+    n = sum(c for _, c in per)
+    wanted = sorted(set(int(p) for p in (positions(n) if callable(positions) else positions)))
+    hits, before = [], 0
+    it = iter(wanted)
+    p = next(it, None)
+    for bk, c in per:
+        while p is not None and p < before + c:
+            hits.append((bk, before, p))
+            p = next(it, None)
+        before += c
+    if not hits:
+        return [], n
+    spark = df.sparkSession
+    hit_df = spark.createDataFrame(hits, f"{b} long, _rp_before long, _rp_pos long")
+    cand = join_small(x.select(b, value, tie), hit_df, b, rows=len(hits))
     wc = Window.partitionBy(b, "_rp_pos").orderBy(value, tie)
     got = (
         cand.withColumn("_rp_rn", F.row_number().over(wc) - 1)
@@ -166,4 +176,4 @@ def rows_at_positions(df: DataFrame, positions: Sequence[int], value: str, tie:
         .collect()
     )
     by_pos = {r[0]: (r[1], r[2]) for r in got}
-    return [by_pos[p] for p in positions if p in by_pos]
+    return [by_pos[q] for q in wanted if q in by_pos], n

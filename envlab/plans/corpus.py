@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from envlab.functions.draws import draw
 from envlab.functions.text import inject_prefix, toy_text
-from envlab.operators.balance import balance_by_gender, check_nonempty, gender_counts, split_test_train
+from envlab.operators.balance import balance_by_gender, split_test_train
 from envlab.operators.envs import (
     assign_contiguous,
     assign_round_robin,
@@ -91,12 +91,12 @@ def build_corpus_a(
     one global shuffle cut into contiguous environments; validation = balanced test."""
     train = balance_by_gender(corpus.where(F.col("split").isin("train", "dev")), seed)
     test = balance_by_gender(corpus.where(F.col("split") == "test"), seed)
-    if check:
-        check_nonempty(gender_counts(corpus.where(F.col("split").isin("train", "dev"))))
     grid = env_grid(spark, gap, m, color_p_mean, val_color_p) if gap is not None else env_grid_legacy(spark, p1, p2, val_p)
     n_env = max(2, int(m)) if gap is not None else 2
     p_val = (1.0 - float(val_color_p)) if gap is not None else (0.10 if val_p is None else float(val_p))
     classes, n_cls = count_small(class_ids(train))
+    if check and n_cls == 0:
+        raise ValueError("no gender-balanced example found: check the gender labels")
     envs = assign_contiguous(train, n_env, seed)
     tr = _inject(attach_classes(envs, classes, on_missing="drop", rows=n_cls), grid, seed)
     val = attach_classes(test, classes, on_missing=on_missing, rows=n_cls)
