@@ -28,8 +28,6 @@ from envlab.operators.ranking import draw_bucket, rank_within
 from envlab.session import count_small, join_small
 
 LINE_COLS = ["env", "example_id", "text", "labels"]
-# environment grids are parameter tables: m training environments plus validation
-GRID_MAX_ROWS = 10_000
 
 
 @dataclass
@@ -52,9 +50,10 @@ def _env_name(c) -> F.Column:
     return F.concat(F.lit("env_"), c.cast("string"))
 
 
-def _inject(rows: DataFrame, grid: DataFrame, seed: int) -> DataFrame:
-    """J2 + F3: attach the environment's aligned probability and inject the prefixes."""
-    x = join_small(rows, grid.select("env", "p_align"), "env", rows=GRID_MAX_ROWS)
+def _inject(rows: DataFrame, grid: DataFrame, seed: int, n_envs: int) -> DataFrame:
+    """J2 + F3: attach the environment's aligned probability (a table of ``n_envs + 1`` rows) and
+    inject the prefixes."""
+    x = join_small(rows, grid.select("env", "p_align"), "env", rows=n_envs + 1)
     return x.select(
         F.when(F.col("env") == 0, F.lit("val")).otherwise(_env_name(F.col("env"))).alias("env"),
         "example_id",
@@ -98,7 +97,7 @@ def build_corpus_a(
     if check and n_cls == 0:
         raise ValueError("no gender-balanced example found: check the gender labels")
     envs = assign_contiguous(train, n_env, seed)
-    tr = _inject(attach_classes(envs, classes, on_missing="drop", rows=n_cls), grid, seed)
+    tr = _inject(attach_classes(envs, classes, on_missing="drop", rows=n_cls), grid, seed, n_env)
     val = attach_classes(test, classes, on_missing=on_missing, rows=n_cls)
     return Corpus(tr, _inject_val(val, p_val, seed), classes, grid, seed)
 
@@ -123,7 +122,7 @@ def build_corpus_b(
     grid = env_grid(spark, gap, m, color_p_mean, val_color_p)
     classes, n_cls = count_small(class_ids(train))
     envs = assign_round_robin(train, m, seed)
-    tr = _inject(attach_classes(envs, classes, on_missing="drop", rows=n_cls), grid, seed)
+    tr = _inject(attach_classes(envs, classes, on_missing="drop", rows=n_cls), grid, seed, m)
     val = attach_classes(test, classes, on_missing=on_missing, rows=n_cls)
     return Corpus(tr, _inject_val(val, 1.0 - float(val_color_p), seed), classes, grid, seed)
 

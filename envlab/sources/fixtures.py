@@ -71,10 +71,10 @@ def head_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with ``step`` = 0-based position of the event in its user's (ts, event_id) order.
 
-    Ranked with hourly buckets, so one very active user is spread over many tasks.
+    Ranked with one-minute buckets, so one very active user is spread over many tasks.
     """
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
-    bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
+    bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(60_000_000)).cast("long")
     return rank_within(ev, ["user_id"], ["ts", "event_id"], bucket, name="step")
 
 
