@@ -7,6 +7,8 @@ aggregated and the text never moves through a shuffle.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +16,9 @@ from envlab.functions.draws import draw
 from envlab.operators.ranking import DEFAULT_BUCKETS, apply_cuts, draw_bucket, first_k, first_k_cuts
 
 
-def gender_counts(df: DataFrame, cls: str = "profession") -> DataFrame:
+def gender_counts(df: DataFrame, cls: str = "profession", by: Sequence[str] = ()) -> DataFrame:
     """Per class: rows of gender 0, of gender 1 and ``k = least`` (A2). Partial + final hash aggregate."""
-    return df.groupBy(cls).agg(
+    return df.groupBy(*by, cls).agg(
         F.count_if(F.col("gender") == 0).alias("n_g0"),
         F.count_if(F.col("gender") == 1).alias("n_g1"),
     ).withColumn("k", F.least("n_g0", "n_g1"))
@@ -29,14 +31,17 @@ def balance_by_gender(
     key: str = "example_id",
     tag: str = "bal",
     buckets: int = DEFAULT_BUCKETS,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Rows kept by gender balancing (A2 + W1); same columns as ``df``.
 
-    Rows with a gender outside {0, 1} (or NULL) are never kept.
+    Rows with a gender outside {0, 1} (or NULL) are never kept. ``by`` balances several
+    independent sets in the same passes (e.g. train and test: classes are balanced within each).
     """
+    by = list(by)
     x = df.where(F.col("gender").isin(0, 1)).withColumn("_draw", draw(seed, tag, key))
-    ks = gender_counts(x, cls).select(cls, F.explode(F.array(F.lit(0), F.lit(1))).alias("gender"), F.col("k").alias("_k"))
-    out = first_k(x, [cls, "gender"], ks, "_draw", key, draw_bucket("_draw", buckets))
+    ks = gender_counts(x, cls, by).select(*by, cls, F.explode(F.array(F.lit(0), F.lit(1))).alias("gender"), F.col("k").alias("_k"))
+    out = first_k(x, by + [cls, "gender"], ks, "_draw", key, draw_bucket("_draw", buckets))
     return out.drop("_draw")
 
 

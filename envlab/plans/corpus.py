@@ -88,8 +88,11 @@ def build_corpus_a(
 ) -> Corpus:
     """Balance train+dev and test separately; ids from the balanced train classes;
     one global shuffle cut into contiguous environments; validation = balanced test."""
-    train = balance_by_gender(corpus.where(F.col("split").isin("train", "dev")), seed)
-    test = balance_by_gender(corpus.where(F.col("split") == "test"), seed)
+    # train+dev and test are balanced separately, in the same passes
+    sets = corpus.withColumn("_set", F.when(F.col("split") == "test", F.lit("test")).otherwise(F.lit("train")))
+    both = balance_by_gender(sets.where(F.col("split").isin("train", "dev", "test")), seed, by=["_set"])
+    train = both.where(F.col("_set") == "train").drop("_set")
+    test = both.where(F.col("_set") == "test").drop("_set")
     grid = env_grid(spark, gap, m, color_p_mean, val_color_p) if gap is not None else env_grid_legacy(spark, p1, p2, val_p)
     n_env = max(2, int(m)) if gap is not None else 2
     p_val = (1.0 - float(val_color_p)) if gap is not None else (0.10 if val_p is None else float(val_p))
