@@ -37,7 +37,10 @@ def main() -> None:
     warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     warm_dir = warm if os.path.isdir(warm) else sf_dir
     for name in HEADLINE.values():
-        QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
+        try:
+            QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
+        except Exception:  # noqa: BLE001 - sf0.001 trips the missing-class check of builder A (by design)
+            pass
     times = {}
     for key, name in HEADLINE.items():
         t0 = time.perf_counter()
