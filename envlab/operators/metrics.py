@@ -43,22 +43,24 @@ def confusion(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def per_class(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Per class 0..K-1: support, predicted, tp, precision, recall, F1 (0 when undefined)."""
+    """Per class 0..K-1: support, predicted, tp, precision, recall, F1 (0 when undefined).
+
+    One aggregate over the confusion cells: each cell adds its count to its label's support, its
+    prediction's count and (on the diagonal) the true positives, and lists the classes
+    0..K-1 with zeros so classes never seen still get a row."""
     by = list(by)
-    k = conf.groupBy(*by).agg(F.max("n_classes").alias("k"), F.max("label").alias("ml"), F.max("pred").alias("mp"))
-    classes = k.select(*by, F.explode(F.sequence(F.lit(0), F.greatest(F.col("k"), F.col("ml") + 1, F.col("mp") + 1) - 1)).alias("class"))
-    sup = conf.groupBy(*by, F.col("label").alias("class")).agg(F.sum("n").alias("support"))
-    prd = conf.groupBy(*by, F.col("pred").alias("class")).agg(F.sum("n").alias("predicted"))
-    tp = conf.where(F.col("label") == F.col("pred")).select(*by, F.col("label").alias("class"), F.col("n").alias("tp"))
-    on = by + ["class"]
-    t = classes.join(sup, on, "left").join(prd, on, "left").join(tp, on, "left")
-    t = t.select(
-        *by,
-        F.col("class").cast("int").alias("class"),
-        F.coalesce("support", F.lit(0)).cast("long").alias("support"),
-        F.coalesce("predicted", F.lit(0)).cast("long").alias("predicted"),
-        F.coalesce("tp", F.lit(0)).cast("long").alias("tp"),
+    z = F.lit(0).cast("long")
+    n = F.col("n").cast("long")
+    parts = F.array(
+        F.struct(F.col("label").alias("c"), n.alias("s"), z.alias("p"), F.when(F.col("label") == F.col("pred"), n).otherwise(z).alias("t")),
+        F.struct(F.col("pred").alias("c"), z.alias("s"), n.alias("p"), z.alias("t")),
+    )
+    every = F.transform(F.sequence(F.lit(0), F.col("n_classes") - 1), lambda c: F.struct(c.alias("c"), z.alias("s"), z.alias("p"), z.alias("t")))
+    x = conf.select(*by, F.explode(F.concat(parts, every)).alias("_e"))
+    t = x.groupBy(*by, F.col("_e.c").cast("int").alias("class")).agg(
+        F.sum("_e.s").alias("support"), F.sum("_e.p").alias("predicted"), F.sum("_e.t").alias("tp")
     )
+    t = t.select(*by, "class", *[F.col(c).cast("long").alias(c) for c in ("support", "predicted", "tp")])
     return t.select(
         "*",
         F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0).alias("precision"),
