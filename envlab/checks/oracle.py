@@ -308,38 +308,38 @@ FROM wdiv w FULL JOIN div d ON w.step = d.step"""
 from envlab.checks.sqlfrag import RUN_HISTORY  # noqa: E402
 from envlab.plans.registry import METRIC, PIVOT_LRS  # noqa: E402
 
-_PARSE = r"""runs AS (SELECT DISTINCT run_name FROM run_history),
+_PARSE = r"""runs AS (SELECT DISTINCT run_id, run_name FROM run_history),
 parsed0 AS (
-  SELECT run_name,
+  SELECT run_id, run_name,
     nullif(regexp_extract(s, '^eval[\-_ ]([a-z0-9]+)', 1), '') AS algo,
     coalesce(nullif(regexp_extract(s, 'lr[\-_ ]([0-9eE.+\-]+)[\-_ ]seed', 1), ''),
              nullif(regexp_extract(s, '^eval[\-_ ][a-z0-9]+[\-_ ]([0-9eE.+\-]+)[\-_ ]seed', 1), '')) AS lr,
     TRY_CAST(nullif(regexp_extract(s, 'seed_?([0-9]+)', 1), '') AS INTEGER) AS seed,
     TRY_CAST(nullif(regexp_replace(nullif(regexp_extract(s, 'model[\-_ ]([0-9 _]+)', 1), ''), '[^0-9]', '', 'g'), '') AS BIGINT) AS model
-  FROM (SELECT run_name, lower(trim(coalesce(run_name, ''))) AS s FROM runs)),
+  FROM (SELECT run_id, run_name, lower(trim(coalesce(run_name, ''))) AS s FROM runs)),
 parsed AS (SELECT *, (algo IS NOT NULL AND lr IS NOT NULL AND seed IS NOT NULL AND model IS NOT NULL) AS parsed FROM parsed0),
-summ AS (SELECT run_name, arg_max_null(value, step) AS sv, max(step) AS ss FROM run_history GROUP BY run_name)"""
+summ AS (SELECT run_id, arg_max_null(value, step) AS sv, max(step) AS ss FROM run_history GROUP BY run_id)"""
 
 
 def _value(strategy: str) -> str:
     order = "step DESC" if strategy == "last" else "value ASC, step ASC"
-    return f"""hvr AS (SELECT run_name, value, step, row_number() OVER (PARTITION BY run_name ORDER BY {order}) AS rn
+    return f"""hvr AS (SELECT run_id, value, step, row_number() OVER (PARTITION BY run_id ORDER BY {order}) AS rn
         FROM run_history WHERE metric = '{METRIC}' AND value IS NOT NULL AND NOT isnan(value)),
 vals AS (
-  SELECT r.run_name, CASE WHEN h.value IS NOT NULL THEN h.step ELSE s.ss END AS step,
+  SELECT r.run_id, CASE WHEN h.value IS NOT NULL THEN h.step ELSE s.ss END AS step,
          CASE WHEN h.value IS NOT NULL THEN h.value ELSE s.sv END AS value
-  FROM runs r LEFT JOIN (SELECT * FROM hvr WHERE rn = 1) h ON r.run_name = h.run_name LEFT JOIN summ s ON r.run_name = s.run_name),
-kept AS (SELECT p.run_name, p.algo, p.lr, p.seed, p.model, v.step, v.value
-         FROM parsed p JOIN vals v ON p.run_name = v.run_name WHERE p.parsed AND v.value IS NOT NULL)"""
+  FROM runs r LEFT JOIN (SELECT * FROM hvr WHERE rn = 1) h ON r.run_id = h.run_id LEFT JOIN summ s ON r.run_id = s.run_id),
+kept AS (SELECT p.run_id, p.run_name, p.algo, p.lr, p.seed, p.model, v.step, v.value
+         FROM parsed p JOIN vals v ON p.run_id = v.run_id WHERE p.parsed AND v.value IS NOT NULL)"""
 
 
 _RUNS = with_(RUN_HISTORY[len(""):], _PARSE)
 SQL["parse_runs"] = _RUNS + "SELECT * FROM parsed"
-SQL["unparsed_runs"] = _RUNS + "SELECT run_name FROM parsed WHERE NOT parsed ORDER BY run_name LIMIT 15"
+SQL["unparsed_runs"] = _RUNS + "SELECT run_id, run_name FROM parsed WHERE NOT parsed ORDER BY run_name, run_id LIMIT 15"
 SQL["run_last"] = with_(RUN_HISTORY, _PARSE, _value("last")) + "SELECT * FROM kept"
 SQL["run_min"] = with_(RUN_HISTORY, _PARSE, _value("min")) + "SELECT * FROM kept"
 SQL["run_totals"] = with_(RUN_HISTORY, _PARSE, _value("last")) + """SELECT count(*) AS n_runs, count_if(parsed) AS n_parsed,
-  count_if(parsed AND run_name IN (SELECT run_name FROM kept)) AS n_kept, count_if(NOT parsed) AS n_unparsed FROM parsed"""
+  count_if(parsed AND run_id IN (SELECT run_id FROM kept)) AS n_kept, count_if(NOT parsed) AS n_unparsed FROM parsed"""
 _AGG = f"""agg AS (SELECT algo, lr, model, count(value) AS n_seeds, round(avg(value), 9) AS mean_{METRIC},
              round(stddev_samp(value), 9) AS std_{METRIC} FROM kept GROUP BY algo, lr, model)"""
 SQL["seed_aggregate"] = with_(RUN_HISTORY, _PARSE, _value("last"), _AGG) + "SELECT * FROM agg"
@@ -375,8 +375,20 @@ _EVAL_ROWS = with_(EVENT_STEPS, EVAL_RUNS, """er0 AS (
 er AS (SELECT * FROM er0 UNION ALL SELECT * FROM (SELECT * FROM er0 WHERE user_id = 4 ORDER BY step DESC LIMIT 1))""")
 _CM = ["accuracy", "f1_macro", "f1_head", "f1_tail", "gap_head_tail", "loss"]
 SQL["ragged_logs"] = _EVAL_ROWS + f"SELECT run, lr, step, {_r9(_CM)} FROM er"
+
+
+def _fixed_mean(v: str) -> str:
+    return f"CAST(sum(CAST(floor({v} * 1e12 + 0.5) AS HUGEINT)) AS DOUBLE) / CAST(count({v}) AS DOUBLE) / 1e12"
+
+
+def _fixed_std(v: str) -> str:
+    q = f"CAST(floor({v} * 1e9 + 0.5) AS HUGEINT)"
+    return (f"CASE WHEN count({v}) >= 2 THEN sqrt(CAST(count({v}) * sum({q} * {q}) - sum({q}) * sum({q}) AS DOUBLE)"
+            f" / CAST(count({v}) * (count({v}) - 1) AS DOUBLE)) / 1e9 END")
+
+
 SQL["curve_summary"] = _EVAL_ROWS + "SELECT lr, step, " + ", ".join(
-    f"round(avg({m}), 9) AS {m}, round(stddev_samp({m}), 9) AS {m}_std" for m in _CM
+    f"round({_fixed_mean(m)}, 9) AS {m}, round({_fixed_std(m)}, 9) AS {m}_std" for m in _CM
 ) + " FROM er WHERE lr IN (0.001, 0.0005, 0.0001) GROUP BY lr, step"
 
 

@@ -45,7 +45,7 @@ EVENT_STEPS = """event_steps AS (
 
 RUN_HISTORY = EVENT_STEPS + """,
 run_history AS (
-  SELECT CASE WHEN user_id % 17 = 0 THEN 'baseline-' || CAST(user_id AS VARCHAR) ELSE
+  SELECT user_id AS run_id, CASE WHEN user_id % 17 = 0 THEN 'baseline-' || CAST(user_id AS VARCHAR) ELSE
            'eval-' || (['elm','ilm','ilmg'])[user_id % 3 + 1] || '-lr_' || (['1e-3','5e-4','1e-4'])[(user_id // 3) % 3 + 1]
            || CASE WHEN user_id % 13 = 5 THEN '-seed-' || CAST(user_id % 5 AS VARCHAR)
                    WHEN user_id % 7 = 3 THEN '-seed' || CAST(user_id % 5 AS VARCHAR)

@@ -26,14 +26,32 @@ def select_metrics(requested: Sequence[str], available: Sequence[str]) -> list[s
     return out
 
 
+def fixed_point_mean_std(v) -> tuple[F.Column, F.Column]:
+    """Mean and sample std whose value does not depend on the order of summation.
+
+    Values are rounded to fixed point (1e-12 for the mean, 1e-9 for the std) and summed as exact
+    integers, so the result is the same for every partitioning, after every retry, and in any
+    engine that follows the same integer recipe (the SQL twin does). Values must lie within
+    +-9e6. The std of fewer than two values is NULL."""
+    q12 = F.floor(v * F.lit(1e12) + 0.5).cast("decimal(38,0)")
+    q9 = F.floor(v * F.lit(1e9) + 0.5).cast("decimal(38,0)")
+    n = F.count(v)
+    mean = F.sum(q12).cast("double") / n.cast("double") / F.lit(1e12)
+    t1, t2 = F.sum(q9), F.sum(q9 * q9)
+    num = n.cast("decimal(38,0)") * t2 - t1 * t1
+    std = F.when(n >= 2, F.sqrt(num.cast("double") / (n * (n - 1)).cast("double")) / F.lit(1e9))
+    return mean, std
+
+
 def curve_summary(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("lr", "step")) -> DataFrame:
     """A9 + J6: mean and sample std of every metric by (lr, step) in one aggregate (the reference
     groups once per metric and merges mean with std). NaN is skipped; a group with no value has
-    NULL mean; std of one value is NULL. ``keys`` may add grouping columns (Q9)."""
+    NULL mean; std of one value is NULL. ``keys`` may add grouping columns (Q9). The sums are
+    exact (:func:`fixed_point_mean_std`), so the curves are reproducible run to run."""
     aggs = []
     for m in metrics:
-        v = missing_as_null(m)
-        aggs += [F.avg(v).alias(m), F.stddev_samp(v).alias(f"{m}_std")]
+        mean, std = fixed_point_mean_std(missing_as_null(m))
+        aggs += [mean.alias(m), std.alias(f"{m}_std")]
     return df.groupBy(*keys).agg(*aggs)
 
 

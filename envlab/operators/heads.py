@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envlab.operators.ranking import rank_within
+from envlab.session import join_small
 from envlab.functions.probs import argmax, dot, js_divergence, l2_distance, pair_mean, with_normalized, with_softmax
 
 MAX_BATCHES = 50
@@ -26,7 +27,13 @@ def prediction_divergence(head_logits: DataFrame, max_batches: int = MAX_BATCHES
     (e.g. a step), the same is done per group. NULL when fewer than two heads.
     """
     keys = [group] if group else []
-    probs = with_softmax(head_logits.select(*keys, "example_id", "env", "logits"), "logits", "p")
+    cap = int(max_batches) * int(batch_size)
+    src = head_logits.select(*keys, "example_id", "env", "logits")
+    if not keys:
+        # the cap first: only the first ``cap`` example ids are scored (a top-k over the ids)
+        first_ids = src.select("example_id").distinct().orderBy("example_id").limit(cap)
+        src = join_small(src, first_ids, "example_id", "left_semi", rows=cap)
+    probs = with_softmax(src, "logits", "p")
     per_ex = probs.groupBy(*keys, "example_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("env", "p"))), lambda h: h["p"]).alias("ps")
     )
@@ -37,7 +44,6 @@ def prediction_divergence(head_logits: DataFrame, max_batches: int = MAX_BATCHES
         pair_mean("ps", js_divergence).alias("js"),
         pair_mean("top", lambda a, b: (a != b).cast("double")).alias("dis"),
     )
-    cap = int(max_batches) * int(batch_size)
     if keys:
         # exact position per group without a whole group in one task: buckets of 4096 ids
         x = rank_within(x, keys, ["example_id"], F.floor(F.col("example_id") / 4096).cast("long"), name="_pos")

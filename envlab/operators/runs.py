@@ -19,18 +19,24 @@ def parse_runs(runs: DataFrame, name: str = "run_name") -> DataFrame:
     )
 
 
+def _run_keys(history: DataFrame) -> list[str]:
+    """Runs are told apart by ``run_id`` when the history has one (names may repeat across runs)."""
+    return ["run_id", "run_name"] if "run_id" in history.columns else ["run_name"]
+
+
 def run_value(history: DataFrame, summary: DataFrame | None, metric: str, strategy: str = "last",
               summary_from_history: bool = False) -> DataFrame:
     """A11 (+ S7 fallback): per run the ``last`` logged value (largest step) or the ``min`` value
     (first minimum in step order), over non-missing values; when the history holds none, the
     summary's value and step. Runs whose value is still missing are dropped (P10).
 
-    ``history``: (run_name, step, metric, value); ``summary``: (run_name, metric, summary_value,
-    summary_step). With ``summary_from_history`` the summary is the last logged row of the
-    history itself, taken in the same single aggregate pass.
+    ``history``: ([run_id,] run_name, step, metric, value); ``summary``: (same keys, metric,
+    summary_value, summary_step). With ``summary_from_history`` the summary is the last logged row
+    of the history itself, taken in the same single aggregate pass.
     """
     if strategy not in ("last", "min"):
         raise ValueError("strategy is 'last' or 'min'")
+    keys = _run_keys(history)
     h = history.where(F.col("metric") == metric)
     valid = F.col("value").isNotNull() & ~F.isnan("value")
     if strategy == "last":
@@ -40,34 +46,35 @@ def run_value(history: DataFrame, summary: DataFrame | None, metric: str, strate
     aggs = [best.alias("_b")]
     if summary_from_history:
         aggs.append(F.max(F.struct("step", "value")).alias("_s"))
-    x = h.groupBy("run_name").agg(*aggs)
+    x = h.groupBy(*keys).agg(*aggs)
     hv, hs = F.col("_b.value"), F.col("_b.step")
     if summary_from_history:
         sv, ss = F.col("_s.value"), F.col("_s.step")
     elif summary is not None:
-        s = summary.where(F.col("metric") == metric).select("run_name", "summary_value", "summary_step")
-        x = x.join(s, "run_name", "left")
+        s = summary.where(F.col("metric") == metric).select(*keys, "summary_value", "summary_step")
+        x = x.join(s, keys, "left")
         sv, ss = F.col("summary_value"), F.col("summary_step")
     else:
         sv, ss = F.lit(None).cast("double"), F.lit(None).cast("long")
     value = F.when(hv.isNotNull(), hv).otherwise(sv)
     step = F.when(hv.isNotNull(), hs).otherwise(ss)
-    return x.select("run_name", step.alias("step"), value.alias("value")).where(F.col("value").isNotNull())
+    return x.select(*keys, step.alias("step"), value.alias("value")).where(F.col("value").isNotNull())
 
 
 def run_table(history: DataFrame, metric: str, strategy: str = "last") -> DataFrame:
     """C8 per-run table in one pass: parsed name attributes, ``parsed`` flag, and the run's value
     and step (NULL when missing) from a single aggregate over the history."""
+    keys = _run_keys(history)
     valid = F.col("value").isNotNull() & ~F.isnan("value")
     best = F.max(F.when(valid, F.struct("step", "value"))) if strategy == "last" else F.min(F.when(valid, F.struct("value", "step")))
-    x = history.where(F.col("metric") == metric).groupBy("run_name").agg(best.alias("_b"), F.max(F.struct("step", "value")).alias("_s"))
+    x = history.where(F.col("metric") == metric).groupBy(*keys).agg(best.alias("_b"), F.max(F.struct("step", "value")).alias("_s"))
     hv = F.col("_b.value")
     x = x.select(
-        "run_name",
+        *keys,
         F.when(hv.isNotNull(), F.col("_b.step")).otherwise(F.col("_s.step")).alias("step"),
         F.when(hv.isNotNull(), hv).otherwise(F.col("_s.value")).alias("value"),
     )
-    return parse_runs(x).select("run_name", "algo", "lr", "seed", "model", "parsed", "step", "value")
+    return parse_runs(x).select(*keys, "algo", "lr", "seed", "model", "parsed", "step", "value")
 
 
 def kept_runs(runs: DataFrame) -> DataFrame:

@@ -295,12 +295,12 @@ def _history(spark, d):
 
 
 def _parsed(spark, d):
-    return RN.parse_runs(_history(spark, d).select("run_name").distinct())
+    return RN.parse_runs(_history(spark, d).select("run_id", "run_name").distinct())
 
 
 def _values(spark, d, strategy):
     r = RN.run_table(_history(spark, d), METRIC, strategy)
-    return RN.kept_runs(r).select("run_name", "algo", "lr", "seed", "model", "step", "value")
+    return RN.kept_runs(r).select("run_id", "run_name", "algo", "lr", "seed", "model", "step", "value")
 
 
 @query("parse_runs")
@@ -311,7 +311,7 @@ def q_parse_runs(spark, d):
 @query("unparsed_runs")
 def q_unparsed_runs(spark, d):
     """The first 15 names that do not parse (the reference prints 15), by name."""
-    return _parsed(spark, d).where(~F.col("parsed")).select("run_name").orderBy("run_name").limit(15)
+    return _parsed(spark, d).where(~F.col("parsed")).select("run_id", "run_name").orderBy("run_name", "run_id").limit(15)
 
 
 @query("run_last")

@@ -98,9 +98,11 @@ def run_name_expr() -> F.Column:
 
 
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run history (D7) in long form: (run_name, step, metric, value); value NULL when event_id % 11 = 0."""
+    """Run history (D7) in long form: (run_id, run_name, step, metric, value); value NULL when
+    event_id % 11 = 0. ``run_id`` is the user (the tracker's run id): names repeat across runs."""
     s = event_steps(spark, sf_dir)
     return s.select(
+        F.col("user_id").alias("run_id"),
         run_name_expr().alias("run_name"),
         F.col("step"),
         F.lit("ood_perplexity").alias("metric"),
@@ -111,7 +113,7 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_summary(history: DataFrame) -> DataFrame:
     """Tracker summary per (run, metric): the last logged value (possibly NULL) and its step."""
     last = F.max_by(F.struct("value", "step"), F.col("step"))
-    return history.groupBy("run_name", "metric").agg(
+    return history.groupBy("run_id", "run_name", "metric").agg(
         last.getField("value").alias("summary_value"), F.max("step").alias("summary_step")
     )
 

@@ -31,14 +31,31 @@ def _strip_scheme(p: str) -> str:
     return p.rstrip("/")
 
 
+def find_log_files(spark: SparkSession, base: str, name: str = "eval") -> list[str]:
+    """Every file of ``**/csv_logs/<name>.csv`` (a file, or a folder of parts) below ``base``,
+    from one recursive listing of file metadata; no file is opened."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    pat = re.compile(rf"/csv_logs/{re.escape(name)}\.csv(/[^/]+)?$")
+    out = []
+    it = fs.listFiles(root, True)
+    while it.hasNext():
+        p = it.next().getPath()
+        s = p.toString()
+        leaf = p.getName()
+        if pat.search(s) and not leaf.startswith(("_", ".")):
+            out.append(s)
+    return sorted(out)
+
+
 def discover_logs(spark: SparkSession, base: str, name: str = "eval") -> DataFrame:
-    """Lines of every ``**/csv_logs/<name>.csv`` below ``base``: (path, run_dir, rel_path, line)."""
-    pat = rf"/csv_logs/{re.escape(name)}\.csv(/[^/]+)?$"
-    lines = (
-        spark.read.option("recursiveFileLookup", "true").text(base)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
-        .where(F.col("path").rlike(pat))
-    )
+    """Lines of every ``**/csv_logs/<name>.csv`` below ``base``: (path, run_dir, rel_path, line).
+    Only the matching files are read (other logs of the runs are never opened)."""
+    files = find_log_files(spark, base, name)
+    if not files:
+        raise FileNotFoundError(f"no csv_logs/{name}.csv below {base}")
+    lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
     b = _strip_scheme(base)
     pos = F.instr(F.col("path"), b)
     rel = F.when(pos > 0, F.expr(f"substring(path, instr(path, '{b}') + {len(b) + 1})")).otherwise(F.col("path"))
