@@ -38,6 +38,12 @@ class Corpus:
     grid: DataFrame
     seed: int
 
+    def pooled_sorted(self) -> DataFrame:
+        """K2 as written: all training lines sorted by the seeded shuffle key (one range-partitioned
+        sort, no position numbers needed)."""
+        x = self.train.withColumn("_d", draw(self.seed, "erm", "env", "example_id"))
+        return x.orderBy("_d", "env", "example_id").select("example_id", "text", "labels")
+
     @property
     def pooled(self) -> DataFrame:
         """All training lines, with ``erm_pos`` from a seeded global shuffle (T4)."""

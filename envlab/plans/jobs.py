@@ -28,7 +28,7 @@ def write_corpus(corpus: Corpus, out_dir: str) -> None:
     ``val_test/`` (rows in their original order, T6)."""
     out = out_dir.rstrip("/")
     write_env_tsv(corpus.train, f"{out}/envs")
-    write_pooled_tsv(corpus.pooled, f"{out}/train_erm")
+    write_pooled_tsv(corpus.pooled_sorted(), f"{out}/train_erm")
     write_val_tsv(corpus.val.orderBy("example_id"), f"{out}/val_test")
 
 
@@ -51,7 +51,7 @@ def toy_job(spark: SparkSession, out_dir: str, gap: float, **kw) -> Corpus:
     c = build_toy(spark, gap, **kw)
     out = out_dir.rstrip("/")
     write_env_tsv(c.train, f"{out}/envs")
-    write_pooled_tsv(c.pooled, f"{out}/train_erm")
+    write_pooled_tsv(c.pooled_sorted(), f"{out}/train_erm")
     write_val_tsv(c.val.orderBy("pos"), f"{out}/val_test")
     return c
 

@@ -14,9 +14,10 @@ def write_env_tsv(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     out.write.mode(mode).partitionBy("env").text(path)
 
 
-def write_pooled_tsv(pooled: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K2: the pooled ("ERM") lines in their seeded shuffle order (a range-partitioned sort)."""
-    out = pooled.orderBy("erm_pos").select(F.concat_ws("\t", F.col("text"), F.col("labels").cast("string")).alias("value"))
+def write_pooled_tsv(pooled_sorted: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K2: the pooled ("ERM") lines, already sorted in their seeded shuffle order
+    (``Corpus.pooled_sorted``); the order survives the write (one part file per sorted range)."""
+    out = pooled_sorted.select(F.concat_ws("\t", F.col("text"), F.col("labels").cast("string")).alias("value"))
     out.write.mode(mode).text(path)
 
 

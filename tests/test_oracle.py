@@ -16,9 +16,8 @@ def test_every_query_has_a_twin_or_is_listed():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql_twin(spark, duck001, name):
-    # floats: equal up to one unit of the 9th decimal (means of decimal-looking values can sit
-    # exactly on a rounding tie, and the engines sum in different orders)
-    ok, msg = compare(QUERIES[name](spark, SF001), duck001, SQL[name], tol=2e-9)
+    # exact: same rows, same values (floats are rounded the same way in both engines)
+    ok, msg = compare(QUERIES[name](spark, SF001), duck001, SQL[name])
     assert ok, msg
 
 

@@ -144,3 +144,24 @@ def test_moving_average_blocks_equal_window(spark):
     b = {(r.run, r.step): r.ma for r in ref.collect()}
     assert a.keys() == b.keys()
     assert all(math.isclose(a[k], b[k], rel_tol=1e-12) for k in a)
+
+
+def test_rank_and_cut_with_a_hot_group(spark):
+    # one group holds 90% of the rows; 64 buckets spread it over many window partitions
+    df = spark.range(20000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(F.lit(99)).alias("g"), "id",
+                                   draw(5, "h", "id").alias("d"))
+    got = rank_within(df, ["g"], ["d", "id"], draw_bucket("d", 64), name="r")
+    ref = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("d", "id")) - 1)
+    assert sorted(got.select("id", "r").collect()) == sorted(ref.select("id", "r").collect())
+    k = spark.createDataFrame([(99, 12345), (3, 7)], "g int, _k long")
+    sel = first_k(df, ["g"], k, "d", "id", draw_bucket("d", 64))
+    ref_sel = ref.join(k, "g").where(F.col("r") < F.col("_k"))
+    assert sorted(r.id for r in sel.collect()) == sorted(r.id for r in ref_sel.collect())
+
+
+def test_round_robin_is_partition_independent(spark):
+    pool = balance_by_gender(fx.bios(spark, SF001))
+    _, train = split_test_train(pool, 10)
+    a = sorted((r.example_id, r.env) for r in assign_round_robin(train, 2, 0).collect())
+    b = sorted((r.example_id, r.env) for r in assign_round_robin(train.repartition(13), 2, 0).collect())
+    assert a == b
