@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envlab.functions.draws import draw
-from envlab.operators.ranking import DEFAULT_BUCKETS, apply_cuts, draw_bucket, first_k, first_k_cuts
+from envlab.operators.ranking import DEFAULT_BUCKETS, apply_cuts, draw_bucket, first_k, first_k_cuts, flag_cuts
 
 
 def gender_counts(df: DataFrame, cls: str = "profession", by: Sequence[str] = ()) -> DataFrame:
@@ -61,6 +61,29 @@ def class_k(pool: DataFrame, k_target: int, cls: str = "profession") -> DataFram
     return counts.select(cls, F.least(F.lit(int(k_target)).cast("long"), smallest).alias("k_eff"))
 
 
+def _test_cuts(pool: DataFrame, k_target: int, seed: int, cls: str, key: str, stratify: bool, buckets: int):
+    x = pool.withColumn("_draw", draw(seed, "test", key))
+    keff = class_k(pool, k_target, cls)
+    if stratify:
+        keys = [cls, "gender"]
+        ks = keff.select(cls, F.explode(F.array(F.lit(0), F.lit(1))).alias("gender"), F.floor(F.col("k_eff") / 2).alias("_k"))
+    else:
+        keys = [cls]
+        ks = keff.select(cls, F.col("k_eff").alias("_k"))
+    cuts, n = first_k_cuts(x, keys, ks, "_draw", key, draw_bucket("_draw", buckets))
+    return x, keys, cuts, n
+
+
+def flag_test_rows(pool: DataFrame, k_target: int, seed: int = 0, cls: str = "profession", key: str = "example_id",
+                   stratify: bool = False, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Builder B split as a flag: ``_test`` is true for the ``K_eff`` test rows of each class
+    (same rows as :func:`split_test_train`), so one pass can produce both parts."""
+    if int(k_target) <= 0:
+        raise ValueError("cannot build a balanced test set: k_test_per_class must be positive")
+    x, keys, cuts, n = _test_cuts(pool, k_target, seed, cls, key, stratify, buckets)
+    return flag_cuts(x, keys, cuts, n, "_draw", key, "_test").drop("_draw")
+
+
 def split_test_train(
     pool: DataFrame,
     k_target: int,
@@ -75,15 +98,7 @@ def split_test_train(
     Default follows the reference code: the K test rows are drawn regardless of gender.
     ``stratify=True`` follows its docstring instead: K/2 of each gender.
     """
-    x = pool.withColumn("_draw", draw(seed, "test", key))
-    keff = class_k(pool, k_target, cls)
-    if stratify:
-        keys = [cls, "gender"]
-        ks = keff.select(cls, F.explode(F.array(F.lit(0), F.lit(1))).alias("gender"), F.floor(F.col("k_eff") / 2).alias("_k"))
-    else:
-        keys = [cls]
-        ks = keff.select(cls, F.col("k_eff").alias("_k"))
-    cuts, n = first_k_cuts(x, keys, ks, "_draw", key, draw_bucket("_draw", buckets))
+    x, keys, cuts, n = _test_cuts(pool, k_target, seed, cls, key, stratify, buckets)
     test = apply_cuts(x, keys, cuts, n, "_draw", key, keep="first").drop("_draw")
     train = apply_cuts(x, keys, cuts, n, "_draw", key, keep="rest").drop("_draw")
     return test, train

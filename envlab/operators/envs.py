@@ -51,32 +51,39 @@ def env_grid_legacy(spark: SparkSession, p1: float | None, p2: float | None, val
 
 
 def assign_round_robin(train: DataFrame, m: int, seed: int, cls: str = "profession", key: str = "example_id",
-                       buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Shuffle each class by a seeded draw, then environment ``rank % m + 1``."""
+                       buckets: int = DEFAULT_BUCKETS, by: list[str] | tuple = ()) -> DataFrame:
+    """Shuffle each class by a seeded draw, then environment ``rank % m + 1``. ``by`` ranks
+    independent sets apart (e.g. flagged test rows)."""
     x = train.withColumn("_d", draw(seed, "env", key))
-    r = rank_within(x, [cls], ["_d", key], draw_bucket("_d", buckets), name="_rr")
+    r = rank_within(x, [*by, cls], ["_d", key], draw_bucket("_d", buckets), name="_rr")
     return r.withColumn("env", (F.pmod(F.col("_rr"), F.lit(int(m))) + 1).cast("int")).drop("_d", "_rr")
 
 
-def assign_contiguous(train: DataFrame, m: int, seed: int, key: str = "example_id",
-                      buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """W2 + W3: one global seeded shuffle, then contiguous slices of ``N // m`` rows; the last
-    environment takes the remainder (not ``ntile``).
+def contiguous_env(train: DataFrame, m: int, seed: int, key: str = "example_id",
+                   buckets: int = DEFAULT_BUCKETS) -> F.Column:
+    """W2 + W3 as an expression: the environment (1..m) of a row of ``train`` when ``train`` is
+    shuffled by a seeded draw and cut into contiguous slices of ``N // m`` rows, the last slice
+    taking the remainder (not ``ntile``).
 
     Only the m - 1 slice boundaries are located exactly (sorting just the buckets that hold
-    them); every row then finds its environment by comparing its draw with those boundaries.
-    Rows are not shuffled."""
-    x = train.withColumn("_d", draw(seed, "shuf", key))
+    them); the expression compares a row's draw with those boundaries, so rows never move."""
+    d = draw(seed, "shuf", key)
     m = int(m)
-    cuts, n = rows_at_positions(x, lambda n: [j * (n // m) - 1 for j in range(1, m)] if n // m else [], "_d", key,
-                                draw_bucket("_d", buckets))
+    cuts, n = rows_at_positions(train.withColumn("_d", d), lambda n: [j * (n // m) - 1 for j in range(1, m)] if n // m else [],
+                                "_d", key, draw_bucket("_d", buckets))
     if n // m == 0:
-        return x.withColumn("env", F.lit(m)).drop("_d")
+        return F.lit(m)
     env = F.lit(1)
     for v, t in cuts:
-        after = (F.col("_d") > F.lit(v)) | ((F.col("_d") == F.lit(v)) & (F.col(key) > F.lit(t)))
+        after = (d > F.lit(v)) | ((d == F.lit(v)) & (F.col(key) > F.lit(t)))
         env = env + after.cast("int")
-    return x.withColumn("env", env.cast("int")).drop("_d")
+    return env.cast("int")
+
+
+def assign_contiguous(train: DataFrame, m: int, seed: int, key: str = "example_id",
+                      buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """W2 + W3: :func:`contiguous_env` as a column ``env``."""
+    return train.withColumn("env", contiguous_env(train, m, seed, key, buckets))
 
 
 def shuffle_positions(train: DataFrame, seed: int, key: str = "example_id", buckets: int = DEFAULT_BUCKETS) -> DataFrame:

@@ -123,6 +123,17 @@ def apply_cuts(df: DataFrame, keys: Sequence[str], cuts: DataFrame, n_groups: in
     return y.where(cond).drop("_fk_v", "_fk_t")
 
 
+def flag_cuts(df: DataFrame, keys: Sequence[str], cuts: DataFrame, n_groups: int, value: str, tie: str,
+              name: str) -> DataFrame:
+    """Like :func:`apply_cuts`, but keeps every row of the listed groups and adds ``name`` = the
+    row is within the first k."""
+    y = join_small(df, cuts, list(keys), rows=n_groups)
+    inside = F.col("_fk_v").isNull() | (F.col(value) < F.col("_fk_v")) | (
+        (F.col(value) == F.col("_fk_v")) & (F.col(tie) <= F.col("_fk_t"))
+    )
+    return y.withColumn(name, inside).drop("_fk_v", "_fk_t")
+
+
 def first_k(
     df: DataFrame,
     keys: Sequence[str],

@@ -1,10 +1,10 @@
 """Corpus builders: C1 (builder A), C2 (builder B) and C3 (toy letters).
 
-Each builder returns a :class:`Corpus` of lazy DataFrames with columns
-``(env, example_id, text, labels)``: ``train`` holds the training environments
-(``env = "env_1" .. "env_m"``), ``val`` the out-of-distribution validation set (``env = "val"``).
-``pooled`` (the "ERM" file) is ``train`` without its environment, with a seeded shuffle position.
-Write them with :mod:`envlab.sinks.text`.
+Each builder returns a :class:`Corpus` whose ``lines`` are ``(env, example_id, text, labels)``
+for the training environments (``env = "env_1" .. "env_m"``) and the out-of-distribution
+validation set (``env = "val"``) together: the text is read once, by one scan, whatever is
+written. ``train`` / ``val`` are the two parts; ``pooled`` (the "ERM" file) is ``train`` without its
+environment, in a seeded shuffle order. Write them with :mod:`envlab.plans.jobs`.
 """
 from __future__ import annotations
 
@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from envlab.functions.draws import draw
 from envlab.functions.text import inject_prefix, toy_text
-from envlab.operators.balance import balance_by_gender, split_test_train
+from envlab.operators.balance import balance_by_gender, flag_test_rows
 from envlab.operators.envs import (
-    assign_contiguous,
     assign_round_robin,
     attach_classes,
     class_ids,
+    contiguous_env,
     env_grid,
     env_grid_legacy,
 )
@@ -32,12 +32,19 @@ LINE_COLS = ["env", "example_id", "text", "labels"]
 
 @dataclass
 class Corpus:
-    train: DataFrame
-    val: DataFrame
+    lines: DataFrame
     classes: DataFrame | None
     grid: DataFrame
     seed: int
 
+    @property
+    def train(self) -> DataFrame:
+        return self.lines.where(F.col("env") != "val")
+
+    @property
+    def val(self) -> DataFrame:
+        return self.lines.where(F.col("env") == "val")
+
     def pooled_sorted(self) -> DataFrame:
         """K2 as written: all training lines sorted by the seeded shuffle key (one range-partitioned
         sort, no position numbers needed)."""
@@ -68,16 +75,6 @@ def _inject(rows: DataFrame, grid: DataFrame, seed: int, n_envs: int) -> DataFra
     )
 
 
-def _inject_val(rows: DataFrame, p_align: float, seed: int) -> DataFrame:
-    """F3 for the validation rows, whose probability is one number."""
-    return rows.select(
-        F.lit("val").alias("env"),
-        "example_id",
-        inject_prefix("text", "grp", F.lit(float(p_align)), "example_id", seed).alias("text"),
-        F.col("label").alias("labels"),
-    )
-
-
 def build_corpus_a(
     spark: SparkSession,
     corpus: DataFrame,
@@ -93,22 +90,22 @@ def build_corpus_a(
     check: bool = True,
 ) -> Corpus:
     """Balance train+dev and test separately; ids from the balanced train classes;
-    one global shuffle cut into contiguous environments; validation = balanced test."""
+    one global shuffle cut into contiguous environments; validation = balanced test.
+
+    Balancing, class ids and the slice boundaries are passes over key columns; the lines are
+    then produced by one scan with map-side filters and broadcast lookups only."""
     # train+dev and test are balanced separately, in the same passes
     sets = corpus.withColumn("_set", F.when(F.col("split") == "test", F.lit("test")).otherwise(F.lit("train")))
     both = balance_by_gender(sets.where(F.col("split").isin("train", "dev", "test")), seed, by=["_set"])
-    train = both.where(F.col("_set") == "train").drop("_set")
-    test = both.where(F.col("_set") == "test").drop("_set")
+    train = both.where(F.col("_set") == "train")
     grid = env_grid(spark, gap, m, color_p_mean, val_color_p) if gap is not None else env_grid_legacy(spark, p1, p2, val_p)
     n_env = max(2, int(m)) if gap is not None else 2
-    p_val = (1.0 - float(val_color_p)) if gap is not None else (0.10 if val_p is None else float(val_p))
     classes, n_cls = count_small(class_ids(train))
     if check and n_cls == 0:
         raise ValueError("no gender-balanced example found: check the gender labels")
-    envs = assign_contiguous(train, n_env, seed)
-    tr = _inject(attach_classes(envs, classes, on_missing="drop", rows=n_cls), grid, seed, n_env)
-    val = attach_classes(test, classes, on_missing=on_missing, rows=n_cls)
-    return Corpus(tr, _inject_val(val, p_val, seed), classes, grid, seed)
+    env = F.when(F.col("_set") == "test", F.lit(0)).otherwise(contiguous_env(train, n_env, seed))
+    rows = attach_classes(both.withColumn("env", env).drop("_set"), classes, on_missing=on_missing, rows=n_cls)
+    return Corpus(_inject(rows, grid, seed, n_env), classes, grid, seed)
 
 
 def build_corpus_b(
@@ -124,16 +121,19 @@ def build_corpus_b(
     on_missing: str = "error",
 ) -> Corpus:
     """Pool all splits, balance by gender, take ``K_eff`` test rows per class, the rest is
-    train; environments by per-class round robin."""
+    train; environments by per-class round robin.
+
+    The test rows are flagged (not split off), so the pooled rows are scanned once and shuffled
+    once, for the round-robin rank."""
     pool = balance_by_gender(corpus, seed)
-    test, train = split_test_train(pool, k_test_per_class, seed, stratify=stratify_test)
+    flagged = flag_test_rows(pool, k_test_per_class, seed, stratify=stratify_test)
     m = max(2, int(m))
     grid = env_grid(spark, gap, m, color_p_mean, val_color_p)
-    classes, n_cls = count_small(class_ids(train))
-    envs = assign_round_robin(train, m, seed)
-    tr = _inject(attach_classes(envs, classes, on_missing="drop", rows=n_cls), grid, seed, m)
-    val = attach_classes(test, classes, on_missing=on_missing, rows=n_cls)
-    return Corpus(tr, _inject_val(val, 1.0 - float(val_color_p), seed), classes, grid, seed)
+    classes, n_cls = count_small(class_ids(flagged.where(~F.col("_test"))))
+    rr = assign_round_robin(flagged, m, seed, by=["_test"])
+    rows = rr.withColumn("env", F.when(F.col("_test"), F.lit(0)).otherwise(F.col("env"))).drop("_test")
+    rows = attach_classes(rows, classes, on_missing=on_missing, rows=n_cls)
+    return Corpus(_inject(rows, grid, seed, m), classes, grid, seed)
 
 
 def build_toy(
@@ -165,6 +165,4 @@ def build_toy(
         draw(seed, "toyshuf", key).alias("_d"),
     )
     r = rank_within(x, ["env"], ["_d", "example_id"], draw_bucket("_d"), name="pos").drop("_d")
-    train = r.where(F.col("env") != "val")
-    val = r.where(F.col("env") == "val")
-    return Corpus(train, val, None, grid, seed)
+    return Corpus(r, None, grid, seed)

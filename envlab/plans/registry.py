@@ -159,8 +159,7 @@ def _corpus_b(spark, d):
 
 
 def _lines(c):
-    rows = c.train.unionByName(c.val)
-    return rows.select("env", "example_id", "labels", F.md5("text").alias("text_md5"))
+    return c.lines.select("env", "example_id", "labels", F.md5("text").alias("text_md5"))
 
 
 @query("corpus_a")
@@ -188,8 +187,7 @@ def q_corpus_b_pooled(spark, d):
 @query("inject_tokens")
 def q_inject_tokens(spark, d):
     """Prefix counts per environment and class in builder B's output."""
-    c = _corpus_b(spark, d)
-    rows = c.train.unionByName(c.val)
+    rows = _corpus_b(spark, d).lines
     return rows.groupBy("env", "labels").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(count_prefix("text", PREFIX_GROUP0)).cast("long").alias("n_aaa"),
@@ -202,7 +200,7 @@ def q_toy_corpus(spark, d):
     """C3 sized by the data: ``n_train_per_env`` = rows of ``documents``, ``n_val`` = a quarter of it."""
     n = fx.table(spark, d, "documents").count()
     c = build_toy(spark, GAP, n, n // 4, M, MEAN, 1.0, SEED)
-    return c.train.unionByName(c.val).select("env", "example_id", "text", "labels", "pos")
+    return c.lines.select("env", "example_id", "text", "labels", "pos")
 
 
 # ---------------------------------------------------------------- evaluation (C6) and head divergence
@@ -408,8 +406,7 @@ VOCAB_SIZE, MAX_LEN, BATCH, ACCUM, EPOCHS = 3000, 128, 64, 4, 3
 
 
 def _lines_b(spark, d):
-    c = _corpus_b(spark, d)
-    return c.train.unionByName(c.val)
+    return _corpus_b(spark, d).lines
 
 
 @query("tsv_roundtrip")
