@@ -32,21 +32,13 @@ def _strip_scheme(p: str) -> str:
 
 
 def find_log_files(spark: SparkSession, base: str, name: str = "eval") -> list[str]:
-    """Every file of ``**/csv_logs/<name>.csv`` (a file, or a folder of parts) below ``base``,
-    from one recursive listing of file metadata; no file is opened."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(base)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Every file of ``**/csv_logs/<name>.csv`` (a file, or a folder of parts) below ``base``.
+
+    Spark's file index lists the tree (in parallel for large trees) without opening any file;
+    the list comes back in one call and is filtered by path."""
     pat = re.compile(rf"/csv_logs/{re.escape(name)}\.csv(/[^/]+)?$")
-    out = []
-    it = fs.listFiles(root, True)
-    while it.hasNext():
-        p = it.next().getPath()
-        s = p.toString()
-        leaf = p.getName()
-        if pat.search(s) and not leaf.startswith(("_", ".")):
-            out.append(s)
-    return sorted(out)
+    every = spark.read.option("recursiveFileLookup", "true").text(base).inputFiles()
+    return sorted(f for f in every if pat.search(f))
 
 
 def discover_logs(spark: SparkSession, base: str, name: str = "eval") -> DataFrame:
