@@ -55,3 +55,25 @@ def test_fit_pooled_beats_chance(spark):
     p = FT.predict_pooled(m, rows)
     acc = p.where(F.col("pred") == F.col("label")).count() / p.count()
     assert acc > 0.1
+
+
+def test_stream_log_cadence_and_head_snapshots(spark):
+    from envlab.operators.moving import log_cadence
+    from envlab.sinks.files import write_head_snapshots
+
+    log = _log(spark).where(F.col("run") < 20).withColumn("_chunk", F.floor(F.col("step") / 30).cast("long"))
+    n = log.agg(F.max("_chunk")).first()[0] + 1
+    src, sink, ck = scratch_path(spark, "s"), scratch_path(spark, "o"), scratch_path(spark, "c")
+    ST.write_log_chunks(log, src, "_chunk", n)
+    ST.run_moving_average_stream(spark, src, sink, ck, every=10)
+    got = {(r.run, r.step): r.train_loss_moving_avg for r in spark.read.parquet(sink).collect()}
+    ref = log_cadence(moving_average(_log(spark).where(F.col("run") < 20), "run", "step", "train_loss", "ma"), every=10)
+    ref = {(r.run, r.step): r.ma for r in ref.collect()}
+    assert got.keys() == ref.keys() and all(math.isclose(got[k], ref[k], rel_tol=1e-9) for k in ref)
+
+    snaps = scratch_path(spark, "heads")
+    w = fx.head_weights(spark, SF001).where(F.col("step") < 4)
+    write_head_snapshots(w, snaps)
+    write_head_snapshots(fx.head_weights(spark, SF001).where(F.col("step") == 4), snaps)
+    back = spark.read.parquet(snaps)
+    assert back.count() == 15 and sorted(r.step for r in back.select("step").distinct().collect()) == [0, 1, 2, 3, 4]
