@@ -79,7 +79,7 @@ def first_k_cuts(
 ) -> tuple[DataFrame, int]:
     """The cut-off (``_fk_v``, ``_fk_t``) of every group: the (value, tie) of its k-th row, or
     NULLs when the group has no more than k rows (all kept). Groups missing from ``k`` or with
-    ``_k <= 0`` have no cut (nothing kept). Returns the persisted cut table and the number of
+    ``_k <= 0`` have no cut (nothing kept). Returns the materialised cut table and the number of
     groups in ``k``, which bounds every table below (one row per group)."""
     keys = list(keys)
     k, n_groups = count_small(k.where(F.col("_k") > 0))
@@ -87,7 +87,11 @@ def first_k_cuts(
     x = df.withColumn(b, bucket)
     counts = x.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_fk_n"))
     w = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = join_small(counts.withColumn("_fk_cum", F.sum("_fk_n").over(w)), k, keys, rows=n_groups)
+    wall = Window.partitionBy(*keys)
+    cum = join_small(
+        counts.withColumn("_fk_cum", F.sum("_fk_n").over(w)).withColumn("_fk_total", F.sum("_fk_n").over(wall)),
+        k, keys, rows=n_groups,
+    )
     # the bucket holding the k-th row of each group, and the position of that row inside it
     boundary = cum.where(
         (F.col("_fk_cum") >= F.col("_k")) & (F.col("_fk_cum") - F.col("_fk_n") < F.col("_k"))
@@ -99,11 +103,9 @@ def first_k_cuts(
         .where(F.col("_fk_rn") == F.col("_fk_need"))
         .select(*keys, F.col(value).alias("_fk_v"), F.col(tie).alias("_fk_t"))
     )
-    # groups that have no more than k rows keep everything
+    # groups that have no more than k rows keep everything (read off the same window partitions)
     whole = (
-        cum.groupBy(*keys)
-        .agg(F.max("_fk_cum").alias("_fk_total"), F.first("_k").alias("_k"))
-        .where(F.col("_fk_total") < F.col("_k"))
+        cum.where((F.col("_fk_total") < F.col("_k")) & (F.col("_fk_cum") == F.col("_fk_total")))
         .select(*keys, F.lit(None).cast(df.schema[value].dataType).alias("_fk_v"),
                 F.lit(None).cast(df.schema[tie].dataType).alias("_fk_t"))
     )
