@@ -181,3 +181,25 @@ def test_reference_layout_env_files(spark):
 def test_grid_run_name_formats_lr_string(spark):
     df = spark.createDataFrame([("elm", 0.1, "5e-05", 0, 100)], "a string, g double, lr string, s int, n int")
     assert df.select(grid_run_name("a", "g", F.col("lr"), "s", "n").alias("x")).first().x == "elm_gap010_lr5e-05_seed0_steps100"
+
+
+def test_open_hooks(spark):
+    import pandas as pd
+
+    from envlab.plans.jobs import map_batches
+
+    pc = MT.per_class(MT.confusion(_pred(spark, [(0, 0), (0, 1), (1, 1), (2, 2)], 3)))
+
+    def worst(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.sort_values(["f1", "class"]).iloc[0]
+        return pd.DataFrame({"worst_class": [int(r["class"])], "worst_f1": [float(r["f1"])]})
+
+    got = MT.custom_class_metric(pc, worst, "worst_class int, worst_f1 double").first()
+    assert got.worst_class == 0 and math.isclose(got.worst_f1, 2 / 3)
+
+    def double(it):
+        for pdf in it:
+            yield pdf.assign(y=pdf["id"] * 2)
+
+    out = map_batches(spark.range(5), double, "id long, y long").collect()
+    assert sorted(r.y for r in out) == [0, 2, 4, 6, 8]
