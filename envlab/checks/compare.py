@@ -12,6 +12,18 @@ TABLES = (
 ).split()
 
 
+# Spark type name -> DuckDB type name
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+              "array<int>": "INTEGER[]", "array<double>": "DOUBLE[]", "array<bigint>": "BIGINT[]"}
+
+
+def type_mismatches(spark_df, con, sql: str) -> dict:
+    """Columns whose Spark type and DuckDB type differ."""
+    rel = con.sql(f"SELECT * FROM ({sql}) LIMIT 0")
+    d = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    return {c: (t, d.get(c)) for c, t in spark_df.dtypes if TYPE_NAMES.get(t, t) != d.get(c)}
+
+
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:

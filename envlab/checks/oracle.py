@@ -338,8 +338,9 @@ SQL["parse_runs"] = _RUNS + "SELECT * FROM parsed"
 SQL["unparsed_runs"] = _RUNS + "SELECT run_id, run_name FROM parsed WHERE NOT parsed ORDER BY run_name, run_id LIMIT 15"
 SQL["run_last"] = with_(RUN_HISTORY, _PARSE, _value("last")) + "SELECT * FROM kept"
 SQL["run_min"] = with_(RUN_HISTORY, _PARSE, _value("min")) + "SELECT * FROM kept"
-SQL["run_totals"] = with_(RUN_HISTORY, _PARSE, _value("last")) + """SELECT count(*) AS n_runs, count_if(parsed) AS n_parsed,
-  count_if(parsed AND run_id IN (SELECT run_id FROM kept)) AS n_kept, count_if(NOT parsed) AS n_unparsed FROM parsed"""
+SQL["run_totals"] = with_(RUN_HISTORY, _PARSE, _value("last")) + """SELECT count(*) AS n_runs, CAST(count_if(parsed) AS BIGINT) AS n_parsed,
+  CAST(count_if(parsed AND run_id IN (SELECT run_id FROM kept)) AS BIGINT) AS n_kept,
+  CAST(count_if(NOT parsed) AS BIGINT) AS n_unparsed FROM parsed"""
 _AGG = f"""agg AS (SELECT algo, lr, model, count(value) AS n_seeds, round(avg(value), 9) AS mean_{METRIC},
              round(stddev_samp(value), 9) AS std_{METRIC} FROM kept GROUP BY algo, lr, model)"""
 SQL["seed_aggregate"] = with_(RUN_HISTORY, _PARSE, _value("last"), _AGG) + "SELECT * FROM agg"

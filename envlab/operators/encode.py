@@ -103,7 +103,7 @@ def epoch_plan(train: DataFrame, batch_size: int, grad_accum: int = 1, nb_steps:
     one = per_env.agg(
         F.min("n").alias("min_env_size"),
         F.count(F.lit(1)).alias("n_envs"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("ls")))).alias("num_labels"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("ls")))).cast("long").alias("num_labels"),
     )
     spe = F.floor(F.col("min_env_size") / F.lit(int(grad_accum) * int(batch_size)))
     if nb_steps is not None:

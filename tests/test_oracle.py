@@ -1,7 +1,7 @@
 """Every registered query against its DuckDB twin at sf0.01 (the correctness gate)."""
 import pytest
 
-from envlab.checks.compare import compare
+from envlab.checks.compare import compare, type_mismatches
 from envlab.checks.oracle import SQL
 from envlab.plans.registry import QUERIES
 
@@ -16,9 +16,11 @@ def test_every_query_has_a_twin_or_is_listed():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql_twin(spark, duck001, name):
-    # exact: same rows, same values (floats are rounded the same way in both engines)
-    ok, msg = compare(QUERIES[name](spark, SF001), duck001, SQL[name])
+    # exact: same rows, same values (floats are rounded the same way in both engines), same types
+    df = QUERIES[name](spark, SF001)
+    ok, msg = compare(df, duck001, SQL[name])
     assert ok, msg
+    assert not type_mismatches(df, duck001, SQL[name])
 
 
 def test_entry_smoke(spark):
