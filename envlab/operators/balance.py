@@ -58,7 +58,7 @@ def class_k(pool: DataFrame, k_target: int, cls: str = "profession") -> DataFram
     """
     counts = pool.groupBy(cls).agg(F.count(F.lit(1)).alias("n"))
     smallest = F.min("n").over(Window.partitionBy())
-    return counts.select(cls, F.least(F.lit(int(k_target)).cast("long"), smallest).alias("k_eff"))
+    return counts.select(cls, "n", F.least(F.lit(int(k_target)).cast("long"), smallest).alias("k_eff"))
 
 
 def _test_cuts(pool: DataFrame, k_target: int, seed: int, cls: str, key: str, stratify: bool, buckets: int):
@@ -71,17 +71,27 @@ def _test_cuts(pool: DataFrame, k_target: int, seed: int, cls: str, key: str, st
         keys = [cls]
         ks = keff.select(cls, F.col("k_eff").alias("_k"))
     cuts, n = first_k_cuts(x, keys, ks, "_draw", key, draw_bucket("_draw", buckets))
-    return x, keys, cuts, n
+    return x, keys, cuts, n, keff
 
 
 def flag_test_rows(pool: DataFrame, k_target: int, seed: int = 0, cls: str = "profession", key: str = "example_id",
-                   stratify: bool = False, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                   stratify: bool = False, buckets: int = DEFAULT_BUCKETS, with_train_classes: bool = False):
     """Builder B split as a flag: ``_test`` is true for the ``K_eff`` test rows of each class
-    (same rows as :func:`split_test_train`), so one pass can produce both parts."""
+    (same rows as :func:`split_test_train`), so one pass can produce both parts.
+
+    With ``with_train_classes`` also returns the classes left with training rows (those with
+    more rows than ``K_eff``), read off the per-class counts instead of another pass."""
     if int(k_target) <= 0:
         raise ValueError("cannot build a balanced test set: k_test_per_class must be positive")
-    x, keys, cuts, n = _test_cuts(pool, k_target, seed, cls, key, stratify, buckets)
-    return flag_cuts(x, keys, cuts, n, "_draw", key, "_test").drop("_draw")
+    x, keys, cuts, n, keff = _test_cuts(pool, k_target, seed, cls, key, stratify, buckets)
+    flagged = flag_cuts(x, keys, cuts, n, "_draw", key, "_test").drop("_draw")
+    if not with_train_classes:
+        return flagged
+    if stratify:
+        train_classes = flagged.where(~F.col("_test")).select(cls)
+    else:
+        train_classes = keff.where(F.col("n") > F.col("k_eff")).select(cls)
+    return flagged, train_classes
 
 
 def split_test_train(
@@ -98,7 +108,7 @@ def split_test_train(
     Default follows the reference code: the K test rows are drawn regardless of gender.
     ``stratify=True`` follows its docstring instead: K/2 of each gender.
     """
-    x, keys, cuts, n = _test_cuts(pool, k_target, seed, cls, key, stratify, buckets)
+    x, keys, cuts, n, _ = _test_cuts(pool, k_target, seed, cls, key, stratify, buckets)
     test = apply_cuts(x, keys, cuts, n, "_draw", key, keep="first").drop("_draw")
     train = apply_cuts(x, keys, cuts, n, "_draw", key, keep="rest").drop("_draw")
     return test, train

@@ -104,5 +104,6 @@ def attach_classes(df: DataFrame, classes: DataFrame, cls: str = "profession", o
     if on_missing == "error":
         j = join_small(df, classes, cls, "left", rows=n)
         msg = F.concat(F.lit("class has no id (no training rows after the split): "), F.col(cls).cast("string"))
-        return j.withColumn("label", F.when(F.col("label").isNull(), F.raise_error(msg).cast("int")).otherwise(F.col("label")))
+        # a filter, so the check runs whatever columns a later step keeps (a projection could be pruned)
+        return j.where(F.when(F.col("label").isNull(), F.raise_error(msg)).otherwise(F.lit(True)))
     return join_small(df, classes, cls, "inner", rows=n)

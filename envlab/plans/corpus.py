@@ -126,10 +126,10 @@ def build_corpus_b(
     The test rows are flagged (not split off), so the pooled rows are scanned once and shuffled
     once, for the round-robin rank."""
     pool = balance_by_gender(corpus, seed)
-    flagged = flag_test_rows(pool, k_test_per_class, seed, stratify=stratify_test)
+    flagged, train_classes = flag_test_rows(pool, k_test_per_class, seed, stratify=stratify_test, with_train_classes=True)
     m = max(2, int(m))
     grid = env_grid(spark, gap, m, color_p_mean, val_color_p)
-    classes, n_cls = count_small(class_ids(flagged.where(~F.col("_test"))))
+    classes, n_cls = count_small(class_ids(train_classes))
     rr = assign_round_robin(flagged, m, seed, by=["_test"])
     rows = rr.withColumn("env", F.when(F.col("_test"), F.lit(0)).otherwise(F.col("env"))).drop("_test")
     rows = attach_classes(rows, classes, on_missing=on_missing, rows=n_cls)

@@ -203,3 +203,15 @@ def test_open_hooks(spark):
 
     out = map_batches(spark.range(5), double, "id long, y long").collect()
     assert sorted(r.y for r in out) == [0, 2, 4, 6, 8]
+
+
+def test_builder_b_vanished_class_raises(spark):
+    from envlab.plans.corpus import build_corpus_b
+    from envlab.sources import fixtures as fx
+
+    # K = 250 at sf0.01: the smallest class puts all its rows into the test set
+    c = build_corpus_b(spark, fx.bios(spark, "/root/testdata/sf0.01"), k_test_per_class=250)
+    with pytest.raises(Exception, match="no id"):
+        c.lines.count()
+    d = build_corpus_b(spark, fx.bios(spark, "/root/testdata/sf0.01"), k_test_per_class=250, on_missing="drop")
+    assert d.lines.count() < 904
