@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from envlab.llm.common import store
 
@@ -75,18 +76,18 @@ def _signed(x: int) -> int:
 
 
 def _index(fps: DataFrame, max_bits: int) -> DataFrame:
-    """(variant, part, fp): ``variant`` numbers the segment and its wildcard bit, ``bit`` is that
-    bit's place in the fingerprint (-1: none), ``part`` the segment's bits but the wildcard."""
+    """(variant, part, fp): ``variant`` is 100 times the segment's start, plus 1, plus the wildcard's
+    bit (-1: none); ``part`` has the segment's bits but the wildcard."""
     entries = []
     for lo, hi in _segments(max_bits):
         segment = ((1 << (hi - lo)) - 1) << lo
         for bit in (-1, *range(lo, hi)) if max_bits else (-1,):
             mask = segment & ~(1 << bit) if bit >= 0 else segment
             entries.append(F.struct(
-                F.lit(lo * 100 + bit + 1).alias("variant"), F.lit(bit).alias("bit"),
+                F.lit(lo * 100 + bit + 1).alias("variant"),
                 F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("part"),
             ))
-    return fps.select("fp", F.explode(F.array(*entries)).alias("e")).select("e.variant", "e.bit", "e.part", "fp")
+    return fps.select("fp", F.explode(F.array(*entries)).alias("e")).select("e.variant", "e.part", "fp")
 
 
 def _bit(fp: Column, bit: Column) -> Column:
@@ -98,9 +99,10 @@ def links(fps: DataFrame, max_bits: int = 2, key_pairs: int = KEY_PAIRS) -> Data
     ``fps``: one row per distinct fingerprint, column ``fp``."""
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits must be 0 to 3")
-    key = ["variant", "part"]
-    shared = _index(fps, max_bits).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = store(_index(fps, max_bits).join(store(shared, "simhash-keys"), key), "simhash-members")
+    # one shuffle of the index; a key's entries are counted as they stream by, in order of key
+    key = Window.partitionBy("variant", "part")
+    members = _index(fps, max_bits).withColumn("n", F.count(F.lit(1)).over(key)).where("n > 1")
+    members = store(members.withColumn("bit", F.col("variant") % 100 - 1), "simhash-members")
     few, many = members.where(F.col("n") <= key_pairs), members.where(F.col("n") > key_pairs)
     one, two = few.alias("x"), few.alias("y")
     wild = F.col("x.bit") >= 0
