@@ -138,54 +138,61 @@ def chain_marginals(scores: list[np.ndarray], trans: np.ndarray) -> tuple[list[n
     odds = fwd * bwd
     p = odds / (1.0 + odds)
     # pair (i, i+1) is proportional to fwd_i^y * a[y, z] * (e * bwd)_{i+1}^z
-    f, g = fwd[:-1], (e * bwd)[1:]
+    f, g = fwd[:-1], e[1:] * bwd[1:]
     real = np.arange(1, t)[:, None] < length[None, :]
-    parts = np.array([[np.ones_like(f) * a[0, 0], g * a[0, 1]], [f * a[1, 0], f * g * a[1, 1]]])
-    parts = np.where(real, parts / parts.sum(axis=(0, 1)), 0.0).sum(axis=(2, 3)) if t > 1 else np.zeros((2, 2))
+    whole = a[0, 0] + g * a[0, 1] + f * (a[1, 0] + g * a[1, 1])
+    share = np.where(real, 1.0 / whole, 0.0)
+    fs, gs = f * share, g * share
+    parts = np.array([[share.sum() * a[0, 0], gs.sum() * a[0, 1]], [fs.sum() * a[1, 0], (fs * g).sum() * a[1, 1]]])
     return [p[: len(s), k] for k, s in enumerate(scores)], parts
 
 
-def weak_labels(docs: list[list[str]], toxic: np.ndarray) -> tuple[list[np.ndarray], frozenset[str]]:
-    """Token labels from document labels, and the lexicon: a token is 1 in a toxic document if its
-    word marks toxic documents in the sample, or if the first four or five letters do, counted over
-    words that are no marks themselves. Equal documents count once."""
-    once = {tuple(words): bool(y) for words, y in zip(docs, toxic)}
-    n1 = max(1, sum(once.values()))
+def weak_labels(docs: list[np.ndarray], words: list[str], toxic: np.ndarray) -> tuple[list[np.ndarray], frozenset[str]]:
+    """Token labels from document labels, and the lexicon. ``docs`` hold places in ``words``. A
+    token is 1 in a toxic document if its word marks toxic documents in the sample, or if the first
+    four or five letters do, counted over words that are no marks themselves. Equal documents
+    count once."""
+    once = list({d.tobytes(): k for k, d in enumerate(docs)}.values())
+    n1 = max(1, int(toxic[once].sum()))
     n0 = max(1, len(once) - n1)
 
-    def marks(of) -> frozenset:
-        seen: dict[str, list[int]] = {}
-        for words, y in once.items():
-            for f in {k for w in set(words) for k in of(w)}:
-                seen.setdefault(f, [0, 0])[y] += 1
-        return frozenset(
-            f for f, (b, a) in seen.items()
-            if a >= max(MIN_DOCS, MIN_SHARE * n1) and np.log((a + 0.5) / n1) - np.log((b + 0.5) / n0) >= MIN_ODDS
-        )
-
-    lexicon = marks(lambda w: (w,))
-    heads = lambda w: () if w in lexicon else (w[:4] + "-", w[:5])[: 2 if len(w) > 5 else 1 if len(w) > 4 else 0]
-    stems = marks(heads)
-    return [
-        np.array([y and (w in lexicon or any(k in stems for k in heads(w))) for w in words], dtype=np.float64)
-        for words, y in zip(docs, np.asarray(toxic, dtype=bool).tolist())
-    ], lexicon
+    def marks(table: np.ndarray, n: int) -> np.ndarray:
+        """Which of n features mark toxic documents; ``table`` has each word's features or -1."""
+        seen = np.zeros((2, n))
+        for k in once:
+            found = np.unique(table[docs[k]])
+            seen[int(toxic[k]), found[found >= 0]] += 1
+        odds = np.log((seen[1] + 0.5) / n1) - np.log((seen[0] + 0.5) / n0)
+        return (seen[1] >= max(MIN_DOCS, MIN_SHARE * n1)) & (odds >= MIN_ODDS)
+
+    own = marks(np.arange(len(words))[:, None], len(words))
+    number: dict[str, int] = {}
+    heads = np.full((len(words), 2), -1, dtype=np.int64)
+    for k, w in enumerate(words):
+        for j, length in enumerate((4, 5)):
+            if len(w) > length and not own[k]:
+                heads[k, j] = number.setdefault(w[:length], len(number))
+    stems = np.append(marks(heads, len(number)), False)  # -1: none
+    shows = own | stems[heads].any(axis=1)
+    return [(shows[d] & y).astype(np.float64) for d, y in zip(docs, toxic.tolist())], frozenset(
+        words[k] for k in np.flatnonzero(own)
+    )
 
 
 def train(texts: list[str | None], toxic: list[int], passes: int = PASSES) -> Model:
     """Fit the field and the logistic. Without rows of both classes every score is the share of
     toxic rows (0 without any row)."""
-    docs, y = [tokens(t) for t in texts], np.array(toxic, dtype=bool)
+    y = np.array(toxic, dtype=bool)
     model = Model(np.zeros(BUCKETS), 0.0, np.zeros((2, 2)), np.zeros(3))
     if not y.any() or y.all():
         model.logistic[0] = 40.0 if len(y) and y.all() else -40.0
         return model
-    gold, model.lexicon = weak_labels(docs, y)
     vocab: dict[str, int] = {}
-    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in d], dtype=np.int64) for d in docs]
+    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in tokens(t)], dtype=np.int64) for t in texts]
+    gold, model.lexicon = weak_labels(docs, list(vocab), y)
     table = np.array([features(w, model.lexicon) for w in vocab], dtype=np.int64).reshape(-1, 5)
     cut = [(k, i) for k, d in enumerate(docs) for i in range(0, len(d), CHUNK)]
-    seqs = [ids[k][i:i + CHUNK] for k, i in cut]
+    seqs = [docs[k][i:i + CHUNK] for k, i in cut]
     want = [gold[k][i:i + CHUNK] for k, i in cut]
     flat, target = np.concatenate(seqs), np.concatenate(want)
     edges = np.cumsum([0, *map(len, seqs)])
@@ -215,7 +222,9 @@ def train(texts: list[str | None], toxic: list[int], passes: int = PASSES) -> Mo
 
     gold_counts[: BUCKETS + 1], gold_counts[BUCKETS + 1:] = spread(target), seen.ravel()
     params[BUCKETS] = -3.0
-    for step in range(1, passes + 1):
+
+    def field_marginals() -> tuple[np.ndarray, np.ndarray]:
+        """Marginals of all tokens, and the expected transition counts, at ``params``."""
         w = params[:BUCKETS]
         own, to_right, to_left = w[table[:, 0]] + w[table[:, 1]] + w[table[:, 2]], w[table[:, 3]], w[table[:, 4]]
         score = own[flat] + params[BUCKETS]
@@ -225,22 +234,29 @@ def train(texts: list[str | None], toxic: list[int], passes: int = PASSES) -> Mo
         add = to_left[flat[1:]]
         add[last[:-1]] = 0.0
         score[:-1] += add
-        trans = params[BUCKETS + 1:].reshape(2, 2)
-        p, pairs = chain_marginals([score[a:b] for a, b in zip(edges[:-1], edges[1:])], trans)
-        grad = np.concatenate([spread(np.concatenate(p)), pairs.ravel()]) - gold_counts
+        trans, out, pairs = params[BUCKETS + 1:].reshape(2, 2), [], np.zeros((2, 2))
+        for k in range(0, len(seqs), 1024):
+            p, more = chain_marginals([score[a:b] for a, b in zip(edges[k:k + 1024], edges[k + 1:k + 1025])], trans)
+            out += p
+            pairs += more
+        return np.concatenate(out), pairs
+
+    for step in range(1, passes + 1):
+        p, pairs = field_marginals()
+        grad = np.concatenate([spread(p), pairs.ravel()]) - gold_counts
         grad = grad / size * 1000 + 2e-4 * params
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         params = params - 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     model.weights, model.bias, model.trans = params[:BUCKETS].copy(), float(params[BUCKETS]), params[BUCKETS + 1:].reshape(2, 2).copy()
-    marg = model.marginals([model.emissions(d) for d in docs])
-    x = np.array([[1.0, q.max() if len(q) else 0.0, np.log1p(q.sum())] for q in marg])
+    p = field_marginals()[0]
+    ends = np.cumsum([0, *map(len, docs)])
+    x = np.array([[1.0, q.max() if len(q) else 0.0, np.log1p(q.sum())] for q in (p[a:b] for a, b in zip(ends, ends[1:]))])
     beta = np.zeros(3)
     for _ in range(30):  # Newton steps with a small ridge
         q = 1 / (1 + np.exp(-x @ beta))
         h = (x * (q * (1 - q))[:, None]).T @ x + np.eye(3) * 0.5
         beta = beta + np.linalg.solve(h, x.T @ (y - q) - 0.5 * beta)
     model.logistic = beta
-    model.memo = {}
     return model
 
 
