@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +33,23 @@ END_ID = 2
 GROUP_KEYS = 2048  # keys a group holds on average
 BUCKET_KEYS = 4  # keys a bucket holds on average
 MEMO_PIECES = 1_000_000  # some 200 MB
-# the byte-level pre-tokenizer's published pattern (fixed value), \s as White_Space
-PIECES = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
-    r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-)
 # beyond Latin, Greek and Cyrillic, two libraries' character tables might be of different age
 FAR = "[^\x00-\u04ff]"
+# the byte-level pre-tokenizer's published pattern (fixed value), its classes spelt for U+0000 to U+04FF
+_SPACE, _OTHER_NUMBERS = r"\t-\r \x85\xa0", "\xb2\xb3\xb9\xbc-\xbe"
+_L, _N = rf"[^\W\d_{_OTHER_NUMBERS}]", rf"[\d{_OTHER_NUMBERS}]"
+PIECES = (
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?(?:[^\w{_SPACE}]|_)+"
+    rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level model's vocabulary has for each byte: printable Latin-1 bytes
+    stand for themselves, the others for the letters from U+0100, in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
 class Encoder:
@@ -61,26 +70,20 @@ class Encoder:
         )
         self.width = 4 if self.library.get_vocab_size() > 1 << 16 else 2
         self.memo: dict[str, bytes] = {}
-        self.find = regex.compile(PIECES).findall
+        self.find = re.compile(PIECES).findall
+        self.letters = _byte_letters()
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.far = re.compile(FAR).search
 
     def _whole(self, text: str) -> bytes:
         return self.packed(self.library.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Add pieces to the memo. A blank and letters stay one piece wherever they stand, so these
-        go to the library as one text, whose ids name the piece they come from."""
-        plain = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        if len(plain) > 1:
-            e = self.library.encode("".join(plain), add_special_tokens=False)
-            of = np.array(e.word_ids, dtype=np.int64)
-            cuts = np.searchsorted(of, np.arange(len(plain) + 1)) * self.width
-            if len(of) and of[0] == 0 and of[-1] == len(plain) - 1:
-                ids = self.packed(e.ids)
-                self.memo.update((p, ids[a:b]) for p, a, b in zip(plain, cuts.tolist(), cuts[1:].tolist()))
-        rest = [p for p in pieces if p not in self.memo]
-        self.memo.update((p, self.packed(e.ids)) for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)))
+    def _learn(self, pieces: set[str]) -> None:
+        """Add pieces to the memo, merged by the library's model."""
+        merge, letters = self.library.model.tokenize, self.letters
+        for p in pieces:
+            # bytes as Latin-1 characters, then as the vocabulary's letters
+            self.memo[p] = self.packed([t.id for t in merge(p.encode().decode("latin-1").translate(letters))])
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=f"<u{self.width}").tobytes()
@@ -94,7 +97,7 @@ class Encoder:
         if None in parts:
             if len(memo) >= MEMO_PIECES:
                 memo.clear()
-            self._learn(list({p for p, ids in zip(pieces, parts) if ids is None}))
+            self._learn({p for p, ids in zip(pieces, parts) if ids is None})
             parts = [memo[p] if ids is None else ids for p, ids in zip(pieces, parts)]
         return b"".join(parts)
 
