@@ -19,8 +19,8 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from envlab.operators import curves as CV  # noqa: E402
 from envlab.operators import encode as EN  # noqa: E402
-from envlab.plans.registry import QUERIES, VOCAB_SIZE, MAX_LEN, _corpus_b  # noqa: E402
-from envlab.session import count_small, get_session, materialize, scratch_path  # noqa: E402
+from envlab.plans.registry import QUERIES, _corpus_b  # noqa: E402
+from envlab.session import get_session, materialize, scratch_path  # noqa: E402
 from envlab.sources import fixtures as fx  # noqa: E402
 from envlab.sources.logs import available_columns, discover_logs, read_eval_logs  # noqa: E402
 from envlab.sources.tsv import drop_blank  # noqa: E402
@@ -33,6 +33,9 @@ TABLE_JOBS = {
     "head_js": "head_js",  # C7 (one evaluation)
     "heads_compact": "heads_compact",  # C7 (per-step log)
     "seed_aggregate": "seed_aggregate",  # C8
+    "eval_by_step": "eval_by_step",  # C6, many snapshots
+    "loss_moving_avg": "loss_moving_avg",  # W5
+    "padded": "padded",  # W8 and F17 on the encoded set
 }
 
 
@@ -42,8 +45,7 @@ def _noop(df) -> None:
 
 def encode_job(spark, lines):
     """C5 on stored lines: vocabulary, ids, one pass."""
-    vocab, n = count_small(EN.build_vocab(lines.where(F.col("env") != "val"), VOCAB_SIZE))
-    return EN.encode(drop_blank(lines), vocab, EN.max_seq_length(MAX_LEN), vocab_rows=n)
+    return EN.encode(drop_blank(lines), materialize(EN.build_vocab(lines.where(F.col("env") != "val")), "bench-vocab"))
 
 
 def curve_job(spark, base):
@@ -52,25 +54,17 @@ def curve_job(spark, base):
     return CV.curve_summary(CV.keep_target_lrs(read_eval_logs(spark, base)), metrics)
 
 
-def run_all(spark, sf_dir, timed: bool):
+def run_all(spark, sf_dir):
     times = {}
     for key, name in TABLE_JOBS.items():
         t0 = time.perf_counter()
-        try:
-            _noop(QUERIES[name](spark, sf_dir))
-        except Exception:  # noqa: BLE001 - only in the warm-up: sf0.001 trips builder A's missing-class check
-            if timed:
-                raise
+        _noop(QUERIES[name](spark, sf_dir))
         times[key] = round(time.perf_counter() - t0, 3)
     # data preparation (untimed): builder B's lines and the runs' eval logs, as files
-    try:
-        lines = materialize(_corpus_b(spark, sf_dir).lines, "bench-lines")
-        t0 = time.perf_counter()
-        _noop(encode_job(spark, lines))
-        times["encoded"] = round(time.perf_counter() - t0, 3)
-    except Exception:  # noqa: BLE001 - sf0.001 leaves a class without training rows (by design)
-        if timed:
-            raise
+    lines = materialize(_corpus_b(spark, sf_dir).lines, "bench-lines")
+    t0 = time.perf_counter()
+    _noop(encode_job(spark, lines))
+    times["encoded"] = round(time.perf_counter() - t0, 3)
     logs = scratch_path(spark, "bench-logs")
     fx.write_eval_logs(spark, sf_dir, logs)
     t0 = time.perf_counter()
@@ -83,11 +77,11 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus)
-    # warm-up (not timed): JVM start, JIT and generated-code caches, one pass of every job on the
-    # smallest scale when it exists next to the measured one
-    warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
-    run_all(spark, warm if os.path.isdir(warm) else sf_dir, timed=False)
-    times = run_all(spark, sf_dir, timed=True)
+    # warm-up (not timed): JVM start, JIT and generated-code caches, one pass of every job on a
+    # small scale when it exists next to the measured one
+    warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.01")
+    run_all(spark, warm if os.path.isdir(warm) else sf_dir)
+    times = run_all(spark, sf_dir)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {
         "metric": "headline_jobs_total",

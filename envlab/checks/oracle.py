@@ -146,22 +146,6 @@ SQL["inject_tokens"] = _CORPUS_B + """SELECT env, labels, count(*) AS n_rows,
 FROM lines GROUP BY env, labels"""
 
 _TOY_KEY = "CAST(env AS VARCHAR) || ':' || CAST(id AS VARCHAR)"
-SQL["toy_corpus"] = with_(
-    _grid(GAP, M, MEAN, 1.0),
-    """n AS (SELECT count(*) AS n FROM documents)""",
-    f"""toy_rows AS (
-  SELECT id, CAST(e.range + 1 AS INTEGER) AS env FROM range(0, (SELECT 2 * (n // 2) FROM n)) r(id), range(0, {M}) e
-  UNION ALL SELECT id, 0 AS env FROM range(0, (SELECT 2 * ((n // 4) // 2) FROM n)) r(id))""",
-    f"""toy AS (
-  SELECT CASE WHEN t.env = 0 THEN 'val' ELSE 'env_' || CAST(t.env AS VARCHAR) END AS env, t.id AS example_id,
-         CASE WHEN ({draw(SEED, 'toy', _TOY_KEY.replace('env', 't.env').replace('id', 't.id'))} < g.p_align) = (t.id % 2 = 1) THEN '<BBB>' ELSE '<AAA>' END
-           || ' ' || CASE WHEN t.id % 2 = 1 THEN 'a' ELSE 'b' END AS text,
-         CAST(t.id % 2 AS INTEGER) AS labels,
-         {draw(SEED, 'toyshuf', _TOY_KEY.replace('env', 't.env').replace('id', 't.id'))} AS d
-  FROM toy_rows t JOIN grid_full g ON t.env = g.env)""",
-) + "SELECT env, example_id, text, labels, row_number() OVER (PARTITION BY env ORDER BY d, example_id) - 1 AS pos FROM toy"
-
-
 # ---------------------------------------------------------------- evaluation (C6) and head divergence
 from envlab.checks.sqlfrag import HEAD_WEIGHTS, head_logits  # noqa: E402
 
@@ -273,7 +257,7 @@ per_ex AS (SELECT {'e.' + group + ', ' if group else ''}e.example_id, avg(js) AS
            FROM exs e LEFT JOIN pairs p ON {'e.' + group + ' = p.' + group + ' AND ' if group else ''}e.example_id = p.example_id
            GROUP BY ALL),
 pos AS (SELECT *, row_number() OVER ({part}ORDER BY example_id) - 1 AS pos FROM per_ex),
-bat AS (SELECT {g}pos // 64 AS batch, avg(js) AS js, avg(dis) AS dis FROM pos WHERE pos < 3200 GROUP BY ALL),
+bat AS (SELECT {g}pos // 64 AS batch, avg(js) AS js, avg(dis) AS dis FROM pos GROUP BY ALL),
 div AS (SELECT {g}avg(js) AS js_mean, avg(dis) AS disagree_mean FROM bat {'GROUP BY ' + group if group else ''})"""
 
 
@@ -291,7 +275,8 @@ _WDIV = """wpairs AS (
            * (b.w[i] / greatest(sqrt(list_reduce(list_transform(b.w, lambda x: x * x), lambda s, t: s + t, 0.0::DOUBLE)), 1e-12::DOUBLE))),
            lambda s, t: s + t, 0.0::DOUBLE) AS cos
   FROM head_weights a JOIN head_weights b ON a.step = b.step AND a.env < b.env),
-wdiv AS (SELECT step, avg(l2) AS l2_mean, avg(cos) AS cosine_mean FROM wpairs GROUP BY step)"""
+wdiv AS (SELECT s.step, avg(l2) AS l2_mean, avg(cos) AS cosine_mean FROM (SELECT DISTINCT step FROM head_weights) s
+  LEFT JOIN wpairs p ON s.step = p.step GROUP BY s.step)"""
 SQL["head_weight_divergence"] = with_(HEAD_WEIGHTS, _WDIV) + (
     "SELECT step, round(l2_mean, 9) AS l2_mean, round(cosine_mean, 9) AS cosine_mean FROM wdiv"
 )
@@ -335,12 +320,19 @@ kept AS (SELECT p.run_id, p.run_name, p.algo, p.lr, p.seed, p.model, v.step, v.v
 
 _RUNS = with_(RUN_HISTORY[len(""):], _PARSE)
 SQL["parse_runs"] = _RUNS + "SELECT * FROM parsed"
-SQL["unparsed_runs"] = _RUNS + "SELECT run_id, run_name FROM parsed WHERE NOT parsed ORDER BY run_name, run_id LIMIT 15"
+SQL["unparsed_runs"] = _RUNS + "SELECT run_id, run_name FROM parsed WHERE NOT parsed ORDER BY run_name, run_id"
 SQL["run_last"] = with_(RUN_HISTORY, _PARSE, _value("last")) + "SELECT * FROM kept"
 SQL["run_min"] = with_(RUN_HISTORY, _PARSE, _value("min")) + "SELECT * FROM kept"
 SQL["run_totals"] = with_(RUN_HISTORY, _PARSE, _value("last")) + """SELECT count(*) AS n_runs, CAST(count_if(parsed) AS BIGINT) AS n_parsed,
   CAST(count_if(parsed AND run_id IN (SELECT run_id FROM kept)) AS BIGINT) AS n_kept,
   CAST(count_if(NOT parsed) AS BIGINT) AS n_unparsed FROM parsed"""
+SQL["run_last_summary"] = with_(RUN_HISTORY, """h AS (SELECT run_id, arg_max_null(value, step) FILTER (value IS NOT NULL AND run_id % 7 <> 2) AS hv,
+    max(step) FILTER (value IS NOT NULL AND run_id % 7 <> 2) AS hs, arg_max_null(value, step) AS sv, max(step) AS ss, any_value(run_name) AS run_name
+  FROM run_history GROUP BY run_id)""") + """SELECT run_id, run_name, CASE WHEN hs IS NULL THEN ss ELSE hs END AS step, CASE WHEN hs IS NULL THEN sv ELSE hv END AS value
+FROM h WHERE CASE WHEN hs IS NULL THEN sv ELSE hv END IS NOT NULL"""
+SQL["run_totals_summary"] = with_(RUN_HISTORY, _PARSE, _value("last")) + """SELECT count(*) AS n_runs, CAST(count_if(parsed) AS BIGINT) AS n_parsed,
+  CAST(count_if(parsed AND run_id % 7 <> 2 AND run_id IN (SELECT run_id FROM kept)) AS BIGINT) AS n_kept,
+  CAST(count_if(NOT parsed) AS BIGINT) AS n_unparsed FROM parsed"""
 _AGG = f"""agg AS (SELECT algo, lr, model, count(value) AS n_seeds, round(avg(value), 9) AS mean_{METRIC},
              round(stddev_samp(value), 9) AS std_{METRIC} FROM kept GROUP BY algo, lr, model)"""
 SQL["seed_aggregate"] = with_(RUN_HISTORY, _PARSE, _value("last"), _AGG) + "SELECT * FROM agg"
@@ -358,7 +350,8 @@ SQL["run_grid"] = with_(EVAL_RUNS) + """SELECT r.user_id,
   r.algo || '_gap' || lpad(CAST(CAST(round(r.gap * 100) AS INTEGER) AS VARCHAR), 3, '0') || '_lr' || r.lr || '_seed' || CAST(r.seed AS VARCHAR)
     || '_steps' || CAST(e.n * 250 AS VARCHAR)
     || CASE WHEN r.k IS NULL THEN '' ELSE '_K' || CAST(r.k AS VARCHAR) || '_freeze' || CASE WHEN r.k = 1 THEN '1' ELSE '0' END END AS run_name,
-  r.algo AS tag_algo, 'gap' || lpad(CAST(CAST(round(r.gap * 100) AS INTEGER) AS VARCHAR), 3, '0') AS tag_group
+  r.algo AS tag_algo, 'gap' || lpad(CAST(CAST(round(r.gap * 100) AS INTEGER) AS VARCHAR), 3, '0') AS tag_group,
+  'K' || CAST(r.k AS VARCHAR) AS tag_k, CASE WHEN r.k IS NOT NULL THEN 'freeze' || CASE WHEN r.k = 1 THEN '1' ELSE '0' END END AS tag_freeze
 FROM eval_runs r JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) e ON r.user_id = e.user_id"""
 
 
@@ -396,24 +389,24 @@ SQL["curve_summary"] = _EVAL_ROWS + "SELECT lr, step, " + ", ".join(
 # ---------------------------------------------------------------- load, encode, batch
 from envlab.functions.text import NON_WHITESPACE  # noqa: E402
 from envlab.operators.encode import SPECIALS  # noqa: E402
-from envlab.plans.registry import ACCUM, BATCH, EPOCHS, MAX_LEN, VOCAB_SIZE  # noqa: E402
+from envlab.plans.registry import ACCUM, BATCH, EPOCHS  # noqa: E402
 
 _SPECIALS = ", ".join(f"'{s}'" for s in SPECIALS)
 _WTOK = (f"list_transform(list_filter(regexp_split_to_array(text, '{WHITESPACE_RUN}'), lambda x: x <> ''), "
          f"lambda t: CASE WHEN t IN ({_SPECIALS}) THEN t ELSE lower(t) END)")
 _VOCAB = f"""vtoks AS (SELECT unnest({_WTOK}) AS token FROM lines WHERE env <> 'val'),
 vcnt AS (SELECT token, count(*) AS n FROM vtoks WHERE token NOT IN ({_SPECIALS}) GROUP BY token),
-vtop AS (SELECT token, n FROM vcnt ORDER BY n DESC, token ASC LIMIT {VOCAB_SIZE}),
+vtop AS (SELECT token, n FROM vcnt),
 vocab AS (
   SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token ASC) - 1 + {len(SPECIALS)} AS INTEGER) AS id, n FROM vtop
   UNION ALL SELECT * FROM (VALUES {", ".join(f"('{s}', {i}, 0::BIGINT)" for i, s in enumerate(SPECIALS))}) t(token, id, n))"""
-_ENC = f"""enc_in AS (SELECT env, example_id, labels, list_slice({_WTOK}, 1, {MAX_LEN - 2}) AS toks
+_ENC = f"""enc_in AS (SELECT env, example_id, labels, {_WTOK} AS toks
            FROM lines WHERE text IS NOT NULL AND regexp_matches(text, '{NON_WHITESPACE}')),
-enc_u AS (SELECT example_id, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS pos FROM enc_in),
-enc_ids AS (SELECT u.example_id, list(coalesce(v.id, 1) ORDER BY u.pos) AS ids
-            FROM enc_u u LEFT JOIN vocab v ON u.token = v.token GROUP BY u.example_id),
+enc_u AS (SELECT env, example_id, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS pos FROM enc_in),
+enc_ids AS (SELECT u.env, u.example_id, list(coalesce(v.id, 1) ORDER BY u.pos) AS ids
+            FROM enc_u u LEFT JOIN vocab v ON u.token = v.token GROUP BY u.env, u.example_id),
 encoded AS (SELECT e.env, e.example_id, e.labels, [2] || coalesce(i.ids, []) || [3] AS input_ids
-            FROM enc_in e LEFT JOIN enc_ids i ON e.example_id = i.example_id),
+            FROM enc_in e LEFT JOIN enc_ids i ON e.env = i.env AND e.example_id = i.example_id),
 encoded2 AS (SELECT *, list_transform(input_ids, lambda x: 1) AS attention_mask FROM encoded)"""
 _BAT = f"""bat AS (
   SELECT *, row_number() OVER (PARTITION BY env ORDER BY {draw(SEED, 'batch', 'env', 'example_id')}, example_id) - 1 AS rank
@@ -423,6 +416,9 @@ _CB = _CORPUS_B[len("WITH "):].rstrip()
 SQL["tsv_roundtrip"] = with_(_CB) + "SELECT env, labels, md5(text) AS text_md5 FROM lines"
 SQL["vocab"] = with_(_CB, _VOCAB) + "SELECT * FROM vocab"
 SQL["encoded"] = with_(_CB, _VOCAB, _ENC) + "SELECT env, example_id, labels, input_ids, attention_mask FROM encoded2"
+SQL["encoded_repeated_ids"] = with_(_CB, _VOCAB, f"""twice AS (SELECT env, example_id, labels, text FROM lines WHERE env <> 'val'
+  UNION ALL SELECT 'again_' || env, example_id, labels, reverse(text) FROM lines WHERE env <> 'val')""",
+    _ENC.replace("FROM lines WHERE", "FROM twice WHERE")) + "SELECT env, example_id, labels, input_ids, attention_mask FROM encoded2"
 SQL["batches"] = with_(_CB, _VOCAB, _ENC, _BAT) + "SELECT env, example_id, rank, batch_id FROM bat2"
 SQL["padded"] = with_(_CB, _VOCAB, _ENC, _BAT) + """SELECT env, batch_id, example_id,
   ids0 || list_transform(range(0, greatest(mx - len(ids0), 0)), lambda x: 0) AS input_ids,

@@ -31,12 +31,10 @@ def head_logits(n_envs: int = 3, n_classes: int = 10, binary: bool = False, name
        (SELECT range AS e FROM range(0, {n_envs})) envs)"""
 
 
-HEAD_WEIGHTS = """hw_all AS (
+HEAD_WEIGHTS = """head_weights AS (
   SELECT vec_id // 3 AS step, 'env_' || CAST(vec_id % 3 + 1 AS VARCHAR) AS env,
          list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w
-  FROM embeddings),
-head_weights AS (
-  SELECT * FROM hw_all WHERE step IN (SELECT step FROM hw_all GROUP BY step HAVING count(*) = 3))"""
+  FROM embeddings)"""
 
 EVENT_STEPS = """event_steps AS (
   SELECT event_id, ts, user_id, value,

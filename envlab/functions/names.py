@@ -77,10 +77,13 @@ def grid_run_name(algo, gap, lr: Column, seed, steps, k=None, freeze=None) -> Co
 
 
 def run_tags(name) -> Column:
-    """struct(algo = first ``_`` token, group = first token starting with ``gap`` else ``gapNA``)."""
+    """struct(algo = first ``_`` token, group = first token starting with ``gap`` else ``gapNA``,
+    k and freeze = first token starting so, NULL without one)."""
     toks = F.split(_c(name), "_")
     gap = F.filter(toks, lambda t: t.startswith("gap"))
     return F.struct(
         F.try_element_at(toks, F.lit(1)).alias("algo"),
         F.coalesce(F.try_element_at(gap, F.lit(1)), F.lit("gapNA")).alias("group"),
+        F.try_element_at(F.filter(toks, lambda t: t.rlike("^K[0-9]+$")), F.lit(1)).alias("k"),
+        F.try_element_at(F.filter(toks, lambda t: t.startswith("freeze")), F.lit(1)).alias("freeze"),
     )

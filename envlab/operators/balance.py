@@ -47,7 +47,7 @@ def balance_by_gender(
 
 def check_nonempty(balanced_counts: DataFrame) -> None:
     """Raise like the reference when balancing leaves nothing (one tiny aggregate job)."""
-    if balanced_counts.where(F.col("k") > 0).limit(1).count() == 0:
+    if balanced_counts.where(F.col("k") > 0).isEmpty():
         raise ValueError("no gender-balanced example found: check the gender labels")
 
 

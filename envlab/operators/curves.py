@@ -13,6 +13,10 @@ TARGET_LRS = (1e-3, 5e-4, 1e-4)
 DEFAULT_METRICS = ("accuracy", "f1_macro", "f1_head", "f1_tail", "gap_head_tail")
 
 
+# Bounds within which the fixed-point sums are exact.
+FIXED_MAX, FIXED_ROWS = 9e6, 1000
+
+
 def keep_target_lrs(df: DataFrame, lrs: Sequence[float] = TARGET_LRS) -> DataFrame:
     """Exact equality is safe, both sides parse the same literals to doubles."""
     return df.where(F.col("lr").isin(*[float(x) for x in lrs]))
@@ -31,15 +35,20 @@ def fixed_point_mean_std(v) -> tuple[F.Column, F.Column]:
 
     Values are rounded to fixed point (1e-12 for the mean, 1e-9 for the std) and summed as exact
     integers, so the result is the same for every partitioning, after every retry, and in any
-    engine that follows the same integer recipe (the SQL twin does). Values must lie within
-    +-9e6. The std of fewer than two values is NULL."""
-    q12 = F.floor(v * F.lit(1e12) + 0.5).cast("decimal(38,0)")
-    q9 = F.floor(v * F.lit(1e9) + 0.5).cast("decimal(38,0)")
+    engine that follows the same integer recipe (the SQL twin does). The recipe holds for values
+    within +-9e6 and up to 1,000 of them; a group beyond that takes ``avg`` and ``stddev_samp``.
+    The std of fewer than two values is NULL."""
+    v = v if isinstance(v, F.Column) else F.col(v)
+    small = F.when(F.abs(v) <= F.lit(FIXED_MAX), v)
+    q12 = F.floor(small * F.lit(1e12) + 0.5).cast("decimal(38,0)")
+    q9 = F.floor(small * F.lit(1e9) + 0.5).cast("decimal(38,0)")
     n = F.count(v)
-    mean = F.sum(q12).cast("double") / n.cast("double") / F.lit(1e12)
-    t1, t2 = F.sum(q9), F.sum(q9 * q9)
+    exact = (F.count(small) == n) & (n <= FIXED_ROWS)
+    mean = F.when(exact, F.try_sum(q12).cast("double") / n.cast("double") / F.lit(1e12)).otherwise(F.avg(v))
+    t1, t2 = F.try_sum(q9), F.try_sum(q9 * q9)
     num = n.cast("decimal(38,0)") * t2 - t1 * t1
-    std = F.when(n >= 2, F.sqrt(num.cast("double") / (n * (n - 1)).cast("double")) / F.lit(1e9))
+    fixed = F.sqrt(num.cast("double") / (n * (n - 1)).cast("double")) / F.lit(1e9)
+    std = F.when(n >= 2, F.when(exact, fixed).otherwise(F.stddev_samp(v)))
     return mean, std
 
 

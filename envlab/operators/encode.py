@@ -1,11 +1,13 @@
 """Word-level encoding and batching of environment examples.
 
 The vocabulary is built from the training texts; the reference's pretrained sub-word tokenizer
-is not rebuilt (see README). Encoding truncates the token list first, so the per-row work and the
-shuffle that regroups token ids are bounded by ``max_len`` whatever the text length.
+is not rebuilt (see README). Whole texts and all words are encoded; a maximum length or vocabulary
+size is used only where the caller asks for one.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +20,16 @@ from envlab.session import join_small
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
 SPECIALS = (PAD, UNK, CLS, SEP, PREFIX_GROUP0, PREFIX_GROUP1)
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
-MODEL_MAX_LENGTH = 512
+# words looked up in a broadcast table, the most frequent first; the rest are joined by shuffle
+FREQUENT = 10_000
 
 
-def max_seq_length(requested: int | None, model_max: int = MODEL_MAX_LENGTH) -> int:
-    """model maximum capped at 1024 when nothing is requested, else min(requested, maximum)."""
+def max_seq_length(requested: int | None, model_max: int | None = None) -> int | None:
+    """the smaller of the requested length and the model's maximum; a model's maximum alone is
+    capped at 1024. None (no truncation) when neither is given."""
     if requested is None:
-        return min(model_max, 1024)
-    return min(int(requested), model_max)
+        return None if model_max is None else min(model_max, 1024)
+    return int(requested) if model_max is None else min(int(requested), model_max)
 
 
 def word_tokens(text) -> F.Column:
@@ -33,37 +37,49 @@ def word_tokens(text) -> F.Column:
     return F.transform(tokens(text), lambda t: F.when(t.isin(*SPECIALS), t).otherwise(F.lower(t)))
 
 
-def build_vocab(texts: DataFrame, size: int, text_col: str = "text") -> DataFrame:
-    """F16: ``(token, id, n)``: the special tokens with fixed ids, then the ``size`` most frequent
-    other tokens (ties by token), ids in that order. Counting is a partial + final aggregate; the
-    cut is a distributed top-k."""
+def build_vocab(texts: DataFrame, size: int | None = None, text_col: str = "text") -> DataFrame:
+    """F16: ``(token, id, n)``: the special tokens with fixed ids, then all other tokens, the most
+    frequent first (ties by token), ids in that order; ``size`` keeps only the first so many.
+    Counting is a partial + final aggregate, ids are exact distributed ranks (buckets of a count and
+    the token's first bytes)."""
     t = texts.select(F.explode(word_tokens(text_col)).alias("token")).where(~F.col("token").isin(*SPECIALS))
     counts = t.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.col("n").desc(), F.col("token").asc()).limit(int(size))
-    w = Window.orderBy(F.col("n").desc(), F.col("token").asc())
-    words = top.select("token", (F.row_number().over(w) - 1 + len(SPECIALS)).cast("int").alias("id"), "n")
+    start = F.conv(F.rpad(F.hex(F.substring(F.encode("token", "UTF-8"), 1, 3)), 6, "0"), 16, 10).cast("long")
+    x = counts.withColumn("_neg", -F.col("n"))
+    ranked = rank_within(x, [], ["_neg", "token"], F.col("_neg") * F.lit(1 << 24) + start, name="_r")
+    if size is not None:
+        ranked = ranked.where(F.col("_r") < int(size))
+    words = ranked.select("token", (F.col("_r") + len(SPECIALS)).cast("int").alias("id"), "n")
     spark = texts.sparkSession
     sp = spark.createDataFrame([(s, i, 0) for i, s in enumerate(SPECIALS)], "token string, id int, n long")
     return sp.unionByName(words)
 
 
-def encode(df: DataFrame, vocab: DataFrame, max_len: int, key: str = "example_id", text_col: str = "text",
-           vocab_rows: int | None = None) -> DataFrame:
-    """``input_ids = [CLS] + ids(tokens[: max_len - 2]) + [SEP]`` (unknown -> [UNK]) and an
-    attention mask of ones; other columns of ``df`` are kept, ``text`` is dropped.
+def encode(df: DataFrame, vocab: DataFrame, max_len: int | None = None, key: Sequence[str] = ("env", "example_id"),
+           text_col: str = "text") -> DataFrame:
+    """``input_ids = [CLS] + ids(tokens) + [SEP]`` (unknown -> [UNK]) and an attention mask of
+    ones; other columns of ``df`` are kept, ``text`` is dropped. ``key`` names the columns that tell
+    rows apart (example ids may repeat across environments). ``max_len`` truncates if given.
 
-    Token positions are exploded, looked up in the (size-checked) broadcast vocabulary and
-    regrouped per example, carrying the other columns along: one pass over the rows and one
-    shuffle of at most ``max_len`` small ints per row.
+    Token positions are exploded and looked up: the ``FREQUENT`` most frequent words in a broadcast
+    table of that many rows, so hot words are never shuffled by word; the rare rest by a join on the
+    word. Ids are then regrouped per row: one shuffle of a small struct per token.
     """
-    keep = [c for c in df.columns if c not in (text_col, key)]
-    body = F.slice(word_tokens(text_col), 1, int(max_len) - 2)
-    x = df.select(key, *keep, F.posexplode_outer(body).alias("pos", "token"))
-    j = join_small(x, vocab.select("token", "id"), "token", "left", rows=vocab_rows)
+    key = [k for k in key if k in df.columns]
+    keep = [c for c in df.columns if c not in (text_col, *key)]
+    body = word_tokens(text_col)
+    if max_len is not None:
+        body = F.slice(body, 1, int(max_len) - 2)
+    x = df.select(*key, *keep, F.posexplode_outer(body).alias("pos", "token"))
+    top = F.col("id") < FREQUENT + len(SPECIALS)
+    often = x.join(F.broadcast(vocab.where(top).select("token", "id")), "token", "left")
+    found = F.col("id").isNotNull() | F.col("pos").isNull()
+    rare = often.where(~found).drop("id").join(vocab.where(~top).select("token", "id"), "token", "left")
+    j = often.where(found).unionByName(rare)
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
-    ids = j.groupBy(key).agg(*[F.first(c).alias(c) for c in keep], F.array_sort(F.collect_list(item)).alias("_p"))
+    ids = j.groupBy(*key).agg(*[F.first(c).alias(c) for c in keep], F.array_sort(F.collect_list(item)).alias("_p"))
     seq = F.concat(F.array(F.lit(CLS_ID)), F.transform("_p", lambda s: s["id"]), F.array(F.lit(SEP_ID)))
-    out = ids.select(key, *keep, seq.alias("input_ids"))
+    out = ids.select(*key, *keep, seq.alias("input_ids"))
     return out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 

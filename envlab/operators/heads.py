@@ -6,33 +6,25 @@ higher-order functions. No self-join and no pair rows.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from envlab.operators.ranking import rank_within
-from envlab.session import join_small
 from envlab.functions.probs import argmax, dot, js_divergence, l2_distance, pair_mean, with_normalized, with_softmax
 
-MAX_BATCHES = 50
 EVAL_BATCH = 64
 
 
-def prediction_divergence(head_logits: DataFrame, max_batches: int = MAX_BATCHES, batch_size: int = EVAL_BATCH,
+def prediction_divergence(head_logits: DataFrame, max_batches: int | None = None, batch_size: int = EVAL_BATCH,
                           group: str | None = None) -> DataFrame:
     """Mean over evaluation batches of the per-batch mean (over examples, then over head
     pairs) Jensen-Shannon divergence and top-1 disagreement.
 
-    Batches follow ``example_id`` order and only the first ``max_batches`` count (the reference's
-    cap); that cut is a distributed top-k of ``max_batches * batch_size`` rows. With ``group``
-    (e.g. a step), the same is done per group. NULL when fewer than two heads.
+    Batches follow ``example_id`` order; all count unless ``max_batches`` asks for the first so many.
+    With ``group`` (e.g. a step), the same is done per group. NULL when fewer than two heads.
     """
     keys = [group] if group else []
-    cap = int(max_batches) * int(batch_size)
     src = head_logits.select(*keys, "example_id", "env", "logits")
-    if not keys:
-        # the cap first: only the first ``cap`` example ids are scored (a top-k over the ids)
-        first_ids = src.select("example_id").distinct().orderBy("example_id").limit(cap)
-        src = join_small(src, first_ids, "example_id", "left_semi", rows=cap)
     probs = with_softmax(src, "logits", "p")
     per_ex = probs.groupBy(*keys, "example_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("env", "p"))), lambda h: h["p"]).alias("ps")
@@ -44,13 +36,10 @@ def prediction_divergence(head_logits: DataFrame, max_batches: int = MAX_BATCHES
         pair_mean("ps", js_divergence).alias("js"),
         pair_mean("top", lambda a, b: (a != b).cast("double")).alias("dis"),
     )
-    if keys:
-        # exact position per group without a whole group in one task: buckets of 4096 ids
-        x = rank_within(x, keys, ["example_id"], F.floor(F.col("example_id") / 4096).cast("long"), name="_pos")
-        x = x.where(F.col("_pos") < cap)
-    else:
-        x = x.orderBy("example_id").limit(cap)
-        x = x.select("*", (F.row_number().over(Window.orderBy("example_id")) - 1).alias("_pos"))
+    # exact positions without a whole group in one task: buckets of 4096 ids
+    x = rank_within(x, keys, ["example_id"], F.floor(F.col("example_id") / 4096).cast("long"), name="_pos")
+    if max_batches is not None:
+        x = x.where(F.col("_pos") < int(max_batches) * int(batch_size))
     b = x.groupBy(*keys, F.floor(F.col("_pos") / batch_size).alias("_batch")).agg(
         F.avg("js").alias("js"), F.avg("dis").alias("dis")
     )

@@ -49,24 +49,25 @@ def rank_within(
     the group's row count is added under that name as well (it comes with the offsets).
     """
     keys = list(keys)
-    b = "_rk_bucket"
-    x = df.withColumn(b, bucket)
-    counts = x.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_rk_n"))
-    w = Window.partitionBy(*keys).orderBy(b) if keys else Window.orderBy(b)
+    # keys and bucket as one struct: equal also where a key is NULL, and the join's partitioning serves the window
+    part, b = "_rk_part", "_rk_part._rk_bucket"
+    group = [f"{part}.{k}" for k in keys]
+    x = df.withColumn(part, F.struct(*keys, bucket.alias("_rk_bucket")))
+    counts = x.groupBy(part).agg(F.count(F.lit(1)).alias("_rk_n"))
+    w = Window.partitionBy(*group).orderBy(b) if keys else Window.orderBy(b)
     extra = []
     if total:
         extra.append(F.sum("_rk_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total))
     offsets = counts.select(
-        *keys,
-        b,
+        part,
         (F.sum("_rk_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_rk_n")).alias(
             "_rk_off"
         ),
         *extra,
     )
-    joined = x.join(offsets, keys + [b], "inner")
-    wr = Window.partitionBy(*keys, b).orderBy(*order)
-    return joined.withColumn(name, (F.row_number().over(wr) - 1 + F.col("_rk_off")).cast("long")).drop(b, "_rk_off")
+    joined = x.join(offsets, part, "inner")
+    wr = Window.partitionBy(part).orderBy(*order)
+    return joined.withColumn(name, (F.row_number().over(wr) - 1 + F.col("_rk_off")).cast("long")).drop(part, "_rk_off")
 
 
 def first_k_cuts(

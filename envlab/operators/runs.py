@@ -39,6 +39,7 @@ def run_value(history: DataFrame, summary: DataFrame | None, metric: str, strate
     keys = _run_keys(history)
     h = history.where(F.col("metric") == metric)
     valid = F.col("value").isNotNull() & ~F.isnan("value")
+    # a run that is only in the summary has no history row at all: joined from both sides below
     if strategy == "last":
         best = F.max(F.when(valid, F.struct("step", "value")))
     else:
@@ -52,7 +53,7 @@ def run_value(history: DataFrame, summary: DataFrame | None, metric: str, strate
         sv, ss = F.col("_s.value"), F.col("_s.step")
     elif summary is not None:
         s = summary.where(F.col("metric") == metric).select(*keys, "summary_value", "summary_step")
-        x = x.join(s, keys, "left")
+        x = x.join(s, keys, "full")
         sv, ss = F.col("summary_value"), F.col("summary_step")
     else:
         sv, ss = F.lit(None).cast("double"), F.lit(None).cast("long")
@@ -65,9 +66,11 @@ def run_table(history: DataFrame, metric: str, strategy: str = "last") -> DataFr
     """C8 per-run table in one pass: parsed name attributes, ``parsed`` flag, and the run's value
     and step (NULL when missing) from a single aggregate over the history."""
     keys = _run_keys(history)
-    valid = F.col("value").isNotNull() & ~F.isnan("value")
+    mine = F.col("metric") == metric
+    valid = mine & F.col("value").isNotNull() & ~F.isnan("value")
     best = F.max(F.when(valid, F.struct("step", "value"))) if strategy == "last" else F.min(F.when(valid, F.struct("value", "step")))
-    x = history.where(F.col("metric") == metric).groupBy(*keys).agg(best.alias("_b"), F.max(F.struct("step", "value")).alias("_s"))
+    # every run counts, also one without a row of the metric
+    x = history.groupBy(*keys).agg(best.alias("_b"), F.max(F.when(mine, F.struct("step", "value"))).alias("_s"))
     hv = F.col("_b.value")
     x = x.select(
         *keys,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from envlab.functions.draws import draw
 from envlab.functions.text import inject_prefix, toy_text
-from envlab.operators.balance import balance_by_gender, flag_test_rows
+from envlab.operators.balance import balance_by_gender, check_nonempty, flag_test_rows, gender_counts
 from envlab.operators.envs import (
     assign_round_robin,
     attach_classes,
@@ -125,6 +125,7 @@ def build_corpus_b(
 
     The test rows are flagged (not split off), so the pooled rows are scanned once and shuffled
     once, for the round-robin rank."""
+    check_nonempty(gender_counts(corpus))
     pool = balance_by_gender(corpus, seed)
     flagged, train_classes = flag_test_rows(pool, k_test_per_class, seed, stratify=stratify_test, with_train_classes=True)
     m = max(2, int(m))

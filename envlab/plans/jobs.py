@@ -16,7 +16,7 @@ from envlab.operators import encode as EN
 from envlab.operators import runs as RN
 from envlab.plans.corpus import Corpus, build_corpus_a, build_corpus_b, build_toy
 from envlab.plans.support_report import support_report
-from envlab.session import is_dir
+from envlab.session import is_dir, materialize
 from envlab.sinks.files import write_csv_report, write_encoded, write_env_tsv, write_pooled_tsv, write_val_tsv
 from envlab.sources.corpus import read_corpus
 from envlab.sources.logs import available_columns, discover_logs, read_eval_logs
@@ -33,7 +33,7 @@ def write_corpus(corpus: Corpus, out_dir: str) -> None:
 
 
 def corpus_a_job(spark: SparkSession, splits: Mapping[str, str], out_dir: str, **kw) -> Corpus:
-    """C1 (``Bias_in_Bios`` builder): splits ``train``, ``dev``, ``test`` -> environment files."""
+    """C1 (separately balanced splits): splits ``train``, ``dev``, ``test`` -> environment files."""
     c = build_corpus_a(spark, read_corpus(spark, splits), **kw)
     write_corpus(c, out_dir)
     return c
@@ -63,14 +63,22 @@ def support_job(spark: SparkSession, splits: Mapping[str, str], out_path: str) -
     return rep
 
 
-def encode_job(spark: SparkSession, train_dir: str, validation_file: str, out_path: str, vocab_size: int = 30000,
-               max_seq_length: int | None = 128) -> DataFrame:
+def encode_job(spark: SparkSession, train_dir: str, validation_file: str, out_path: str, vocab_size: int | None = None,
+               max_seq_length: int | None = None) -> DataFrame:
     """Environment files (or one pooled file) + validation file -> encoded Parquet per env."""
     envs = read_envs(spark, train_dir) if is_dir(spark, train_dir) else read_pooled(spark, train_dir)
     val = read_pooled(spark, validation_file, env="validation")
-    lines = drop_blank(envs.unionByName(val)).withColumn("example_id", F.monotonically_increasing_id())
+    lines = drop_blank(envs.unionByName(val))
+    # a line's id follows from the line: equal lines of an environment are numbered by copies
+    copies = lines.groupBy(*lines.columns).agg(F.count(F.lit(1)).alias("_n"))
+    lines = materialize(
+        copies.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(
+            *lines.columns, F.concat_ws("-", F.md5(F.concat_ws("\t", F.col("labels").cast("string"), "text")), "_c").alias("example_id")
+        ),
+        "encode-lines",
+    )
     vocab = EN.build_vocab(lines.where(F.col("env") != "validation"), vocab_size)
-    enc = EN.encode(lines, vocab, EN.max_seq_length(max_seq_length), vocab_rows=vocab_size + len(EN.SPECIALS))
+    enc = EN.encode(lines, materialize(vocab, "encode-vocab"), EN.max_seq_length(max_seq_length))
     write_encoded(enc, out_path)
     return enc
 

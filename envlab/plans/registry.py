@@ -95,7 +95,7 @@ def q_split_train(spark, d):
 # ---------------------------------------------------------------- classes, environments, corpora
 from envlab.functions.text import PREFIX_GROUP0, PREFIX_GROUP1, count_prefix  # noqa: E402
 from envlab.operators.envs import assign_contiguous, assign_round_robin, class_ids, env_grid, env_grid_legacy, shuffle_positions  # noqa: E402
-from envlab.plans.corpus import build_corpus_a, build_corpus_b, build_toy  # noqa: E402
+from envlab.plans.corpus import build_corpus_a, build_corpus_b  # noqa: E402
 
 # Builder parameters (FIXTURES.md "Literals")
 GAP, M, MEAN, VAL_COLOR = 0.4, 2, 0.2, 0.9
@@ -195,14 +195,6 @@ def q_inject_tokens(spark, d):
     )
 
 
-@query("toy_corpus")
-def q_toy_corpus(spark, d):
-    """C3 sized by the data: ``n_train_per_env`` = rows of ``documents``, ``n_val`` = a quarter of it."""
-    n = fx.table(spark, d, "documents").count()
-    c = build_toy(spark, GAP, n, n // 4, M, MEAN, 1.0, SEED)
-    return c.lines.select("env", "example_id", "text", "labels", "pos")
-
-
 # ---------------------------------------------------------------- evaluation (C6) and head divergence
 from envlab.operators import heads as HD  # noqa: E402
 from envlab.operators import metrics as MT  # noqa: E402
@@ -308,8 +300,8 @@ def q_parse_runs(spark, d):
 
 @query("unparsed_runs")
 def q_unparsed_runs(spark, d):
-    """The first 15 names that do not parse (the reference prints 15), by name."""
-    return _parsed(spark, d).where(~F.col("parsed")).select("run_id", "run_name").orderBy("run_name", "run_id").limit(15)
+    """All names that do not parse, by name (a display limit is the caller's)."""
+    return _parsed(spark, d).where(~F.col("parsed")).select("run_id", "run_name").orderBy("run_name", "run_id")
 
 
 @query("run_last")
@@ -327,6 +319,22 @@ def q_run_totals(spark, d):
     return RN.run_totals(RN.run_table(_history(spark, d), METRIC, "last"))
 
 
+@query("run_last_summary")
+def q_run_last_summary(spark, d):
+    """Runs with a tracker summary table: some runs have no history at all, only a summary."""
+    h = _history(spark, d)
+    v = RN.run_value(h.where(F.pmod("run_id", F.lit(7)) != 2), fx.run_summary(h), METRIC, "last")
+    return v.select("run_id", "run_name", "step", "value")
+
+
+@query("run_totals_summary")
+def q_run_totals_summary(spark, d):
+    """Totals over all runs, also those without a row of the metric."""
+    h = _history(spark, d)
+    other = F.when(F.pmod("run_id", F.lit(7)) == 2, F.lit("loss")).otherwise(F.col("metric"))
+    return RN.run_totals(RN.run_table(h.withColumn("metric", other), METRIC, "last"))
+
+
 def _seed_agg(spark, d):
     a = RN.seed_aggregate(_values(spark, d, "last"), prefix=METRIC)
     return a.select("algo", "lr", "model", "n_seeds", r9(F.col(f"mean_{METRIC}")).alias(f"mean_{METRIC}"),
@@ -359,7 +367,7 @@ def q_run_grid(spark, d):
     )
     x = r.select("user_id", name.alias("run_name"))
     t = run_tags(F.col("run_name"))
-    return x.select("user_id", "run_name", t["algo"].alias("tag_algo"), t["group"].alias("tag_group"))
+    return x.select("user_id", "run_name", t["algo"].alias("tag_algo"), t["group"].alias("tag_group"), t["k"].alias("tag_k"), t["freeze"].alias("tag_freeze"))
 
 
 # ---------------------------------------------------------------- learning curves
@@ -402,7 +410,7 @@ from envlab.operators import encode as EN  # noqa: E402
 from envlab.sinks.files import write_env_tsv  # noqa: E402
 from envlab.sources.tsv import drop_blank, read_envs  # noqa: E402
 
-VOCAB_SIZE, MAX_LEN, BATCH, ACCUM, EPOCHS = 3000, 128, 64, 4, 3
+BATCH, ACCUM, EPOCHS = 64, 4, 3
 
 
 def _lines_b(spark, d):
@@ -424,7 +432,7 @@ def _stored_lines(spark, d):
 
 
 def _vocab(spark, lines):
-    return EN.build_vocab(lines.where(F.col("env") != "val"), VOCAB_SIZE)
+    return EN.build_vocab(lines.where(F.col("env") != "val"))
 
 
 @query("vocab")
@@ -434,8 +442,7 @@ def q_vocab(spark, d):
 
 def _encoded(spark, d):
     lines = _stored_lines(spark, d)
-    vocab, n = count_small(_vocab(spark, lines))
-    return EN.encode(drop_blank(lines), vocab, EN.max_seq_length(MAX_LEN), vocab_rows=n)
+    return EN.encode(drop_blank(lines), materialize(_vocab(spark, lines), "vocab"))
 
 
 @query("encoded")
@@ -443,6 +450,15 @@ def q_encoded(spark, d):
     return _encoded(spark, d).select("env", "example_id", "labels", "input_ids", "attention_mask")
 
 
+@query("encoded_repeated_ids")
+def q_encoded_repeated_ids(spark, d):
+    """Encoding of lines whose ids repeat across environments: no row is lost or merged."""
+    lines = _stored_lines(spark, d).where(F.col("env") != "val")
+    both = lines.unionByName(lines.withColumn("env", F.concat(F.lit("again_"), "env")).withColumn("text", F.reverse("text")))
+    enc = EN.encode(drop_blank(both), materialize(_vocab(spark, lines), "vocab"))
+    return enc.select("env", "example_id", "labels", "input_ids", "attention_mask")
+
+
 def _batches(spark, d):
     """K8 then W8: the encoded set is stored (as the encoding job does), batches drawn from it."""
     train = materialize(_encoded(spark, d), "encoded").where(F.col("env") != "val")

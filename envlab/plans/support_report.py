@@ -4,11 +4,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from envlab.operators.balance import check_nonempty, gender_counts
 from envlab.operators.support import support_table, threshold_counts, top_support
 
 
 def support_report(corpus: DataFrame) -> DataFrame:
     """Train = train + dev splits, validation = test split, each balanced by gender on its own."""
+    check_nonempty(gender_counts(corpus))
     train = corpus.where(F.col("split").isin("train", "dev"))
     val = corpus.where(F.col("split") == "test")
     return support_table(train, val)
@@ -20,8 +22,3 @@ def support_thresholds(corpus: DataFrame, min_train: int, min_val: int) -> DataF
 
 def support_top(corpus: DataFrame, n: int = 10, descending: bool = True) -> DataFrame:
     return top_support(support_report(corpus), n, "val_count", descending)
-
-
-def write_support_report(report: DataFrame, path: str) -> None:
-    """K4: one CSV with header ``profession,train_count,val_count`` sorted by class."""
-    report.orderBy("profession").coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -57,15 +57,14 @@ def head_logits(spark: SparkSession, sf_dir: str, n_envs: int = 3, n_classes: in
 
 
 def head_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Head weight snapshots (D5): step = vec_id div 3, env = env_{vec_id % 3 + 1}; incomplete last step dropped."""
+    """Head weight snapshots (D5): step = vec_id div 3, env = env_{vec_id % 3 + 1}; the last step
+    may have fewer heads."""
     e = table(spark, sf_dir, "embeddings")
-    w = e.select(
+    return e.select(
         F.floor(F.col("vec_id") / 3).cast("long").alias("step"),
         F.concat(F.lit("env_"), (F.pmod(F.col("vec_id"), F.lit(3)) + 1).cast("string")).alias("env"),
         F.expr("transform(embedding, x -> CAST(x AS DOUBLE))").alias("w"),
     )
-    full = w.groupBy("step").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 3).select("step")
-    return w.join(full, "step", "left_semi")
 
 
 def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:

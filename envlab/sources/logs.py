@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envlab.functions.names import lr_from_path
-from envlab.session import join_small
-
+# The columns of the three logs, as their writers name them.
 EVAL_COLUMNS = [
     "step", "loss", "accuracy", "f1_macro", "corr_support_f1_pearson_r", "corr_support_f1_spearman_rho",
     "f1_head", "f1_tail", "gap_head_tail",
@@ -26,61 +25,76 @@ TRAINING_COLUMNS = ["step", "train_loss", "train_loss_moving_avg", "round"]
 HEADS_COLUMNS = ["step", "l2_mean", "cosine_mean", "js_mean", "disagree_mean"]
 
 
-def _strip_scheme(p: str) -> str:
-    p = re.sub(r"^file:(//)?", "", p)
-    return p.rstrip("/")
+def _qualified(spark: SparkSession, base: str) -> str:
+    """Path part of ``base`` as Spark reports it (decoded, without a scheme)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return str(fs.makeQualified(p).toUri().getPath()).rstrip("/")
+
 
+def discover_logs(spark: SparkSession, base: str, name: str = "eval") -> DataFrame:
+    """Lines of every ``**/csv_logs/<name>.csv`` (a file, or a folder of parts) below ``base``:
+    (path, run_dir, rel_path, line). One read of the tree; the path filter is applied to the file
+    listing, so other logs of the runs are never opened."""
+    encoded = F.col("_metadata.file_path")
+    pat = rf"/csv_logs/{re.escape(name)}\.csv(/[^/]+)?$"
+    lines = spark.read.option("recursiveFileLookup", "true").text(base).where(encoded.rlike(pat)).select(
+        F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("line"),
+        F.col("_metadata.file_block_start").alias("_start"),
+    )
+    if lines.isEmpty():
+        raise FileNotFoundError(f"no csv_logs/{name}.csv below {base}")
+    root = _qualified(spark, base)
+    local = F.regexp_replace("path", r"^[a-zA-Z0-9+.-]+:(//[^/]*)?", "")
+    rel = F.when(F.startswith(local, F.lit(root)), local.substr(F.lit(len(root) + 1), F.length(local))).otherwise(local)
+    run_dir = F.regexp_extract(F.col("path"), rf"([^/]+){pat}", 1)
+    return lines.select("path", run_dir.alias("run_dir"), rel.alias("rel_path"), "line", "_start")
 
-def find_log_files(spark: SparkSession, base: str, name: str = "eval") -> list[str]:
-    """Every file of ``**/csv_logs/<name>.csv`` (a file, or a folder of parts) below ``base``.
 
-    Spark's file index lists the tree (in parallel for large trees) without opening any file;
-    the list comes back in one call and is filtered by path."""
-    pat = re.compile(rf"/csv_logs/{re.escape(name)}\.csv(/[^/]+)?$")
-    every = spark.read.option("recursiveFileLookup", "true").text(base).inputFiles()
-    return sorted(f for f in every if pat.search(f))
+def _cells(line) -> F.Column:
+    """Cells of a CSV line: split at commas outside quotes, blanks and quotes taken off."""
+    cells = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.transform(cells, lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"')))
 
 
-def discover_logs(spark: SparkSession, base: str, name: str = "eval") -> DataFrame:
-    """Lines of every ``**/csv_logs/<name>.csv`` below ``base``: (path, run_dir, rel_path, line).
-    Only the matching files are read (other logs of the runs are never opened)."""
-    files = find_log_files(spark, base, name)
-    if not files:
-        raise FileNotFoundError(f"no csv_logs/{name}.csv below {base}")
-    lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
-    b = _strip_scheme(base)
-    pos = F.instr(F.col("path"), b)
-    rel = F.when(pos > 0, F.expr(f"substring(path, instr(path, '{b}') + {len(b) + 1})")).otherwise(F.col("path"))
-    run_dir = F.regexp_extract(F.col("path"), rf"([^/]+)/csv_logs/{re.escape(name)}\.csv(/[^/]+)?$", 1)
-    return lines.select("path", run_dir.alias("run_dir"), rel.alias("rel_path"), "line")
+def _headers(lines: DataFrame, key_col: str) -> DataFrame:
+    """(path, _line, _header) of every file: its first line. A file's first split is read in order,
+    so the first line has the smallest running id there. Fails on a file without ``key_col``."""
+    start = lines.where(F.col("_start") == 0) if "_start" in lines.columns else lines
+    numbered = start.where(F.length(F.trim("line")) > 0).withColumn("_at", F.monotonically_increasing_id())
+    h = numbered.groupBy("path").agg(F.min_by("line", "_at").alias("_line")).withColumn("_header", _cells(F.col("_line")))
+    bad = h.where(~F.array_contains("_header", key_col)).select("path").head(1)
+    if bad:
+        raise ValueError(f"no column {key_col!r} in the header of {bad[0][0]}")
+    return h
 
 
 def parse_ragged(lines: DataFrame, keep: Sequence[str], key_col: str = "step") -> DataFrame:
     """Typed rows from header-carrying CSV lines of many files with different headers.
 
-    A header line is the one whose first cell is ``key_col``; missing columns and empty cells are
-    NULL; ``nan`` cells are NaN (see :func:`missing_as_null`). Plain numeric logs only (no quoting).
+    A file's first line is its header, in any column order; cells may be quoted; missing columns
+    and empty cells are NULL; ``nan`` cells are NaN (see :func:`missing_as_null`); a key written as
+    a decimal (``250.0``) counts as its whole number.
     """
-    cells = F.split(F.col("line"), ",", -1)
-    x = lines.where(F.length(F.trim("line")) > 0).withColumn("_cells", cells)
-    headers = x.where(F.col("_cells")[0] == key_col).select("path", F.col("_cells").alias("_header")).dropDuplicates(["path"])
-    data = x.where(F.col("_cells")[0] != key_col)
-    j = join_small(data, headers, "path")
-    m = F.map_from_arrays(F.slice("_header", 1, F.size("_cells")), F.slice("_cells", 1, F.size("_header")))
+    headers = _headers(lines, key_col).select(F.col("path").alias("_path"), "_line", "_header")
+    data = lines.where(F.length(F.trim("line")) > 0).join(headers, F.col("path") == F.col("_path"))
+    j = data.where(F.col("line") != F.col("_line")).withColumn("_cells", _cells(F.col("line")))
+    n = F.least(F.size("_header"), F.size("_cells"))
+    m = F.map_from_entries(F.arrays_zip(F.slice("_header", F.lit(1), n), F.slice("_cells", F.lit(1), n)))
     j = j.withColumn("_m", m)
-    cols = [F.trim(F.col("_m")[key_col]).try_cast("long").alias(key_col)]
+    cols = [F.col("_m")[key_col].try_cast("double").try_cast("long").alias(key_col)]
     for c in keep:
         if c == key_col:
             continue
-        cols.append(F.nullif(F.trim(F.col("_m")[c]), F.lit("")).try_cast("double").alias(c))
-    other = [c for c in lines.columns if c not in ("line",)]
+        cols.append(F.nullif(F.col("_m")[c], F.lit("")).try_cast("double").alias(c))
+    other = [c for c in lines.columns if c not in ("line", "_start")]
     return j.select(*other, *cols)
 
 
 def available_columns(lines: DataFrame, key_col: str = "step") -> list[str]:
     """Columns found in at least one header (P12). Reads only the distinct headers."""
-    h = lines.where(F.split("line", ",", -1)[0] == key_col).select(F.explode(F.split("line", ",", -1)).alias("c")).distinct()
-    return [r[0].strip() for r in h.collect()]
+    h = _headers(lines, key_col).select(F.explode("_header").alias("c")).distinct()
+    return [r[0] for r in h.collect()]
 
 
 def missing_as_null(c: str):

@@ -25,6 +25,21 @@ MA_SCHEMA = "run long, step long, train_loss double, train_loss_moving_avg doubl
 MA_STATE = "buf array<double>"
 
 
+SLICE = 1 << 16
+
+
+def window_means(values: np.ndarray, window: int) -> np.ndarray:
+    """Mean of the non-missing values among each value and the ``window - 1`` before it (NaN where
+    there is none). Every window is summed on its own, a slice of rows at a time."""
+    padded = np.concatenate([np.full(window - 1, np.nan), values])
+    out = np.empty(len(values))
+    for at in range(0, len(values), SLICE):
+        part = np.lib.stride_tricks.sliding_window_view(padded[at:at + SLICE + window - 1], window)
+        n = (~np.isnan(part)).sum(axis=1)
+        out[at:at + SLICE] = np.where(n > 0, np.nansum(part, axis=1) / np.maximum(n, 1), np.nan)
+    return out
+
+
 def _moving_avg_state(window: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         buf = list(state.get[0]) if state.exists else []
@@ -34,10 +49,7 @@ def _moving_avg_state(window: int):
         pdf = pd.concat(parts).sort_values("step", kind="stable")
         vals = pdf["train_loss"].to_numpy(dtype="float64")
         full = np.concatenate([np.asarray(buf, dtype="float64"), vals])
-        cs = np.concatenate([[0.0], np.cumsum(full)])
-        idx = np.arange(len(buf), len(full))
-        lo = np.maximum(idx + 1 - window, 0)
-        ma = (cs[idx + 1] - cs[lo]) / (idx + 1 - lo)
+        ma = window_means(full, window)[len(buf):]
         state.update((full[-(window - 1):].tolist() if window > 1 else [],))
         yield pd.DataFrame({"run": pdf["run"].to_numpy(), "step": pdf["step"].to_numpy(),
                             "train_loss": vals, "train_loss_moving_avg": ma})

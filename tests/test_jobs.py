@@ -52,7 +52,7 @@ def test_support_and_encode_jobs(spark):
     jobs.encode_job(spark, f"{out}/envs", f"{out}/val_test", enc_path, vocab_size=500)
     enc = spark.read.parquet(enc_path)
     assert enc.count() == 904
-    assert enc.where(F.size("input_ids") > 128).count() == 0
+    assert enc.where(F.size("input_ids") > 128).count() > 0  # whole texts
     assert os.path.isdir(f"{enc_path}/env=validation")
 
 
