@@ -265,6 +265,8 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
 
 def resolved(records: DataFrame) -> DataFrame:
     """Records with ``payload_bytes`` of revisits taken from the response they refer to, found by
-    its payload digest."""
+    its payload digest. The records are stored first: archives are read once, and the planner
+    knows the size of what it joins (its guess for records follows the short list of archives)."""
+    records = store(records, "warc-records")
     of = records.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full"))
     return records.join(of, "payload_digest", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "full")).drop("full")
