@@ -50,8 +50,9 @@ def encode_job(spark, lines):
 
 def curve_job(spark, base):
     """C9 on written logs: discovery, header-aware read, target lrs, one aggregate."""
-    metrics = CV.select_metrics(list(CV.DEFAULT_METRICS) + ["loss"], available_columns(discover_logs(spark, base, "eval")))
-    return CV.curve_summary(CV.keep_target_lrs(read_eval_logs(spark, base)), metrics)
+    lines = discover_logs(spark, base, "eval")
+    metrics = CV.select_metrics(list(CV.DEFAULT_METRICS) + ["loss"], available_columns(lines))
+    return CV.curve_summary(CV.keep_target_lrs(read_eval_logs(spark, base, lines=lines)), metrics)
 
 
 def run_all(spark, sf_dir):

@@ -103,7 +103,7 @@ def curve_job(spark: SparkSession, base_dir: str, out_dir: str, metrics: Sequenc
     metric ``summary_<metric>`` (K6)."""
     lines = discover_logs(spark, base_dir, "eval")
     chosen = CV.select_metrics(metrics, available_columns(lines))
-    rows = CV.keep_target_lrs(read_eval_logs(spark, base_dir), lrs)
+    rows = CV.keep_target_lrs(read_eval_logs(spark, base_dir, lines=lines), lrs)
     summary = CV.curve_summary(rows, chosen)
     for m in chosen:
         write_csv_report(CV.per_metric(summary, m), f"{out_dir.rstrip('/')}/summary_{m}", order=["lr", "step"])

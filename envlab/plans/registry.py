@@ -389,8 +389,9 @@ def q_curve_summary(spark, d):
     """Eval logs written per run (ragged headers), discovered, lr from the path, target lrs
     kept, mean/std per (lr, step) for every requested metric present."""
     base = _eval_logs_dir(spark, d)
-    rows = CV.keep_target_lrs(read_eval_logs(spark, base))
-    metrics = CV.select_metrics(CURVE_METRICS, available_columns(discover_logs(spark, base, "eval")))
+    lines = discover_logs(spark, base, "eval")
+    rows = CV.keep_target_lrs(read_eval_logs(spark, base, lines=lines))
+    metrics = CV.select_metrics(CURVE_METRICS, available_columns(lines))
     s = CV.curve_summary(rows, metrics)
     return s.select("lr", "step", *[r9(F.col(c)).alias(c) for c in s.columns if c not in ("lr", "step")])
 

@@ -102,9 +102,10 @@ def missing_as_null(c: str):
     return F.nanvl(F.col(c), F.lit(None).cast("double"))
 
 
-def read_eval_logs(spark: SparkSession, base: str, keep: Sequence[str] = tuple(EVAL_COLUMNS)) -> DataFrame:
+def read_eval_logs(spark: SparkSession, base: str, keep: Sequence[str] = tuple(EVAL_COLUMNS),
+                   lines: DataFrame | None = None) -> DataFrame:
     """S5 + S6 + F9: every run's eval rows with ``lr`` parsed from the path below ``base``; runs
-    without a learning rate in their path are dropped."""
-    lines = discover_logs(spark, base, "eval")
+    without a learning rate in their path are dropped. ``lines`` are already discovered lines."""
+    lines = discover_logs(spark, base, "eval") if lines is None else lines
     rows = parse_ragged(lines, keep)
     return rows.withColumn("lr", lr_from_path(F.col("rel_path"))).where(F.col("lr").isNotNull())
