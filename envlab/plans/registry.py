@@ -372,7 +372,7 @@ def q_run_grid(spark, d):
 
 # ---------------------------------------------------------------- learning curves
 from envlab.operators import curves as CV  # noqa: E402
-from envlab.session import count_small, materialize, scratch_path  # noqa: E402
+from envlab.session import materialize, scratch_path  # noqa: E402
 from envlab.sources.logs import EVAL_COLUMNS, discover_logs, available_columns, parse_ragged, read_eval_logs  # noqa: E402
 
 CURVE_METRICS = ["accuracy", "f1_macro", "f1_head", "f1_tail", "gap_head_tail", "loss"]
