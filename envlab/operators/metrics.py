@@ -37,9 +37,18 @@ def ensemble(head_logits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("pred", argmax(F.col("logits")))
 
 
-def confusion(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(by..., label, pred, n)`` plus the number of classes ``n_classes`` (length of the logits)."""
-    return pred.groupBy(*by, "label", "pred").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("logits")).alias("n_classes"))
+def confusion(pred: DataFrame, by: Sequence[str] = (), loss: bool = False) -> DataFrame:
+    """``(by..., label, pred, n)`` plus the number of classes ``n_classes`` (length of the logits);
+    with ``loss`` also each cell's sum of cross-entropies ``ce`` and their number ``n_ce``."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.max(F.size("logits")).alias("n_classes")]
+    if loss:
+        pred = with_logsumexp(pred, "logits", "_lse")
+        aggs += [F.sum(_cross_entropy()).alias("ce"), F.count(_cross_entropy()).alias("n_ce")]
+    return pred.groupBy(*by, "label", "pred").agg(*aggs)
+
+
+def _cross_entropy() -> F.Column:
+    return F.col("_lse") - F.element_at(F.col("logits"), F.col("label") + 1)
 
 
 def per_class(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -47,20 +56,24 @@ def per_class(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     One aggregate over the confusion cells: each cell adds its count to its label's support, its
     prediction's count and (on the diagonal) the true positives, and lists the classes
-    0..K-1 with zeros so classes never seen still get a row."""
+    0..K-1 with zeros so classes never seen still get a row. Sums of cross-entropies that ``conf``
+    holds are carried to their label's class."""
     by = list(by)
     z = F.lit(0).cast("long")
     n = F.col("n").cast("long")
+    losses = [c for c in ("ce", "n_ce") if c in conf.columns]
+    none = [F.lit(None).cast(conf.schema[c].dataType).alias(c) for c in losses]
     parts = F.array(
-        F.struct(F.col("label").alias("c"), n.alias("s"), z.alias("p"), F.when(F.col("label") == F.col("pred"), n).otherwise(z).alias("t")),
-        F.struct(F.col("pred").alias("c"), z.alias("s"), n.alias("p"), z.alias("t")),
+        F.struct(F.col("label").alias("c"), n.alias("s"), z.alias("p"), F.when(F.col("label") == F.col("pred"), n).otherwise(z).alias("t"), *losses),
+        F.struct(F.col("pred").alias("c"), z.alias("s"), n.alias("p"), z.alias("t"), *none),
     )
-    every = F.transform(F.sequence(F.lit(0), F.col("n_classes") - 1), lambda c: F.struct(c.alias("c"), z.alias("s"), z.alias("p"), z.alias("t")))
+    every = F.transform(F.sequence(F.lit(0), F.col("n_classes") - 1), lambda c: F.struct(c.alias("c"), z.alias("s"), z.alias("p"), z.alias("t"), *none))
     x = conf.select(*by, F.explode(F.concat(parts, every)).alias("_e"))
     t = x.groupBy(*by, F.col("_e.c").cast("int").alias("class")).agg(
-        F.sum("_e.s").alias("support"), F.sum("_e.p").alias("predicted"), F.sum("_e.t").alias("tp")
+        F.sum("_e.s").alias("support"), F.sum("_e.p").alias("predicted"), F.sum("_e.t").alias("tp"),
+        *[F.sum(f"_e.{c}").alias(c) for c in losses],
     )
-    t = t.select(*by, "class", *[F.col(c).cast("long").alias(c) for c in ("support", "predicted", "tp")])
+    t = t.select(*by, "class", *[F.col(c).cast("long").alias(c) for c in ("support", "predicted", "tp")], *losses)
     return t.select(
         "*",
         F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0).alias("precision"),
@@ -93,7 +106,8 @@ def eval_report(pc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per group: accuracy, macro F1 (classes seen in labels or predictions), Pearson and Spearman
     correlation of support with per-class F1 (classes with support > 0; NULL under three classes
     or for constant input), mean F1 of the head and tail quarter of classes by support, and
-    their gap (A12, A14, A16, A17, A18). The windows here run over K-row class tables."""
+    their gap (A12, A14, A16, A17, A18); and the mean cross-entropy ``loss`` if ``pc`` carries its
+    sums. The windows here run over K-row class tables."""
     by = list(by)
     k = F.count(F.lit(1)).over(Window.partitionBy(*by))
     t = pc.select(
@@ -114,6 +128,7 @@ def eval_report(pc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         _pearson(F.when(p, F.col("_rs")), F.when(p, F.col("_rf")), n_present).alias("corr_support_f1_spearman_rho"),
         F.avg(F.when(F.col("_pos") > F.col("_k") - F.col("_q"), F.col("f1"))).alias("f1_head"),
         F.avg(F.when(F.col("_pos") <= F.col("_q"), F.col("f1"))).alias("f1_tail"),
+        *([(F.sum("ce") / F.nullif(F.sum("n_ce"), F.lit(0))).alias("loss")] if "ce" in pc.columns else []),
     )
     return out.withColumn("gap_head_tail", F.col("f1_head") - F.col("f1_tail"))
 
@@ -139,27 +154,19 @@ def eval_report_extended(pc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def eval_loss(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean cross-entropy of the ensemble logits."""
     x = with_logsumexp(pred.select(*by, "logits", "label"), "logits", "_lse")
-    ce = F.col("_lse") - F.element_at(F.col("logits"), F.col("label") + 1)
-    return x.groupBy(*by).agg(F.avg(ce).alias("loss"), F.count(F.lit(1)).alias("n_examples"))
+    return x.groupBy(*by).agg(F.avg(_cross_entropy()).alias("loss"), F.count(F.lit(1)).alias("n_examples"))
 
 
 def evaluate(head_logits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """C6 in one call: the trainer's evaluation metrics per group, with the ``eval_`` prefix the
     trainer gives them, in long form ``(by..., metric, value)`` (what P11 cleans up)."""
-    pred = ensemble(head_logits, by)
-    rep = eval_report(per_class(confusion(pred, by), by), by)
-    loss = eval_loss(pred, by)
-    wide = rep.join(loss.select(*by, "loss"), list(by), "left") if by else _side_by_side(rep, loss.select("loss"))
+    # one pass over the heads: the loss comes with the confusion cells
+    wide = eval_report(per_class(confusion(ensemble(head_logits, by), by, loss=True), by), by)
     cols = ["loss"] + REPORT_COLUMNS
     stack = F.explode(F.array(*[F.struct(F.lit("eval_" + c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols]))
     return wide.select(*by, stack.alias("_m")).select(*by, "_m.metric", "_m.value")
 
 
-def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
-    k = "_sbs"
-    return a.withColumn(k, F.lit(0)).join(b.withColumn(k, F.lit(0)), k).drop(k)
-
-
 def custom_class_metric(pc: DataFrame, fn, schema: str, by: Sequence[str] = ()) -> DataFrame:
     """H3 open hook: a user metric over the per-class table (pandas in, pandas out), run with
     ``applyInPandas`` per group; the table has K rows per group, never the examples."""

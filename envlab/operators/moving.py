@@ -21,14 +21,12 @@ def moving_average(df: DataFrame, key: str, pos: str, value: str, out: str, wind
     ``pos`` must be the dense 0-based position inside the run (e.g. from ``rank_within``)."""
     if block < window:
         raise ValueError("block must be at least the window")
-    blk = F.floor(F.col(pos) / block).cast("long")
-    own = df.withColumn("_blk", blk).withColumn("_halo", F.lit(False))
-    tail = df.where(F.pmod(F.col(pos), F.lit(block)) >= block - (window - 1)).withColumn("_blk", blk + 1).withColumn(
-        "_halo", F.lit(True)
-    )
+    own = F.floor(F.col(pos) / block).cast("long")
+    in_tail = F.pmod(F.col(pos), F.lit(block)) >= block - (window - 1)
+    # one read: a row goes to its own block, and a block's last rows to the next block as well
+    x = df.withColumn("_own", own).withColumn("_blk", F.explode(F.when(in_tail, F.array(own, own + 1)).otherwise(F.array(own))))
     w = Window.partitionBy(key, "_blk").orderBy(pos).rowsBetween(-(window - 1), 0)
-    x = own.unionByName(tail).withColumn(out, F.avg(value).over(w))
-    return x.where(~F.col("_halo")).drop("_blk", "_halo")
+    return x.withColumn(out, F.avg(value).over(w)).where(F.col("_own").eqNullSafe(F.col("_blk"))).drop("_own", "_blk")
 
 
 def log_cadence(df: DataFrame, step: str = "step", every: int = 100) -> DataFrame:

@@ -26,8 +26,8 @@ def evaluation_tables(head_logits: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def divergence_report(head_logits: DataFrame, head_weights: DataFrame | None = None) -> DataFrame:
-    """C7 for one evaluation: prediction divergence (and weight divergence if weights are given)."""
+def divergence_report(head_logits: DataFrame) -> DataFrame:
+    """C7 for one evaluation: prediction divergence (weights have steps, see :func:`heads_report`)."""
     return H.prediction_divergence(head_logits)
 
 
