@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Tables whose row count is at most this are broadcast; larger ones take a shuffle join.
@@ -56,7 +56,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(d)
         return str(d)
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, S3, ...) for this job")
     d = tempfile.mkdtemp(prefix="envlab-ckpt-")
     spark.conf.set("spark.checkpoint.dir", d)
@@ -151,7 +151,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
-
-
-def lit_double(x: float) -> Column:
-    return F.lit(float(x)).cast("double")
