@@ -496,5 +496,20 @@ SQL["eval_by_step"] = _EVAL_BY_STEP
 SQL["eval_stream"] = _EVAL_BY_STEP
 
 
+
+# ---------------------------------------------------------------- sinks and the corpus reader, written and read back
+from envlab.plans.registry import CADENCE  # noqa: E402
+
+SQL["loss_cadence_stream"] = f"SELECT * FROM ({SQL['loss_moving_avg']}) WHERE step % {CADENCE} = 0"
+SQL["corpus_read"] = with_(BIOS) + "SELECT example_id, profession, gender, split, md5(text) AS text_md5 FROM bios"
+SQL["support_csv"] = SQL["support_report"]
+SQL["pooled_tsv"] = with_(_CB) + "SELECT 'erm' AS env, labels, md5(text) AS text_md5 FROM lines WHERE env <> 'val'"
+SQL["val_tsv"] = with_(_CB) + "SELECT env, labels, md5(text) AS text_md5 FROM lines WHERE env = 'val'"
+SQL["encoded_stored"] = SQL["encoded"]
+SQL["head_snapshots"] = SQL["head_weight_divergence"]
+SQL["map_batches"] = """SELECT doc_id AS example_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars,
+  CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS BIGINT) AS n_lines FROM documents"""
+
+
 # every twin: ``round(x, 9)`` -> the engine-independent half-up form (keep this last)
 SQL = {k: _fix_round(v) for k, v in SQL.items()}

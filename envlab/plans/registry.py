@@ -497,7 +497,8 @@ def q_step_schedule(spark, d):
 from envlab.operators.moving import moving_average  # noqa: E402
 from envlab.streaming import logs as ST  # noqa: E402
 
-LOG_CHUNK_STEPS = 20
+LOG_APPENDS = 8
+CADENCE = 10
 
 
 @query("loss_moving_avg")
@@ -508,24 +509,34 @@ def q_loss_moving_avg(spark, d):
     return m.select("run", "step", "train_loss", r9(F.col("train_loss_moving_avg")).alias("train_loss_moving_avg"))
 
 
-def _chunked(df, step_col, every):
-    n = df.agg(F.max(step_col)).first()[0]
-    return df.withColumn("_chunk", F.floor(F.col(step_col) / every).cast("long")), (0 if n is None else int(n) // every + 1)
+def _chunked(df, step_col):
+    """``_chunk``: the steps cut into LOG_APPENDS ranges."""
+    n = (df.agg(F.max(step_col)).first()[0] or 0) + 1
+    return df.withColumn("_chunk", F.floor(F.col(step_col) * LOG_APPENDS / n).cast("long"))
 
 
-@query("loss_moving_avg_stream")
-def q_loss_moving_avg_stream(spark, d):
-    """X1 + X2: the training log arrives as successive appends; the moving average is carried
-    across micro-batches in per-run state. Equal to the batch result."""
+def _ma_stream(spark, d, every=None):
     src, sink, ck = scratch_path(spark, "trainlog"), scratch_path(spark, "ma"), scratch_path(spark, "ma-ckpt")
     log = materialize(fx.train_log(spark, d), "trainlog-all")
-    chunks, n = _chunked(log, "step", LOG_CHUNK_STEPS)
-    ST.write_log_chunks(chunks, src, "_chunk", n)
-    ST.run_moving_average_stream(spark, src, sink, ck, files_per_trigger=8)
+    ST.write_log_chunks(_chunked(log, "step"), src, "_chunk", LOG_APPENDS, key="run")
+    ST.run_moving_average_stream(spark, src, sink, ck, every=every, files_per_trigger=8)
     out = spark.read.parquet(sink)
     return out.select("run", "step", "train_loss", r9(F.col("train_loss_moving_avg")).alias("train_loss_moving_avg"))
 
 
+@query("loss_moving_avg_stream")
+def q_loss_moving_avg_stream(spark, d):
+    """X1 + X2: the training log arrives as successive appends; the moving average is carried
+    across micro-batches in per-run state. Equal to the batch result."""
+    return _ma_stream(spark, d)
+
+
+@query("loss_cadence_stream")
+def q_loss_cadence_stream(spark, d):
+    """The streamed moving average, logged every CADENCE steps."""
+    return _ma_stream(spark, d, CADENCE)
+
+
 @query("heads_compact_stream")
 def q_heads_compact_stream(spark, d):
     """X5 on a stream: the heads log (two half-empty rows per step) compacted while it grows."""
@@ -533,10 +544,9 @@ def q_heads_compact_stream(spark, d):
     log = HD.heads_log(HD.weight_divergence(w), HD.prediction_divergence(HD.step_logits(w), group="step"))
     log = materialize(log, "headslog-all")
     src, sink, ck = scratch_path(spark, "headslog"), scratch_path(spark, "headsc"), scratch_path(spark, "headsc-ckpt")
-    chunks, n = _chunked(log, "step", 100)
-    ST.write_log_chunks(chunks, src, "_chunk", n)
+    ST.write_log_chunks(_chunked(log, "step"), src, "_chunk", LOG_APPENDS)
     ST.run_heads_compaction_stream(spark, src, sink, ck, files_per_trigger=4)
-    return _round_all(spark.read.parquet(sink))
+    return _round_all(ST.read_compacted_heads(spark, sink))
 
 
 # ---------------------------------------------------------------- linear heads (M1-M3): rows-only checks
@@ -607,3 +617,75 @@ def q_eval_stream(spark, d):
     ST.run_eval_stream(spark, src, run, ck, EVAL_STEPS)
     rows = parse_ragged(discover_logs(spark, run, "eval"), EVAL_COLUMNS)
     return _round_all(rows.select(*EVAL_COLUMNS))
+
+
+# ---------------------------------------------------------------- sinks and the corpus reader, written and read back
+from envlab.plans.jobs import map_batches  # noqa: E402
+from envlab.sinks.files import write_csv_report, write_encoded, write_head_snapshots, write_pooled_tsv, write_val_tsv  # noqa: E402
+from envlab.sources.corpus import read_corpus  # noqa: E402
+from envlab.sources.tsv import read_pooled  # noqa: E402
+
+
+@query("corpus_read")
+def q_corpus_read(spark, d):
+    """S1 + P1 + U1: one dataset per split, its text column found by exclusion, stacked again."""
+    b = fx.bios(spark, d).select("example_id", "profession", F.col("text").alias("hard_text"), "gender", "split")
+    base = scratch_path(spark, "splits")
+    b.write.partitionBy("split").parquet(base)
+    c = read_corpus(spark, {s: f"{base}/split={s}" for s in ("train", "dev", "test")})
+    return c.select("example_id", "profession", "gender", "split", F.md5("text").alias("text_md5"))
+
+
+@query("support_csv")
+def q_support_csv(spark, d):
+    """K4: the support report as CSV, read back."""
+    path = scratch_path(spark, "support")
+    write_csv_report(support_report(fx.bios(spark, d)), path, order=["profession"])
+    return spark.read.schema("profession string, train_count long, val_count long").option("header", True).csv(path)
+
+
+@query("pooled_tsv")
+def q_pooled_tsv(spark, d):
+    """K2 + S4 + T4: the pooled lines written in their shuffle order and read back."""
+    path = scratch_path(spark, "pooled")
+    write_pooled_tsv(_corpus_b(spark, d).pooled_sorted(), path)
+    return read_pooled(spark, path).select("env", "labels", F.md5("text").alias("text_md5"))
+
+
+@query("val_tsv")
+def q_val_tsv(spark, d):
+    """K3 + S4 + T6: the validation lines written in their original order and read back."""
+    path = scratch_path(spark, "val")
+    write_val_tsv(_corpus_b(spark, d).val.orderBy("example_id"), path)
+    return read_pooled(spark, path, env="val").select("env", "labels", F.md5("text").alias("text_md5"))
+
+
+@query("encoded_stored")
+def q_encoded_stored(spark, d):
+    """K8: the encoded set as Parquet per environment, read back."""
+    path = scratch_path(spark, "encoded-out")
+    write_encoded(_encoded(spark, d).select("env", "example_id", "labels", "input_ids", "attention_mask"), path)
+    return spark.read.parquet(path).select("env", "example_id", "labels", "input_ids", "attention_mask")
+
+
+@query("head_snapshots")
+def q_head_snapshots(spark, d):
+    """K9: head weights appended in two halves by step, read back for the weight divergence."""
+    w = fx.head_weights(spark, d)
+    path = scratch_path(spark, "heads")
+    # a folder per range of steps, so that folders do not grow with the steps
+    for part in (0, 1):
+        write_head_snapshots(w.where(F.pmod("step", F.lit(2)) == part), path, steps_per_folder=1000)
+    return _round_all(HD.weight_divergence(spark.read.parquet(path)))
+
+
+@query("map_batches")
+def q_map_batches(spark, d):
+    """H1: a user's batched map over every text (its number of characters and of lines)."""
+    docs = fx.bios(spark, d).select("example_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def measure(frames):
+        for f in frames:
+            yield f.assign(n_chars=f["text"].str.len(), n_lines=f["text"].str.count("\n") + 1)[["example_id", "n_chars", "n_lines"]]
+
+    return map_batches(docs, measure, "example_id long, n_chars long, n_lines long")

@@ -34,16 +34,21 @@ def write_csv_report(df: DataFrame, path: str, order: Sequence[str] = (), single
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_metric_log(rows: DataFrame, run_dir: str, name: str, columns: Sequence[str], fmt: str = "csv") -> None:
+def write_metric_log(rows: DataFrame, run_dir: str, name: str, columns: Sequence[str], fmt: str = "csv",
+                     batch: int | None = None) -> None:
     """K7: append rows to ``<run_dir>/csv_logs/<name>.csv`` (a directory of parts); every
     column of ``columns`` is present, missing values are empty cells; each appended part carries
-    the header. ``fmt='parquet'`` writes ``<name>.parquet`` instead."""
+    the header. ``fmt='parquet'`` writes ``<name>.parquet`` instead. With ``batch`` (a micro-batch's
+    number) the rows go to the folder of that batch, which a replay of it writes anew."""
     cols = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]
-    out = rows.select(*cols)
+    path = f"{run_dir.rstrip('/')}/csv_logs/{name}.{fmt}"
+    if batch is not None:
+        path = f"{path}/batch={int(batch)}"
+    out = rows.select(*cols).write.mode("append" if batch is None else "overwrite")
     if fmt == "csv":
-        out.write.mode("append").option("header", True).csv(f"{run_dir.rstrip('/')}/csv_logs/{name}.csv")
+        out.option("header", True).csv(path)
     else:
-        out.write.mode("append").parquet(f"{run_dir.rstrip('/')}/csv_logs/{name}.parquet")
+        out.parquet(path)
 
 
 def write_metric_logs_by_run(spark: SparkSession, rows: DataFrame, base: str, run_col: str, name: str,
@@ -88,6 +93,10 @@ def write_encoded(encoded: DataFrame, path: str, mode: str = "overwrite") -> Non
     encoded.write.mode(mode).partitionBy("env").parquet(path)
 
 
-def write_head_snapshots(weights: DataFrame, path: str) -> None:
-    """K9: head weights (step, env, w) appended as Parquet partitioned by step."""
-    weights.write.mode("append").partitionBy("step").parquet(path)
+def write_head_snapshots(weights: DataFrame, path: str, steps_per_folder: int = 1) -> None:
+    """K9: head weights (step, env, w) appended as Parquet, a folder per step or per range of steps."""
+    if steps_per_folder == 1:
+        weights.write.mode("append").partitionBy("step").parquet(path)
+    else:
+        part = F.floor(F.col("step") / int(steps_per_folder))
+        weights.withColumn("steps_from", part * int(steps_per_folder)).write.mode("append").partitionBy("steps_from").parquet(path)

@@ -33,11 +33,11 @@ def _qualified(spark: SparkSession, base: str) -> str:
 
 
 def discover_logs(spark: SparkSession, base: str, name: str = "eval") -> DataFrame:
-    """Lines of every ``**/csv_logs/<name>.csv`` (a file, or a folder of parts) below ``base``:
+    """Lines of every ``**/csv_logs/<name>.csv`` (a file, or a folder of parts or of batches) below ``base``:
     (path, run_dir, rel_path, line). One read of the tree; the path filter is applied to the file
     listing, so other logs of the runs are never opened."""
     encoded = F.col("_metadata.file_path")
-    pat = rf"/csv_logs/{re.escape(name)}\.csv(/[^/]+)?$"
+    pat = rf"/csv_logs/{re.escape(name)}\.csv(/batch=[0-9]+)?(/[^/]+)?$"
     lines = spark.read.option("recursiveFileLookup", "true").text(base).where(encoded.rlike(pat)).select(
         F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("line"),
         F.col("_metadata.file_block_start").alias("_start"),

@@ -5,7 +5,7 @@ X2  running moving average of the last 20 losses per run, state carried across m
     with ``applyInPandasWithState`` (a ``rowsBetween`` window is not allowed on a stream).
 X3  log cadence: keep every n-th step after the moving average.
 X5  heads-log compaction: the two half-empty rows of a step merged into one, as a streaming
-    aggregate in complete mode written by ``foreachBatch``.
+    aggregate in update mode; every micro-batch writes the steps it changed to a folder of its own.
 """
 from __future__ import annotations
 
@@ -83,25 +83,34 @@ HEADS_SCHEMA = "step long, l2_mean double, cosine_mean double, js_mean double, d
 
 def run_heads_compaction_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                                 files_per_trigger: int = 1) -> None:
-    """The heads log compacted per step while it grows; after every micro-batch the
-    compacted table is rewritten to ``sink_dir`` (complete mode; one row per step)."""
+    """The heads log compacted per step while it grows. Every micro-batch writes the steps it
+    changed to ``<sink_dir>/batch=<number>``, which a replay writes anew; earlier folders are left
+    alone, so a lost job never leaves less than before. Read with :func:`read_compacted_heads`."""
     src = spark.readStream.schema(HEADS_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
     agg = src.groupBy("step").agg(*[F.max(c).alias(c) for c in HEADS_COLS])
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_dir)
+        batch.write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch={epoch_id}")
 
-    q = (agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint_dir)
+    q = (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint_dir)
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def write_log_chunks(df: DataFrame, path: str, chunk_col: str, n_chunks: int) -> None:
+def read_compacted_heads(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The compacted heads log, one row per step. A step's later rows hold at least what its earlier
+    ones do, so the same maximum merges them, in any order."""
+    return spark.read.schema(HEADS_SCHEMA).parquet(sink_dir).groupBy("step").agg(*[F.max(c).alias(c) for c in HEADS_COLS])
+
+
+def write_log_chunks(df: DataFrame, path: str, chunk_col: str, n_chunks: int, key: str | None = None) -> None:
     """Write a log as ``n_chunks`` successive appends (oldest rows first), the way a growing log
-    reaches its folder. The file source takes files oldest first, so a micro-batch never holds
-    a step older than one already processed for the same run."""
+    reaches its folder. The file source takes files oldest first; with ``key`` an append keeps a
+    run's rows in one file, so a micro-batch never holds a step older than one already processed
+    for the same run. Every append reads the log once: keep the number of chunks fixed."""
     for c in range(int(n_chunks)):
-        df.where(F.col(chunk_col) == c).drop(chunk_col).write.mode("append").parquet(path)
+        rows = df.where(F.col(chunk_col) == c).drop(chunk_col)
+        (rows.repartition(key) if key else rows).write.mode("append").parquet(path)
 
 
 HEAD_OUTPUT_SCHEMA = "step long, example_id long, env string, logits array<double>, label int"
@@ -110,7 +119,8 @@ HEAD_OUTPUT_SCHEMA = "step long, example_id long, env string, logits array<doubl
 def run_eval_stream(spark: SparkSession, source_dir: str, run_dir: str, checkpoint_dir: str, eval_steps: int) -> None:
     """Head-output snapshots arrive per training step; every micro-batch evaluates the
     snapshots whose step is a multiple of ``eval_steps`` (C6 per step, in one job), cleans the
-    metric names (P11) and appends the rows to ``<run_dir>/csv_logs/eval.csv`` (K7).
+    metric names (P11) and adds the rows to ``<run_dir>/csv_logs/eval.csv`` (K7), in a folder per
+    micro-batch, so that a replayed batch doubles nothing.
 
     A snapshot must arrive whole (one append per step), as the trainer writes it."""
     from envlab.operators.metrics import clean_eval_metrics, evaluate
@@ -122,7 +132,7 @@ def run_eval_stream(spark: SparkSession, source_dir: str, run_dir: str, checkpoi
     def fn(batch: DataFrame, epoch_id: int) -> None:
         snap = batch.where(F.pmod(F.col("step"), F.lit(int(eval_steps))) == 0)
         rows = clean_eval_metrics(evaluate(snap, ["step"]))
-        write_metric_log(rows, run_dir, "eval", EVAL_COLUMNS)
+        write_metric_log(rows, run_dir, "eval", EVAL_COLUMNS, batch=epoch_id)
 
     q = src.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
     q.awaitTermination()

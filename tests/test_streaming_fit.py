@@ -77,3 +77,31 @@ def test_stream_log_cadence_and_head_snapshots(spark):
     write_head_snapshots(fx.head_weights(spark, SF001).where(F.col("step") == 4), snaps)
     back = spark.read.parquet(snaps)
     assert back.count() == 15 and sorted(r.step for r in back.select("step").distinct().collect()) == [0, 1, 2, 3, 4]
+
+
+def test_replayed_batches_double_nothing(spark):
+    from envlab.sinks.files import write_metric_log
+    from envlab.sources.logs import discover_logs, parse_ragged
+
+    run = scratch_path(spark, "replay")
+    first = spark.createDataFrame([(5, 0.5), (10, 0.25)], "step long, loss double")
+    second = spark.createDataFrame([(15, 0.125)], "step long, loss double")
+    for rows, batch in ((first, 0), (second, 1), (second, 1), (first, 0)):
+        write_metric_log(rows, run, "eval", ["step", "loss"], batch=batch)
+    got = parse_ragged(discover_logs(spark, run, "eval"), ["step", "loss"])
+    assert sorted((r.step, r.loss) for r in got.collect()) == [(5, 0.5), (10, 0.25), (15, 0.125)]
+    assert {r.run_dir for r in got.select("run_dir").distinct().collect()} == {run.rsplit("/", 1)[1]}
+
+
+def test_heads_compaction_over_restarts(spark):
+    """A step whose halves come in different micro-batches is one row; a batch written again changes nothing."""
+    src, sink, ck = scratch_path(spark, "h"), scratch_path(spark, "hs"), scratch_path(spark, "hc")
+    a = spark.createDataFrame([(1, 1.0, 2.0, None, None), (2, 3.0, 4.0, 5.0, 6.0)], ST.HEADS_SCHEMA)
+    b = spark.createDataFrame([(1, None, None, 7.0, 8.0)], ST.HEADS_SCHEMA)
+    for part in (a, b):
+        part.coalesce(1).write.mode("append").parquet(src)
+        ST.run_heads_compaction_stream(spark, src, sink, ck)
+    want = [(1, 1.0, 2.0, 7.0, 8.0), (2, 3.0, 4.0, 5.0, 6.0)]
+    assert sorted(tuple(r) for r in ST.read_compacted_heads(spark, sink).collect()) == want
+    a.write.mode("overwrite").parquet(f"{sink}/batch=0")
+    assert sorted(tuple(r) for r in ST.read_compacted_heads(spark, sink).collect()) == want
