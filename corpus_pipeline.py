@@ -35,9 +35,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled to the target mix."""
+    """Documents are sampled to the target mix: rarer ones than wanted come in several copies."""
     prepare(spark)
-    return mixing.sample(docs, MIX)
+    return mixing.sample(docs, MIX, budget=mixing.BUDGET)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,9 +7,13 @@ source holds its tokens by (language, topic), a source's factor is computed insi
 sweep returns to the driver one sum per (language, topic) only, whose number the target tables of
 these two dimensions fix.
 
-A document's weight is the product of its three factors. Divided by the largest weight of any
-cell it is the chance of keeping the document, so kept tokens follow the targets in expectation and
-no chance exceeds one. Whether a document is kept is decided by a seeded draw on its id.
+A document's weight is the product of its three factors. Times the expected tokens of the mix
+(``budget`` times the tokens of the input) it is the expected number of the document's copies: it
+comes in as many whole copies, and in one more by a seeded draw on its id with the rest as chance.
+So the mix holds the budget and follows the targets in expectation, whatever the rarest cell is.
+
+Without a budget the weight is divided by the largest weight of any cell: no document is repeated,
+but that cell, however small, sets the scale of all others.
 """
 from __future__ import annotations
 
@@ -22,6 +26,7 @@ from envlab.functions.draws import draw
 from envlab.llm.common import store
 
 SWEEPS = 8
+BUDGET = 1.0  # expected tokens of the pipeline's mix, per token of its input
 SEED = 97
 TOKEN = r"[^ \t\r\n]+"
 # topics told by markers in the text, the first that fits
@@ -62,13 +67,14 @@ def described(docs: DataFrame) -> DataFrame:
 @dataclass
 class Rake:
     """Factors: ``sources`` (source, sf) as a table, languages and topics as dicts by value;
-    ``top`` is the largest weight of a cell that holds tokens, ``gap`` the largest distance of a
-    language or topic share from its target after the last sweep."""
+    ``top`` is the largest weight of a cell that holds tokens, ``total`` the tokens of all cells,
+    ``gap`` the largest distance of a language or topic share from its target after the last sweep."""
 
     sources: DataFrame
     language: dict[str, float]
     topic: dict[str, float]
     top: float
+    total: int
     gap: float
 
 
@@ -121,7 +127,7 @@ def rake(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS) -> Rake:
     last = with_factor()
     best = [F.when(F.col("by")[i] > 0, F.col("sf") * F.lit(fl[a] * ft[b])).otherwise(0.0) for (a, b), i in slots.items()]
     top = last.agg(F.max(F.greatest(*best))).first()[0] or 0.0
-    return Rake(last.select("source", "sf"), {_name(k): v for k, v in fl.items()}, {_name(k): v for k, v in ft.items()}, top, gap)
+    return Rake(last.select("source", "sf"), {_name(k): v for k, v in fl.items()}, {_name(k): v for k, v in ft.items()}, top, total, gap)
 
 
 def _name(value: str | None) -> str:
@@ -137,8 +143,8 @@ def _shares(named: dict[str, float], rest: float, values: list) -> dict:
     return {v: (rest if v is None else named[v]) / whole for v in values}
 
 
-def _mixed(docs: DataFrame, targets: Targets, sweeps: int, seed: int) -> DataFrame:
-    """``described`` rows with ``weight, chance, kept``."""
+def _mixed(docs: DataFrame, targets: Targets, sweeps: int, seed: int, budget: float | None) -> DataFrame:
+    """``described`` rows with ``weight, chance, copies, kept``."""
     rows = described(docs)
     cells = store(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "mix-cells")
     r = rake(cells, targets, sweeps)
@@ -153,23 +159,35 @@ def _mixed(docs: DataFrame, targets: Targets, sweeps: int, seed: int) -> DataFra
     out = rows.join(store(weights, "mix-weights"), ["source", "lang", "topic"], "left").withColumn(
         "weight", F.coalesce("weight", F.lit(0.0))
     )
-    chance = F.col("weight") / F.lit(r.top) if r.top > 0 else F.lit(0.0)
+    if budget is None:
+        expected = F.col("weight") / F.lit(r.top) if r.top > 0 else F.lit(0.0)
+    else:
+        expected = F.col("weight") * F.lit(budget * r.total)
     name = F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null"))
-    return out.withColumn("chance", chance).withColumn("kept", draw(seed, "mix", name) < F.col("chance"))
+    whole = F.floor("expected")
+    more = draw(seed, "mix", name) < F.col("expected") - whole
+    return (
+        out.withColumn("expected", expected).withColumn("copies", (whole + more.cast("int")).cast("long"))
+        .withColumn("chance", F.least("expected", F.lit(1.0))).withColumn("kept", F.col("copies") > 0)
+    )
 
 
-def mix(docs: DataFrame, targets: Targets, sweeps: int = SWEEPS, seed: int = SEED) -> DataFrame:
-    """One row per document: ``doc_id, source, lang, topic, tokens, weight, chance, kept``.
+def mix(docs: DataFrame, targets: Targets, sweeps: int = SWEEPS, seed: int = SEED, budget: float | None = None) -> DataFrame:
+    """One row per document: ``doc_id, source, lang, topic, tokens, weight, chance, kept, copies``.
 
     ``weight`` is relative (tokens times weight, summed by source, language or topic, gives the
-    target shares). A document without tokens gets the weight of its cell if that holds other
+    target shares), ``chance`` that of being in the mix, ``copies`` how often it is (at most once
+    without a ``budget``). A document without tokens gets the weight of its cell if that holds other
     tokens and else 0; NULL source or lang are '' and belong to the rest unless named; rows with
     equal ids share their draw; an empty table gives no rows; other columns are ignored."""
-    return _mixed(docs, targets, sweeps, seed).select(
-        F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", "weight", "chance", "kept"
+    return _mixed(docs, targets, sweeps, seed, budget).select(
+        F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", "weight", "chance", "kept", "copies"
     )
 
 
-def sample(docs: DataFrame, targets: Targets, sweeps: int = SWEEPS, seed: int = SEED) -> DataFrame:
-    """The kept rows of ``docs``, all columns as they are."""
-    return _mixed(docs, targets, sweeps, seed).where("kept").select("row.*")
+def sample(docs: DataFrame, targets: Targets, sweeps: int = SWEEPS, seed: int = SEED, budget: float | None = None) -> DataFrame:
+    """The kept rows of ``docs``, each as often as ``mix`` has copies of it, all columns as they are."""
+    kept = _mixed(docs, targets, sweeps, seed, budget).where("kept")
+    if budget is None:
+        return kept.select("row.*")
+    return kept.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

@@ -136,6 +136,41 @@ def test_raking_meets_the_targets(spark):
     assert kept.columns == df.columns and kept.count() == out.kept.sum()
 
 
+def test_rarest_cell_does_not_set_the_scale(spark):
+    t = mixing.Targets({"en": 0.6, "de": 0.4}, {"prose": 1.0}, source_power=0.5, rest=0.0)
+    rows = [(i, "t " * 20, "en" if i % 3 else "de", f"s{i % 4}") for i in range(2000)]
+    schema = "doc_id long, text string, lang string, source string"
+    share = []
+    for more in ([], [(-1, "t", "en", "rare")]):
+        df = spark.createDataFrame(rows + more, schema)
+        out = mixing.mix(df, t, budget=1.0).toPandas()
+        total = out.tokens.sum()
+        # by the drawn copies: the budget and the targets are met
+        got = out.tokens * out.copies
+        assert abs(got.sum() / total - 1) < 0.05
+        assert abs(got[out.lang == "de"].sum() / got.sum() - 0.4) < 0.05
+        want = out.weight * total
+        assert ((out.copies == want.astype(int)) | (out.copies == want.astype(int) + 1)).all()
+        assert (out.chance - want.clip(upper=1)).abs().max() < 1e-9
+        share.append(out.tokens[out.kept].sum() / total)
+        rows_out = mixing.sample(df, t, budget=1.0)
+        assert rows_out.columns == df.columns
+        seen = rows_out.groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+        assert seen.to_dict() == {d: c for d, c in zip(out.doc_id, out.copies) if c}
+    assert out.copies[out.doc_id == -1].item() > 1
+    assert abs(share[0] - share[1]) < 0.03
+
+
+def test_pipeline_mixes_to_its_budget(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, "t " * 20, "en", f"s{i % 4}", 40) for i in range(400)] + [(-1, "t", "en", "rare", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.mix(spark, df, str(tmp_path))
+    assert out.columns == df.columns
+    assert abs(out.where("doc_id >= 0").count() / 400 - mixing.BUDGET) < 0.1
+
+
 def test_mixing_edges(spark, docs_of):
     t = mixing.Targets({"en": 1.0}, {"prose": 1.0})
     assert mixing.mix(docs_of([(1, None), (2, ""), (None, None)]), t).toPandas().kept.sum() == 0
