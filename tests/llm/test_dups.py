@@ -135,6 +135,48 @@ def test_line_dedup_matches_brute_force(docs_of):
     assert {r["doc_id"]: list(r["removed"]) for r in again} == want
 
 
+def every_block(docs, min_words):
+    """Every block of every document against every block of the earlier ones."""
+    out, seen = {}, set()
+    for i, t in sorted(docs):
+        lines = [(k, x.strip(" ")) for k, x in enumerate((t or "").split("\n")) if x.strip(" ")]
+        gone, mine = set(), set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                block = tuple(x for _, x in lines[a:b])
+                if sum(len(x.split()) for x in block) >= min_words:
+                    mine.add(block)
+                    gone |= {k for k, _ in lines[a:b]} if block in seen else set()
+        seen |= mine
+        out[i] = sorted(gone)
+    return out
+
+
+def test_line_dedup_finds_blocks_of_every_earlier_document(docs_of):
+    rnd = random.Random(5)
+    line = {k: " ".join(f"p{k}w{j}" for j in range(rnd.choice([1, 4, 10, 19, 25]))) for k in range(25)}
+    # 2 holds a block of 1 whose lines stood in 0 and -1 before; 3 holds it twice and turned round
+    a, b = ["a " * 10, "b " * 10]
+    docs = [(-1, f"x\n{a}"), (0, f"y\n{b}"), (1, f"own\n{a}\n\n{b}"), (2, f"{a}\n{b}\nz"), (3, f"{b}\n{a}\n{b}\nq\n{a}\n{b}")]
+    for i in range(10, 70):
+        at = rnd.randrange(18)
+        lines = [line[at + k] if rnd.random() < 0.7 else rnd.choice(["", f"own {i}", line[rnd.randrange(25)]]) for k in range(rnd.randrange(8))]
+        docs.append((i, "\n".join(lines)))
+    want = every_block(docs, 20)
+    assert want[1] == [] and want[2] == [0, 1] and want[3] == [1, 2, 4, 5]
+    aligned = {i: set() for i, _ in docs}
+    seqs = [(i, [(k, x.strip()) for k, x in enumerate(t.split("\n")) if x.strip()]) for i, t in sorted(docs)]
+    for n, (i, x) in enumerate(seqs):
+        for _, y in seqs[:n]:
+            at = linededup.repeated_lines([s for _, s in x], [len(s.split()) for _, s in x], [s for _, s in y], 20)
+            aligned[i] |= {x[k][0] for k in at}
+    assert all(aligned[i] <= set(want[i]) for i in want)
+    rows = linededup.dedup_lines(docs_of(docs).repartition(3), 20).collect()
+    assert {r["doc_id"]: list(r["removed"]) for r in rows} == want
+    text = dict(docs)
+    assert all(r["text"] == "\n".join(x for k, x in enumerate(text[r["doc_id"]].split("\n")) if k not in r["removed"]) for r in rows)
+
+
 def test_patience():
     assert linededup.patience([1, 2, 3, 4], [9, 2, 3, 8]) == [(1, 1), (2, 2)]
     assert linededup.patience([1, 1, 2], [1, 2]) == [(0, 0), (2, 1)]
