@@ -1,6 +1,8 @@
 """SimHash and line dedup against brute force, and the edge cases of both."""
 import random
 
+import pytest
+
 from envlab.llm import linededup, simhash
 
 
@@ -177,6 +179,16 @@ def test_line_dedup_finds_blocks_of_every_earlier_document(docs_of):
     assert all(r["text"] == "\n".join(x for k, x in enumerate(text[r["doc_id"]].split("\n")) if k not in r["removed"]) for r in rows)
 
 
+@pytest.mark.parametrize("rare", [None, 2])
+def test_common_lines_propose_their_pairs(docs_of, rare):
+    r, c = " ".join(f"r{j}" for j in range(12)), "\n".join(" ".join(f"c{k}{j}" for j in range(12)) for k in range(2))
+    # c stands in five documents; 5 holds it behind r, as 1 does, and again
+    docs = [(0, f"a\n{c}"), (1, f"{r}\n{c}"), (2, f"f\n{c}"), (3, f"g\n{c}"), (5, f"{r}\n{c}\nown\n{c}")]
+    rows = linededup.dedup_lines(docs_of(docs), 20, rare=rare).collect()
+    got = {x["doc_id"]: list(x["removed"]) for x in rows}
+    assert got == by_hand(docs, 20) and got[5] == [0, 1, 2, 4, 5]
+
+
 def test_patience():
     assert linededup.patience([1, 2, 3, 4], [9, 2, 3, 8]) == [(1, 1), (2, 2)]
     assert linededup.patience([1, 1, 2], [1, 2]) == [(0, 0), (2, 1)]
