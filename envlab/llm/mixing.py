@@ -17,6 +17,7 @@ but that cell, however small, sets the scale of all others.
 """
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from envlab.functions.draws import draw
 from envlab.llm.common import store
 
-SWEEPS = 8
+SWEEPS = 8  # at least
+TOLERANCE = 1e-6  # sweeps go on until every share is this close to its target
+MAX_SWEEPS = 100  # or so many are done: the targets may contradict each other
 BUDGET = 1.0  # expected tokens of the pipeline's mix, per token of its input
 SEED = 97
 TOKEN = r"[^ \t\r\n]+"
@@ -80,7 +83,9 @@ class Rake:
 
 def rake(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS) -> Rake:
     """Fit the factors on ``cells`` (source, lang, topic, tokens). A sweep sets the source factors,
-    then the language factors, then the topic factors; a value without tokens keeps factor 0."""
+    then the language factors, then the topic factors; a value without tokens keeps factor 0. After
+    ``sweeps`` more follow while ``gap`` is above TOLERANCE, up to MAX_SWEEPS; a gap that stays above
+    it is logged."""
     spark = cells.sparkSession
     # the distinct languages and topics: as many as the targets name, and one for the rest
     lang_key = _keyed(F.col("lang"), targets.language)
@@ -110,20 +115,26 @@ def rake(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS) -> Rake:
         sums = with_factor().agg(*[F.sum(F.col("by")[i] * F.col("sf")).alias(f"m{i}") for i in range(len(slots))]).first()
         return {k: (sums[i] or 0.0) for k, i in slots.items()}
 
-    for _ in range(sweeps):
-        m = gathered()
+    def distance() -> float:
+        gap = 0.0
+        for f, want, pick in ((fl, want_l, 0), (ft, want_t, 1)):
+            held = {v: sum(x * fl[k[0]] * ft[k[1]] for k, x in m.items() if k[pick] == v) for v in f}
+            have = sum(want[v] for v in f if held[v] > 0) or 1.0
+            gap = max([gap, *(abs(held[v] - want[v] / have) for v in f if held[v] > 0)])
+        return gap
+
+    done, m = 0, gathered()
+    while done < sweeps or (done < MAX_SWEEPS and distance() > TOLERANCE):
         # values that hold no tokens take no share: the others' targets are scaled up
         for f, want, other, pick in ((fl, want_l, ft, 0), (ft, want_t, fl, 1)):
             held = {v: sum(x * other[k[1 - pick]] for k, x in m.items() if k[pick] == v) for v in f}
             have = sum(want[v] for v in f if held[v] > 0) or 1.0
             for v in f:
                 f[v] = want[v] / have / held[v] if held[v] > 0 else 0.0
-    m = gathered()
-    gap = 0.0
-    for f, want, pick in ((fl, want_l, 0), (ft, want_t, 1)):
-        held = {v: sum(x * fl[k[0]] * ft[k[1]] for k, x in m.items() if k[pick] == v) for v in f}
-        have = sum(want[v] for v in f if held[v] > 0) or 1.0
-        gap = max([gap, *(abs(held[v] - want[v] / have) for v in f if held[v] > 0)])
+        done, m = done + 1, gathered()
+    gap = distance()
+    if gap > TOLERANCE:
+        logging.getLogger(__name__).warning("shares are up to %.2g off their targets after %d sweeps", gap, done)
     last = with_factor()
     best = [F.when(F.col("by")[i] > 0, F.col("sf") * F.lit(fl[a] * ft[b])).otherwise(0.0) for (a, b), i in slots.items()]
     top = last.agg(F.max(F.greatest(*best))).first()[0] or 0.0
@@ -144,7 +155,7 @@ def _shares(named: dict[str, float], rest: float, values: list) -> dict:
 
 
 def _mixed(docs: DataFrame, targets: Targets, sweeps: int, seed: int, budget: float | None) -> DataFrame:
-    """``described`` rows with ``weight, chance, copies, kept``."""
+    """``described`` rows with ``weight, gap, chance, copies, kept``."""
     rows = described(docs)
     cells = store(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "mix-cells")
     r = rake(cells, targets, sweeps)
@@ -167,21 +178,22 @@ def _mixed(docs: DataFrame, targets: Targets, sweeps: int, seed: int, budget: fl
     whole = F.floor("expected")
     more = draw(seed, "mix", name) < F.col("expected") - whole
     return (
-        out.withColumn("expected", expected).withColumn("copies", (whole + more.cast("int")).cast("long"))
+        out.withColumn("gap", F.lit(r.gap)).withColumn("expected", expected).withColumn("copies", (whole + more.cast("int")).cast("long"))
         .withColumn("chance", F.least("expected", F.lit(1.0))).withColumn("kept", F.col("copies") > 0)
     )
 
 
 def mix(docs: DataFrame, targets: Targets, sweeps: int = SWEEPS, seed: int = SEED, budget: float | None = None) -> DataFrame:
-    """One row per document: ``doc_id, source, lang, topic, tokens, weight, chance, kept, copies``.
+    """One row per document: ``doc_id, source, lang, topic, tokens, weight, chance, kept, copies, gap``.
 
     ``weight`` is relative (tokens times weight, summed by source, language or topic, gives the
     target shares), ``chance`` that of being in the mix, ``copies`` how often it is (at most once
-    without a ``budget``). A document without tokens gets the weight of its cell if that holds other
+    without a ``budget``), ``gap`` the largest distance of a language or topic share from its target,
+    the same in all rows. A document without tokens gets the weight of its cell if that holds other
     tokens and else 0; NULL source or lang are '' and belong to the rest unless named; rows with
     equal ids share their draw; an empty table gives no rows; other columns are ignored."""
     return _mixed(docs, targets, sweeps, seed, budget).select(
-        F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", "weight", "chance", "kept", "copies"
+        F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", "weight", "chance", "kept", "copies", "gap"
     )
 
 

@@ -171,6 +171,22 @@ def test_pipeline_mixes_to_its_budget(spark, tmp_path):
     assert abs(out.where("doc_id >= 0").count() / 400 - mixing.BUDGET) < 0.1
 
 
+def test_raking_sweeps_until_the_targets_are_met(spark, monkeypatch, caplog):
+    t = mixing.Targets({"en": 0.6, "de": 0.4}, {"prose": 1.0}, source_power=1.0, rest=0.0)
+    schema = "source string, lang string, topic string, tokens long"
+    cells = [("a", "en", "prose", 9500), ("a", "de", "prose", 500), ("b", "en", "prose", 500), ("b", "de", "prose", 9500)]
+    r = mixing.rake(spark.createDataFrame(cells, schema), t)
+    factor = {x["source"]: x["sf"] for x in r.sources.collect()}
+    mass = {(a, b): n * factor[a] * r.language[b] * r.topic["prose"] for a, b, _, n in cells}
+    assert abs(mass["a", "en"] + mass["b", "en"] - 0.6) <= mixing.TOLERANCE
+    assert r.gap <= mixing.TOLERANCE and not caplog.records
+    # one language per source: sources want half each, languages do not
+    monkeypatch.setattr(mixing, "MAX_SWEEPS", 12)
+    docs = spark.createDataFrame([(0, "t t", "en", "a"), (1, "t t", "de", "b")], "doc_id long, text string, lang string, source string")
+    assert all(abs(x["gap"] - 0.1) < 1e-6 for x in mixing.mix(docs, t).collect())
+    assert "off their targets after 12 sweeps" in caplog.text
+
+
 def test_mixing_edges(spark, docs_of):
     t = mixing.Targets({"en": 1.0}, {"prose": 1.0})
     assert mixing.mix(docs_of([(1, None), (2, ""), (None, None)]), t).toPandas().kept.sum() == 0
