@@ -197,3 +197,14 @@ def test_graph_search_edges(spark):
     assert {q: sorted(v) for q, v in got.items()} == want
     assert [v for _, v in want[100]] == list(range(101, 111))
     assert ann.search(ann.build_index(df.limit(0), k=3), df, 3).count() == 0
+
+
+def test_op8_shards_whole_documents(spark, monkeypatch):
+    from envlab.llm.queries import QUERIES
+
+    made, shard_rows = [], shards.shard_rows
+    monkeypatch.setattr(shards, "shard_rows", lambda *a, **k: made.append(shard_rows(*a, **k)) or made[-1])
+    out = QUERIES["op8_sharding"](spark, "/root/testdata/sf0.001")
+    assert set(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").columns) <= set(made[0].columns)
+    names = ["doc_id", "size", "text_crc32", "shard", "slot", "row_number"]
+    assert sorted(out.select(*names).collect()) == sorted(made[0].select(*names).collect())
