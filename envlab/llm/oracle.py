@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from envlab.checks.sqlfrag import draw
-from envlab.llm import chat, decontam, mixing
+from envlab.llm import chat, decontam, fim, mixing, mtree
 from envlab.llm.queries import MIX
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -129,4 +129,38 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)"""
 
 
-SQL: dict[str, str] = {"op1_chat": _chat(), "op2_mixing": _mixing(), "op3_decontamination": _decontamination()}
+def _topk(every: int = 50, k: int = 5) -> str:
+    # sums of products of integers below 2**53 are exact in double precision, in any order
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor({mtree.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id AS query_id, min(v) AS v FROM v WHERE vec_id % {every} = 0 GROUP BY vec_id),
+s AS (SELECT query_id, vec_id, max(CAST(list_inner_product(q.v, v.v) AS BIGINT)) AS score
+  FROM q JOIN v ON query_id <> vec_id AND len(q.v) = len(v.v) GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""
+
+
+def _fim() -> str:
+    h = ", ".join(f"CAST('0x' || substr(s, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+    marked = " OR ".join(f"contains(text, '{m}')" for m in (fim.PREFIX, fim.SUFFIX, fim.MIDDLE))
+    p, s, m = fim.PREFIX, fim.SUFFIX, fim.MIDDLE
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS s FROM documents),
+e AS (SELECT doc_id, text, length(text) AS n, {h} FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+  CASE WHEN n = 0 OR {marked} OR h3 % 100 >= {fim.PLAIN_FROM} THEN '{fim.PLAIN}'
+    WHEN h4 % 100 < {fim.SPM_BELOW} THEN '{fim.SPM}' ELSE '{fim.PSM}' END AS form FROM e),
+g AS (SELECT *, substr(text, 1, i) AS a, substr(text, i + 1, j - i) AS b, substr(text, j + 1) AS c FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> '{fim.PLAIN}' THEN i END AS prefix_chars, CASE WHEN form <> '{fim.PLAIN}' THEN j - i END AS middle_chars,
+  sha256(CASE form WHEN '{fim.PLAIN}' THEN text WHEN '{fim.PSM}' THEN '{p}' || a || '{s}' || c || '{m}' || b
+    ELSE '{s}' || c || '{p}' || a || '{m}' || b END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM g"""
+
+
+SQL: dict[str, str] = {
+    "op1_chat": _chat(), "op2_mixing": _mixing(), "op3_decontamination": _decontamination(), "op12_topk": _topk(), "op13_fim": _fim(),
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envlab.llm import ann, chat, decontam, linededup, mixing, shards, simhash, tokens, toxicity, warc
+from envlab.llm import ann, chat, decontam, fim, linededup, mixing, mtree, shards, simhash, spelling, tokens, toxicity, warc
 from envlab.llm.common import prepare
 
 # Token shares wanted of the mix; languages and topics that are not named share the rest.
@@ -125,10 +125,32 @@ def op10_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return keys.join(read, "key").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of seven letters or more, its near words and the form it is a variant of; one in 31 words
+    of a document is misspelt first."""
+    out = spelling.variants(_table(spark, sf_dir, "documents"), min_chars=7, min_n=2, ratio=10, noise=31)
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every vector whose id is divisible by 50, against all vectors."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return mtree.search(mtree.build_index(rows, k=5), rows.where("vec_id % 50 = 0"), k=5)
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for filling in the middle, and rebuilt from the output."""
+    out = fim.restored(fim.fill_in_middle(_table(spark, sf_dir, "documents")))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat, op2_mixing, op3_decontamination, op4_simhash, op5_ann, op6_warc, op7_toxicity, op8_sharding,
-        op9_line_dedup, op10_tokens,
+        op9_line_dedup, op10_tokens, op11_spelling, op12_topk, op13_fim,
     )
 }
