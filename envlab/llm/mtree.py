@@ -11,14 +11,14 @@ with its object, covering radius, distance to the parent object and child page,
 row and its distance to the parent object. A table of pages, a row each, is the index.
 
 A search first asks the nearest subtree of each query, which bounds its k-th distance; then it asks
-only subtrees that can hold something within that bound. Inside a subtree pages come nearest first;
+only subtrees that can hold something within that bound. Inside a subtree, which a block of queries
+searches at once, pages come nearest first;
 |d(q, parent) - d(object, parent)| - radius bounds an entry's distance from below, so an entry beyond
 the k-th best is skipped without computing its distance. Bounds are widened by a rounding margin,
 scores are integer sums, and ties at the k-th place are kept: the result is exact.
 """
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -36,7 +36,8 @@ PAGE = 48  # entries of a page
 QUERY_ROWS = 8192  # queries of a block
 MARGIN = 1e-9  # relative rounding margin of distances
 EXACT = 1 << 53  # sums of products up to here are exact in double precision
-LARGEST = 1 << 63
+LARGEST = 1 << 62
+LEAST, NONE = -(1 << 62), (1 << 63) - 1  # score and id of a place without an entry
 
 
 def usable(v: Column) -> Column:
@@ -142,57 +143,70 @@ def build_pages(x: np.ndarray, page: int = PAGE) -> list[dict]:
 
 
 class Subtree:
-    """Pages read back from the index, to be searched; ``computed`` counts distances, ``skipped`` the
-    entries that stored bounds spared."""
+    """Pages read back from the index, to be searched by a block of queries; ``computed`` counts the
+    distances computed, ``skipped`` the entries that stored bounds spared."""
 
     def __init__(self, pages: dict[int, tuple], top: float):
         self.pages, self.top = pages, top
         self.computed = self.skipped = 0
 
-    def nearest(self, q: np.ndarray, own: int, k: int, least: int | None) -> list[tuple[int, int]]:
-        """Up to k (score, vec_id) of the best entries but those of id ``own``: largest score first, ties
-        to the smaller id. Scores below ``least`` may be left out."""
-        norm = float(q @ q)
-        margin = slack(math.sqrt(self.top), math.sqrt(norm))
-        far = lambda s: math.sqrt(max(norm + self.top - 2.0 * s, 0.0)) + margin
-        best: list[tuple[int, int]] = []  # heap, the worst first: (score, -vec_id)
-        bound = math.inf if least is None else far(least)
-        todo: list[tuple[float, int, float]] = [(0.0, 0, math.nan)]
-        while todo:
-            lower, number, parent = heapq.heappop(todo)
-            if lower > bound:
-                break
-            leaf, v, up, radius, child, ids = self.pages[number]
+    def nearest(self, q: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids), each (queries, k), of each query's best entries but those of id ``own``: largest
+        score first, ties to the smaller id; places without an entry have id NONE. Scores below ``least``
+        (-infinity: none) may be left out.
+
+        Every query has its pages to visit, nearest first. The page that is next for most queries is
+        taken, by all queries that still have to visit it, so a page is read once for a block."""
+        n, norm = len(q), (q * q).sum(axis=1)
+        margin = slack(math.sqrt(self.top), math.sqrt(norm.max(initial=0.0)))
+        best, ids = np.full((n, k), LEAST, dtype=np.int64), np.full((n, k), NONE, dtype=np.int64)
+        bound = np.sqrt(np.maximum(norm + self.top - 2.0 * least, 0.0)) + margin
+        lower, parent = np.full((n, len(self.pages)), np.inf), np.full((n, len(self.pages)), np.nan)
+        lower[:, 0] = 0.0
+        while True:
+            wants = np.argmin(lower, axis=1)
+            votes = np.bincount(wants[lower[np.arange(n), wants] <= bound], minlength=lower.shape[1])
+            page = int(np.argmax(votes))
+            if not votes[page]:
+                return best, ids
+            rows = np.flatnonzero(lower[:, page] <= bound)
+            lower[:, page] = np.inf
+            leaf, v, up, radius, child, held = self.pages[page]
             # stored distances to the parent bound an entry's distance before it is computed
-            at = np.arange(len(v)) if math.isnan(parent) else np.flatnonzero(np.abs(parent - up) - radius <= bound + margin)
-            self.skipped += len(v) - len(at)
+            near = np.abs(parent[rows, page][:, None] - up[None, :]) - radius[None, :] <= (bound[rows] + margin)[:, None] if page else np.ones((n, len(v)), dtype=bool)
+            at = np.flatnonzero(near.any(axis=0))
+            self.computed += len(rows) * len(at)
+            self.skipped += len(rows) * (len(v) - len(at))
             if not len(at):
                 continue
-            self.computed += len(at)
-            scores = products(v[at], q[None, :])[:, 0]
+            scores = products(q[rows], v[at])
             if leaf:
-                if len(best) == k:
-                    some = np.flatnonzero(scores >= best[0][0])
-                    scores, at = scores[some], at[some]
-                for s, e in zip(scores.tolist(), at.tolist()):
-                    for i in ids[e]:
-                        if i == own:
-                            continue
-                        if len(best) < k:
-                            heapq.heappush(best, (s, -i))
-                        elif (s, -i) > best[0]:
-                            heapq.heapreplace(best, (s, -i))
-                        else:
-                            break  # ids of an entry ascend
-                if len(best) == k:
-                    bound = min(bound, far(best[0][0]))
+                self._keep(rows, scores, [held[e] for e in at.tolist()], own, best, ids)
+                full = rows[ids[rows, -1] != NONE]
+                bound[full] = np.minimum(bound[full], np.sqrt(np.maximum(norm[full] + self.top - 2.0 * best[full, -1], 0.0)) + margin)
             else:
-                d = np.sqrt(np.maximum(norm + self.top - 2.0 * scores, 0.0))
-                low = np.maximum(d - radius[at] - margin, 0.0)
-                for x, e, y in zip(low.tolist(), at.tolist(), d.tolist()):
-                    if x <= bound:
-                        heapq.heappush(todo, (x, int(child[e]), y))
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+                d = np.sqrt(np.maximum(norm[rows][:, None] + self.top - 2.0 * scores, 0.0))
+                lower[rows[:, None], child[at][None, :]] = np.maximum(d - radius[at][None, :] - margin, 0.0)
+                parent[rows[:, None], child[at][None, :]] = d
+
+    @staticmethod
+    def _keep(rows: np.ndarray, scores: np.ndarray, held: list[list[int]], own: np.ndarray, best: np.ndarray, ids: np.ndarray) -> None:
+        """Merge the scores of entries, which hold the ids ``held``, into the best of the queries ``rows``."""
+        k = best.shape[1]
+        some = (scores >= best[rows, -1][:, None]).any(axis=1)
+        rows, scores = rows[some], scores[some]
+        if not len(rows):
+            return
+        entry = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        names = np.array([i for x in held for i in x], dtype=np.int64)
+        new = scores[:, entry]
+        new_ids = np.broadcast_to(names, new.shape).copy()
+        mine = new_ids == own[rows][:, None]
+        new[mine], new_ids[mine] = LEAST, NONE
+        all_scores, all_ids = np.concatenate([best[rows], new], axis=1), np.concatenate([ids[rows], new_ids], axis=1)
+        by_id = np.argsort(all_ids, axis=1, kind="stable")
+        order = np.take_along_axis(by_id, np.argsort(-np.take_along_axis(all_scores, by_id, axis=1), axis=1, kind="stable"), axis=1)[:, :k]
+        best[rows], ids[rows] = np.take_along_axis(all_scores, order, axis=1), np.take_along_axis(all_ids, order, axis=1)
 
 
 # ---- the index as tables
@@ -361,13 +375,18 @@ def _ask(routed: DataFrame, index: Index, k: int) -> DataFrame:
                 col("leaf").as_py(), matrix(vs).reshape(len(vs), dim), np.asarray(col("up").values),
                 np.asarray(col("radius").values), np.asarray(col("child").values), col("ids").as_py(),
             )
-        tree, rows = Subtree(held, top), []
-        for block in wanted["qs"]:
-            for x in block.as_py():
-                got = tree.nearest(np.array(x["q"], dtype=float), x["query_id"], k, x["least"])
-                rows += [(x["query_id"], region, part, i, s, 0, 0) for s, i in got if x["least"] is None or s >= x["least"]]
-        rows.append((None, region, part, None, None, tree.computed, tree.skipped))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        tree, out = Subtree(held, top), []
+        for block in wanted["qs"].chunks:
+            x = block.flatten()
+            own, least = x.field("query_id").to_numpy(), x.field("least")
+            least = np.where(least.is_null(), -math.inf, least.fill_null(0).to_numpy(zero_copy_only=False).astype(float))
+            scores, ids = tree.nearest(matrix(x.field("q")).reshape(len(x), dim), own, k, least)
+            i, j = np.nonzero((ids != NONE) & (scores >= least[:, None]))
+            zero = np.zeros(len(i), dtype=np.int64)
+            out.append([own[i], zero + region, zero.astype(np.int32) + part, ids[i, j], scores[i, j], zero, zero])
+        found = pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        work = [[None], [region], [part], [None], [None], [tree.computed], [tree.skipped]]
+        return pa.concat_tables([found, pa.table([pa.array(c, f.type) for c, f in zip(work, schema)], schema=schema)])
 
     return routed.groupBy(*key).cogroup(pages.groupBy(*key)).applyInArrow(
         find, "query_id long, region long, part int, vec_id long, score long, computed long, skipped long"

@@ -77,6 +77,7 @@ def spelt(seed=4, docs=60):
 def test_variants_match_brute_force(spark, docs_of, most):
     rows = spelt() + [(500, None), (501, ""), (502, " 12 "), (None, "abcabcabc abcabcabc"), (3, "aaaaaaa aaaaaaa"), (3, "aaaaaaa aaaaaaa")]
     rows += [(503, " ".join(["b" * 4000, "b" * 3999, "b" * 4000, "b" * 3999]))]
+    rows += [(i, "mnopqrs " * 40 + "mnopqrst " * 4 + "mnopqrstu " * (i % 3 == 0)) for i in range(600, 630)]
     want = brute_variants(rows, 5)
     assert got_variants(spelling.variants(docs_of(rows, "n long, word string"), noise=5, most=most)) == want
     assert any(r[2] != r[1] and r[1] for r in want)  # paths of two steps
