@@ -306,6 +306,18 @@ parsed AS (SELECT *, (algo IS NOT NULL AND lr IS NOT NULL AND seed IS NOT NULL A
 summ AS (SELECT run_id, arg_max_null(value, step) AS sv, max(step) AS ss FROM run_history GROUP BY run_id)"""
 
 
+def exact_mean(v: str) -> str:
+    """The mean of doubles rounded once: values as integers times 2**-80 (exact from 2**-27 to 2**40), the
+    quotient as an integer of some 57 bits whose last bit tells a rest."""
+    total = f"sum(CAST({v} * pow(2.0, 80) AS HUGEINT))"
+    cut = "CAST(x.a // (x.n * x.p) AS BIGINT)"
+    odd = f"{cut} + CASE WHEN {cut} % 2 = 0 AND x.a % (x.n * x.p) <> 0 THEN 1 ELSE 0 END"
+    power = f"greatest(0, CAST(floor(log2(greatest(CAST(abs({total}) // count({v}) AS DOUBLE), 1.0))) AS INTEGER) - 56)"
+    one = f"{{'a': abs({total}), 'n': CAST(count({v}) AS HUGEINT), 'p': CAST(pow(2.0, {power}) AS HUGEINT), 'k': {power}, 's': sign({total})}}"
+    mean = f"list_transform([{one}], lambda x: x.s * CAST({odd} AS DOUBLE) * pow(2.0, x.k - 80))[1]"
+    return f"CASE WHEN count({v}) > 0 THEN {mean} END"
+
+
 def _value(strategy: str) -> str:
     order = "step DESC" if strategy == "last" else "value ASC, step ASC"
     return f"""hvr AS (SELECT run_id, value, step, row_number() OVER (PARTITION BY run_id ORDER BY {order}) AS rn
@@ -333,7 +345,7 @@ FROM h WHERE CASE WHEN hs IS NULL THEN sv ELSE hv END IS NOT NULL"""
 SQL["run_totals_summary"] = with_(RUN_HISTORY, _PARSE, _value("last")) + """SELECT count(*) AS n_runs, CAST(count_if(parsed) AS BIGINT) AS n_parsed,
   CAST(count_if(parsed AND run_id % 7 <> 2 AND run_id IN (SELECT run_id FROM kept)) AS BIGINT) AS n_kept,
   CAST(count_if(NOT parsed) AS BIGINT) AS n_unparsed FROM parsed"""
-_AGG = f"""agg AS (SELECT algo, lr, model, count(value) AS n_seeds, round(avg(value), 9) AS mean_{METRIC},
+_AGG = f"""agg AS (SELECT algo, lr, model, count(value) AS n_seeds, round({exact_mean('value')}, 9) AS mean_{METRIC},
              round(stddev_samp(value), 9) AS std_{METRIC} FROM kept GROUP BY algo, lr, model)"""
 SQL["seed_aggregate"] = with_(RUN_HISTORY, _PARSE, _value("last"), _AGG) + "SELECT * FROM agg"
 SQL["seed_pivot"] = with_(RUN_HISTORY, _PARSE, _value("last"), _AGG) + "SELECT algo, model, " + ", ".join(
@@ -371,18 +383,8 @@ _CM = ["accuracy", "f1_macro", "f1_head", "f1_tail", "gap_head_tail", "loss"]
 SQL["ragged_logs"] = _EVAL_ROWS + f"SELECT run, lr, step, {_r9(_CM)} FROM er"
 
 
-def _fixed_mean(v: str) -> str:
-    return f"CAST(sum(CAST(floor({v} * 1e12 + 0.5) AS HUGEINT)) AS DOUBLE) / CAST(count({v}) AS DOUBLE) / 1e12"
-
-
-def _fixed_std(v: str) -> str:
-    q = f"CAST(floor({v} * 1e9 + 0.5) AS HUGEINT)"
-    return (f"CASE WHEN count({v}) >= 2 THEN sqrt(CAST(count({v}) * sum({q} * {q}) - sum({q}) * sum({q}) AS DOUBLE)"
-            f" / CAST(count({v}) * (count({v}) - 1) AS DOUBLE)) / 1e9 END")
-
-
 SQL["curve_summary"] = _EVAL_ROWS + "SELECT lr, step, " + ", ".join(
-    f"round({_fixed_mean(m)}, 9) AS {m}, round({_fixed_std(m)}, 9) AS {m}_std" for m in _CM
+    f"round({exact_mean(m)}, 9) AS {m}, round(stddev_samp({m}), 9) AS {m}_std" for m in _CM
 ) + " FROM er WHERE lr IN (0.001, 0.0005, 0.0001) GROUP BY lr, step"
 
 

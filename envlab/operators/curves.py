@@ -6,17 +6,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from envlab.sources.logs import missing_as_null
+from envlab.operators.sums import exact_mean_std
 
 # Fixed values of the reference: learning rates kept, and the default metrics.
 TARGET_LRS = (1e-3, 5e-4, 1e-4)
 DEFAULT_METRICS = ("accuracy", "f1_macro", "f1_head", "f1_tail", "gap_head_tail")
 
 
-# Bounds within which the fixed-point sums are exact.
-FIXED_MAX, FIXED_ROWS = 9e6, 1000
-
-
 def keep_target_lrs(df: DataFrame, lrs: Sequence[float] = TARGET_LRS) -> DataFrame:
     """Exact equality is safe, both sides parse the same literals to doubles."""
     return df.where(F.col("lr").isin(*[float(x) for x in lrs]))
@@ -30,38 +26,13 @@ def select_metrics(requested: Sequence[str], available: Sequence[str]) -> list[s
     return out
 
 
-def fixed_point_mean_std(v) -> tuple[F.Column, F.Column]:
-    """Mean and sample std whose value does not depend on the order of summation.
-
-    Values are rounded to fixed point (1e-12 for the mean, 1e-9 for the std) and summed as exact
-    integers, so the result is the same for every partitioning, after every retry, and in any
-    engine that follows the same integer recipe (the SQL twin does). The recipe holds for values
-    within +-9e6 and up to 1,000 of them; a group beyond that takes ``avg`` and ``stddev_samp``.
-    The std of fewer than two values is NULL."""
-    v = v if isinstance(v, F.Column) else F.col(v)
-    small = F.when(F.abs(v) <= F.lit(FIXED_MAX), v)
-    q12 = F.floor(small * F.lit(1e12) + 0.5).cast("decimal(38,0)")
-    q9 = F.floor(small * F.lit(1e9) + 0.5).cast("decimal(38,0)")
-    n = F.count(v)
-    exact = (F.count(small) == n) & (n <= FIXED_ROWS)
-    mean = F.when(exact, F.try_sum(q12).cast("double") / n.cast("double") / F.lit(1e12)).otherwise(F.avg(v))
-    t1, t2 = F.try_sum(q9), F.try_sum(q9 * q9)
-    num = n.cast("decimal(38,0)") * t2 - t1 * t1
-    fixed = F.sqrt(num.cast("double") / (n * (n - 1)).cast("double")) / F.lit(1e9)
-    std = F.when(n >= 2, F.when(exact, fixed).otherwise(F.stddev_samp(v)))
-    return mean, std
-
-
 def curve_summary(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("lr", "step")) -> DataFrame:
     """A9 + J6: mean and sample std of every metric by (lr, step) in one aggregate (the reference
     groups once per metric and merges mean with std). NaN is skipped; a group with no value has
     NULL mean; std of one value is NULL. ``keys`` may add grouping columns (Q9). The sums are
-    exact (:func:`fixed_point_mean_std`), so the curves are reproducible run to run."""
-    aggs = []
-    for m in metrics:
-        mean, std = fixed_point_mean_std(missing_as_null(m))
-        aggs += [mean.alias(m), std.alias(f"{m}_std")]
-    return df.groupBy(*keys).agg(*aggs)
+    exact (:func:`exact_mean_std`), so the curves are reproducible run to run."""
+    x = exact_mean_std(df, keys, {m: F.col(m) for m in metrics})
+    return x.select(*keys, *[c for m in metrics for c in (F.col(f"{m}_mean").alias(m), F.col(f"{m}_std"))])
 
 
 def per_metric(summary: DataFrame, metric: str, keys: Sequence[str] = ("lr", "step")) -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envlab.functions.names import lr_number, parse_run_name
+from envlab.operators.sums import exact_mean_std
+
+
+PIVOT_MAX = 1000
 
 
 def parse_runs(runs: DataFrame, name: str = "run_name") -> DataFrame:
@@ -90,11 +94,10 @@ def kept_runs(runs: DataFrame) -> DataFrame:
 def seed_aggregate(values: DataFrame, keys: Sequence[str] = ("algo", "lr", "model"), value: str = "value",
                    prefix: str = "value") -> DataFrame:
     """Count, mean and sample standard deviation over seeds per (algo, lr, model); NaN values
-    are skipped like pandas; the std of a single value is NULL."""
-    v = F.nanvl(F.col(value), F.lit(None).cast("double"))
-    return values.groupBy(*keys).agg(
-        F.count(v).alias("n_seeds"), F.avg(v).alias(f"mean_{prefix}"), F.stddev_samp(v).alias(f"std_{prefix}")
-    )
+    are skipped like pandas; the std of a single value is NULL. The sums are exact, whatever their
+    order (:func:`exact_mean_std`)."""
+    x = exact_mean_std(values, keys, {"_v": F.col(value)})
+    return x.select(*keys, F.col("_v_n").alias("n_seeds"), F.col("_v_mean").alias(f"mean_{prefix}"), F.col("_v_std").alias(f"std_{prefix}"))
 
 
 def sort_runs(agg: DataFrame) -> DataFrame:
@@ -105,10 +108,14 @@ def sort_runs(agg: DataFrame) -> DataFrame:
 def seed_pivot(agg: DataFrame, mean_col: str, lrs: Sequence[str] | None = None) -> DataFrame:
     """A10: model x lr matrix of the mean, one row per (algo, model) (the reference's model-only
     index is ambiguous when two algorithms share a model and lr). Columns are the lr labels in
-    numeric order; when not given they are read from the (small) aggregate."""
+    numeric order, labels that are no number last; when not given they are read from the aggregate,
+    and more than PIVOT_MAX of them are an error: a column each is no table to look at."""
     if lrs is None:
-        rows = agg.select("lr").distinct().where(F.col("lr").isNotNull()).collect()
-        lrs = sorted((r[0] for r in rows), key=lambda s: float(s.replace(" ", "")))
+        labels = agg.select("lr").distinct().where(F.col("lr").isNotNull())
+        labels = labels.orderBy(lr_number(F.col("lr")).asc_nulls_last(), "lr").limit(PIVOT_MAX + 1).collect()
+        if len(labels) > PIVOT_MAX:
+            raise ValueError(f"more than {PIVOT_MAX} learning rates: name the columns with lrs")
+        lrs = [r[0] for r in labels]
     return agg.groupBy("algo", "model").pivot("lr", list(lrs)).agg(F.first(mean_col))
 
 

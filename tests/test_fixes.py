@@ -1,5 +1,7 @@
 """Cases that once lost rows or gave wrong numbers."""
 import math
+import random
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,7 @@ from envlab.operators import curves as CV
 from envlab.operators import encode as EN
 from envlab.operators import runs as RN
 from envlab.operators.ranking import rank_within
+from envlab.operators.sums import exact_mean_std
 from envlab.plans.corpus import build_corpus_b
 from envlab.plans.support_report import support_report
 from envlab.sources.logs import available_columns, discover_logs, read_eval_logs
@@ -67,14 +70,46 @@ def test_runs_with_only_a_summary(spark):
 
 
 def test_curve_numbers_do_not_saturate(spark):
-    df = spark.createDataFrame([(1, 2e7), (1, 4e7), (2, math.inf), (2, 1.0), (3, 1.0), (3, 2.0)], "k int, v double")
-    mean, std = CV.fixed_point_mean_std(F.col("v"))
-    got = {r["k"]: (r["m"], r["s"]) for r in df.groupBy("k").agg(mean.alias("m"), std.alias("s")).collect()}
-    assert got[1][0] == 3e7 and abs(got[1][1] - 2e7 / math.sqrt(2)) < 1e-3
-    assert got[2][0] == math.inf and abs(got[3][1] - math.sqrt(0.5)) < 1e-9
-    many = spark.range(3000).select(F.lit(1).alias("k"), (F.col("id") * 1000.0).alias("v"))
-    r = many.groupBy("k").agg(mean.alias("m"), std.alias("s")).first()
-    assert abs(r["m"] - 1499500) < 1e-6 and abs(r["s"] - 1000 * math.sqrt(3000 * 3001 / 12)) < 1e-3
+    df = spark.createDataFrame([(1, 2e7), (1, 4e7), (2, math.inf), (2, 1.0), (3, 1.0), (3, 2.0), (None, 5.0), (4, None), (4, math.nan)], "k int, v double")
+    got = {r["k"]: (r["v"], r["v_std"]) for r in CV.curve_summary(df, ["v"], ["k"]).collect()}
+    assert got[1] == (3e7, 2e7 / math.sqrt(2)) and got[2] == (math.inf, None)
+    assert got[3] == (1.5, math.sqrt(0.5)) and got[None] == (5.0, None) and got[4] == (None, None)
+    for n in (1000, 1001):  # no size changes the numbers
+        same = spark.range(n).select(F.lit(1).alias("k"), F.lit(0.1).alias("v"))
+        assert tuple(CV.curve_summary(same, ["v"], ["k"]).first())[1:] == (0.1, 0.0)
+
+
+def exact(values):
+    v = [Fraction(x) for x in values]
+    n, total = len(v), sum(v)
+    var = (n * sum(x * x for x in v) - total * total) / (n * (n - 1))
+    return float(total / n), math.sqrt(var) if var < 10**300 else None
+
+
+def test_sums_are_exact_for_any_order_count_and_size(spark):
+    rnd = random.Random(11)
+    groups = {
+        0: [rnd.uniform(-1, 1) for _ in range(3000)],
+        1: [1e300, 1.0, -1e300, 3.0],
+        2: [1e16 + 2 * k for k in range(500)],
+        3: [rnd.choice([-1, 1]) * 2.0 ** rnd.randrange(-300, 300) * rnd.random() for _ in range(200)],
+        4: [5e-324, 1e-310, -5e-324, 2.0**-1022],
+        5: [0.0, -0.0, 0.0],
+        6: [math.nextafter(2.0**k, 0) for k in range(-40, 40)],
+    }
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    want = None
+    for parts in (1, 7):
+        rnd.shuffle(rows)
+        df = spark.createDataFrame(rows, "k int, v double").repartition(parts)
+        got = {r["k"]: (r["v_n"], r["v_mean"], r["v_std"]) for r in exact_mean_std(df, ["k"], {"v": F.col("v")}).collect()}
+        assert want is None or got == want  # bit for bit
+        want = got
+    for k, vs in groups.items():
+        n, mean, std = want[k]
+        m, s = exact(vs)
+        assert n == len(vs) and mean == m
+        assert std == pytest.approx(s, rel=1e-15) if s is not None else std > 0
 
 
 def test_moving_average_skips_missing_losses_only(spark):
