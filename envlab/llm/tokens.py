@@ -8,15 +8,18 @@ tries seeds until all its keys land on free slots). A slot stores a fingerprint
 payload file and the offset, so a lookup reads one group's seeds, one slot and one payload range,
 and a foreign key is told by its fingerprint.
 
-Encoding is the tokenizers library's. A worker remembers the ids of pre-tokens it has seen: the
-library's byte-level pre-tokenizer cuts a text into pieces that are merged on their own, so a text's
-ids are its pieces' ids in turn. Texts that hold an added token's string go to the library whole.
+Encoding is the tokenizers library's. A worker remembers the ids of what it has seen: the library's
+byte-level pre-tokenizer cuts a text into pieces that are merged on their own, so a text's ids are its
+pieces' ids in turn. A blank before a character that is none begins a piece, so a text is first cut
+there, into words with what is attached to them, and only new words are cut into pieces. Texts that
+hold an added token's string go to the library whole.
 """
 from __future__ import annotations
 
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from envlab.llm import files
 from envlab.llm.common import shared_uri, store
@@ -32,7 +36,8 @@ from envlab.llm.common import shared_uri, store
 END_ID = 2
 GROUP_KEYS = 2048  # keys a group holds on average
 BUCKET_KEYS = 4  # keys a bucket holds on average
-MEMO_PIECES = 1_000_000  # some 200 MB
+MEMO_WORDS = 600_000  # some 150 MB
+MEMO_PIECES = 600_000  # some 120 MB
 # beyond Latin, Greek and Cyrillic, two libraries' character tables might be of different age
 FAR = "[^\x00-\u04ff]"
 # the byte-level pre-tokenizer's published pattern (fixed value), its classes spelt for U+0000 to U+04FF
@@ -42,6 +47,8 @@ PIECES = (
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?(?:[^\w{_SPACE}]|_)+"
     rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
+# a blank that begins a piece, and a blank that begins none
+CUT, NO_CUT = rf" (?=[^{_SPACE}])", rf" (?:[{_SPACE}]|$)"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -69,37 +76,57 @@ class Encoder:
             and not spec.get("normalizer") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
         )
         self.width = 4 if self.library.get_vocab_size() > 1 << 16 else 2
-        self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # of words with a blank before them, which the key lacks
         self.find = re.compile(PIECES).findall
+        self.cut, self.no_cut = re.compile(CUT).split, re.compile(NO_CUT).search
         self.letters = _byte_letters()
+        self.merge = self.library.model.tokenize
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.far = re.compile(FAR).search
+        self.code = "H" if self.width == 2 else "I"
 
     def _whole(self, text: str) -> bytes:
         return self.packed(self.library.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Add pieces to the memo, merged by the library's model."""
-        merge, letters = self.library.model.tokenize, self.letters
-        for p in pieces:
-            # bytes as Latin-1 characters, then as the vocabulary's letters
-            self.memo[p] = self.packed([t.id for t in merge(p.encode().decode("latin-1").translate(letters))])
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece, merged by the library's model: its bytes as Latin-1 characters, then as the
+        vocabulary's letters; of printable ASCII only the blank has another letter."""
+        if piece.isascii() and piece.isprintable():
+            spelt = piece.replace(" ", self.letters[0x20])
+        else:
+            spelt = piece.encode().decode("latin-1").translate(self.letters)
+        return self.packed([t.id for t in self.merge(spelt)])
+
+    def _cut_word(self, word: str) -> bytes:
+        known, out = self.pieces, []
+        for p in self.find(word):
+            ids = known.get(p)
+            if ids is None:
+                if len(known) >= MEMO_PIECES:
+                    known.clear()
+                ids = known[p] = self._piece(p)
+            out.append(ids)
+        return b"".join(out)
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece or self.far(text) or any(a in text for a in self.added):
             return self._whole(text)
-        pieces = self.find(text)
-        memo = self.memo
-        parts = list(map(memo.get, pieces))
+        words = self.cut(text) if self.no_cut(text) else text.split(" ")
+        first = self._cut_word(words[0])  # no blank before it
+        del words[0]
+        known = self.words
+        parts = list(map(known.get, words))
         if None in parts:
-            if len(memo) >= MEMO_PIECES:
-                memo.clear()
-            self._learn({p for p, ids in zip(pieces, parts) if ids is None})
-            parts = [memo[p] if ids is None else ids for p, ids in zip(pieces, parts)]
-        return b"".join(parts)
+            if len(known) >= MEMO_WORDS:
+                known.clear()
+            for w in {w for w, ids in zip(words, parts) if ids is None}:
+                known[w] = self._cut_word(" " + w)
+            parts = [known[w] if ids is None else ids for w, ids in zip(words, parts)]
+        return first + b"".join(parts)
 
 
 _ENCODERS: dict[str, Encoder] = {}  # a worker process keeps its encoder over tasks
@@ -121,14 +148,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
     the file), n_tokens, width (bytes an id), start (ids of all documents before it)``.
 
     A NULL text is empty (its ids are the end id alone); NULL ids come first; rows with equal ids
-    are ordered by text and numbered by ``copy``; an empty table writes no file; other columns are
-    ignored."""
+    are ordered by the hash of the text and numbered by ``copy``; an empty table writes no file; other
+    columns are ignored. Rows with equal ids may lie in several files, equal rows lie in one."""
     spark = docs.sparkSession
     folder = shared_uri(spark, "tokens")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+        .withColumn("h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
         .select("doc_id", "text", F.spark_partition_id().cast("long").alias("file"))
     )
 
@@ -156,7 +183,23 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
         ("doc_id", pa.int64()), ("copy", pa.int64()), ("file", pa.int64()), ("uri", pa.string()),
         ("at", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()),
     ])
-    return store(rows.mapInArrow(write, ENTRY), "token-entries")
+    return _numbered(store(rows.mapInArrow(write, ENTRY), "token-entries"))
+
+
+def _numbered(entries: DataFrame) -> DataFrame:
+    """``entries`` with copies numbered over files: an id that goes on in the next file counts on."""
+    per_file = entries.groupBy("doc_id", "file").agg(F.count(F.lit(1)).alias("n"))
+    spread = per_file.groupBy("doc_id").agg(F.count(F.lit(1)).alias("files")).where("files > 1").select(F.col("doc_id").alias("id"))
+    # a row per file that such an id lies in
+    before = Window.partitionBy("id").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = store(
+        per_file.join(spread, F.col("doc_id").eqNullSafe(F.col("id")))
+        .select("id", F.col("file").alias("in_file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("more")), "token-copies",
+    )
+    return store(
+        entries.join(offsets, (F.col("file") == F.col("in_file")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
+        .withColumn("copy", F.col("copy") + F.coalesce("more", F.lit(0))).drop("id", "in_file", "more"), "token-entries",
+    )
 
 
 def _hashes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -265,26 +308,23 @@ def read_tokens(places: DataFrame, entries: DataFrame, keep_ids: bool = False) -
     """Read the id ranges of looked-up ``places`` from the payload files. Returns ``key, start (ids
     before it in all files), n_tokens, ids_crc32 (of the ids as little-endian 32-bit words)`` and
     with ``keep_ids`` also ``ids array<long>``. ``entries`` gives the files' names and lengths."""
-    # one row per payload file: as many as writing tasks
-    per_file = entries.groupBy("file").agg(F.first("uri").alias("uri"), F.first("width").alias("width"), F.sum("n_tokens").alias("n"))
-    known = {r["file"]: (r["uri"], r["width"], r["n"]) for r in per_file.collect()}
-    base, total = {}, 0
-    for file in sorted(known):
-        base[file], total = total, total + known[file][2]
+    # a row per payload file, as many as writing tasks, in order: their running sum is a short one
+    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    known = entries.groupBy("file").agg(F.first("uri").alias("uri"), F.first("width").alias("width"), F.sum("n_tokens").alias("n"))
+    known = store(known.select("file", "uri", "width", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")), "token-files")
     schema = "key string, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if keep_ids else "")
 
     def read(batches):
         now, src = None, None
         for b in batches:
             rows = []
-            for key, file, at, n in zip(*(c.to_pylist() for c in b.columns)):
-                uri, width, _ = known[file]
+            for key, at, n, uri, width, base in zip(*(c.to_pylist() for c in b.columns)):
                 if uri != now:
                     if src is not None:
                         src.close()
                     now, src = uri, files.open_random(uri)
                 ids = np.frombuffer(src.read_at(n * width, at * width), dtype=f"<u{width}")
-                rows.append((key, base[file] + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *([ids.tolist()] if keep_ids else [])))
+                rows.append((key, base + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *([ids.tolist()] if keep_ids else [])))
             names = ["key", "start", "n_tokens", "ids_crc32", "ids"][: 4 + keep_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names) if rows else pa.RecordBatch.from_pydict(
                 {x: pa.array([], pa.string() if x == "key" else pa.int64()) for x in names[:4]}
@@ -294,4 +334,5 @@ def read_tokens(places: DataFrame, entries: DataFrame, keep_ids: bool = False) -
 
     # neighbours in a file are read by one task, in order
     parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return places.repartitionByRange(parts, "file", "at").sortWithinPartitions("file", "at").mapInArrow(read, schema)
+    placed = places.join(known, "file").select("key", "file", "at", "n_tokens", "uri", "width", "base")
+    return placed.repartitionByRange(parts, "file", "at").sortWithinPartitions("file", "at").drop("file").mapInArrow(read, schema)
