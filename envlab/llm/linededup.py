@@ -1,18 +1,19 @@
-"""Line dedup: blocks of lines that an earlier document holds.
-
-A block is a stretch of neighbouring lines (blank ones aside) with at least ``min_words`` words. The
-shortest such runs that begin or end at a line are at most two per line, and every line of a block
-lies in one of them inside the block. So a line is deleted if one of its runs stands in an earlier
-document, whichever that is: runs are found by hashes, with no pairs of documents. All blocks that
-an alignment with any earlier document gives are among them.
-
-``rare`` asks for alignment with first holders only, which finds fewer blocks: for a line shared by
-documents, each later one is paired with the earliest that holds it (one pair per document and line,
-never all pairs of a group), however common the line is; the value of ``rare`` changes nothing. A
-pair is aligned with patience diff: trim common ends, anchor on lines that occur once on either
-side, keep the longest increasing run of anchors, repeat in the gaps. Aligned neighbouring lines
-form blocks; a block of at least ``min_words`` words is deleted from the later document. Either way
-the earliest holder of a line never loses it.
+"""Line dedup: overlapping documents are aligned, and common blocks go from the later one.
+
+A block is a stretch of neighbouring lines (blank ones aside) with at least ``min_words`` words. What
+tells overlapping documents are hashes of lines that are rare because they are long: a line of
+``min_words`` words or more, or, where lines are shorter, a shortest run of neighbouring ones that
+reaches so many and begins or ends at a line. Every common block holds such a run, and there are two
+per line at most. A document is paired with the first holder of each of its runs: one pair per
+document and run however common the run is, never all pairs of its holders, and the first holder of
+every run of a block is among the document's partners whichever other documents hold the block.
+
+A pair is aligned with patience diff: trim common ends, anchor on lines that occur once on either
+side, keep the longest increasing run of anchors, repeat in the gaps. Aligned neighbouring lines form
+blocks. Runs that both documents hold but that cross the alignment (moved or repeated passages) are
+then aligned on their own. Blocks of at least ``min_words`` words are deleted from the later document,
+so a line goes if and only if it lies in a block that some earlier document holds. The first holder of
+a line's blocks never loses them.
 """
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from envlab.llm.common import store
+from envlab.llm.common import column, join_first, store
 
 MIN_WORDS = 20
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)  # odd, for two run hashes modulo 2**64
@@ -68,11 +69,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             place = {b[j]: j for j in range(j0, j1) if b[j] in once}
             mine = [i for i in range(i0, i1) if a[i] in once]
             anchors = [(mine[k], place[a[mine[k]]]) for k in increasing([place[a[i]] for i in mine])]
-        else:  # lines that repeat on a side: the least frequent pair's first places
-            common = sorted((ca[x] * cb[x], a.index(x, i0, i1), x) for x in ca if x in cb)
-            if not common:
-                continue
-            anchors = [(common[0][1], b.index(common[0][2], j0, j1))]
+        else:
+            continue
         i, j = i0, j0
         for x, y in anchors:
             todo.append((i, x, j, y))
@@ -82,28 +80,47 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def repeated_lines(later: list[int], words: list[int], earlier: list[int], min_words: int) -> list[int]:
-    """Places in ``later`` of the aligned blocks that have at least ``min_words`` words."""
-    out, block, end = [], [], None
-    for i, j in [*patience(later, earlier), (-1, -1)]:
+def _blocks(places: list[tuple[int, int]], words: list[int], min_words: int) -> set[int]:
+    """Places in the later document of the aligned neighbouring lines that have ``min_words`` words."""
+    out, block, end = set(), [], None
+    for i, j in [*places, (-1, -1)]:
         if block and (i, j) != (end[0] + 1, end[1] + 1):
             if sum(words[k] for k in block) >= min_words:
-                out += block
+                out.update(block)
             block = []
         block.append(i)
         end = (i, j)
     return out
 
 
+def repeated_lines(later: list[int], words: list[int], earlier: list[int], min_words: int) -> list[int]:
+    """Places in ``later`` of the blocks of at least ``min_words`` words that ``earlier`` holds: first those
+    of the patience alignment, then shared runs that cross it."""
+    out = _blocks(patience(later, earlier), words, min_words)
+    n = np.array([len(later)])
+    _, begin, end = shortest_runs(n, np.array(words, dtype=np.int64), min_words)
+    held: dict[int, set] = {}
+    for i, j in zip(begin.tolist(), end.tolist()):
+        if all(k in out for k in range(i, j)):
+            continue
+        if j - i not in held:
+            held[j - i] = set(zip(*(earlier[k:] for k in range(j - i))))
+        if tuple(later[i:j]) in held[j - i]:
+            out.update(range(i, j))
+    return sorted(out)
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
 def _aligned(pairs: DataFrame, seqs: DataFrame, min_words: int) -> DataFrame:
-    """(key, at array<int>): places to delete, for pairs (key, first)."""
-    later = seqs.select(F.col("key").alias("k1"), "at", "h", "w")
-    early = seqs.select(F.col("key").alias("k2"), F.col("h").alias("h2"))
-    sides = pairs.join(later, F.col("key") == F.col("k1")).join(early, F.col("first") == F.col("k2")).select("key", "at", "h", "w", "h2")
+    """(key, at array<int>): places to delete, for stored pairs (key, first)."""
+    partners = store(pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n")), "line-partners")
+    early = partners.join(seqs.select(F.col("key").alias("first"), F.col("h").alias("h2")), "first")
+    sides = join_first(pairs, early, ["first"], F.col("key")).select(F.col("key").alias("k1"), "h2").join(
+        seqs.select("key", "at", "h", "w"), F.col("k1") == F.col("key")
+    ).select("key", "at", "h", "w", "h2")
 
     def run(batches):
         for b in batches:
@@ -140,34 +157,32 @@ def _run_hash(h: np.ndarray, i: np.ndarray, j: np.ndarray, base: int) -> np.ndar
 
 
 def _runs(seqs: DataFrame, min_words: int) -> DataFrame:
-    """(key, i, j, r1, r2): every document's shortest runs, as places in ``seqs`` and two hashes."""
+    """(key, r1, r2): two hashes of each of a document's shortest runs."""
     def run(batches):
         for b in batches:
             n = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
             h = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             w = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             d, i, j = shortest_runs(n, w, min_words)
-            before = (np.cumsum(n) - n)[d]
-            cols = [pa.array((x - before).astype(np.int32)) for x in (i, j)] + [pa.array(_run_hash(h, i, j, x)) for x in BASES]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), *cols], names=["key", "i", "j", "r1", "r2"])
+            cols = [pa.array(_run_hash(h, i, j, x)) for x in BASES]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), *cols], names=["key", "r1", "r2"])
 
     kind = seqs.schema["key"].dataType.simpleString()
-    return seqs.select("key", "h", "w").mapInArrow(run, f"key {kind}, i int, j int, r1 bigint, r2 bigint")
+    return seqs.select("key", "h", "w").mapInArrow(run, f"key {kind}, r1 bigint, r2 bigint")
 
 
-def _held(seqs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, th, at): the lines of runs that an earlier document holds."""
+def overlapping(seqs: DataFrame, min_words: int) -> DataFrame:
+    """Stored (key, first): each document with the first holders of its runs that are other documents."""
     runs = _runs(seqs, min_words)
-    known = runs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).where("n > 1").drop("n")
-    later = runs.join(known, ["r1", "r2"]).where("key <> first").groupBy(F.col("key").alias("k1")).agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("i"), F.col("j") - 1))))).alias("places")
-    )
-    return later.join(seqs.select("key", "at"), F.col("key") == F.col("k1")).select(
-        "key.doc_id", "key.th", F.transform("places", lambda p: F.get("at", p)).alias("at")
+    known = store(
+        runs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.max("key").alias("last"))
+        .where("first <> last").drop("last"), "line-runs",
     )
+    later = join_first(runs, known, ["r1", "r2"], F.col("key")).where("key <> first")
+    return store(later.select("key", "first").distinct(), "line-pairs")
 
 
-def repeated(docs: DataFrame, min_words: int = MIN_WORDS, rare: int | None = None) -> DataFrame:
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, at array<int>): the lines (from 0) to delete of each document that has some;
     ``th`` is xxhash64 of its text and tells documents with equal ids apart."""
     seqs = store(
@@ -186,32 +201,26 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, rare: int | None = Non
         ),
         "line-seqs",
     )
-    if rare is None:
-        return _held(seqs, min_words)
-    held = seqs.select("key", F.explode(F.array_distinct("h")).alias("h"))
-    known = held.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("key").alias("first")).where("df > 1")
-    shared = store(held.join(known, "h").where("key <> first"), "line-shared")
-    pairs = shared.select("key", "first").distinct()
-    return _aligned(pairs, seqs, min_words).groupBy("key").agg(
+    return _aligned(overlapping(seqs, min_words), seqs, min_words).groupBy("key").agg(
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at")
     ).select("key.doc_id", "key.th", "at")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` freed of repeated blocks, and ``removed array<int>`` (line places).
 
     Lines are compared without outer blanks; blank lines are never deleted and never part a block;
     documents come in the order of (doc_id, hash of the text) with NULL ids first, so equal ids
     are fine and repeated rows are treated alike; a NULL text stays NULL; a text whose every line
-    goes becomes empty; an empty table gives no rows; an input column ``removed`` is replaced."""
-    cut = repeated(docs, min_words, rare).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("at").alias("__at"))
+    goes becomes empty; an empty table gives no rows; an input column ``removed`` is replaced, others
+    stay as they are, whatever their names."""
+    cut = repeated(docs, min_words).select(F.col("doc_id").alias("id"), "th", F.col("at").alias("places"))
     kept = [c for c in docs.columns if c != "removed"]
-    out = docs.select(*kept).withColumn("__h", F.xxhash64("text")).join(
-        cut, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left"
-    )
-    none = F.array().cast("array<int>")
-    left = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains(F.col("__at"), i)), "\n")
+    rows = docs.select(F.struct(*[column(c) for c in kept]).alias("row"))
+    out = rows.join(cut, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("th")), "left")
+    left = F.array_join(F.filter(_lines(F.col("row.text")), lambda x, i: ~F.array_contains(F.col("places"), i)), "\n")
+    text = F.when(F.col("places").isNull(), F.col("row.text")).otherwise(left)
     return out.select(
-        *[F.when(F.col("__at").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else c for c in kept],
-        F.coalesce("__at", none).alias("removed"),
+        *[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in kept],
+        F.coalesce("places", F.array().cast("array<int>")).alias("removed"),
     )
