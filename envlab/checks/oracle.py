@@ -515,3 +515,8 @@ SQL["map_batches"] = """SELECT doc_id AS example_id, CAST(length(coalesce(text,
 
 # every twin: ``round(x, 9)`` -> the engine-independent half-up form (keep this last)
 SQL = {k: _fix_round(v) for k, v in SQL.items()}
+
+SQL["loss_moving_avg_disordered"] = SQL["loss_moving_avg"]
+SQL["eval_stream_parts"] = SQL["eval_by_step"]
+SQL["log_appends"] = with_(EVENT_STEPS) + """SELECT 'run ' || CAST(user_id AS VARCHAR) AS run, step, round(value, 9) AS train_loss,
+  CAST(NULL AS DOUBLE) AS train_loss_moving_avg, step // 50 AS round FROM event_steps"""

@@ -373,7 +373,11 @@ def q_run_grid(spark, d):
 # ---------------------------------------------------------------- learning curves
 from envlab.operators import curves as CV  # noqa: E402
 from envlab.session import materialize, scratch_path  # noqa: E402
-from envlab.sources.logs import EVAL_COLUMNS, discover_logs, available_columns, parse_ragged, read_eval_logs  # noqa: E402
+from envlab.sinks.appendlog import merge, write_attempt  # noqa: E402
+from envlab.sinks.files import log_root, write_metric_logs_by_run  # noqa: E402
+from envlab.sources.logs import (  # noqa: E402
+    EVAL_COLUMNS, TRAINING_COLUMNS, available_columns, discover_logs, parse_ragged, read_eval_logs, read_metric_log,
+)
 
 CURVE_METRICS = ["accuracy", "f1_macro", "f1_head", "f1_tail", "gap_head_tail", "loss"]
 
@@ -531,6 +535,35 @@ def q_loss_moving_avg_stream(spark, d):
     return _ma_stream(spark, d)
 
 
+@query("loss_moving_avg_disordered")
+def q_loss_moving_avg_disordered(spark, d):
+    """X2 with rows of every step range in every append: held until their predecessors have come."""
+    src, sink, ck = scratch_path(spark, "trainlog"), scratch_path(spark, "ma"), scratch_path(spark, "ma-ckpt")
+    log = materialize(fx.train_log(spark, d), "trainlog-all").withColumn("_chunk", F.pmod(F.xxhash64("run", "step"), F.lit(LOG_APPENDS)))
+    ST.write_log_chunks(log, src, "_chunk", LOG_APPENDS, key="run")
+    ST.run_moving_average_stream(spark, src, sink, ck, files_per_trigger=8)
+    out = spark.read.parquet(sink).where("n_late = 0")
+    return out.select("run", "step", "train_loss", r9(F.col("train_loss_moving_avg")).alias("train_loss_moving_avg"))
+
+
+@query("log_appends")
+def q_log_appends(spark, d):
+    """K7: the training logs of all runs appended in two halves, the second one replayed, a third append
+    killed before its commit, the log merged and appended to once more; every row is read back once."""
+    log = fx.train_log(spark, d).withColumn("name", F.concat(F.lit("run "), F.col("run").cast("string")))
+    log = materialize(log.withColumn("round", F.floor(F.col("step") / 50)), "trainlog-all")
+    base, cols = scratch_path(spark, "runs"), list(TRAINING_COLUMNS)
+    part = [log.where(F.pmod("step", F.lit(3)) == k) for k in range(3)]
+    root = log_root(base, "training")
+    for epoch in (0, 1, 1):
+        write_metric_logs_by_run(part[epoch], base, "name", "training", cols, epoch)
+    write_attempt(part[0], root, 2, cols, "name")
+    merge(spark, root, "merge-1", "step long, train_loss double, train_loss_moving_avg double, round long", cols, runs=True)
+    write_metric_logs_by_run(part[2], base, "name", "training", cols, 2)
+    back = read_metric_log(spark, base, "training", cols)
+    return back.select("run", "step", r9(F.col("train_loss")).alias("train_loss"), "train_loss_moving_avg", "round")
+
+
 @query("loss_cadence_stream")
 def q_loss_cadence_stream(spark, d):
     """The streamed moving average, logged every CADENCE steps."""
@@ -619,6 +652,18 @@ def q_eval_stream(spark, d):
     return _round_all(rows.select(*EVAL_COLUMNS))
 
 
+@query("eval_stream_parts")
+def q_eval_stream_parts(spark, d):
+    """X4 with every snapshot's rows dealt over three appends: evaluated once, when whole."""
+    snap = materialize(_snapshots(spark, d).withColumn("_part", F.pmod(F.xxhash64("step", "example_id", "env"), F.lit(3))), "snapshots")
+    rows = snap.groupBy("step").count().agg(F.max("count")).first()[0]
+    src, run, ck = scratch_path(spark, "snap"), scratch_path(spark, "run"), scratch_path(spark, "snap-ckpt")
+    for part in range(3):
+        snap.where(F.col("_part") == part).drop("_part").write.mode("append").parquet(src)
+        ST.run_eval_stream(spark, src, run, ck, EVAL_STEPS, snapshot_rows=rows)
+    return _round_all(read_metric_log(spark, run, "eval", EVAL_COLUMNS).select(*EVAL_COLUMNS))
+
+
 # ---------------------------------------------------------------- sinks and the corpus reader, written and read back
 from envlab.plans.jobs import map_batches  # noqa: E402
 from envlab.sinks.files import write_csv_report, write_encoded, write_head_snapshots, write_pooled_tsv, write_val_tsv  # noqa: E402

@@ -1,11 +1,14 @@
 """Environment text files, reports, metric logs, encoded datasets and head snapshots (K1-K9)."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from envlab.sinks.appendlog import append
+
 
 def write_env_tsv(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K1: raw ``text<TAB>label`` lines (no quoting), one directory per environment
@@ -34,58 +37,24 @@ def write_csv_report(df: DataFrame, path: str, order: Sequence[str] = (), single
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
+def log_root(run_dir: str, name: str, fmt: str = "csv") -> str:
+    return f"{run_dir.rstrip('/')}/csv_logs/{name}.{fmt}"
+
+
 def write_metric_log(rows: DataFrame, run_dir: str, name: str, columns: Sequence[str], fmt: str = "csv",
-                     batch: int | None = None) -> None:
-    """K7: append rows to ``<run_dir>/csv_logs/<name>.csv`` (a directory of parts); every
-    column of ``columns`` is present, missing values are empty cells; each appended part carries
-    the header. ``fmt='parquet'`` writes ``<name>.parquet`` instead. With ``batch`` (a micro-batch's
-    number) the rows go to the folder of that batch, which a replay of it writes anew."""
-    cols = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]
-    path = f"{run_dir.rstrip('/')}/csv_logs/{name}.{fmt}"
-    if batch is not None:
-        path = f"{path}/batch={int(batch)}"
-    out = rows.select(*cols).write.mode("append" if batch is None else "overwrite")
-    if fmt == "csv":
-        out.option("header", True).csv(path)
-    else:
-        out.parquet(path)
-
-
-def write_metric_logs_by_run(spark: SparkSession, rows: DataFrame, base: str, run_col: str, name: str,
-                             columns: Sequence[str]) -> list[str]:
-    """K7 for many runs in one distributed write: partitioned by run, then each run's partition
-    folder is moved (a file-system rename, no data copy on HDFS) to ``<base>/<run>/csv_logs/<name>.csv``.
-    Returns the run folder names."""
-    staging = f"{base.rstrip('/')}/_staging_{name}"
-    cols = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]
-    # one shuffle on the run so that each run's log is a single file, as the reference keeps it
-    rows.select(F.col(run_col), *cols).repartition(run_col).write.mode("overwrite").option("header", True).partitionBy(run_col).csv(staging)
-    return _move_run_folders(spark, staging, base, run_col, name)
-
-
-def _move_run_folders(spark: SparkSession, staging: str, base: str, run_col: str, name: str) -> list[str]:
-    """Rename ``<staging>/<run_col>=<run>`` to ``<base>/<run>/csv_logs/<name>.csv`` (metadata
-    operations on the file system, issued from the driver; no data is read)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    Path = jvm.org.apache.hadoop.fs.Path
-    sp = Path(staging)
-    fs = sp.getFileSystem(conf)
-    unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    runs = []
-    prefix = run_col + "="
-    for st in fs.listStatus(sp):
-        path = st.getPath()
-        nm = path.getName()
-        if not nm.startswith(prefix):
-            continue
-        run = unescape(nm[len(prefix):])
-        target = Path(f"{base.rstrip('/')}/{run}/csv_logs")
-        fs.mkdirs(target)
-        fs.rename(path, Path(target, f"{name}.csv"))
-        runs.append(run)
-    fs.delete(sp, True)
-    return runs
+                     batch: int | str | None = None) -> bool:
+    """K7: append rows to the committed log ``<run_dir>/csv_logs/<name>.csv`` (see ``sinks.appendlog``);
+    every column of ``columns`` is present, missing values are empty cells; each data file carries the
+    header. ``fmt='parquet'`` writes ``<name>.parquet`` instead. ``batch`` (a micro-batch's number, or any
+    name) is appended once: a replay of it does nothing and returns False."""
+    return append(rows, log_root(run_dir, name, fmt), uuid.uuid4().hex if batch is None else batch, columns, fmt=fmt)
+
+
+def write_metric_logs_by_run(rows: DataFrame, base: str, run_col: str, name: str, columns: Sequence[str],
+                             batch: int | str | None = None, fmt: str = "csv") -> bool:
+    """K7 for many runs in one distributed write: one append to the log ``<base>/csv_logs/<name>.csv``,
+    whose data folder has a ``run=<run>`` folder per run. No folder is moved or listed per run."""
+    return append(rows, log_root(base, name, fmt), uuid.uuid4().hex if batch is None else batch, columns, run_col, fmt)
 
 
 def write_encoded(encoded: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -133,7 +133,6 @@ __all__ = [
     "run_history",
     "run_summary",
     "train_log",
-    "Window",
 ]
 
 
@@ -193,15 +192,14 @@ def eval_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(last4)
 
 
-def write_eval_logs(spark: SparkSession, sf_dir: str, base: str) -> list[str]:
-    """Write the eval-log fixture below ``base`` as ``<run>/csv_logs/eval.csv``: runs with a
-    ``loss`` column and runs without it are written with different headers (ragged logs)."""
+def write_eval_logs(spark: SparkSession, sf_dir: str, base: str) -> None:
+    """Write the eval-log fixture below ``base`` as one committed log, ``csv_logs/eval.csv``, in two
+    appends: runs with a ``loss`` column and runs without it have different headers (ragged logs)."""
     from envlab.sinks.files import write_metric_logs_by_run
     from envlab.sources.logs import EVAL_COLUMNS
 
     rows = eval_log_rows(spark, sf_dir)
     with_loss = rows.where(F.pmod(F.col("user_id"), F.lit(2)) == 0)
     without = rows.where(F.pmod(F.col("user_id"), F.lit(2)) == 1)
-    runs = write_metric_logs_by_run(spark, with_loss, base, "run_dir", "eval", EVAL_COLUMNS)
-    runs += write_metric_logs_by_run(spark, without, base, "run_dir", "eval", [c for c in EVAL_COLUMNS if c != "loss"])
-    return runs
+    write_metric_logs_by_run(with_loss, base, "run_dir", "eval", EVAL_COLUMNS, "with-loss")
+    write_metric_logs_by_run(without, base, "run_dir", "eval", [c for c in EVAL_COLUMNS if c != "loss"], "without-loss")

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envlab.functions.names import lr_from_path
+from envlab.sinks.appendlog import COMMITS, committed, read_log, read_paths
+from envlab.sinks.files import log_root
+
 # The columns of the three logs, as their writers name them.
 EVAL_COLUMNS = [
     "step", "loss", "accuracy", "f1_macro", "corr_support_f1_pearson_r", "corr_support_f1_spearman_rho",
@@ -33,22 +36,29 @@ def _qualified(spark: SparkSession, base: str) -> str:
 
 
 def discover_logs(spark: SparkSession, base: str, name: str = "eval") -> DataFrame:
-    """Lines of every ``**/csv_logs/<name>.csv`` (a file, or a folder of parts or of batches) below ``base``:
-    (path, run_dir, rel_path, line). One read of the tree; the path filter is applied to the file
-    listing, so other logs of the runs are never opened."""
+    """Lines of every ``**/csv_logs/<name>.csv`` below ``base``: a file, a folder of part files, or a
+    committed log (``sinks.appendlog``), of which only the files that its commits name count:
+    (path, run_dir, rel_path, line). ``run_dir`` is the run of a log of many runs, else the folder that
+    holds ``csv_logs``. The path filter is applied to the file listing, so other logs are never opened."""
+    log = rf"/csv_logs/{re.escape(name)}\.csv"
+    data, commits = rf"{log}(/attempt(=|%3D)[^/]+(/run(=|%3D)[^/]*)?)?(/[^/]+)?$", rf"{log}/{COMMITS}/[^/]+$"
     encoded = F.col("_metadata.file_path")
-    pat = rf"/csv_logs/{re.escape(name)}\.csv(/batch=[0-9]+)?(/[^/]+)?$"
-    lines = spark.read.option("recursiveFileLookup", "true").text(base).where(encoded.rlike(pat)).select(
-        F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("line"),
-        F.col("_metadata.file_block_start").alias("_start"),
+    files = spark.read.option("recursiveFileLookup", "true").text(base)
+    found = files.where(encoded.rlike(data) & ~encoded.rlike(rf"/{COMMITS}/[^/]+$")).select(
+        read_paths(encoded).alias("path"), F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("_start"),
     )
+    named = committed(files.where(encoded.rlike(commits)).select(read_paths(encoded).alias("path"), F.col("value").alias("line")))
+    appended = F.col("path").rlike(rf"{log}/attempt=")
+    one = found.where(appended).join(named.select(F.concat_ws("/", "root", "file").alias("_file")), F.col("path") == F.col("_file"), "left_semi")
+    lines = found.where(~appended).unionByName(one)
     if lines.isEmpty():
         raise FileNotFoundError(f"no csv_logs/{name}.csv below {base}")
     root = _qualified(spark, base)
     local = F.regexp_replace("path", r"^[a-zA-Z0-9+.-]+:(//[^/]*)?", "")
     rel = F.when(F.startswith(local, F.lit(root)), local.substr(F.lit(len(root) + 1), F.length(local))).otherwise(local)
-    run_dir = F.regexp_extract(F.col("path"), rf"([^/]+){pat}", 1)
-    return lines.select("path", run_dir.alias("run_dir"), rel.alias("rel_path"), "line", "_start")
+    run = read_paths(F.regexp_extract("path", rf"{log}/attempt=[^/]+/run=([^/]*)/", 1))
+    folder = F.regexp_extract("path", rf"([^/]+){log}(/|$)", 1)
+    return lines.select("path", F.coalesce(F.nullif(run, F.lit("")), folder).alias("run_dir"), rel.alias("rel_path"), "line", "_start")
 
 
 def _cells(line) -> F.Column:
@@ -109,3 +119,13 @@ def read_eval_logs(spark: SparkSession, base: str, keep: Sequence[str] = tuple(E
     lines = discover_logs(spark, base, "eval") if lines is None else lines
     rows = parse_ragged(lines, keep)
     return rows.withColumn("lr", lr_from_path(F.col("rel_path"))).where(F.col("lr").isNotNull())
+
+
+LOG_TYPES = {"step": "long", "round": "long"}
+
+
+def read_metric_log(spark: SparkSession, base: str, name: str, columns: Sequence[str], fmt: str = "csv") -> DataFrame:
+    """The committed rows of the log ``<base>/csv_logs/<name>.csv``: ``run`` (NULL if it is one run's) and
+    ``columns`` (a step and a round are whole numbers, all else doubles; empty cells are NULL)."""
+    schema = ", ".join(f"`{c}` {LOG_TYPES.get(c, 'double')}" for c in columns)
+    return read_log(spark, log_root(base, name, fmt), schema, fmt).select("run", *columns)

@@ -1,11 +1,13 @@
 """Growing metric logs as streams.
 
-X1  append-only log: a file-source stream into an append-mode file sink with a checkpoint.
-X2  running moving average of the last 20 losses per run, state carried across micro-batches
-    with ``applyInPandasWithState`` (a ``rowsBetween`` window is not allowed on a stream).
+X1  append-only log: a file-source stream into an append-mode file sink with a checkpoint; logs that a
+    micro-batch writes itself are committed logs (``sinks.appendlog``).
+X2  running moving average of the last 20 losses per run in the order of steps, state carried across
+    micro-batches with ``applyInPandasWithState`` (a ``rowsBetween`` window is not allowed on a stream).
 X3  log cadence: keep every n-th step after the moving average.
-X5  heads-log compaction: the two half-empty rows of a step merged into one, as a streaming
-    aggregate in update mode; every micro-batch writes the steps it changed to a folder of its own.
+X4  evaluation of snapshots every n steps, each once and whole.
+X5  heads-log compaction: the two half-empty rows of a step merged into one, in a committed log that is
+    merged as it grows.
 """
 from __future__ import annotations
 
@@ -19,10 +21,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from envlab.operators.heads import HEADS_COLS
 from envlab.operators.moving import WINDOW
+from envlab.session import join_small, materialize
+from envlab.sinks import appendlog as AL
+from envlab.sources.logs import HEADS_COLUMNS
 
 TRAIN_SCHEMA = "run long, step long, train_loss double"
-MA_SCHEMA = "run long, step long, train_loss double, train_loss_moving_avg double"
-MA_STATE = "buf array<double>"
+MA_SCHEMA = "run long, step long, train_loss double, train_loss_moving_avg double, n_late long"
+MA_STATE = "buf array<double>, last long, seen long, steps array<long>, losses array<double>, late long"
+LATENESS = 10_000  # steps that a row may come after later ones
 
 
 SLICE = 1 << 16
@@ -40,37 +46,73 @@ def window_means(values: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def _moving_avg_state(window: int):
+def in_order(steps: np.ndarray, losses: np.ndarray, last: int | None, seen: int | None, lateness: int, stride: int):
+    """What can go out of the rows held and come: (rows to emit, rows to hold, rows that are too late), as
+    places, and the last step emitted and the greatest seen. A row goes out when its predecessor, the step
+    ``stride`` before it, has, or when a step ``lateness`` or more beyond it was seen, so that no row it
+    waits for may come any more; a row at or before the last one emitted is too late."""
+    order = np.lexsort((losses, steps))
+    late = [] if last is None else order[steps[order] <= last].tolist()
+    rest = order if last is None else order[steps[order] > last]
+    seen = max([*([] if seen is None else [seen]), *steps.tolist()])
+    out = []
+    for k, at in enumerate(rest.tolist()):
+        step = int(steps[at])
+        if step <= (0 if last is None else last + stride) or step + lateness <= seen:
+            out.append(at)
+            last = step
+        else:
+            return out, rest[k:].tolist(), late, last, seen
+    return out, [], late, last, seen
+
+
+def _moving_avg_state(window: int, lateness: int, stride: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buf = list(state.get[0]) if state.exists else []
+        buf, last, seen, steps, losses, late = state.get if state.exists else ([], None, None, [], [], 0)
         parts = [p for p in pdfs if len(p)]
         if not parts:
             return
-        pdf = pd.concat(parts).sort_values("step", kind="stable")
-        vals = pdf["train_loss"].to_numpy(dtype="float64")
-        full = np.concatenate([np.asarray(buf, dtype="float64"), vals])
-        ma = window_means(full, window)[len(buf):]
-        state.update((full[-(window - 1):].tolist() if window > 1 else [],))
-        yield pd.DataFrame({"run": pdf["run"].to_numpy(), "step": pdf["step"].to_numpy(),
-                            "train_loss": vals, "train_loss_moving_avg": ma})
+        pdf = pd.concat(parts)
+        steps = np.concatenate([np.array(steps, dtype="int64"), pdf["step"].to_numpy(dtype="int64")])
+        losses = np.concatenate([np.array(losses, dtype="float64"), pdf["train_loss"].to_numpy(dtype="float64")])
+        out, held, missed, last, seen = in_order(steps, losses, last, seen, lateness, stride)
+        full = np.concatenate([np.asarray(list(buf), dtype="float64"), losses[out]])
+        means = window_means(full, window)[len(buf):]
+        keep = full[-(window - 1):].tolist() if window > 1 else []
+        state.update((keep, last, seen, steps[held].tolist(), losses[held].tolist(), late + len(missed)))
+        rows = [*out, *missed]
+        yield pd.DataFrame({
+            "run": key[0], "step": steps[rows], "train_loss": losses[rows],
+            "train_loss_moving_avg": np.concatenate([means, np.full(len(missed), np.nan)]),
+            "n_late": np.concatenate([np.zeros(len(out), dtype="int64"), late + 1 + np.arange(len(missed), dtype="int64")]),
+        })
 
     return fn
 
 
-def moving_average_stream(source: DataFrame, window: int = WINDOW) -> DataFrame:
-    """X2 on a streaming DataFrame of (run, step, train_loss)."""
+def moving_average_stream(source: DataFrame, window: int = WINDOW, lateness: int = LATENESS, stride: int = 1) -> DataFrame:
+    """X2 on a streaming DataFrame of (run, step, train_loss): ``train_loss_moving_avg`` over the last
+    ``window`` rows in the order of steps, whatever order they come in.
+
+    A run starts at step 0 and goes on by ``stride``; a row is held in the run's state until its predecessor
+    has gone out, or until a step ``lateness`` beyond it was seen (steps are missing then). So the result
+    equals the batch's for any order of arrival within ``lateness``. A row that comes after its successors
+    have gone out has no average (NULL) and ``n_late``, its number among the run's late rows; rows in time
+    have ``n_late`` 0. A run's state holds the last ``window - 1`` losses and the rows of less than
+    ``lateness`` steps that wait."""
     return source.groupBy("run").applyInPandasWithState(
-        _moving_avg_state(window), MA_SCHEMA, MA_STATE, "append", GroupStateTimeout.NoTimeout
+        _moving_avg_state(window, lateness, stride), MA_SCHEMA, MA_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
 def run_moving_average_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                              window: int = WINDOW, every: int | None = None, files_per_trigger: int = 1) -> None:
+                              window: int = WINDOW, every: int | None = None, files_per_trigger: int = 1,
+                              lateness: int = LATENESS, stride: int = 1) -> None:
     """X1 + X2 (+ X3): process every log file available under ``source_dir`` (Parquet parts of
-    ``TRAIN_SCHEMA``) in micro-batches, appending rows with their moving average to ``sink_dir``.
-    Restartable from ``checkpoint_dir``."""
+    ``TRAIN_SCHEMA``) in micro-batches, appending rows with their moving average to ``sink_dir``, also where
+    steps arrive out of order (:func:`moving_average_stream`). Restartable from ``checkpoint_dir``."""
     src = spark.readStream.schema(TRAIN_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
-    out = moving_average_stream(src, window)
+    out = moving_average_stream(src, window, lateness, stride)
     if every:
         out = out.where(F.pmod(F.col("step"), F.lit(int(every))) == 0)
     q = (out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
@@ -81,26 +123,34 @@ def run_moving_average_stream(spark: SparkSession, source_dir: str, sink_dir: st
 HEADS_SCHEMA = "step long, l2_mean double, cosine_mean double, js_mean double, disagree_mean double"
 
 
+MERGE_EVERY = 20
+
+
+def _heads_of_steps(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("step").agg(*[F.max(c).alias(c) for c in HEADS_COLS])
+
+
 def run_heads_compaction_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                                files_per_trigger: int = 1) -> None:
-    """The heads log compacted per step while it grows. Every micro-batch writes the steps it
-    changed to ``<sink_dir>/batch=<number>``, which a replay writes anew; earlier folders are left
-    alone, so a lost job never leaves less than before. Read with :func:`read_compacted_heads`."""
+                                files_per_trigger: int = 1, merge_every: int = MERGE_EVERY) -> None:
+    """The heads log compacted per step while it grows. Every micro-batch appends the steps it holds,
+    compacted, to a committed log (``sinks.appendlog``) under its number, so a replay doubles nothing; the
+    stream keeps no state. After ``merge_every`` appends the log is merged to one row per step, so however
+    long it runs, a reader opens at most so many folders. Read with :func:`read_compacted_heads`."""
     src = spark.readStream.schema(HEADS_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
-    agg = src.groupBy("step").agg(*[F.max(c).alias(c) for c in HEADS_COLS])
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch={epoch_id}")
+        AL.append(_heads_of_steps(batch), sink_dir, epoch_id, HEADS_COLUMNS, fmt="parquet")
+        if len(AL.commit_names(spark, sink_dir)) >= merge_every:
+            AL.merge(spark, sink_dir, f"merge-{epoch_id}", HEADS_SCHEMA, HEADS_COLUMNS, fmt="parquet", combine=_heads_of_steps)
 
-    q = (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint_dir)
-         .foreachBatch(write).trigger(availableNow=True).start())
+    q = src.writeStream.option("checkpointLocation", checkpoint_dir).foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
 def read_compacted_heads(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """The compacted heads log, one row per step. A step's later rows hold at least what its earlier
-    ones do, so the same maximum merges them, in any order."""
-    return spark.read.schema(HEADS_SCHEMA).parquet(sink_dir).groupBy("step").agg(*[F.max(c).alias(c) for c in HEADS_COLS])
+    """The compacted heads log, one row per step. A step's halves may lie in several appends; the maximum
+    merges them, in any order."""
+    return _heads_of_steps(AL.read_log(spark, sink_dir, HEADS_SCHEMA, "parquet"))
 
 
 def write_log_chunks(df: DataFrame, path: str, chunk_col: str, n_chunks: int, key: str | None = None) -> None:
@@ -116,23 +166,42 @@ def write_log_chunks(df: DataFrame, path: str, chunk_col: str, n_chunks: int, ke
 HEAD_OUTPUT_SCHEMA = "step long, example_id long, env string, logits array<double>, label int"
 
 
-def run_eval_stream(spark: SparkSession, source_dir: str, run_dir: str, checkpoint_dir: str, eval_steps: int) -> None:
-    """Head-output snapshots arrive per training step; every micro-batch evaluates the
-    snapshots whose step is a multiple of ``eval_steps`` (C6 per step, in one job), cleans the
-    metric names (P11) and adds the rows to ``<run_dir>/csv_logs/eval.csv`` (K7), in a folder per
-    micro-batch, so that a replayed batch doubles nothing.
+def run_eval_stream(spark: SparkSession, source_dir: str, run_dir: str, checkpoint_dir: str, eval_steps: int,
+                    snapshot_rows: int | None = None, files_per_trigger: int | None = None) -> None:
+    """Head-output snapshots arrive per training step; every snapshot whose step is a multiple of
+    ``eval_steps`` is evaluated (C6 per step, in one job), its metric names are cleaned (P11) and its row is
+    appended to the committed log ``<run_dir>/csv_logs/eval.csv`` (K7) under the micro-batch's number, so that
+    a replayed batch doubles nothing.
 
-    A snapshot must arrive whole (one append per step), as the trainer writes it."""
+    A snapshot is whole when it has ``snapshot_rows`` rows (examples times heads). Until then its rows wait
+    in a committed log below the checkpoint, which each micro-batch replaces by what still waits, and it is
+    evaluated once, when the last of them has come, in however many batches. Without ``snapshot_rows`` a
+    snapshot must arrive in one append."""
     from envlab.operators.metrics import clean_eval_metrics, evaluate
     from envlab.sinks.files import write_metric_log
     from envlab.sources.logs import EVAL_COLUMNS
 
-    src = spark.readStream.schema(HEAD_OUTPUT_SCHEMA).parquet(source_dir)
+    src = spark.readStream.schema(HEAD_OUTPUT_SCHEMA)
+    if files_per_trigger:
+        src = src.option("maxFilesPerTrigger", files_per_trigger)
+    waiting = f"{checkpoint_dir.rstrip('/')}/waiting"
+    columns = [c.split(" ")[0] for c in HEAD_OUTPUT_SCHEMA.split(", ")]
 
     def fn(batch: DataFrame, epoch_id: int) -> None:
         snap = batch.where(F.pmod(F.col("step"), F.lit(int(eval_steps))) == 0)
-        rows = clean_eval_metrics(evaluate(snap, ["step"]))
-        write_metric_log(rows, run_dir, "eval", EVAL_COLUMNS, batch=epoch_id)
-
-    q = src.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+        if snapshot_rows is None:
+            write_metric_log(clean_eval_metrics(evaluate(snap, ["step"])), run_dir, "eval", EVAL_COLUMNS, batch=epoch_id)
+            return
+        if AL.is_committed(spark, waiting, epoch_id):
+            return  # a replay of a batch that was done
+        names = AL.commit_names(spark, waiting)
+        rows = materialize(AL.read_log(spark, waiting, HEAD_OUTPUT_SCHEMA, "parquet", names).drop("run").unionByName(snap), "snapshots")
+        # one row per step that is not evaluated yet
+        steps = rows.groupBy("step").agg((F.count(F.lit(1)) >= int(snapshot_rows)).alias("whole"))
+        rows = join_small(rows, steps, "step")
+        write_metric_log(clean_eval_metrics(evaluate(rows.where("whole"), ["step"])), run_dir, "eval", EVAL_COLUMNS, batch=epoch_id)
+        folder = AL.write_attempt(rows.where(~F.col("whole")), waiting, epoch_id, columns, fmt="parquet")
+        AL.commit(spark, waiting, epoch_id, folder, names)
+
+    q = src.parquet(source_dir).writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
     q.awaitTermination()

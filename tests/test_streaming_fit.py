@@ -7,6 +7,7 @@ from envlab.operators import fit as FT
 from envlab.operators import metrics as MT
 from envlab.operators.moving import moving_average
 from envlab.session import scratch_path
+from envlab.sinks import appendlog as AL
 from envlab.sources import fixtures as fx
 from envlab.streaming import logs as ST
 
@@ -103,5 +104,84 @@ def test_heads_compaction_over_restarts(spark):
         ST.run_heads_compaction_stream(spark, src, sink, ck)
     want = [(1, 1.0, 2.0, 7.0, 8.0), (2, 3.0, 4.0, 5.0, 6.0)]
     assert sorted(tuple(r) for r in ST.read_compacted_heads(spark, sink).collect()) == want
-    a.write.mode("overwrite").parquet(f"{sink}/batch=0")
+    assert not AL.append(b, sink, 0, ST.HEADS_COLUMNS, fmt="parquet")
+    for k in range(3, 8):  # merged as it grows
+        spark.createDataFrame([(k, 1.0, 1.0, 1.0, 1.0)], ST.HEADS_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        ST.run_heads_compaction_stream(spark, src, sink, ck, merge_every=3)
+        assert len(AL.commit_names(spark, sink)) < 3
+        want.append((k, 1.0, 1.0, 1.0, 1.0))
+    assert AL.vacuum(spark, sink) > 0
     assert sorted(tuple(r) for r in ST.read_compacted_heads(spark, sink).collect()) == want
+
+
+def test_appends_of_many_runs_are_read_once(spark):
+    """Two appends, a replay, one killed before its commit, one killed while committing."""
+    from envlab.sinks.files import log_root, write_metric_logs_by_run
+    from envlab.sources.logs import TRAINING_COLUMNS, discover_logs, parse_ragged, read_metric_log
+
+    base = scratch_path(spark, "runs")
+    runs = ["a_lr0.001", "b c", "x+y%20z", "p/q=r", "é"]
+    rows = spark.createDataFrame([(r, s, s / 8) for r in runs for s in range(9)], "name string, step long, train_loss double").repartition(4)
+    root = log_root(base, "training")
+    for epoch in (0, 1, 1, 0):
+        write_metric_logs_by_run(rows.where(F.col("step") % 3 == epoch), base, "name", "training", TRAINING_COLUMNS, epoch)
+    AL.write_attempt(rows, root, 2, TRAINING_COLUMNS, "name")
+    folder = AL.write_attempt(rows, root, 3, TRAINING_COLUMNS, "name")
+    store = AL._Store(spark, root)
+    store.put("3.txt", "\n".join(store.files(folder)[:2]) + "\n")  # cut off
+    want = sorted((r, s, s / 8) for r in runs for s in range(9) if s % 3 < 2)
+
+    def got():
+        log = read_metric_log(spark, base, "training", TRAINING_COLUMNS)
+        lines = parse_ragged(discover_logs(spark, base, "training"), TRAINING_COLUMNS)
+        a = sorted((r.run, r.step, r.train_loss) for r in log.collect())
+        assert sorted((r.run_dir, r.step, r.train_loss) for r in lines.collect()) == a
+        return a
+
+    assert got() == want
+    write_metric_logs_by_run(rows.where(F.col("step") % 3 == 2), base, "name", "training", TRAINING_COLUMNS, 2)
+    want = sorted((r, s, s / 8) for r in runs for s in range(9))
+    assert got() == want
+    schema = "step long, train_loss double, train_loss_moving_avg double, round long"
+    assert AL.merge(spark, root, "merge", schema, TRAINING_COLUMNS, runs=True) and not AL.merge(spark, root, "merge", schema, TRAINING_COLUMNS, runs=True)
+    assert AL.commit_names(spark, root) == ["merge.txt"] and got() == want
+    assert AL.vacuum(spark, root) == 5 and got() == want
+
+
+def test_steps_wait_for_their_predecessors():
+    import numpy as np
+
+    def feed(batches, lateness, window=3):
+        buf, last, seen, steps, losses, out, late = [], None, None, [], [], {}, []
+        for b in batches:
+            steps, losses = np.array([*steps, *b]), np.array([*losses, *map(float, b)])
+            go, held, missed, last, seen = ST.in_order(steps, losses, last, seen, lateness, 1)
+            full = np.array([*buf, *losses[go]])
+            out |= dict(zip(steps[go].tolist(), ST.window_means(full, window)[len(buf):].tolist()))
+            late += steps[missed].tolist()
+            buf, steps, losses = full[-(window - 1):].tolist(), steps[held], losses[held]
+        return out, late, steps.tolist()
+
+    batch = {s: sum(range(max(0, s - 2), s + 1)) / min(3, s + 1) for s in range(7)}
+    assert feed([[0, 1, 2, 5], [3, 4, 6]], 10) == (batch, [], [])
+    assert feed([[6, 5], [4, 3, 2], [1], [0]], 10) == (batch, [], [])
+    # 3 and 4 do not come while 5 steps are seen beyond them; then they are too late
+    out, late, held = feed([[0, 1, 2, 5, 6], [10], [3, 4]], 5)
+    assert out == {0: 0.0, 1: 0.5, 2: 1.0, 5: 8 / 3, 6: 13 / 3} and sorted(late) == [3, 4] and held == [10]
+
+
+def test_snapshot_in_parts_is_evaluated_once(spark):
+    from envlab.sources.logs import EVAL_COLUMNS, read_metric_log
+
+    rows = [(s, i, f"env_{h}", [float((i + s) % 3 == c) + 0.1 * h for c in range(3)], i % 3) for s in (5, 10) for i in range(30) for h in range(2)]
+    df = spark.createDataFrame(rows, ST.HEAD_OUTPUT_SCHEMA)
+    src, run, ck = (scratch_path(spark, x) for x in ("ps", "pr", "pc"))
+    seen = []
+    for part in range(3):
+        df.where(F.pmod(F.xxhash64("step", "example_id", "env"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(src)
+        ST.run_eval_stream(spark, src, run, ck, 5, snapshot_rows=60)
+        seen.append(read_metric_log(spark, run, "eval", EVAL_COLUMNS).count())
+    assert seen == [0, 0, 2]
+    want = {r.step: r.accuracy for r in MT.clean_eval_metrics(MT.evaluate(df, ["step"])).collect()}
+    got = {r.step: r.accuracy for r in read_metric_log(spark, run, "eval", EVAL_COLUMNS).collect()}
+    assert got == want
