@@ -391,7 +391,7 @@ SQL["curve_summary"] = _EVAL_ROWS + "SELECT lr, step, " + ", ".join(
 # ---------------------------------------------------------------- load, encode, batch
 from envlab.functions.text import NON_WHITESPACE  # noqa: E402
 from envlab.operators.encode import SPECIALS  # noqa: E402
-from envlab.plans.registry import ACCUM, BATCH, EPOCHS  # noqa: E402
+from envlab.plans.registry import ACCUM, BATCH, EPOCHS, EVAL_BATCHES, FIXED_LENGTH  # noqa: E402
 
 _SPECIALS = ", ".join(f"'{s}'" for s in SPECIALS)
 _WTOK = (f"list_transform(list_filter(regexp_split_to_array(text, '{WHITESPACE_RUN}'), lambda x: x <> ''), "
@@ -520,3 +520,13 @@ SQL["loss_moving_avg_disordered"] = SQL["loss_moving_avg"]
 SQL["eval_stream_parts"] = SQL["eval_by_step"]
 SQL["log_appends"] = with_(EVENT_STEPS) + """SELECT 'run ' || CAST(user_id AS VARCHAR) AS run, step, round(value, 9) AS train_loss,
   CAST(NULL AS DOUBLE) AS train_loss_moving_avg, step // 50 AS round FROM event_steps"""
+SQL["head_js_first_batches"] = SQL["head_js"].replace(
+    "bat AS (SELECT pos // 64 AS batch, avg(js) AS js, avg(dis) AS dis FROM pos GROUP BY ALL)",
+    f"bat AS (SELECT pos // 64 AS batch, avg(js) AS js, avg(dis) AS dis FROM pos WHERE pos < {64 * EVAL_BATCHES} GROUP BY ALL)",
+)
+SQL["custom_metric"] = with_(head_logits(), _ens()) + """SELECT class,
+  round(CASE WHEN 4 * precision + recall > 0 THEN 5 * precision * recall / (4 * precision + recall) ELSE 0.0 END, 9) AS f2 FROM pc"""
+SQL["padded_fixed"] = with_(_CB, _VOCAB, _ENC, _BAT) + f"""SELECT env, batch_id, example_id,
+  ids || list_transform(range(0, {FIXED_LENGTH} - len(ids)), lambda x: 0) AS input_ids,
+  list_transform(ids, lambda x: 1) || list_transform(range(0, {FIXED_LENGTH} - len(ids)), lambda x: 0) AS attention_mask
+FROM (SELECT *, CASE WHEN len(input_ids) > {FIXED_LENGTH} THEN input_ids[:{FIXED_LENGTH - 1}] || [3] ELSE input_ids END AS ids FROM bat2)"""

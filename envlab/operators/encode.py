@@ -6,22 +6,26 @@ size is used only where the caller asks for one.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envlab.functions.draws import draw
 from envlab.functions.text import PREFIX_GROUP0, PREFIX_GROUP1, tokens
 from envlab.operators.ranking import draw_bucket, rank_within
-from envlab.session import join_small
+from envlab.session import join_small, materialize
 
 # Special tokens and their fixed ids; the two spurious prefixes are atomic tokens.
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
 SPECIALS = (PAD, UNK, CLS, SEP, PREFIX_GROUP0, PREFIX_GROUP1)
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
-# words looked up in a broadcast table, the most frequent first; the rest are joined by shuffle
-FREQUENT = 10_000
+# words that every task holds, the most frequent first, and the longest of them: some 10 MB at most
+DICTIONARY_WORDS, DICTIONARY_CHARS = 100_000, 64
 
 
 def max_seq_length(requested: int | None, model_max: int | None = None) -> int | None:
@@ -40,13 +44,14 @@ def word_tokens(text) -> F.Column:
 def build_vocab(texts: DataFrame, size: int | None = None, text_col: str = "text") -> DataFrame:
     """F16: ``(token, id, n)``: the special tokens with fixed ids, then all other tokens, the most
     frequent first (ties by token), ids in that order; ``size`` keeps only the first so many.
-    Counting is a partial + final aggregate, ids are exact distributed ranks (buckets of a count and
-    the token's first bytes)."""
+    Counting is a partial + final aggregate; ids are exact distributed ranks over buckets of a count and a
+    token's first six bytes, whose offsets are summed level by level."""
     t = texts.select(F.explode(word_tokens(text_col)).alias("token")).where(~F.col("token").isin(*SPECIALS))
-    counts = t.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    start = F.conv(F.rpad(F.hex(F.substring(F.encode("token", "UTF-8"), 1, 3)), 6, "0"), 16, 10).cast("long")
-    x = counts.withColumn("_neg", -F.col("n"))
-    ranked = rank_within(x, [], ["_neg", "token"], F.col("_neg") * F.lit(1 << 24) + start, name="_r")
+    counts = materialize(t.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "vocab-counts")
+    start = F.conv(F.rpad(F.hex(F.substring(F.encode("token", "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("long")
+    x = counts.withColumn("_neg", -F.col("n")).withColumn("_start", start)
+    at = [F.struct("_neg", F.shiftright("_start", bits).alias("_at")) for bits in (0, 16, 32)]
+    ranked = rank_within(x, [], ["_neg", "token"], at[0], name="_r", coarser=[*at[1:], F.col("_neg"), F.shiftright("_neg", 12)])
     if size is not None:
         ranked = ranked.where(F.col("_r") < int(size))
     words = ranked.select("token", (F.col("_r") + len(SPECIALS)).cast("int").alias("id"), "n")
@@ -55,57 +60,144 @@ def build_vocab(texts: DataFrame, size: int | None = None, text_col: str = "text
     return sp.unionByName(words)
 
 
+def _coder(words: Broadcast, unknown: int | None):
+    """Tasks' side of :func:`encode`: the last column, words, becomes ``input_ids``. A word outside the
+    dictionary is ``unknown``, or else minus its place (from 1) in ``rare``, the row's distinct such words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids = words.value
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            at = pc.index_in(flat, value_set=held)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            found = np.where(known, ids[at.fill_null(0).to_numpy(zero_copy_only=False)], UNK_ID if unknown is None else unknown).astype(np.int32)
+            kept, names = list(b.columns[:-1]), list(b.schema.names[:-1])
+            if unknown is None:
+                missing = pc.dictionary_encode(flat.filter(pa.array(~known)))
+                row = np.repeat(np.arange(len(sizes)), sizes)[~known]
+                width = max(len(missing.dictionary), 1)
+                pairs, which = np.unique(row * width + missing.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+                edge = np.searchsorted(pairs, np.arange(len(sizes) + 1) * width)
+                found[~known] = -(which - edge[row] + 1)
+                rare = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), missing.dictionary.take(pa.array(pairs % width)))
+            ends = np.cumsum(sizes + 2)
+            out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+            inner = np.ones(len(out), dtype=bool)
+            starts = ends - sizes - 2
+            out[starts], out[ends - 1] = CLS_ID, SEP_ID
+            inner[starts] = inner[ends - 1] = False
+            out[inner] = found
+            coded = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(out))
+            extra = [coded] if unknown is not None else [coded, rare]
+            yield pa.RecordBatch.from_arrays([*kept, *extra], names=[*names, "input_ids", "rare"][: len(kept) + len(extra)])
+
+    return run
+
+
 def encode(df: DataFrame, vocab: DataFrame, max_len: int | None = None, key: Sequence[str] = ("env", "example_id"),
            text_col: str = "text") -> DataFrame:
     """``input_ids = [CLS] + ids(tokens) + [SEP]`` (unknown -> [UNK]) and an attention mask of
     ones; other columns of ``df`` are kept, ``text`` is dropped. ``key`` names the columns that tell
     rows apart (example ids may repeat across environments). ``max_len`` truncates if given.
 
-    Token positions are exploded and looked up: the ``FREQUENT`` most frequent words in a broadcast
-    table of that many rows, so hot words are never shuffled by word; the rare rest by a join on the
-    word. Ids are then regrouped per row: one shuffle of a small struct per token.
+    Words are coded inside the row: every task holds the ``DICTIONARY_WORDS`` most frequent ones. A
+    vocabulary of no more needs no shuffle. Of a larger one, a row's distinct words outside the dictionary
+    leave it, find their ids by a join on the word and come back as one short array per row, which the
+    row's codes point into; texts and tokens are never shuffled.
     """
     key = [k for k in key if k in df.columns]
     keep = [c for c in df.columns if c not in (text_col, *key)]
-    body = word_tokens(text_col)
+    body = F.coalesce(word_tokens(text_col), F.array().cast("array<string>"))
     if max_len is not None:
         body = F.slice(body, 1, int(max_len) - 2)
-    x = df.select(*key, *keep, F.posexplode_outer(body).alias("pos", "token"))
-    top = F.col("id") < FREQUENT + len(SPECIALS)
-    often = x.join(F.broadcast(vocab.where(top).select("token", "id")), "token", "left")
-    found = F.col("id").isNotNull() | F.col("pos").isNull()
-    rare = often.where(~found).drop("id").join(vocab.where(~top).select("token", "id"), "token", "left")
-    j = often.where(found).unionByName(rare)
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
-    ids = j.groupBy(*key).agg(*[F.first(c).alias(c) for c in keep], F.array_sort(F.collect_list(item)).alias("_p"))
-    seq = F.concat(F.array(F.lit(CLS_ID)), F.transform("_p", lambda s: s["id"]), F.array(F.lit(SEP_ID)))
-    out = ids.select(*key, *keep, seq.alias("input_ids"))
+    near = (F.col("id") < DICTIONARY_WORDS + len(SPECIALS)) & (F.char_length("token") <= DICTIONARY_CHARS)
+    held = vocab.where(near).select("token", "id").toArrow().combine_chunks()
+    dictionary = held["token"].combine_chunks() if held.num_rows else pa.array([], pa.string())
+    words = df.sparkSession.sparkContext.broadcast((dictionary.cast(pa.string()), np.append(held["id"].to_numpy(), 0).astype(np.int32)))
+    rest = vocab.where(~near).select("token", "id")
+    x = df.select(*key, *keep, body.alias("_words"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema if f.name != "_words") + ", input_ids array<int>"
+    if rest.isEmpty():
+        out = x.mapInArrow(_coder(words, UNK_ID), fields)
+    else:
+        coded = materialize(x.mapInArrow(_coder(words, None), fields + ", rare array<string>"), "encode-coded")
+        # a struct: keys are equal also where one is NULL
+        asked = coded.select(F.struct(*key).alias("_of"), F.posexplode("rare").alias("_at", "token"))
+        found = asked.join(rest, "token", "left").groupBy("_of").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("id", F.lit(UNK_ID)).alias("id")))), lambda s: s["id"]).alias("_ids")
+        )
+        back = coded.withColumn("_key", F.struct(*key)).join(found, F.col("_key") == F.col("_of"), "left")
+        ids = F.transform("input_ids", lambda i: F.when(i < 0, F.get("_ids", -i - 1)).otherwise(i))
+        out = back.select(*key, *keep, ids.alias("input_ids"))
     return out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 
-def assign_batches(df: DataFrame, batch_size: int, seed: int, drop_last: bool = False, env: str = "env",
-                   key: str = "example_id") -> DataFrame:
-    """Per environment a seeded permutation, ``batch_id = floor(rank / batch_size)``;
-    ``drop_last`` drops the final short batch. Adds ``rank`` and ``batch_id``."""
-    x = df.withColumn("_d", draw(seed, "batch", env, key))
+def batch_plan(df: DataFrame, batch_size: int, seed: int, drop_last: bool = False, env: str = "env",
+               key: str = "example_id") -> DataFrame:
+    """W8 on the keys alone: (env, key, rank, batch_id), and with ``input_ids`` in ``df`` the ``longest``
+    sequence of the batch. Per environment a seeded permutation, ``batch_id = floor(rank / batch_size)``;
+    ``drop_last`` drops the final short batch. No ids or masks go through its shuffles, only their sizes."""
+    sized = "input_ids" in df.columns
+    size = [F.size("input_ids").alias("_size")] if sized else []
+    x = df.select(env, key, *size).withColumn("_d", draw(seed, "batch", env, key))
     r = rank_within(x, [env], ["_d", key], draw_bucket("_d"), name="rank", total="_n").drop("_d")
     r = r.withColumn("batch_id", F.floor(F.col("rank") / int(batch_size)).cast("int"))
     if drop_last:
         r = r.where(F.col("rank") < F.floor(F.col("_n") / int(batch_size)) * int(batch_size))
-    return r.drop("_n")
+    r = r.drop("_n")
+    if sized:
+        # a window holds one batch
+        r = r.withColumn("longest", F.max("_size").over(Window.partitionBy(env, "batch_id"))).drop("_size")
+    return r
+
+
+def _planned(df: DataFrame, plan: DataFrame, env: str, key: str) -> DataFrame:
+    rows = df.drop("attention_mask")
+    on = [F.col(env).eqNullSafe(F.col("_env")), F.col(key).eqNullSafe(F.col("_key"))]
+    return rows.join(plan.withColumnsRenamed({env: "_env", key: "_key"}), on).drop("_env", "_key")
+
+
+def assign_batches(df: DataFrame, batch_size: int, seed: int, drop_last: bool = False, env: str = "env",
+                   key: str = "example_id") -> DataFrame:
+    """``df`` with ``rank`` and ``batch_id`` of :func:`batch_plan`. (env, key) tells rows apart; the
+    attention mask, all ones, is left behind and made anew."""
+    out = _planned(df, batch_plan(df.select(env, key), batch_size, seed, drop_last, env, key), env, key)
+    if "attention_mask" in df.columns:
+        out = out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
+    return out.select(*df.columns, "rank", "batch_id")
+
+
+def padded_batches(df: DataFrame, batch_size: int, seed: int, drop_last: bool = False, fixed_length: int | None = None,
+                   env: str = "env", key: str = "example_id") -> DataFrame:
+    """W8 + F17 of encoded rows in one join: batches are drawn and their longest sequence found on keys and
+    sizes; the ids meet the plan once, are padded with [PAD], and the mask is made after that."""
+    plan = batch_plan(df, batch_size, seed, drop_last, env, key)
+    return _padded(_planned(df, plan, env, key), F.col("longest"), fixed_length).select(*df.columns, "rank", "batch_id")
+
+
+def _padded(rows: DataFrame, longest: F.Column, fixed_length: int | None) -> DataFrame:
+    if fixed_length is not None:
+        n = int(fixed_length)
+        if n < 2:
+            raise ValueError("fixed_length has room for [CLS] and [SEP] at least")
+        longest = F.lit(n)
+        cut = F.concat(F.slice("input_ids", 1, n - 1), F.array(F.lit(SEP_ID)))
+        rows = rows.withColumn("input_ids", F.when(F.size("input_ids") > n, cut).otherwise(F.col("input_ids")))
+    size = F.size("input_ids")
+    rows = rows.withColumn("_size", size).withColumn("_pad", F.greatest(longest - size, F.lit(0)))
+    return rows.withColumn("input_ids", F.concat("input_ids", F.array_repeat(F.lit(PAD_ID), F.col("_pad")))).withColumn(
+        "attention_mask", F.concat(F.array_repeat(F.lit(1), F.col("_size")), F.array_repeat(F.lit(0), F.col("_pad")))
+    ).drop("_size", "_pad")
 
 
 def pad_batches(batched: DataFrame, fixed_length: int | None = None, env: str = "env") -> DataFrame:
-    """pad ``input_ids`` (with [PAD]) and ``attention_mask`` (with 0) to the longest sequence
-    of the batch, or to ``fixed_length``. The window holds one batch (``batch_size`` rows)."""
-    if fixed_length is None:
-        n = F.max(F.size("input_ids")).over(Window.partitionBy(env, "batch_id"))
-    else:
-        n = F.lit(int(fixed_length))
-    x = batched.withColumn("_pad", F.greatest(n - F.size("input_ids"), F.lit(0)))
-    return x.withColumn("input_ids", F.concat("input_ids", F.array_repeat(F.lit(PAD_ID), F.col("_pad")))).withColumn(
-        "attention_mask", F.concat("attention_mask", F.array_repeat(F.lit(0), F.col("_pad")))
-    ).drop("_pad")
+    """F17 of rows that have a ``batch_id``: pad ``input_ids`` (with [PAD]) and ``attention_mask`` (with 0) to
+    the longest sequence of the batch, or to ``fixed_length``, to which longer rows are truncated as the
+    encoder does (the last id is [SEP]). The window holds one batch (``batch_size`` rows)."""
+    longest = F.max(F.size("input_ids")).over(Window.partitionBy(env, "batch_id")) if fixed_length is None else F.lit(0)
+    rows = batched.withColumn("_longest", longest)
+    return _padded(rows, F.col("_longest"), fixed_length).select(*batched.columns)
 
 
 def epoch_plan(train: DataFrame, batch_size: int, grad_accum: int = 1, nb_steps: int | None = None,

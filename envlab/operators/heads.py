@@ -36,8 +36,9 @@ def prediction_divergence(head_logits: DataFrame, max_batches: int | None = None
         pair_mean("ps", js_divergence).alias("js"),
         pair_mean("top", lambda a, b: (a != b).cast("double")).alias("dis"),
     )
-    # exact positions without a whole group in one task: buckets of 4096 ids
-    x = rank_within(x, keys, ["example_id"], F.floor(F.col("example_id") / 4096).cast("long"), name="_pos")
+    # exact positions without a whole group in one task: buckets of 4096 ids, summed 4096 at a time
+    ids = [F.floor(F.col("example_id") / (1 << bits)).cast("long") for bits in (12, 24, 36)]
+    x = rank_within(x, keys, ["example_id"], ids[0], name="_pos", coarser=ids[1:])
     if max_batches is not None:
         x = x.where(F.col("_pos") < int(max_batches) * int(batch_size))
     b = x.groupBy(*keys, F.floor(F.col("_pos") / batch_size).alias("_batch")).agg(

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from envlab.session import count_small, join_small
+from envlab.session import count_small, join_small, materialize
 
 DEFAULT_BUCKETS = 1 << 16
 
@@ -41,35 +41,67 @@ def rank_within(
     bucket: Column,
     name: str = "rank",
     total: str | None = None,
+    coarser: Sequence[Column] = (),
 ) -> DataFrame:
     """Add ``name`` = 0-based position of each row within ``keys`` ordered by ``order``.
 
     ``bucket`` must be non-decreasing in ``order`` (rows of a lower bucket always come first).
     ``order`` must be a total order inside a group (end it with a unique key). With ``total``,
     the group's row count is added under that name as well (it comes with the offsets).
+
+    Where a group can have any number of buckets, ``coarser`` names ever coarser buckets (each a function of
+    the one before that does not decrease in it). Offsets are then summed level by level: a task sums the
+    buckets of one coarser bucket, and the coarser buckets' totals are summed alike, up to the few of the last.
     """
     keys = list(keys)
     # keys and bucket as one struct: equal also where a key is NULL, and the join's partitioning serves the window
     part, b = "_rk_part", "_rk_part._rk_bucket"
     group = [f"{part}.{k}" for k in keys]
-    x = df.withColumn(part, F.struct(*keys, bucket.alias("_rk_bucket")))
+    x = df.withColumn(part, F.struct(*keys, bucket.alias("_rk_bucket"), *[c.alias(f"_rk_c{i}") for i, c in enumerate(coarser)]))
     counts = x.groupBy(part).agg(F.count(F.lit(1)).alias("_rk_n"))
-    w = Window.partitionBy(*group).orderBy(b) if keys else Window.orderBy(b)
-    extra = []
-    if total:
-        extra.append(F.sum("_rk_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total))
-    offsets = counts.select(
-        part,
-        (F.sum("_rk_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_rk_n")).alias(
-            "_rk_off"
-        ),
-        *extra,
-    )
+    if coarser:
+        counts = materialize(counts, "rank-buckets")
+        cells = counts.select(part, *[F.col(g).alias(f"_rk_k{i}") for i, g in enumerate(group)], F.col(b).alias("_rk_l0"),
+                              *[F.col(f"{part}._rk_c{i}").alias(f"_rk_l{i + 1}") for i in range(len(coarser))], "_rk_n")
+        held = [f"_rk_k{i}" for i in range(len(keys))]
+        offsets = _offsets(cells, held, 0, len(coarser)).select(part, "_rk_off")
+        if total:
+            sums = counts.groupBy(*[F.col(g).alias(h) for g, h in zip(group, held)]).agg(F.sum("_rk_n").alias(total))
+            same = [F.col(g).eqNullSafe(F.col(h)) for g, h in zip(group, held)]
+            offsets = (offsets.join(sums, same) if keys else offsets.crossJoin(sums)).drop(*held)
+    else:
+        w = Window.partitionBy(*group).orderBy(b) if keys else Window.orderBy(b)
+        extra = []
+        if total:
+            extra.append(F.sum("_rk_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total))
+        offsets = counts.select(
+            part,
+            (F.sum("_rk_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_rk_n")).alias(
+                "_rk_off"
+            ),
+            *extra,
+        )
     joined = x.join(offsets, part, "inner")
     wr = Window.partitionBy(part).orderBy(*order)
     return joined.withColumn(name, (F.row_number().over(wr) - 1 + F.col("_rk_off")).cast("long")).drop(part, "_rk_off")
 
 
+def _offsets(cells: DataFrame, keys: list[str], level: int, last: int) -> DataFrame:
+    """``cells`` (``keys``, buckets of this and all coarser levels, _rk_n) with ``_rk_off``, the rows before
+    each cell in its group."""
+    inside = [*keys, f"_rk_l{level + 1}"] if level < last else keys
+    w = Window.partitionBy(*inside).orderBy(f"_rk_l{level}") if inside else Window.orderBy(f"_rk_l{level}")
+    before = F.coalesce(F.sum("_rk_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = cells.withColumn("_rk_off", before)
+    if level == last:
+        return out
+    levels = [f"_rk_l{i}" for i in range(level + 1, last + 1)]
+    totals = cells.groupBy(*keys, *levels).agg(F.sum("_rk_n").alias("_rk_n"))
+    above = _offsets(totals, keys, level + 1, last).select(*[F.col(c).alias(f"_up{c}") for c in inside], F.col("_rk_off").alias("_rk_above"))
+    joined = out.join(above, [F.col(c).eqNullSafe(F.col(f"_up{c}")) for c in inside])
+    return joined.withColumn("_rk_off", F.col("_rk_off") + F.col("_rk_above")).drop("_rk_above", *[f"_up{c}" for c in inside])
+
+
 def first_k_cuts(
     df: DataFrame,
     keys: Sequence[str],

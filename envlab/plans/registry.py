@@ -260,6 +260,26 @@ def q_head_js_single(spark, d):
     return _round_all(HD.prediction_divergence(fx.head_logits(spark, d, n_envs=1)))
 
 
+EVAL_BATCHES = 3
+
+
+@query("head_js_first_batches")
+def q_head_js_first_batches(spark, d):
+    """The divergence over the first EVAL_BATCHES evaluation batches."""
+    return _round_all(HD.prediction_divergence(fx.head_logits(spark, d), max_batches=EVAL_BATCHES))
+
+
+@query("custom_metric")
+def q_custom_metric(spark, d):
+    """H3: a metric of the caller's own, the F2 score per class, over the per-class table."""
+    def f2(pdf):
+        p, r = pdf["precision"], pdf["recall"]
+        below = 4 * p + r
+        return pdf[["class"]].assign(f2=(5 * p * r / below.where(below > 0, 1.0)).where(below > 0, 0.0))
+
+    return _round_all(MT.custom_class_metric(_pc(fx.head_logits(spark, d)), f2, "class int, f2 double"))
+
+
 @query("head_weight_divergence")
 def q_head_weight_div(spark, d):
     return _round_all(HD.weight_divergence(fx.head_weights(spark, d)))
@@ -416,6 +436,7 @@ from envlab.sinks.files import write_env_tsv  # noqa: E402
 from envlab.sources.tsv import drop_blank, read_envs  # noqa: E402
 
 BATCH, ACCUM, EPOCHS = 64, 4, 3
+FIXED_LENGTH = 128
 
 
 def _lines_b(spark, d):
@@ -464,20 +485,32 @@ def q_encoded_repeated_ids(spark, d):
     return enc.select("env", "example_id", "labels", "input_ids", "attention_mask")
 
 
+def _train_encoded(spark, d):
+    """K8: the encoded set is stored (as the encoding job does) and read back."""
+    return materialize(_encoded(spark, d), "encoded").where(F.col("env") != "val")
+
+
 def _batches(spark, d):
-    """K8 then W8: the encoded set is stored (as the encoding job does), batches drawn from it."""
-    train = materialize(_encoded(spark, d), "encoded").where(F.col("env") != "val")
-    return EN.assign_batches(train, BATCH, SEED)
+    return EN.batch_plan(_train_encoded(spark, d).select("env", "example_id"), BATCH, SEED)
 
 
 @query("batches")
 def q_batches(spark, d):
+    """Every example's place in its environment's permutation and its batch."""
     return _batches(spark, d).select("env", "example_id", "rank", "batch_id")
 
 
 @query("padded")
 def q_padded(spark, d):
-    p = EN.pad_batches(_batches(spark, d))
+    """W8 + F17: batches padded to their longest sequence."""
+    p = EN.padded_batches(_train_encoded(spark, d), BATCH, SEED)
+    return p.select("env", "batch_id", "example_id", "input_ids", "attention_mask")
+
+
+@query("padded_fixed")
+def q_padded_fixed(spark, d):
+    """F17 with a fixed length: shorter rows padded, longer ones truncated."""
+    p = EN.padded_batches(_train_encoded(spark, d), BATCH, SEED, fixed_length=FIXED_LENGTH)
     return p.select("env", "batch_id", "example_id", "input_ids", "attention_mask")
 
 

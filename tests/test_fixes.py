@@ -1,6 +1,7 @@
 """Cases that once lost rows or gave wrong numbers."""
 import math
 import random
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -25,8 +26,9 @@ def test_rank_within_keeps_rows_with_null_keys(spark):
     assert sorted((str(r["g"]), r["v"], r["rank"], r["n"]) for r in got) == [("None", 2, 0, 2), ("None", 3, 1, 2), ("a", 1, 0, 2), ("a", 4, 1, 2)]
 
 
-def test_encoding_keeps_whole_texts_and_repeated_ids(spark, monkeypatch):
-    monkeypatch.setattr(EN, "FREQUENT", 2)  # most words take the shuffle join
+@pytest.mark.parametrize("held", [2, 100_000])
+def test_encoding_keeps_whole_texts_and_repeated_ids(spark, monkeypatch, held):
+    monkeypatch.setattr(EN, "DICTIONARY_WORDS", held)  # with two, most words leave the row for their ids
     long = " ".join(f"w{k}" for k in range(700))
     df = spark.createDataFrame([("env_1", 0, "a b a"), ("env_2", 0, "c d a"), ("env_2", 1, long), ("env_2", 2, "zzz")], "env string, example_id long, text string")
     vocab = EN.build_vocab(df.where("example_id < 2"))
@@ -36,10 +38,55 @@ def test_encoding_keeps_whole_texts_and_repeated_ids(spark, monkeypatch):
     want = {k: [2, *(ids.get(w, 1) for w in t.split()), 3] for k, t in {("env_1", 0): "a b a", ("env_2", 0): "c d a", ("env_2", 1): long, ("env_2", 2): "zzz"}.items()}
     assert got == want
     assert EN.max_seq_length(None) is None and EN.max_seq_length(None, 2048) == 1024 and EN.max_seq_length(128, 512) == 128
+    odd = spark.createDataFrame([(None, None, "a zzz b a"), ("e", 1, None), ("e", 2, ""), ("e", 3, "zzz c zzz d")], "env string, example_id long, text string")
+    rows = {(r["env"], r["example_id"]): (list(r["input_ids"]), list(r["attention_mask"])) for r in EN.encode(odd, vocab).collect()}
+    a, b, c, d = (ids[x] for x in "abcd")
+    want = {(None, None): [2, a, 1, b, a, 3], ("e", 1): [2, 3], ("e", 2): [2, 3], ("e", 3): [2, 1, c, 1, d, 3]}
+    assert rows == {k: (v, [1] * len(v)) for k, v in want.items()}
     cut = {r["example_id"]: len(r["input_ids"]) for r in EN.encode(df.where("env = 'env_2'"), vocab, 10).collect()}
     assert cut == {0: 5, 1: 10, 2: 3}
 
 
+def test_vocabulary_ranks_are_the_global_order(spark):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abé") for _ in range(rnd.randrange(1, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(" ".join(words[i:i + 30]),) for i in range(0, 3000, 30)], "text string")
+    n = Counter(words)
+    want = sorted(n, key=lambda w: (-n[w], w.encode()))
+    got = {r["token"]: r["id"] for r in EN.build_vocab(df).collect()}
+    assert [got[w] for w in want] == list(range(6, 6 + len(want)))
+
+
+def test_ranks_over_levels_of_buckets(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["x", "y", None]), v) for v in rnd.sample(range(10**6), 4000)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    levels = [F.floor(F.col("v") / k).cast("long") for k in (10, 1000, 100_000)]
+    for keys in (["g"], []):
+        got = rank_within(df, keys, ["v"], levels[0], total="n", coarser=levels[1:]).collect()
+        for r in got:
+            group = [v for g, v in rows if not keys or g == r["g"]]
+            assert r["n"] == len(group)
+        per = {}
+        for r in got:
+            per.setdefault(r["g"] if keys else "", []).append((r["v"], r["rank"]))
+        assert all([x for _, x in sorted(p)] == list(range(len(p))) for p in per.values())
+
+
+def test_batches_are_padded_in_one_join_as_in_two_steps(spark):
+    rows = [("a" if i % 3 else "b", i, [2, *range(10, 10 + i % 7), 3], 1) for i in range(50)]
+    df = spark.createDataFrame(rows, "env string, example_id long, input_ids array<int>, labels int").withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
+    key = lambda r: (r["env"], r["example_id"])
+    for fixed in (None, 5):
+        one = sorted(EN.padded_batches(df, 8, 7, fixed_length=fixed).collect(), key=key)
+        two = sorted(EN.pad_batches(EN.assign_batches(df, 8, 7), fixed_length=fixed).collect(), key=key)
+        assert one == two and len(one) == 50
+        for r in one:
+            assert len(r["input_ids"]) == len(r["attention_mask"]) and (fixed is None or len(r["input_ids"]) == 5)
+            assert r["input_ids"][sum(r["attention_mask"]) - 1] == 3
+    assert EN.assign_batches(df, 8, 7, drop_last=True).count() == 32 + 16
+
+
 @pytest.mark.parametrize("folder", ["plain", "with blank", "it's + 100%"])
 def test_log_headers_of_any_order_and_quoting(spark, tmp_path, folder):
     base = tmp_path / folder
