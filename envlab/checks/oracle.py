@@ -530,3 +530,13 @@ SQL["padded_fixed"] = with_(_CB, _VOCAB, _ENC, _BAT) + f"""SELECT env, batch_id,
   ids || list_transform(range(0, {FIXED_LENGTH} - len(ids)), lambda x: 0) AS input_ids,
   list_transform(ids, lambda x: 1) || list_transform(range(0, {FIXED_LENGTH} - len(ids)), lambda x: 0) AS attention_mask
 FROM (SELECT *, CASE WHEN len(input_ids) > {FIXED_LENGTH} THEN input_ids[:{FIXED_LENGTH - 1}] || [3] ELSE input_ids END AS ids FROM bat2)"""
+
+# a corpus without ids: positions in the order of the splits and of the rows in them
+_BY_POSITION = BIOS.replace("bios AS", "bios0 AS") + """,
+bios AS (SELECT CAST(row_number() OVER (ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'dev' THEN 1 ELSE 2 END, example_id) - 1 AS BIGINT) AS example_id,
+  text, profession, gender, split FROM bios0)"""
+for _name in ("corpus_a", "corpus_b", "support_report"):
+    SQL[f"{_name}_positions"] = SQL[_name].replace(BIOS, _BY_POSITION)
+SQL["corpus_positions"] = with_(_BY_POSITION) + """SELECT example_id, profession, gender, split, md5(text) AS text_md5
+FROM bios WHERE example_id % 7 <> 0"""
+SQL["encoded_content"] = SQL["encoded"]

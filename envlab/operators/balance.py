@@ -7,9 +7,9 @@ aggregated and the text never moves through a shuffle.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from envlab.functions.draws import draw
@@ -17,8 +17,9 @@ from envlab.operators.ranking import DEFAULT_BUCKETS, apply_cuts, draw_bucket, f
 
 
 def gender_counts(df: DataFrame, cls: str = "profession", by: Sequence[str] = ()) -> DataFrame:
-    """Per class: rows of gender 0, of gender 1 and ``k = least`` (A2). Partial + final hash aggregate."""
-    return df.groupBy(*by, cls).agg(
+    """Per class: rows of gender 0, of gender 1 and ``k = least`` (A2). Partial + final hash aggregate.
+    Rows without a class do not count, here as wherever classes do."""
+    return df.where(F.col(cls).isNotNull()).groupBy(*by, cls).agg(
         F.count_if(F.col("gender") == 0).alias("n_g0"),
         F.count_if(F.col("gender") == 1).alias("n_g1"),
     ).withColumn("k", F.least("n_g0", "n_g1"))
@@ -35,20 +36,25 @@ def balance_by_gender(
 ) -> DataFrame:
     """Rows kept by gender balancing (A2 + W1); same columns as ``df``.
 
-    Rows with a gender outside {0, 1} (or NULL) are never kept. ``by`` balances several
+    Rows without a class or with a gender outside {0, 1} (or NULL) are never kept. ``by`` balances several
     independent sets in the same passes (e.g. train and test: classes are balanced within each).
     """
     by = list(by)
-    x = df.where(F.col("gender").isin(0, 1)).withColumn("_draw", draw(seed, tag, key))
+    x = df.where(F.col("gender").isin(0, 1) & F.col(cls).isNotNull()).withColumn("_draw", draw(seed, tag, key))
     ks = gender_counts(x, cls, by).select(*by, cls, F.explode(F.array(F.lit(0), F.lit(1))).alias("gender"), F.col("k").alias("_k"))
     out = first_k(x, by + [cls, "gender"], ks, "_draw", key, draw_bucket("_draw", buckets))
     return out.drop("_draw")
 
 
-def check_nonempty(balanced_counts: DataFrame) -> None:
-    """Raise like the reference when balancing leaves nothing (one tiny aggregate job)."""
-    if balanced_counts.where(F.col("k") > 0).isEmpty():
-        raise ValueError("no gender-balanced example found: check the gender labels")
+def check_balanced(df: DataFrame, sets: Mapping[str, Column], cls: str = "profession") -> None:
+    """Raise if balancing leaves nothing in one of the ``sets`` (name: condition), each of which is balanced
+    on its own. One aggregate over ``df``."""
+    flags = F.array(*[F.when(cond, F.lit(name)) for name, cond in sets.items()])
+    each = df.withColumn("_set", F.explode(F.array_compact(flags)))
+    found = {r[0] for r in gender_counts(each, cls, ["_set"]).where("k > 0").select("_set").distinct().collect()}
+    for name in sets:
+        if name not in found:
+            raise ValueError(f"no gender-balanced example found in {name}: check the gender labels")
 
 
 def class_k(pool: DataFrame, k_target: int, cls: str = "profession") -> DataFrame:

@@ -19,6 +19,7 @@ from envlab.functions.draws import draw
 from envlab.functions.text import PREFIX_GROUP0, PREFIX_GROUP1, tokens
 from envlab.operators.ranking import draw_bucket, rank_within
 from envlab.session import join_small, materialize
+from envlab.sources.corpus import encoder_text_col
 
 # Special tokens and their fixed ids; the two spurious prefixes are atomic tokens.
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
@@ -96,9 +97,10 @@ def _coder(words: Broadcast, unknown: int | None):
 
 
 def encode(df: DataFrame, vocab: DataFrame, max_len: int | None = None, key: Sequence[str] = ("env", "example_id"),
-           text_col: str = "text") -> DataFrame:
+           text_col: str | None = "text") -> DataFrame:
     """``input_ids = [CLS] + ids(tokens) + [SEP]`` (unknown -> [UNK]) and an attention mask of
-    ones; other columns of ``df`` are kept, ``text`` is dropped. ``key`` names the columns that tell
+    ones; other columns of ``df`` are kept, the text is dropped (``text_col``; None: ``content`` if there is
+    such a column, else the first). ``key`` names the columns that tell
     rows apart (example ids may repeat across environments). ``max_len`` truncates if given.
 
     Words are coded inside the row: every task holds the ``DICTIONARY_WORDS`` most frequent ones. A
@@ -106,6 +108,7 @@ def encode(df: DataFrame, vocab: DataFrame, max_len: int | None = None, key: Seq
     leave it, find their ids by a join on the word and come back as one short array per row, which the
     row's codes point into; texts and tokens are never shuffled.
     """
+    text_col = encoder_text_col(df) if text_col is None else text_col
     key = [k for k in key if k in df.columns]
     keep = [c for c in df.columns if c not in (text_col, *key)]
     body = F.coalesce(word_tokens(text_col), F.array().cast("array<string>"))

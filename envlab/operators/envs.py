@@ -13,10 +13,10 @@ def class_ids(df: DataFrame, cls: str = "profession") -> DataFrame:
     """P5 + P6: ``(cls, label, grp)``: dense ids over the sorted distinct classes, and the fictive
     binary group (ids below ``C // 2`` -> 0, else 1).
 
-    The numbering window sees one row per class, so its single partition is as small as the
+    Rows without a class have no id. The numbering window sees one row per class, so its single partition is as small as the
     class list.
     """
-    d = df.select(cls).distinct()
+    d = df.select(cls).where(F.col(cls).isNotNull()).distinct()
     w = Window.orderBy(cls)
     x = d.select(cls, (F.row_number().over(w) - 1).cast("int").alias("label"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_c"))
     return x.select(cls, "label", F.when(F.col("label") < F.floor(F.col("_c") / 2), 0).otherwise(1).cast("int").alias("grp"))

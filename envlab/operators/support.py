@@ -10,7 +10,7 @@ from envlab.operators.balance import gender_counts
 def balanced_support(df: DataFrame, cls: str = "profession") -> DataFrame:
     """Rows per class after gender balancing: exactly ``2k``, so no sampling is needed (A3).
 
-    Classes with ``k = 0`` are absent, as in the reference.
+    Classes with ``k = 0`` are absent, as in the reference, and so are rows without a class.
     """
     return (
         gender_counts(df.where(F.col("gender").isin(0, 1)), cls)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from envlab.functions.draws import draw
 from envlab.functions.text import inject_prefix, toy_text
-from envlab.operators.balance import balance_by_gender, check_nonempty, flag_test_rows, gender_counts
+from envlab.operators.balance import balance_by_gender, check_balanced, flag_test_rows
 from envlab.operators.envs import (
     assign_round_robin,
     attach_classes,
@@ -90,10 +90,13 @@ def build_corpus_a(
     check: bool = True,
 ) -> Corpus:
     """Balance train+dev and test separately; ids from the balanced train classes;
-    one global shuffle cut into contiguous environments; validation = balanced test.
+    one global shuffle cut into contiguous environments; validation = balanced test. An error if
+    either has no balanced example (``check=False`` leaves that out).
 
     Balancing, class ids and the slice boundaries are passes over key columns; the lines are
     then produced by one scan with map-side filters and broadcast lookups only."""
+    if check:
+        check_balanced(corpus, {"train": F.col("split").isin("train", "dev"), "test": F.col("split") == "test"})
     # train+dev and test are balanced separately, in the same passes
     sets = corpus.withColumn("_set", F.when(F.col("split") == "test", F.lit("test")).otherwise(F.lit("train")))
     both = balance_by_gender(sets.where(F.col("split").isin("train", "dev", "test")), seed, by=["_set"])
@@ -101,8 +104,6 @@ def build_corpus_a(
     grid = env_grid(spark, gap, m, color_p_mean, val_color_p) if gap is not None else env_grid_legacy(spark, p1, p2, val_p)
     n_env = max(2, int(m)) if gap is not None else 2
     classes, n_cls = count_small(class_ids(train))
-    if check and n_cls == 0:
-        raise ValueError("no gender-balanced example found: check the gender labels")
     env = F.when(F.col("_set") == "test", F.lit(0)).otherwise(contiguous_env(train, n_env, seed))
     rows = attach_classes(both.withColumn("env", env).drop("_set"), classes, on_missing=on_missing, rows=n_cls)
     return Corpus(_inject(rows, grid, seed, n_env), classes, grid, seed)
@@ -125,7 +126,7 @@ def build_corpus_b(
 
     The test rows are flagged (not split off), so the pooled rows are scanned once and shuffled
     once, for the round-robin rank."""
-    check_nonempty(gender_counts(corpus))
+    check_balanced(corpus, {"the corpus": F.lit(True)})
     pool = balance_by_gender(corpus, seed)
     flagged, train_classes = flag_test_rows(pool, k_test_per_class, seed, stratify=stratify_test, with_train_classes=True)
     m = max(2, int(m))

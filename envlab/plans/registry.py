@@ -700,7 +700,7 @@ def q_eval_stream_parts(spark, d):
 # ---------------------------------------------------------------- sinks and the corpus reader, written and read back
 from envlab.plans.jobs import map_batches  # noqa: E402
 from envlab.sinks.files import write_csv_report, write_encoded, write_head_snapshots, write_pooled_tsv, write_val_tsv  # noqa: E402
-from envlab.sources.corpus import read_corpus  # noqa: E402
+from envlab.sources.corpus import at_positions, read_corpus  # noqa: E402
 from envlab.sources.tsv import read_pooled  # noqa: E402
 
 
@@ -714,6 +714,51 @@ def q_corpus_read(spark, d):
     return c.select("example_id", "profession", "gender", "split", F.md5("text").alias("text_md5"))
 
 
+def _positional(spark, d):
+    """The bios corpus as Parquet splits of several files without ids, read by position."""
+    b = fx.bios(spark, d).withColumnRenamed("text", "hard_text")
+    base = scratch_path(spark, "splits")
+    for s in ("train", "dev", "test"):
+        rows = b.where(F.col("split") == s).repartitionByRange(3, "example_id").sortWithinPartitions("example_id")
+        rows.select("hard_text", "profession", "gender").write.parquet(f"{base}/{s}")
+    return read_corpus(spark, {s: f"{base}/{s}" for s in ("train", "dev", "test")})
+
+
+@query("corpus_positions")
+def q_corpus_positions(spark, d):
+    """S1 + H2: rows without ids get their positions; those at every seventh one are left out."""
+    c = _positional(spark, d)
+    left = at_positions(c, c.where(F.pmod("example_id", F.lit(7)) == 0), keep=False)
+    return left.select("example_id", "profession", "gender", "split", F.md5("text").alias("text_md5"))
+
+
+@query("corpus_a_positions")
+def q_corpus_a_positions(spark, d):
+    """C1 on a corpus without ids."""
+    return _lines(build_corpus_a(spark, _positional(spark, d), GAP, M, MEAN, VAL_COLOR, seed=SEED))
+
+
+@query("corpus_b_positions")
+def q_corpus_b_positions(spark, d):
+    """C2 on a corpus without ids."""
+    return _lines(build_corpus_b(spark, _positional(spark, d), GAP, M, MEAN, VAL_COLOR, K_TEST, SEED))
+
+
+@query("support_report_positions")
+def q_support_report_positions(spark, d):
+    """C4 on a corpus without ids."""
+    return support_report(_positional(spark, d))
+
+
+@query("encoded_content")
+def q_encoded_content(spark, d):
+    """F15 by the encoder's rule for the text column: ``content``, wherever it stands."""
+    lines = _stored_lines(spark, d)
+    named = drop_blank(lines).select("labels", F.col("text").alias("content"), "env", "example_id")
+    enc = EN.encode(named, materialize(_vocab(spark, lines), "vocab"), text_col=None)
+    return enc.select("env", "example_id", "labels", "input_ids", "attention_mask")
+
+
 @query("support_csv")
 def q_support_csv(spark, d):
     """K4: the support report as CSV, read back."""

@@ -4,13 +4,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from envlab.operators.balance import check_nonempty, gender_counts
+from envlab.operators.balance import check_balanced
 from envlab.operators.support import support_table, threshold_counts, top_support
 
 
 def support_report(corpus: DataFrame) -> DataFrame:
-    """Train = train + dev splits, validation = test split, each balanced by gender on its own."""
-    check_nonempty(gender_counts(corpus))
+    """Train = train + dev splits, validation = test split, each balanced by gender on its own; an
+    error if either has no balanced example."""
+    check_balanced(corpus, {"train": F.col("split").isin("train", "dev"), "test": F.col("split") == "test"})
     train = corpus.where(F.col("split").isin("train", "dev"))
     val = corpus.where(F.col("split") == "test")
     return support_table(train, val)

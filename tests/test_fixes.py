@@ -14,8 +14,11 @@ from envlab.operators import encode as EN
 from envlab.operators import runs as RN
 from envlab.operators.ranking import rank_within
 from envlab.operators.sums import exact_mean_std
-from envlab.plans.corpus import build_corpus_b
+from envlab.operators.balance import balance_by_gender
+from envlab.operators.envs import class_ids
+from envlab.plans.corpus import build_corpus_a, build_corpus_b
 from envlab.plans.support_report import support_report
+from envlab.sources.corpus import read_corpus
 from envlab.sources.logs import available_columns, discover_logs, read_eval_logs
 from envlab.streaming.logs import window_means
 
@@ -174,3 +177,38 @@ def test_nothing_balanced_raises(spark):
         support_report(df)
     with pytest.raises(ValueError):
         build_corpus_b(spark, df)
+
+
+def test_every_balanced_set_must_hold_something(spark):
+    schema = "example_id long, text string, profession string, gender int, split string"
+    rows = [(i, "t", "p", i % 2, "train") for i in range(8)] + [(10 + i, "t", "p", 0, "test") for i in range(4)]
+    one_sided = spark.createDataFrame(rows, schema)
+    for job in (support_report, lambda c: build_corpus_a(spark, c, gap=0.2)):
+        with pytest.raises(ValueError, match="in test"):
+            job(one_sided)
+        with pytest.raises(ValueError, match="in train"):
+            job(one_sided.withColumn("split", F.when(F.col("split") == "test", "train").otherwise("test")))
+
+
+def test_rows_without_a_class_never_count(spark):
+    schema = "example_id long, text string, profession string, gender int, split string"
+    rows = [(i, "t", None if i % 3 == 0 else "abc"[i % 2], (i // 2) % 2, "train" if i < 40 else "test") for i in range(60)]
+    df = spark.createDataFrame(rows, schema)
+    assert {r["profession"] for r in balance_by_gender(df).collect()} == {"a", "b"}
+    assert {r["profession"] for r in support_report(df).collect()} == {"a", "b"}
+    assert sorted((r["profession"], r["label"]) for r in class_ids(df).collect()) == [("a", 0), ("b", 1)]
+    assert build_corpus_a(spark, df, gap=0.2).lines.where("labels IS NULL").count() == 0
+    assert build_corpus_b(spark, df, k_test_per_class=2).lines.where("labels IS NULL").count() == 0
+
+
+def test_positions_follow_files_and_rows(spark, tmp_path):
+    for split, n in (("train", 50), ("dev", 7), ("test", 20)):
+        df = spark.range(n).select(F.concat(F.lit(split), F.col("id").cast("string")).alias("bio"), F.lit("p").alias("profession"), F.pmod("id", F.lit(2)).alias("gender"))
+        df.repartitionByRange(3, "bio").sortWithinPartitions("bio").write.parquet(f"{tmp_path}/{split}")
+    got = read_corpus(spark, {s: f"{tmp_path}/{s}" for s in ("train", "dev", "test")}).repartition(5).collect()
+    want = [f"{s}{i}" for s, n in (("train", 50), ("dev", 7), ("test", 20)) for i in sorted(range(n), key=str)]
+    assert [r["text"] for r in sorted(got, key=lambda r: r["example_id"])] == want
+    assert sorted(r["example_id"] for r in got) == list(range(77))
+    spark.range(3).select(F.col("id").alias("example_id"), F.lit("t").alias("t"), F.lit("p").alias("profession"), F.lit(0).alias("gender")).write.parquet(f"{tmp_path}/ids")
+    with pytest.raises(ValueError):
+        read_corpus(spark, {"train": f"{tmp_path}/ids", "test": f"{tmp_path}/test"})
