@@ -13,7 +13,7 @@ comes in as many whole copies, and in one more by a seeded draw on its id with t
 So the mix holds the budget and follows the targets in expectation, whatever the rarest cell is.
 
 Without a budget the weight is divided by the largest weight of any cell: no document is repeated,
-but that cell, however small, sets the scale of all others.
+but that cell, however small, sets the scale of all others. So a mix of a corpus takes a budget.
 """
 from __future__ import annotations
 
@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envlab.functions.draws import draw
-from envlab.llm.common import store
+from envlab.llm.common import column, store
 
 SWEEPS = 8  # at least
 TOLERANCE = 1e-6  # sweeps go on until every share is this close to its target
 MAX_SWEEPS = 100  # or so many are done: the targets may contradict each other
-BUDGET = 1.0  # expected tokens of the pipeline's mix, per token of its input
+BUDGET = 1.0  # expected tokens of the mix, per token of its input, in the query and the pipeline
 SEED = 97
 TOKEN = r"[^ \t\r\n]+"
 # topics told by markers in the text, the first that fits
@@ -61,7 +61,7 @@ def described(docs: DataFrame) -> DataFrame:
     become '', a NULL text has topic prose and no tokens."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
-        F.struct(*docs.columns).alias("row"), F.coalesce("source", F.lit("")).alias("source"),
+        F.struct(*[column(c) for c in docs.columns]).alias("row"), F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce("lang", F.lit("")).alias("lang"), topic_of(text).alias("topic"),
         F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("tokens"),
     )
@@ -168,12 +168,12 @@ def _mixed(docs: DataFrame, targets: Targets, sweeps: int, seed: int, budget: fl
     )
     # one row per cell, stored so that the planner knows its size
     out = rows.join(store(weights, "mix-weights"), ["source", "lang", "topic"], "left").withColumn(
-        "weight", F.coalesce("weight", F.lit(0.0))
+        "weight", F.coalesce("weight", F.lit(0.0)) * F.lit(float(r.total))
     )
     if budget is None:
-        expected = F.col("weight") / F.lit(r.top) if r.top > 0 else F.lit(0.0)
+        expected = F.col("weight") / F.lit(r.top * r.total) if r.top > 0 else F.lit(0.0)
     else:
-        expected = F.col("weight") * F.lit(budget * r.total)
+        expected = F.col("weight") * F.lit(float(budget))
     name = F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null"))
     whole = F.floor("expected")
     more = draw(seed, "mix", name) < F.col("expected") - whole
@@ -186,8 +186,8 @@ def _mixed(docs: DataFrame, targets: Targets, sweeps: int, seed: int, budget: fl
 def mix(docs: DataFrame, targets: Targets, sweeps: int = SWEEPS, seed: int = SEED, budget: float | None = None) -> DataFrame:
     """One row per document: ``doc_id, source, lang, topic, tokens, weight, chance, kept, copies, gap``.
 
-    ``weight`` is relative (tokens times weight, summed by source, language or topic, gives the
-    target shares), ``chance`` that of being in the mix, ``copies`` how often it is (at most once
+    ``weight`` tells how much more a token counts than in the input (tokens times weight, summed by
+    source, language or topic, gives the target shares of all tokens), ``chance`` that of being in the mix, ``copies`` how often it is (at most once
     without a ``budget``), ``gap`` the largest distance of a language or topic share from its target,
     the same in all rows. A document without tokens gets the weight of its cell if that holds other
     tokens and else 0; NULL source or lang are '' and belong to the rest unless named; rows with

@@ -51,55 +51,77 @@ FROM ordered GROUP BY conv_id"""
 
 def _mixing() -> str:
     t = MIX
+    langs, topics = [*t.language, "~"], [*t.topic, "~"]
+    nl, nt = len(langs), len(topics)
 
-    def case(col: str, named) -> str:
-        return f"CASE WHEN {col} IN ({', '.join(repr(k) for k in named)}) THEN {col} ELSE '~' END"
+    def place(col: str, named) -> str:
+        return f"coalesce(list_position({list(named)!r}, {col}), {len(named) + 1}) - 1"
 
-    def wanted(name: str, named) -> str:
+    def wanted(named) -> str:
         whole = sum(named.values()) + t.rest
-        rows = ", ".join(f"('{k}', {v / whole!r}::DOUBLE)" for k, v in [*named.items(), ("~", t.rest)])
-        return f"{name} AS (SELECT * FROM (VALUES {rows}) v(k, want))"
+        return "[" + ", ".join(f"{v / whole!r}::DOUBLE" for v in [*named.values(), t.rest]) + "]"
 
     topic = " ".join(f"WHEN contains(coalesce(text, ''), '{m}') THEN '{n}'" for n, m in mixing.TOPICS)
-    ctes = [
-        f"""d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+    wl, wt = wanted(t.language), wanted(t.topic)
+
+    def held(size: int, by_lang: bool, m: str, fl: str | None, ft: str | None) -> str:
+        """Mass by language (or topic), as a list."""
+        other = nt if by_lang else nl
+        at = f"i * {nt} + j + 1" if by_lang else f"j * {nt} + i + 1"
+        a, b = ("i", "j") if by_lang else ("j", "i")
+        factor = (f" * {fl}[{a} + 1]" if fl else "") + (f" * {ft}[{b} + 1]" if ft else "")
+        return f"list_transform(range(0, {size}), lambda i: list_sum(list_transform(range(0, {other}), lambda j: {m}[{at}]{factor})))"
+
+    def have(h: str, want: str) -> str:
+        return f"list_sum(list_transform({h}, lambda x, i: CASE WHEN x > 0 THEN {want}[i] ELSE 0.0 END))"
+
+    def fitted(h: str, want: str) -> str:
+        return f"list_transform({h}, lambda x, i: CASE WHEN x > 0 THEN {want}[i] / {have(h, want)} / x ELSE 0.0 END)"
+
+    def off(h: str, want: str) -> str:
+        return f"list_max(list_transform({h}, lambda x, i: CASE WHEN x > 0 THEN abs(x - {want}[i] / {have(h, want)}) ELSE 0.0 END))"
+
+    def masses(state: str, carry: str) -> str:
+        """Per state row: the mass of every (language, topic), source factors fitted first."""
+        return f"""SELECT {carry}, list_transform(range(0, {nl * nt}), lambda k: coalesce(map_extract(mk, k)[1], 0.0)) AS m FROM (
+      SELECT {carry}, map(list(k), list(x)) AS mk FROM (
+        SELECT {carry}, k, sum(n * sf) AS x FROM (
+          SELECT {carry}, k, n, want / sum(n * fl[l + 1] * ft[t + 1]) OVER (PARTITION BY source) AS sf
+          FROM {state} CROSS JOIN (SELECT *, l * {nt} + t AS k FROM cells JOIN src USING (source)))
+        GROUP BY ALL) GROUP BY ALL)"""
+
+    gap = f"greatest({off('hl', wl)}, {off('ht', wt)})"
+    measured = lambda rows: f"""SELECT i, fl, ft, m, {gap} AS gap FROM (
+      SELECT *, {held(nl, True, 'm', 'fl', 'ft')} AS hl, {held(nt, False, 'm', 'fl', 'ft')} AS ht FROM ({rows}))"""
+    ones = lambda n: "[" + ", ".join(["1.0::DOUBLE"] * n) + "]"
+    start = f"(SELECT 0 AS i, {ones(nl)} AS fl, {ones(nt)} AS ft)"
+    step = f"""(SELECT i, fl, {fitted('h2', wt)} AS ft FROM (SELECT *, {held(nt, False, 'm', 'fl', None)} AS h2 FROM (
+      SELECT i + 1 AS i, {fitted('h1', wl)} AS fl, m FROM (SELECT *, {held(nl, True, 'm', None, 'ft')} AS h1 FROM it
+        WHERE i < {mixing.SWEEPS} OR (i < {mixing.MAX_SWEEPS} AND gap > {mixing.TOLERANCE!r}::DOUBLE)))))"""
+    name = "coalesce(CAST(doc_id AS VARCHAR), 'null')"
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
   CASE {topic} ELSE '{mixing.OTHER_TOPIC}' END AS topic,
-  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+')) AS BIGINT) AS tokens FROM documents)""",
-        f"""cells AS MATERIALIZED (SELECT source, {case('lang', t.language)} AS l, {case('topic', t.topic)} AS t, sum(tokens)::DOUBLE AS n
-  FROM d GROUP BY ALL HAVING sum(tokens) > 0)""",
-        f"""src AS MATERIALIZED (SELECT source, want / sum(want) OVER () AS want FROM (
-  SELECT source, pow(sum(n) / (SELECT sum(n) FROM cells), {t.source_power}::DOUBLE) AS want FROM cells GROUP BY source))""",
-        wanted("wl", t.language), wanted("wt", t.topic),
-        "fl0 AS (SELECT k, 1.0::DOUBLE AS f FROM wl)", "ft0 AS (SELECT k, 1.0::DOUBLE AS f FROM wt)",
-    ]
-
-    def factors(i: int) -> str:
-        return f"""sf{i} AS MATERIALIZED (SELECT c.source, any_value(src.want) / sum(n * fl{i}.f * ft{i}.f) AS f
-  FROM cells c JOIN src USING (source) JOIN fl{i} ON l = fl{i}.k JOIN ft{i} ON t = ft{i}.k GROUP BY c.source)"""
-
-    def update(i: int, axis: str, other: str, want: str, factor: str) -> str:
-        return f"""(SELECT k, CASE WHEN held > 0 THEN want / sum(want) FILTER (held > 0) OVER () / held ELSE 0.0 END AS f FROM (
-    SELECT w.k, any_value(w.want) AS want, coalesce(sum(n * s.f * o.f), 0.0) AS held
-    FROM {want} w LEFT JOIN cells c ON c.{axis} = w.k LEFT JOIN sf{i} s USING (source) LEFT JOIN {factor} o ON o.k = c.{other}
-    GROUP BY w.k))"""
-
-    for i in range(mixing.SWEEPS):
-        ctes.append(factors(i))
-        ctes.append(f"fl{i + 1} AS MATERIALIZED {update(i, 'l', 't', 'wl', f'ft{i}')}")
-        ctes.append(f"ft{i + 1} AS MATERIALIZED {update(i, 't', 'l', 'wt', f'fl{i + 1}')}")
-    n = mixing.SWEEPS
-    ctes.append(factors(n))
-    ctes.append(f"""wts AS MATERIALIZED (SELECT source, l, t, s.f * fl{n}.f * ft{n}.f AS weight
-  FROM cells JOIN sf{n} s USING (source) JOIN fl{n} ON l = fl{n}.k JOIN ft{n} ON t = ft{n}.k)""")
-    ctes.append(f"""occupied AS (SELECT source, lang, topic FROM d GROUP BY ALL HAVING sum(tokens) > 0)""")
-    ctes.append(f"""joined AS (SELECT d.*, CASE WHEN o.source IS NULL THEN 0.0 ELSE w.weight END AS weight,
-    (SELECT max(weight) FROM wts) AS top
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+')) AS BIGINT) AS tokens FROM documents),
+cells AS MATERIALIZED (SELECT source, {place('lang', t.language)} AS l, {place('topic', t.topic)} AS t, sum(tokens)::DOUBLE AS n
+  FROM d GROUP BY ALL HAVING sum(tokens) > 0),
+src AS MATERIALIZED (SELECT source, want / sum(want) OVER () AS want FROM (
+  SELECT source, pow(sum(n) / (SELECT sum(n) FROM cells), {t.source_power}::DOUBLE) AS want FROM cells GROUP BY source)),
+it AS (
+  {measured(masses(start, 'i, fl, ft'))}
+  UNION ALL
+  {measured(masses(step, 'i, fl, ft'))}),
+last AS MATERIALIZED (SELECT fl, ft FROM it ORDER BY i DESC LIMIT 1),
+wts AS MATERIALIZED (SELECT source, l, t, want / sum(n * fl[l + 1] * ft[t + 1]) OVER (PARTITION BY source) * fl[l + 1] * ft[t + 1]
+    * (SELECT sum(n) FROM cells) AS weight FROM cells JOIN src USING (source) CROSS JOIN last),
+occupied AS (SELECT source, lang, topic FROM d GROUP BY ALL HAVING sum(tokens) > 0),
+joined AS (SELECT d.*, CASE WHEN o.source IS NULL THEN 0.0 ELSE w.weight END AS weight
   FROM d LEFT JOIN occupied o USING (source, lang, topic)
-  LEFT JOIN wts w ON w.source = d.source AND w.l = {case('d.lang', t.language)} AND w.t = {case('d.topic', t.topic)})""")
-    return "WITH " + ",\n".join(ctes) + f"""
-SELECT doc_id, topic, tokens, round(weight, 12) AS weight, round(weight / top, 9) AS chance,
-  {draw(mixing.SEED, 'mix', "coalesce(CAST(doc_id AS VARCHAR), 'null')")} < weight / top AS kept
-FROM joined"""
+  LEFT JOIN wts w ON w.source = d.source AND w.l = {place('d.lang', t.language)} AND w.t = {place('d.topic', t.topic)}),
+expected AS (SELECT *, weight * {mixing.BUDGET}::DOUBLE AS e FROM joined),
+copied AS (SELECT *, CAST(floor(e) AS BIGINT) + CASE WHEN {draw(mixing.SEED, 'mix', name)} < e - floor(e) THEN 1 ELSE 0 END AS copies FROM expected)
+SELECT doc_id, topic, tokens, round(weight, 9) AS weight, round(least(e, 1.0), 9) AS chance, copies, copies > 0 AS kept
+FROM copied"""
 
 
 def _decontamination() -> str:

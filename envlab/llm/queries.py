@@ -46,10 +46,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's raked weight and its draw."""
-    out = mixing.mix(_table(spark, sf_dir, "documents"), MIX)
+    """Every document's raked weight and its copies in a mix of as many tokens as the corpus has."""
+    out = mixing.mix(_table(spark, sf_dir, "documents"), MIX, budget=mixing.BUDGET)
     return out.select(
-        "doc_id", "topic", "tokens", F.round("weight", 12).alias("weight"), F.round("chance", 9).alias("chance"), "kept"
+        "doc_id", "topic", "tokens", F.round("weight", 9).alias("weight"), F.round("chance", 9).alias("chance"), "copies", "kept"
     )
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from envlab.checks.compare import compare, type_mismatches
-from envlab.llm import chat, decontam, mixing, toxicity
+from envlab.llm import chat, decontam, mixing, queries, toxicity
 from envlab.llm.oracle import SQL
 from envlab.llm.queries import QUERIES
 
@@ -123,7 +123,7 @@ def test_raking_meets_the_targets(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic int")
     t = mixing.Targets({"en": 0.5, "de": 0.4, "xx": 0.3}, {"prose": 0.7, "contact": 0.25}, source_power=0.5, rest=0.1)
     out = mixing.mix(df, t, sweeps=25).toPandas()
-    out["mass"] = out.tokens * out.weight
+    out["mass"] = out.tokens * out.weight / out.tokens.sum()
     langs = out.groupby("lang").mass.sum()
     assert abs(langs["en"] - 0.5) < 1e-6 and abs(langs["de"] - 0.4) < 1e-6 and abs(langs[""] - 0.1) < 1e-6  # xx has no tokens
     topics = out.groupby("topic").mass.sum()
@@ -149,7 +149,7 @@ def test_rarest_cell_does_not_set_the_scale(spark):
         got = out.tokens * out.copies
         assert abs(got.sum() / total - 1) < 0.05
         assert abs(got[out.lang == "de"].sum() / got.sum() - 0.4) < 0.05
-        want = out.weight * total
+        want = out.weight
         assert ((out.copies == want.astype(int)) | (out.copies == want.astype(int) + 1)).all()
         assert (out.chance - want.clip(upper=1)).abs().max() < 1e-9
         share.append(out.tokens[out.kept].sum() / total)
@@ -161,6 +161,42 @@ def test_rarest_cell_does_not_set_the_scale(spark):
     assert abs(share[0] - share[1]) < 0.03
 
 
+def test_one_more_document_moves_the_kept_share_little(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = spark.createDataFrame([(10**9, "word " * 30, "en", "a new source", 150)], "doc_id long, text string, lang string, source string, n_chars long")
+    share = []
+    for df in (docs, docs.select(*one.columns).union(one)):
+        out = mixing.mix(df, queries.MIX, budget=mixing.BUDGET).toPandas()
+        share.append(out.tokens[out.kept].sum() / out.tokens.sum())
+    assert share[0] > 0.9 and abs(share[0] - share[1]) < 0.01
+
+
+def test_mixing_twin_stops_where_the_operator_stops(spark, tmp_path):
+    from envlab.checks.compare import duck
+
+    rnd = random.Random(4)
+    rows = []
+    for i in range(600):  # nearly one language and topic per source: slow to meet the targets
+        src = i % 6
+        lang = ["en", "de", "fr"][src % 3] if rnd.random() < 0.85 else rnd.choice(["en", "de", "fr", "es", None])
+        mark = rnd.choice([" @", " license", " | "]) if rnd.random() < (0.5 if src < 2 else 0.05) else " plain"
+        rows.append((i, "t " * rnd.randrange(40) + mark, lang, f"s{src}" if i else None, 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.coalesce(1).write.parquet(f"{tmp_path}/parts")
+    path = next(p for p in (tmp_path / "parts").iterdir() if p.name.endswith(".parquet"))
+    path.rename(tmp_path / "documents.parquet")
+    cells = mixing.described(df).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    assert mixing.rake(cells, queries.MIX, sweeps=mixing.SWEEPS).gap <= mixing.TOLERANCE
+    most = mixing.MAX_SWEEPS
+    try:
+        mixing.MAX_SWEEPS = mixing.SWEEPS  # eight are not enough
+        assert mixing.rake(cells, queries.MIX).gap > mixing.TOLERANCE
+    finally:
+        mixing.MAX_SWEEPS = most
+    ok, msg = compare(queries.op2_mixing(spark, str(tmp_path)), duck(str(tmp_path)), SQL["op2_mixing"])
+    assert ok, msg
+
+
 def test_pipeline_mixes_to_its_budget(spark, tmp_path):
     import corpus_pipeline
 
