@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from envlab.llm.common import store
+from envlab.llm.common import column, join_first, store
 
 BITS = 64
 SEED = 42
@@ -150,17 +150,19 @@ def components(edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _classes(docs: DataFrame, words: int, max_bits: int, key_pairs: int) -> tuple[DataFrame, DataFrame]:
-    """Stored (doc_id, th, fp) of every row (``th``: xxhash64 of the text), and per fingerprint its
-    class's first (doc_id, th), rows with a NULL id last."""
+def _classes(docs: DataFrame, words: int, max_bits: int, key_pairs: int) -> DataFrame:
+    """(doc_id, th, fp, first) of every row: ``th`` is xxhash64 of the text, ``first`` the first (doc_id,
+    th) of the row's class, NULL ids last."""
     prints = store(fingerprints(docs, words), "simhash-fp")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    groups = store(prints.groupBy("fp").agg(F.min(order).alias("first")), "simhash-groups")
+    groups = store(prints.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), "simhash-groups")
     roots = store(components(links(groups.select("fp"), max_bits, key_pairs)), "simhash-roots")
     joined = roots.join(groups, roots["node"] == groups["fp"]).select("node", "root", "first")
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
     linked = joined.join(least, "root").select(F.col("node").alias("fp"), "least")
-    return prints, groups.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
+    of = store(groups.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("first")), "simhash-classes")
+    # a fingerprint of many copies is dealt over several tasks
+    return join_first(prints, of, ["fp"], F.monotonically_increasing_id())
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, key_pairs: int = KEY_PAIRS) -> DataFrame:
@@ -170,22 +172,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, key_pair
     A NULL, empty or blank text has fingerprint 0 and is linked like any other; equal fingerprints
     are always linked; a NULL doc_id keeps its row and is a component's id only if it holds no
     other; repeated rows are kept; an empty table gives no rows; other columns are ignored."""
-    prints, of = _classes(docs, words, max_bits, key_pairs)
-    return prints.join(of, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+    classed = _classes(docs, words, max_bits, key_pairs)
+    return classed.select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, words: int = 3, max_bits: int = 2, key_pairs: int = KEY_PAIRS) -> DataFrame:
     """The rows of ``docs``, all columns as they are, with one row of each near-duplicate class:
     that of the smallest doc_id (then the smallest hash of the text, then any of equal rows)."""
-    prints, of = _classes(docs, words, max_bits, key_pairs)
-    rows = prints.join(of, "fp").select("doc_id", "th", F.col("first").alias("f"))
+    classed = _classes(docs, words, max_bits, key_pairs)
+    rows = classed.select("doc_id", "th", F.col("first").alias("f"))
     stays = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("th").eqNullSafe(F.col("f.th"))
     # stored, so that the planner knows its size: a small list of rejects is broadcast, a large one is not
-    gone = store(rows.where(~stays).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "simhash-gone")
-    out = docs.withColumn("__h", F.xxhash64("text")).join(
-        gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_anti"
-    )
+    gone = store(rows.where(~stays).select(F.col("doc_id").alias("id"), "th").distinct(), "simhash-gone")
+    whole = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row")).select("row", F.xxhash64("row.text").alias("h"))
+    out = whole.join(gone, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th")), "left_anti")
     again = rows.where(stays).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not again.isEmpty():
-        out = out.dropDuplicates(["doc_id", "__h"])
-    return out.drop("__h")
+        out = out.select("row", "h", F.col("row.doc_id").alias("id")).dropDuplicates(["id", "h"])
+    return out.select("row.*")
