@@ -540,3 +540,4 @@ for _name in ("corpus_a", "corpus_b", "support_report"):
 SQL["corpus_positions"] = with_(_BY_POSITION) + """SELECT example_id, profession, gender, split, md5(text) AS text_md5
 FROM bios WHERE example_id % 7 <> 0"""
 SQL["encoded_content"] = SQL["encoded"]
+SQL["curve_summary_refreshed"] = SQL["curve_summary"]

@@ -396,7 +396,7 @@ from envlab.session import materialize, scratch_path  # noqa: E402
 from envlab.sinks.appendlog import merge, write_attempt  # noqa: E402
 from envlab.sinks.files import log_root, write_metric_logs_by_run  # noqa: E402
 from envlab.sources.logs import (  # noqa: E402
-    EVAL_COLUMNS, TRAINING_COLUMNS, available_columns, discover_logs, parse_ragged, read_eval_logs, read_metric_log,
+    EVAL_COLUMNS, TRAINING_COLUMNS, available_columns, discover_logs, parse_ragged, read_eval_logs, read_metric_log, refresh_logs,
 )
 
 CURVE_METRICS = ["accuracy", "f1_macro", "f1_head", "f1_tail", "gap_head_tail", "loss"]
@@ -420,6 +420,19 @@ def q_curve_summary(spark, d):
     return s.select("lr", "step", *[r9(F.col(c)).alias(c) for c in s.columns if c not in ("lr", "step")])
 
 
+@query("curve_summary_refreshed")
+def q_curve_summary_refreshed(spark, d):
+    """S5 + C9 from remembered rows: the logs are read when half of the runs are there and again when all
+    are; the second time only new files are opened."""
+    base, state = scratch_path(spark, "evallogs"), scratch_path(spark, "seen")
+    fx.write_eval_logs(spark, d, base, appends=1)
+    refresh_logs(spark, base, state)
+    fx.write_eval_logs(spark, d, base)
+    rows, _ = refresh_logs(spark, base, state)
+    s = CV.curve_summary(CV.keep_target_lrs(rows), CURVE_METRICS)
+    return s.select("lr", "step", *[r9(F.col(c)).alias(c) for c in s.columns if c not in ("lr", "step")])
+
+
 @query("ragged_logs")
 def q_ragged_logs(spark, d):
     """S5 + S6: all discovered eval rows by column name, lr from the path, NaN as missing."""
@@ -651,6 +664,22 @@ def q_fit_env_heads(spark, d):
     return MT.ensemble(hl).select("example_id", "label", "pred", "n_heads")
 
 
+TURN_STEPS, TURN_K = 16, 2
+
+
+@query("fit_heads_turns")
+def q_fit_heads_turns(spark, d):
+    """M2 by turns: K updates of every head a round over dealt batches; scored and ensembled."""
+    rows = _fit_rows(spark, d)
+    n_classes = rows.agg(F.max("label")).first()[0] + 1
+    dim = rows.select(F.size("features")).first()[0]
+    path = scratch_path(spark, "batches")
+    FT.store_batches(rows, path, BATCH, SEED)
+    weights, _ = FT.fit_heads_in_turns(spark, path, n_classes, dim, TURN_STEPS, TURN_K, BATCH)
+    hl = FT.score_heads(rows, FT.head_table(spark, weights), sorted(weights))
+    return MT.ensemble(hl).select("example_id", "label", "pred", "n_heads")
+
+
 # ---------------------------------------------------------------- evaluation every n steps on a stream
 from envlab.sources.logs import parse_ragged  # noqa: E402,F811
 

@@ -192,9 +192,10 @@ def eval_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(last4)
 
 
-def write_eval_logs(spark: SparkSession, sf_dir: str, base: str) -> None:
+def write_eval_logs(spark: SparkSession, sf_dir: str, base: str, appends: int = 2) -> None:
     """Write the eval-log fixture below ``base`` as one committed log, ``csv_logs/eval.csv``, in two
-    appends: runs with a ``loss`` column and runs without it have different headers (ragged logs)."""
+    appends (or the first only): runs with a ``loss`` column and runs without it have different headers
+    (ragged logs)."""
     from envlab.sinks.files import write_metric_logs_by_run
     from envlab.sources.logs import EVAL_COLUMNS
 
@@ -202,4 +203,5 @@ def write_eval_logs(spark: SparkSession, sf_dir: str, base: str) -> None:
     with_loss = rows.where(F.pmod(F.col("user_id"), F.lit(2)) == 0)
     without = rows.where(F.pmod(F.col("user_id"), F.lit(2)) == 1)
     write_metric_logs_by_run(with_loss, base, "run_dir", "eval", EVAL_COLUMNS, "with-loss")
-    write_metric_logs_by_run(without, base, "run_dir", "eval", [c for c in EVAL_COLUMNS if c != "loss"], "without-loss")
+    if appends > 1:
+        write_metric_logs_by_run(without, base, "run_dir", "eval", [c for c in EVAL_COLUMNS if c != "loss"], "without-loss")

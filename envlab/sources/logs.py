@@ -10,13 +10,15 @@ part files (what a Spark writer makes).
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envlab.functions.names import lr_from_path
-from envlab.sinks.appendlog import COMMITS, committed, read_log, read_paths
+from envlab.session import materialize
+from envlab.sinks.appendlog import COMMITS, append, commit, commit_names, committed, read_log, read_paths, write_attempt
 from envlab.sinks.files import log_root
 
 # The columns of the three logs, as their writers name them.
@@ -35,16 +37,18 @@ def _qualified(spark: SparkSession, base: str) -> str:
     return str(fs.makeQualified(p).toUri().getPath()).rstrip("/")
 
 
-def discover_logs(spark: SparkSession, base: str, name: str = "eval") -> DataFrame:
+def discover_logs(spark: SparkSession, base: str, name: str = "eval", only: Sequence[str] | None = None) -> DataFrame:
     """Lines of every ``**/csv_logs/<name>.csv`` below ``base``: a file, a folder of part files, or a
     committed log (``sinks.appendlog``), of which only the files that its commits name count:
     (path, run_dir, rel_path, line). ``run_dir`` is the run of a log of many runs, else the folder that
-    holds ``csv_logs``. The path filter is applied to the file listing, so other logs are never opened."""
+    holds ``csv_logs``. The path filter is applied to the file listing, so other logs are never opened, nor
+    files that are not in ``only`` (``_metadata.file_path`` values), if given."""
     log = rf"/csv_logs/{re.escape(name)}\.csv"
     data, commits = rf"{log}(/attempt(=|%3D)[^/]+(/run(=|%3D)[^/]*)?)?(/[^/]+)?$", rf"{log}/{COMMITS}/[^/]+$"
     encoded = F.col("_metadata.file_path")
     files = spark.read.option("recursiveFileLookup", "true").text(base)
-    found = files.where(encoded.rlike(data) & ~encoded.rlike(rf"/{COMMITS}/[^/]+$")).select(
+    chosen = F.lit(True) if only is None else encoded.isin(list(only))
+    found = files.where(chosen & encoded.rlike(data) & ~encoded.rlike(rf"/{COMMITS}/[^/]+$")).select(
         read_paths(encoded).alias("path"), F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("_start"),
     )
     named = committed(files.where(encoded.rlike(commits)).select(read_paths(encoded).alias("path"), F.col("value").alias("line")))
@@ -129,3 +133,46 @@ def read_metric_log(spark: SparkSession, base: str, name: str, columns: Sequence
     ``columns`` (a step and a round are whole numbers, all else doubles; empty cells are NULL)."""
     schema = ", ".join(f"`{c}` {LOG_TYPES.get(c, 'double')}" for c in columns)
     return read_log(spark, log_root(base, name, fmt), schema, fmt).select("run", *columns)
+
+
+def _listed(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """(file, size, changed) of the log files below ``base`` that count (plain ones, and of committed logs
+    those that a commit names), from their listing: only commits are opened."""
+    log = rf"/csv_logs/{re.escape(name)}\.csv"
+    encoded = F.col("_metadata.file_path")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).where(encoded.rlike(rf"{log}(/.*)?$"))
+    files = listed.select(encoded.alias("file"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("changed"))
+    files = files.where(~F.col("file").rlike(rf"{log}/{COMMITS}/"))
+    texts = spark.read.option("recursiveFileLookup", "true").text(base).where(encoded.rlike(rf"{log}/{COMMITS}/[^/]+$"))
+    named = committed(texts.select(read_paths(encoded).alias("path"), F.col("value").alias("line")))
+    appended = read_paths(F.col("file")).rlike(rf"{log}/attempt=")
+    one = files.where(appended).join(named.select(F.concat_ws("/", "root", F.col("file")).alias("_file")), read_paths(files["file"]) == F.col("_file"), "left_semi")
+    return files.where(~appended).unionByName(one)
+
+
+def refresh_logs(spark: SparkSession, base: str, state: str, name: str = "eval",
+                 keep: Sequence[str] = tuple(EVAL_COLUMNS)) -> tuple[DataFrame, int]:
+    """S5 again and again: the rows of :func:`read_eval_logs`, and the number of files opened for them.
+
+    ``state`` (a folder of its own) remembers every file's size, time of change and rows, in committed logs
+    (``sinks.appendlog``). Only files that are new or have changed since the last call are opened, whole,
+    and their rows replace the remembered ones; files that are gone no longer count. A call that dies
+    leaves the state as it was. The result equals a full read. One call at a time."""
+    seen_root, rows_root, call = f"{state.rstrip('/')}/files", f"{state.rstrip('/')}/rows", uuid.uuid4().hex
+    columns = ["path", "run_dir", "rel_path", *keep, "lr", "call"]
+    types = {"path": "string", "run_dir": "string", "rel_path": "string", "call": "string", **LOG_TYPES}
+    schema = ", ".join(f"`{c}` {types.get(c, 'double')}" for c in columns)
+    before = commit_names(spark, seen_root)
+    now = materialize(_listed(spark, base, name), "log-files")
+    seen = read_log(spark, seen_root, "file string, size long, changed long, call string", "parquet", before).drop("run")
+    same = ["file", "size", "changed"]
+    fresh = now.join(seen, same, "left_anti")
+    opened = [r[0] for r in fresh.select("file").collect()]  # as many as changed since the last call
+    if opened:
+        rows = read_eval_logs(spark, base, keep, discover_logs(spark, base, name, opened)).withColumn("call", F.lit(call))
+        append(rows, rows_root, call, columns, fmt="parquet")
+    files = materialize(now.join(seen, same).unionByName(fresh.withColumn("call", F.lit(call))), "log-files")
+    commit(spark, seen_root, call, write_attempt(files, seen_root, call, [*same, "call"], fmt="parquet"), before)
+    # a file's rows are those of the call that read it as it is now
+    current = files.select(read_paths(F.col("file")).alias("path"), "call")
+    return read_log(spark, rows_root, schema, "parquet").drop("run").join(current, ["path", "call"], "left_semi").drop("call"), len(opened)

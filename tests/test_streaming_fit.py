@@ -185,3 +185,134 @@ def test_snapshot_in_parts_is_evaluated_once(spark):
     want = {r.step: r.accuracy for r in MT.clean_eval_metrics(MT.evaluate(df, ["step"])).collect()}
     got = {r.step: r.accuracy for r in read_metric_log(spark, run, "eval", EVAL_COLUMNS).collect()}
     assert got == want
+
+
+def test_refreshed_logs_open_changed_files_only(spark, tmp_path):
+    from envlab.sinks.files import log_root, write_metric_logs_by_run
+    from envlab.sources.logs import EVAL_COLUMNS, read_eval_logs, refresh_logs
+
+    base, state = tmp_path / "runs", scratch_path(spark, "seen")
+
+    def put(run, text):
+        (base / run / "csv_logs").mkdir(parents=True, exist_ok=True)
+        (base / run / "csv_logs" / "eval.csv").write_text(text)
+
+    def same():
+        rows, opened = refresh_logs(spark, str(base), state)
+        full = read_eval_logs(spark, str(base))
+        cols = ["run_dir", "rel_path", "lr", "step", "accuracy", "loss"]
+        assert sorted(rows.select(cols).collect(), key=str) == sorted(full.select(cols).collect(), key=str)
+        return opened
+
+    put("a_lr0.001", "step,accuracy\n1,0.5\n")
+    put("b 100%_lr0.01", "step,loss,accuracy\n1,2.0,0.25\n")
+    assert same() == 2 and same() == 0
+    put("a_lr0.001", "step,accuracy\n1,0.5\n2,0.75\n")
+    assert same() == 1
+    rows = spark.createDataFrame([("c_lr0.5", 3, 0.125), ("d_lr0.5", 4, 1.0)], "name string, step long, accuracy double").coalesce(1)
+    root = log_root(str(base), "eval")
+    folder = AL.write_attempt(rows, root, 0, EVAL_COLUMNS, "name")
+    assert same() == 0  # nothing is committed yet
+    AL.commit(spark, root, 0, folder)
+    assert same() == 2
+    write_metric_logs_by_run(rows, str(base), "name", "eval", EVAL_COLUMNS, 1)
+    (base / "b 100%_lr0.01" / "csv_logs" / "eval.csv").unlink()
+    assert same() == 2 and same() == 0
+
+
+def numpy_turns(batches, weights, max_steps, k, grad_accum, lr, clip):
+    import numpy as np
+
+    envs, taken, held, step, rounds, log = sorted(weights), dict.fromkeys(weights, 0), {e: 0.0 for e in weights}, 0, 0, []
+    count = dict.fromkeys(weights, 0)
+    while step < max_steps:
+        for _ in range(k):
+            for e in envs:
+                x, y = batches[e][taken[e] % len(batches[e])]
+                taken[e] += 1
+                z = np.mean([x @ weights[v].T for v in envs], axis=0)
+                p = np.exp(z - z.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                loss = -np.log(p[np.arange(len(y)), y]).mean() / grad_accum
+                p[np.arange(len(y)), y] -= 1
+                held[e] = held[e] + p.T @ x / len(y) / len(envs) / grad_accum
+                count[e] += 1
+                log.append((step, e, rounds, loss))
+                if count[e] == grad_accum:
+                    norm = np.sqrt((held[e] ** 2).sum())
+                    g = held[e] * min(1.0, clip / (norm + 1e-6)) if clip and norm > clip else held[e]
+                    weights[e] = weights[e] - lr * g
+                    held[e], count[e] = 0.0, 0
+                    step += 1
+        rounds += 1
+    return weights, log
+
+
+def test_heads_in_turns_equal_a_plain_loop(spark):
+    import numpy as np
+
+    from envlab.operators.encode import batch_plan
+
+    e = fx.table(spark, "/root/testdata/sf0.001", "embeddings")
+    rows = e.select(F.col("vec_id").alias("example_id"), F.expr("transform(embedding, x -> CAST(x AS DOUBLE))").alias("features"),
+                    F.col("label").cast("int").alias("label"),
+                    F.concat(F.lit("env_"), (F.col("vec_id") % 2 + 1).cast("string")).alias("env"))
+    plan = {(r["env"], r["example_id"]): (r["batch_id"], r["rank"]) for r in batch_plan(rows.select("env", "example_id"), 64, 3).collect()}
+    dealt = {}
+    for r in sorted(rows.collect(), key=lambda r: plan[r["env"], r["example_id"]][1]):
+        dealt.setdefault(r["env"], {}).setdefault(plan[r["env"], r["example_id"]][0], []).append(r)
+    batches = {v: [(np.array([r["features"] for r in b[i]]), np.array([r["label"] for r in b[i]])) for i in range(len(b))] for v, b in dealt.items()}
+    rng = np.random.default_rng(0)
+    start = {v: rng.normal(0.0, 0.01, size=(10, 64)) for v in sorted(batches)}
+    want, log = numpy_turns(batches, start, 9, 2, 2, 0.5, 0.05)
+    got = []
+    for parts in (1, 7):
+        path = scratch_path(spark, "turns")
+        FT.store_batches(rows.repartition(parts), path, 64, 3)
+        if parts == 7:  # rows of a batch over several files, in another order
+            scattered = scratch_path(spark, "turns")
+            spark.read.parquet(path).repartition(5).write.partitionBy("env", "folder").parquet(scattered)
+            path = scattered
+        got.append(FT.fit_heads_in_turns(spark, path, 10, 64, 9, k=2, batch_size=64, grad_accum=2, max_grad_norm=0.05))
+    (w1, l1), (w2, l2) = got
+    assert all((w1[v] == w2[v]).all() for v in w1) and l1 == l2  # bit for bit
+    assert all(np.abs(w1[v] - want[v]).max() < 1e-9 for v in want)
+    assert [(r["step"], r["env"], r["round"]) for r in l1] == [x[:3] for x in log]
+    assert max(abs(r["train_loss"] - x[3]) for r, x in zip(l1, log)) < 1e-9
+    assert abs(l1[4]["train_loss_moving_avg"] - np.mean([x[3] for x in log[:5]])) < 1e-9
+
+
+def test_gradients_and_scores_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(6, 4)), rng.integers(0, 3, 6)
+    w = {"a": rng.normal(size=(3, 4)), "b": rng.normal(size=(3, 4))}
+
+    def loss(heads):
+        z = np.mean([x @ heads[e].T for e in sorted(heads)], axis=0)
+        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(6), y]).sum())
+
+    g, nll = FT.head_gradient(x, y, w)
+    assert abs(nll.sum() - loss(w)) < 1e-9
+    pdf = next(FT._grad_fn(w, ["a", "b"])(iter([__import__("pandas").DataFrame({"env": ["a"] * 6, "features": list(x), "label": y})])))
+    for i in range(3):
+        for j in range(4):
+            up, down = ({"a": w["a"].copy(), "b": w["b"]} for _ in range(2))
+            up["a"][i, j] += 1e-6
+            down["a"][i, j] -= 1e-6
+            slope = (loss(up) - loss(down)) / 2e-6
+            assert abs(g.sum(axis=0)[i, j] - slope) < 1e-6 and abs(np.reshape(pdf["g"][0], (3, 4))[i, j] - slope) < 1e-6
+    rows = spark.createDataFrame([(k, [float(v) for v in x[k]], int(y[k])) for k in range(6)], "example_id long, features array<double>, label int")
+    for r in FT.score_heads(rows, FT.head_table(spark, w), ["a", "b"]).collect():
+        assert np.allclose(r["logits"], w[r["env"]] @ x[r["example_id"]], atol=1e-12)
+    # the pooled model is where the gradient of the pooled loss vanishes
+    many = spark.createDataFrame([(k, [float(v) for v in rng.normal(size=3)], int(k % 2)) for k in range(200)], "example_id long, features array<double>, label int")
+    model = FT.fit_pooled(many, max_iter=200, reg=0.01)
+    m, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    fx_, fy = np.array([r["features"] for r in many.collect()]), np.array([r["label"] for r in many.collect()])
+    z = fx_ @ m.T + b
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(200), fy] -= 1
+    assert np.abs(p.mean(axis=0)).max() < 1e-3
