@@ -30,7 +30,8 @@ WINDOW = 32  # bytes that the rolling hash sees: as many as it has bits
 MASK = np.uint32(0xFF800000)  # a chunk has 512 bytes on average
 MAX_CHUNK = 4096
 SLICE = 1 << 20  # bytes hashed at once
-CACHE_BYTES = 64 << 20  # content that a worker keeps
+BATCH_ROWS = 256  # documents whose outputs are held at once
+CACHE_BYTES = 32 << 20  # content that a worker keeps
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], dtype=np.uint32)
 
 
@@ -175,8 +176,14 @@ def fill_in_middle(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(_run, f"doc_id {kind}, {FIELDS}")
 
 
-def _run(batches):
+def _parts(batches):
     for b in batches:
+        for at in range(0, b.num_rows, BATCH_ROWS):
+            yield b.slice(at, BATCH_ROWS)
+
+
+def _run(batches):
+    for b in _parts(batches):
         done = [transform(i, raw.as_py(), _CACHE) for i, raw in zip(b.column(0).to_pylist(), b.column(1))]
         n, form, prefix, middle, output = zip(*done) if done else ((),) * 5
         yield pa.RecordBatch.from_arrays([
@@ -190,7 +197,7 @@ def restored(out: DataFrame) -> DataFrame:
     extra = "restored string"
 
     def run(batches):
-        for b in batches:
+        for b in _parts(batches):
             at = {name: b.schema.get_field_index(name) for name in ("output", "form")}
             texts = [restore(o.as_py().encode(), f) for o, f in zip(b.column(at["output"]), b.column(at["form"]).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*b.schema.names, "restored"])
