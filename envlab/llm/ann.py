@@ -131,7 +131,11 @@ INDEX = "dim int, shard int, medoid int, vectors array<array<float>>, ids array<
 
 def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, **options) -> DataFrame:
     """The stored index of (vec_id, embedding): a row per shard with its vectors, their smallest
-    k + 1 ids, edges and medoid. Vectors of different lengths never share a shard."""
+    k + 1 ids, edges and medoid. Vectors of different lengths never share a shard.
+
+    Rows with a NULL id or a vector that is NULL, zero or holds a NULL or non-finite component take no part;
+    repeated rows count once; of a vector that many ids have, k + 1 ids are held however many there are; an
+    empty table gives an empty index; other columns are ignored."""
     v = F.col("embedding").cast("array<float>")
     good = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("embedding")).where(
         usable(F.col("embedding"))
@@ -166,7 +170,8 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, **opti
 def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The ``k`` nearest found of every query (vec_id, embedding): ``query_id, rank int, vec_id,
     score double`` (Euclidean, double precision), ties to the smaller vec_id, never the query's own
-    id. Queries that are not usable give no rows; a query id given twice is one query."""
+    id. Queries that are not usable give no rows; a query given twice is one query; an empty index or no
+    queries give no rows; other columns are ignored."""
     q = queries.where(F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")
     ).where(usable(F.col("q"))).distinct().withColumn("dim", F.size("q"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from envlab.llm.common import store, words_of
+from envlab.llm.common import column, store, words_of
 
 WINDOW = 10
 SHINGLE = 4
@@ -161,7 +161,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """The rows of ``documents``, all columns as they are, that hold no benchmark window."""
     found = contamination(documents, benchmark, window, shingle).where("contaminated")
     # stored, so that the planner knows its size: a small list of rejects is broadcast, a large one is not
-    gone = store(found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "decon-gone")
-    return documents.withColumn("__h", F.xxhash64("text")).join(
-        gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_anti"
-    ).drop("__h")
+    gone = store(found.select(F.col("doc_id").alias("id"), "th").distinct(), "decon-gone")
+    rows = documents.select(F.struct(*[column(c) for c in documents.columns]).alias("row"))
+    kept = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("th")), "left_anti")
+    return kept.select("row.*")

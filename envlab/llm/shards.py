@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from envlab.llm.common import shared_uri
+from envlab.llm.common import column, shared_uri
 
 SEED = 20240917
 ROUNDS = 6
@@ -79,8 +79,7 @@ def number_rows(df: DataFrame, keys: list[str], name: str = "row_number") -> tup
     stored = spark.read.schema(df.schema).parquet(path)
     # one row per written file, so as many as partitions
     files = stored.groupBy(F.col("_metadata.file_name").alias("__file")).agg(F.count(F.lit(1)).alias("__n"))
-    counted = [(r["__file"], r["__n"]) for r in files.orderBy("__file").collect()]
-    total = sum(c for _, c in counted)
+    total = files.agg(F.sum("__n")).first()[0] or 0
     before = files.select(
         "__file",
         (F.sum("__n").over(Window.orderBy("__file")) - F.col("__n")).alias("__before"),
@@ -94,21 +93,22 @@ def number_rows(df: DataFrame, keys: list[str], name: str = "row_number") -> tup
     return numbered, total
 
 
-def shard_rows(docs: DataFrame, shards: int = 16, seed: int = SEED, narrow: bool = False) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
     """Documents with ``size`` (UTF-8 bytes and 1), ``text_crc32``, ``row_number``, ``shard`` and
-    ``slot``; with ``narrow`` only ``doc_id`` and these.
+    ``slot``.
 
     Row numbers follow (doc_id, text_crc32, size), so the result depends on the rows alone. A NULL
     text counts as empty, NULL ids come first, repeated rows take one slot each, an empty table
-    gives no rows, and input columns with the names above are replaced."""
+    gives no rows, and input columns with the names above are replaced; others stay, whatever their
+    names."""
     made = ["size", "text_crc32", "row_number", "shard", "slot"]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    kept = [c for c in docs.columns if c not in made and (c == "doc_id" or not narrow)]
-    rows = docs.select(
-        *kept,
+    kept = [c for c in docs.columns if c not in made]
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    rows = docs.select(F.struct(*[column(c) for c in kept]).alias("row")).select(
+        "row", F.col("row.doc_id").alias("id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
     )
-    numbered, n = number_rows(rows, ["doc_id", "text_crc32", "size"])
+    numbered, n = number_rows(rows, ["id", "text_crc32", "size"])
     shard, slot = locate(F.col("row_number"), n, shards, seed)
-    return numbered.withColumn("shard", shard).withColumn("slot", slot)
+    return numbered.select("row.*", "size", "text_crc32", "row_number", shard.alias("shard"), slot.alias("slot"))

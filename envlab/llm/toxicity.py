@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 1500
+SAMPLE_BYTES = 64 << 20  # bytes of text that training reads on the driver
 BUCKETS = 1 << 18
 CHUNK = 256  # training sequences are cut to this many tokens
 PASSES = 25
@@ -265,9 +266,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` labelled rows of either class that are not held out. Rows with
-    a NULL label or id teach nothing; a doc_id labelled twice counts with its larger label."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Train on at most ``sample`` labelled rows of either class that are not held out, and at most
+    ``sample_bytes`` bytes of text of them, in the order of a hash of the id. Rows with a NULL label or id or
+    an empty text teach nothing; a doc_id labelled twice counts with its larger label. Without labelled rows
+    all scores are near 0."""
     by_id = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(
         "doc_id"
     ).agg(F.max("toxic").alias("__toxic"))
@@ -276,8 +279,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         some = by_id.where(F.col("__toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = some if picked is None else picked.union(some)
     # at most 2 * sample rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
-    got = rows.select("text", "__toxic").collect()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("bytes", F.octet_length("text"))
+    sizes = rows.select("doc_id", "bytes").orderBy(*order).limit(2 * sample).collect()
+    ids, size = [], 0
+    for i, n in sizes:
+        size += n or 0
+        if size > sample_bytes and ids:
+            break
+        ids.append(i)
+    held = docs.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], docs.select("doc_id").schema)
+    got = rows.join(F.broadcast(held), "doc_id").orderBy(*order).limit(2 * sample).select("text", "__toxic").collect()
     return train([r[0] for r in got], [r[1] for r in got])
 
 
@@ -305,8 +317,8 @@ OUT = "score double, spans array<struct<start:int,end:int,p:double>>"
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: ``doc_id, score double, spans`` — runs of tokens whose marginal is at
     least SPAN, as code-point offsets with the run's largest marginal. A NULL, empty or wordless
-    text has no marginals and the score of the logistic at zero; repeated rows are kept; other
-    columns are ignored."""
+    text has no marginals and the score of the logistic at zero; equal texts get equal scores, repeated rows
+    are kept; an empty table gives no rows; other columns are ignored."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = _shared(docs, model)
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
@@ -337,7 +349,8 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
             keep = [model.score(p) < threshold for _, p in _marginals(b.column(at).to_pylist(), model)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may hold dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def toxic_spans(text: str | None, p: np.ndarray) -> list[dict]:

@@ -6,12 +6,15 @@ revisit records. Archives roll over at ``max_bytes``.
 
 Reading: one gzip member per record is inflated step by step (``zlib`` object, fixed read size), a
 record's header block is parsed, its Content-Length frames the block, and block and payload digests
-are recomputed while the bytes pass. No payload is held unless asked for.
+are recomputed while the bytes pass. No payload is held unless asked for. Records of WARC 1.0 and 1.1 of
+any type are read (warcinfo, request, resource, metadata, ...): only an HTTP message has a head before
+its payload, digests may be absent or of another algorithm, record ids may be any.
 """
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from envlab.llm import files
-from envlab.llm.common import shared_uri, store
+from envlab.llm.common import join_first, shared_uri, store
 
 READ_BYTES = 1 << 16
 MAX_BYTES = 1 << 30
@@ -68,11 +71,15 @@ def revisit_member(page_id, url: str | None, payload_digest: str, refers_to) ->
 
 @dataclass
 class Record:
+    """``block_ok`` and ``payload_ok``: whether the digest that the record states is right; None if it states
+    none (or of an unknown algorithm), and for the payload of a revisit, which is not there."""
+
     headers: dict[str, str]
     payload_bytes: int
     payload: bytes | None
-    block_ok: bool
+    block_ok: bool | None
     payload_ok: bool | None
+    payload_sha1: str
     http: bytes = field(repr=False, default=b"")
 
     @property
@@ -80,6 +87,42 @@ class Record:
         return self.headers.get("warc-type", "")
 
 
+class _Digest:
+    """A stated digest, ``<algorithm>:<base 32 or hexadecimal>``, to be compared."""
+
+    def __init__(self, stated: str | None):
+        name, _, self.value = (stated or "").partition(":")
+        name = name.strip().lower().replace("-", "")
+        self.hash = hashlib.new(name) if self.value and name in hashlib.algorithms_available and not name.startswith("shake") else None
+
+    def update(self, part: bytes) -> None:
+        if self.hash is not None:
+            self.hash.update(part)
+
+    def right(self) -> bool | None:
+        if self.hash is None:
+            return None
+        raw, value = self.hash.digest(), self.value.strip()
+        return value.lower() == raw.hex() or value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
+
+
+def _headers(head: bytes) -> dict[str, str]:
+    """Fields of a header block by their lower-cased names; a line that begins with a blank goes on with
+    the one before."""
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise WarcError("no WARC header")
+    out, last = {}, None
+    for x in lines[1:]:
+        if x[:1] in (" ", "\t") and last is not None:
+            out[last] += " " + x.strip()
+            continue
+        k, _, v = x.partition(":")
+        last = k.strip().lower()
+        out[last] = v.strip()
+    return out
+
+
 class _Inflater:
     """Bytes of a file of gzip members, in order; ``read`` stops at the end of a member."""
 
@@ -126,13 +169,16 @@ def read_records(stream, keep_payload: bool = False) -> Iterator[Record]:
         while b"\r\n\r\n" not in src.out and src.more():
             pass
         head, found, src.out = src.out.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
-        if not found or not lines[0].startswith("WARC/"):
+        if not found:
             raise WarcError("no WARC header")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        headers = _headers(head)
+        if not headers.get("content-length", "").isdigit():
+            raise WarcError("no Content-Length")
         left = int(headers["content-length"])
-        block_sha, payload_sha, http, body, n = hashlib.sha1(), hashlib.sha1(), b"", [], 0
-        in_http = True
+        revisit = headers.get("warc-type") == "revisit"
+        block_sha, payload_sha = _Digest(headers.get("warc-block-digest")), _Digest(None if revisit else headers.get("warc-payload-digest"))
+        sha1, http, body, n = hashlib.sha1(), b"", [], 0
+        in_http = headers.get("content-type", "").lower().startswith("application/http")
         while left:
             if not src.out and not src.more():
                 raise WarcError("block shorter than its Content-Length")
@@ -146,6 +192,7 @@ def read_records(stream, keep_payload: bool = False) -> Iterator[Record]:
                     continue
                 http, in_http = head + found, False
             payload_sha.update(part)
+            sha1.update(part)
             n += len(part)
             if keep_payload:
                 body.append(part)
@@ -153,12 +200,9 @@ def read_records(stream, keep_payload: bool = False) -> Iterator[Record]:
             pass
         if src.out != b"\r\n\r\n":
             raise WarcError("record does not end after its block")
-        b32 = lambda h: base64.b32encode(h.digest()).decode()
-        stated = headers.get("warc-payload-digest", "")
         yield Record(
-            headers, n, b"".join(body) if keep_payload else None,
-            headers.get("warc-block-digest") == f"sha1:{b32(block_sha)}",
-            None if headers.get("warc-type") == "revisit" else stated == f"sha1:{b32(payload_sha)}", http,
+            headers, n, b"".join(body) if keep_payload else None, block_sha.right(), payload_sha.right(),
+            base64.b32encode(sha1.digest()).decode(), http,
         )
         if not src.next_member():
             return
@@ -194,7 +238,8 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, max_bytes: int = MAX_BY
             )
 
     built = rows.mapInArrow(members, "page_id long, url string, sha string, member binary")
-    typed = built.join(store(firsts.select("sha", "first"), "warc-firsts"), "sha", "left").select(
+    # a payload of many pages is dealt over several tasks
+    typed = join_first(built, store(firsts, "warc-firsts"), ["sha"], F.col("page_id"), "left").select(
         "page_id", "url", "sha", "member", "first"
     )
     folder = shared_uri(spark, "warc")
@@ -225,31 +270,44 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, max_bytes: int = MAX_BY
     return store(typed.mapInArrow(write, "uri string, n_records long, n_bytes long"), "warc-list")
 
 
-RECORD = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, payload binary"
+RECORD = (
+    "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, payload binary, "
+    "record_id string, refers_to_id string"
+)
+
+
+def _page(record_id: str | None) -> int | None:
+    """The page of a record id that this module's writer made."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", record_id or "")
+    return int(found[1]) if found else None
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     """The records of the listed archives (column ``uri``), one task per archive. Fails on broken
-    framing or a wrong digest. ``payload`` is filled only with ``payloads``; a revisit has none."""
+    framing or a digest that is stated and wrong. ``payload_digest`` is the payload's SHA-1 in base 32, of a
+    revisit as it is stated (or NULL); ``page_id`` and ``refers_to`` are NULL for ids of another kind than the
+    writer's, which are in ``record_id`` and ``refers_to_id``. ``payload`` is filled only with ``payloads``; a
+    revisit has none."""
 
     def read(batches):
         schema = pa.schema([
             ("page_id", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-            ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()),
+            ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("record_id", pa.string()), ("refers_to_id", pa.string()),
         ])
-        number = lambda h: None if h is None or h[len("<urn:page:"):-1] == "null" else int(h[len("<urn:page:"):-1])
         for b in batches:
             for uri in b.column(0).to_pylist():
                 rows, held = [], 0
                 with files.open_stream(uri) as stream:
                     for r in read_records(stream, payloads):
-                        if not r.block_ok or r.payload_ok is False:
-                            raise WarcError(f"digest mismatch in {uri}: {r.headers.get('warc-record-id')}")
                         h = r.headers
+                        if r.block_ok is False or r.payload_ok is False:
+                            raise WarcError(f"digest mismatch in {uri}: {h.get('warc-record-id')}")
+                        again = r.kind == "revisit"
+                        stated = h.get("warc-payload-digest", "")
                         rows.append((
-                            number(h["warc-record-id"]), r.kind, None if r.kind == "revisit" else r.payload_bytes,
-                            h["warc-payload-digest"].removeprefix("sha1:"), number(h.get("warc-refers-to")),
-                            h.get("warc-target-uri"), r.payload if payloads and r.kind != "revisit" else None,
+                            _page(h.get("warc-record-id")), r.kind, None if again else r.payload_bytes,
+                            (stated.removeprefix("sha1:") or None) if again else r.payload_sha1, _page(h.get("warc-refers-to")),
+                            h.get("warc-target-uri"), r.payload if payloads and not again else None, h.get("warc-record-id"), h.get("warc-refers-to"),
                         ))
                         held += len(r.payload or b"") + 200
                         if held > (1 << 23):
@@ -268,5 +326,7 @@ def resolved(records: DataFrame) -> DataFrame:
     its payload digest. The records are stored first: archives are read once, and the planner
     knows the size of what it joins (its guess for records follows the short list of archives)."""
     records = store(records, "warc-records")
-    of = records.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full"))
-    return records.join(of, "payload_digest", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "full")).drop("full")
+    full = F.max(F.when(F.col("record_type") == "response", F.col("payload_bytes")))
+    of = store(records.groupBy("payload_digest").agg(full.alias("full"), F.count(F.lit(1)).alias("n")), "warc-payloads")
+    joined = join_first(records, of, ["payload_digest"], F.monotonically_increasing_id(), "left")
+    return joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "full")).drop("full")

@@ -28,7 +28,7 @@ def test_permutation_is_a_bijection(spark, n):
 def test_shards(spark, docs_of):
     docs = [(i * 31 % 1000, f"text {i} é") for i in range(300)] + [(None, None), (None, ""), (7, "same"), (7, "same"), (8, "x" * 100_000)]
     df = docs_of(docs)
-    rows = shards.shard_rows(df, 16, narrow=True).collect()
+    rows = shards.shard_rows(df, 16).collect()
     assert len(rows) == len(docs)
     counts = Counter(r["shard"] for r in rows)
     assert max(counts.values()) - min(counts.get(k, 0) for k in range(16)) <= 1
@@ -40,7 +40,7 @@ def test_shards(spark, docs_of):
     order = sorted(rows, key=lambda r: r["row_number"])
     assert [r["row_number"] for r in order] == list(range(len(docs)))
     # the same rows in another order and partitioning get the same places
-    other = shards.shard_rows(docs_of(docs[::-1]).repartition(5), 16, narrow=True).collect()
+    other = shards.shard_rows(docs_of(docs[::-1]).repartition(5), 16).collect()
     pick = lambda rs: Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in rs)
     assert pick(other) == pick(rows)
     where = spark.range(len(docs)).select(*shards.locate(F.col("id"), len(docs), 16)).collect()
@@ -104,6 +104,64 @@ def tokenizer_path():
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def plain_record(lines, block, version="WARC/1.0"):
+    head = "\r\n".join([version, *lines, f"Content-Length: {len(block)}"]).encode()
+    return gzip.compress(head + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_warc_reader_takes_archives_of_others(spark, tmp_path):
+    sha = hashlib.sha1(b"<p>hi</p>").hexdigest()
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>hi</p>"
+    records = [
+        (["WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields"], b"software: x\r\n\r\nmore\r\n"),
+        (["warc-type: response", "WARC-Record-ID: <urn:uuid:2>", "Content-Type: application/http; msgtype=response", "WARC-Target-URI: http://a/", " b"], http),
+        (["WARC-Type: request", "WARC-Record-ID: <urn:uuid:3>", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        (["WARC-Type: resource", "WARC-Record-ID: <urn:uuid:4>", "Content-Type: text/plain", f"WARC-Payload-Digest: SHA-1:{sha.upper()}"], b"<p>hi</p>"),
+        (["WARC-Type: metadata", "Content-Type: application/warc-fields", "WARC-Block-Digest: md5:" + hashlib.md5(b"a: b\r\n").hexdigest()], b"a: b\r\n"),
+        (["WARC-Type: conversion", "WARC-Record-ID: <urn:uuid:6>", "WARC-Block-Digest: nosuch:ABC"], b""),
+        (["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:7>", "WARC-Refers-To: <urn:uuid:2>", "Content-Type: application/http", "WARC-Payload-Digest: sha1:AAAA"], b"HTTP/1.1 200 OK\r\n\r\n"),
+    ]
+    data = b"".join(plain_record(*r) for r in records)
+    got = list(warc.read_records(io.BytesIO(data), keep_payload=True))
+    assert [(r.kind, r.payload, r.block_ok, r.payload_ok) for r in got] == [
+        ("warcinfo", records[0][1], None, None), ("response", b"<p>hi</p>", None, None), ("request", b"", None, None),
+        ("resource", b"<p>hi</p>", None, True), ("metadata", b"a: b\r\n", True, None), ("conversion", b"", None, None), ("revisit", b"", None, None),
+    ]
+    assert got[1].headers["warc-target-uri"] == "http://a/ b" and got[1].http.startswith(b"HTTP/1.1 200")
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    listed = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz",)], "uri string")
+    rows = {r["record_id"]: r for r in warc.resolved(warc.read_archives(listed, payloads=True)).collect()}
+    assert len(rows) == 7 and all(r["page_id"] is None for r in rows.values())
+    assert rows["<urn:uuid:7>"]["refers_to_id"] == "<urn:uuid:2>" and rows["<urn:uuid:7>"]["payload_digest"] == "AAAA"
+    assert rows["<urn:uuid:2>"]["payload_digest"] == rows["<urn:uuid:4>"]["payload_digest"] == warc.sha1_32(b"<p>hi</p>")
+    wrong = plain_record(["WARC-Type: resource", "WARC-Block-Digest: sha1:" + "0" * 40], b"x")
+    assert next(warc.read_records(io.BytesIO(wrong))).block_ok is False
+    (tmp_path / "y.warc.gz").write_bytes(wrong)
+    with pytest.raises(Exception, match="digest mismatch"):
+        warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/y.warc.gz",)], "uri string")).collect()
+    with pytest.raises(warc.WarcError):
+        list(warc.read_records(io.BytesIO(gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\n\r\nx\r\n\r\n"))))
+
+
+def test_one_payload_of_many_pages_is_spread(spark, monkeypatch):
+    monkeypatch.setattr("envlab.llm.common.SPREAD_ROWS", 4)
+    df = spark.createDataFrame([(i, "u", None if i % 3 else f"page {i % 5}") for i in range(60)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in warc.resolved(warc.read_archives(warc.write_archives(df))).collect()}
+    first = {}
+    for r in sorted(df.collect(), key=lambda r: r["page_id"]):
+        at = first.setdefault(r["html"] or "", r["page_id"])
+        g = got[r["page_id"]]
+        assert (g["record_type"], g["refers_to"]) == (("response", None) if at == r["page_id"] else ("revisit", at))
+        assert g["payload_bytes"] == len(r["html"] or "")
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, "t" * i, "d", 1, 2) for i in range(9)], "doc_id long, text string, `a.b` string, __at int, __tie int")
+    out = shards.shard_rows(df, 4)
+    assert out.columns == [*df.columns, "size", "text_crc32", "row_number", "shard", "slot"]
+    assert sorted((r["doc_id"], r["a.b"], r["__at"], r["size"]) for r in out.collect()) == [(i, "d", 1, i + 1) for i in range(9)]
+
+
 def test_piecewise_encoding_equals_the_library(spark):
     enc = tokens.Encoder(tokenizer_path())
     texts = [r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
