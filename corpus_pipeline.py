@@ -5,6 +5,13 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns what it keeps,
 which is written as Parquet and read back as the next one's ``docs``. All but the last return the
 columns of ``documents``; the last adds size, text_crc32, row_number, shard and slot.
+
+NULL and empty texts are clean, one group of near-duplicates, uncontaminated and without tokens, so the
+mix leaves them out unless their cell holds other tokens; a NULL doc_id is kept like any other and loses
+to a numbered near-duplicate; repeated rows are near-duplicates, of which one stays; ties go to the
+smaller doc_id, then to the smaller hash of the text; texts are processed whole, whatever their length; an
+empty table gives an empty result; further columns are carried along whatever their names, but size,
+text_crc32, row_number, shard and slot, which the last stage replaces.
 """
 from __future__ import annotations
 
