@@ -3,12 +3,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Tables whose row count is at most this are broadcast; larger ones take a shuffle join.
+# Tables of at most so many rows, and bytes as Parquet, are broadcast; larger ones take a shuffle join.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -113,35 +116,62 @@ def join_small(
 
     ``rows`` is a bound already known on the driver (a parameter table, a vocabulary of a given
     size, a table with one row per group whose groups were counted). Without it ``small`` is
-    persisted and counted (one cheap job). Up to ``max_rows`` rows it is broadcast; beyond that
-    the planner's shuffle join is used, so a table that turns out large never lands whole in
-    every executor.
+    materialised and measured (one cheap job). Up to ``max_rows`` rows and BROADCAST_MAX_BYTES bytes it
+    is broadcast; beyond that the planner's shuffle join is used, so a table that turns out large never
+    lands whole in every executor.
     """
+    size = 0
     if rows is None:
-        small, rows = count_small(small)
-    side = F.broadcast(small) if rows <= max_rows else small
+        small, rows, size = measure(small)
+    side = F.broadcast(small) if rows <= max_rows and size <= BROADCAST_MAX_BYTES else small
     return big.join(side, on, how)
 
 
-# Small derived tables up to this many rows are brought to the driver and re-created as local
-# relations; larger ones are checkpointed to the shared folder instead.
+# Small derived tables up to this many rows of short values are brought to the driver and re-created as
+# local relations; larger ones are stored in the shared folder instead.
 LOCAL_MAX_ROWS = 100_000
+LOCAL_MAX_CHARS = 256  # of a text; arrays may hold a quarter of it
 
 
-def count_small(df: DataFrame, local_max: int = LOCAL_MAX_ROWS) -> tuple[DataFrame, int]:
+def _shortened(field: T.StructField) -> tuple[Column, Column] | None:
+    """A column cut to a bounded size, and whether it was longer; None for types without such a cut."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.substring(c, 1, LOCAL_MAX_CHARS), F.coalesce(F.octet_length(c) > LOCAL_MAX_CHARS, F.lit(False))
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+        most = LOCAL_MAX_CHARS // 4
+        return F.slice(c, 1, most), F.coalesce(F.size(c) > most, F.lit(False))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return None
+    return c, F.lit(False)
+
+
+def measure(df: DataFrame, local_max: int = LOCAL_MAX_ROWS) -> tuple[DataFrame, int, int]:
     """Materialise a small derived table (per-class cut-offs, class ids, ...) and return it with
-    its row count, which is the size check before any broadcast.
+    its rows and bytes, which is the size check before any broadcast.
 
-    One job reads at most ``local_max + 1`` rows. Within that bound the rows become a local
-    relation: no lineage to recompute, nothing cached, nothing lost with an executor. A table
-    beyond the bound is checkpointed to the shared checkpoint folder and counted there."""
+    One job reads at most ``local_max + 1`` rows, every value cut to a bounded size. If nothing was cut off,
+    the rows become a local relation: no lineage to recompute, nothing cached, nothing lost with an
+    executor (its bytes are bounded by that and given as 0). Else the table is stored in the shared folder,
+    and counted and measured there."""
     spark = df.sparkSession
-    rows = df.limit(local_max + 1).collect()
-    if len(rows) <= local_max:
-        return spark.createDataFrame(rows, df.schema), len(rows)
-    ensure_checkpoint_dir(spark)
-    cp = df.checkpoint(eager=True)
-    return cp, cp.count()
+    cuts = [_shortened(f) for f in df.schema]
+    if all(cuts):
+        longer = reduce(lambda a, b: a | b, [x for _, x in cuts], F.lit(False))
+        rows = df.select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cuts)], longer.alias("longer")).limit(local_max + 1).collect()
+        if len(rows) <= local_max and not any(r["longer"] for r in rows):
+            return spark.createDataFrame([tuple(r)[:-1] for r in rows], df.schema), len(rows), 0
+    path = scratch_path(spark, "measured")
+    df.write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return stored, stored.count(), fs.getContentSummary(folder).getLength()
+
+
+def count_small(df: DataFrame, local_max: int = LOCAL_MAX_ROWS) -> tuple[DataFrame, int]:
+    """:func:`measure` without the bytes."""
+    return measure(df, local_max)[:2]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -212,3 +212,20 @@ def test_positions_follow_files_and_rows(spark, tmp_path):
     spark.range(3).select(F.col("id").alias("example_id"), F.lit("t").alias("t"), F.lit("p").alias("profession"), F.lit(0).alias("gender")).write.parquet(f"{tmp_path}/ids")
     with pytest.raises(ValueError):
         read_corpus(spark, {"train": f"{tmp_path}/ids", "test": f"{tmp_path}/test"})
+
+
+def test_small_tables_are_measured_in_bytes(spark, monkeypatch):
+    from envlab import session
+
+    few = spark.createDataFrame([("a", 1, [1.0, 2.0]), (None, None, None)], "k string, n int, v array<double>")
+    df, rows, size = session.measure(few)
+    assert (rows, size) == (2, 0) and df.schema == few.schema and sorted(df.collect(), key=str) == sorted(few.collect(), key=str)
+    for wide in (few.withColumn("k", F.repeat(F.lit("x"), 5000)), few.withColumn("v", F.array_repeat(F.lit(1.0), 999)), few.withColumn("s", F.struct("n"))):
+        df, rows, size = session.measure(wide)
+        assert rows == 2 and size > 0 and sorted(df.collect(), key=str) == sorted(wide.collect(), key=str)
+    assert session.measure(spark.range(50), local_max=10)[1] == 50
+    big = spark.range(100).withColumnRenamed("id", "n")
+    monkeypatch.setattr(session, "BROADCAST_MAX_BYTES", 10)
+    wide = few.where("n = 1").withColumn("k", F.repeat(F.lit("x"), 5000))
+    joined = session.join_small(big, wide, "n")
+    assert joined.count() == 1 and "strategy=broadcast" not in joined._jdf.queryExecution().optimizedPlan().toString()
