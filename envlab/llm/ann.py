@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 
 from envlab.llm.common import store
 
-SHARD_ROWS = 2048
-QUERY_ROWS = 2048
+SHARD_ROWS = 16_384  # a search touches a share of a shard that shrinks as shards grow
+QUERY_ROWS = 16_384
 DEGREE = 28
 BUILD_BEAM = 48
 SEARCH_BEAM = 64
@@ -35,9 +35,9 @@ def _near(x: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("ijk,ijk->ij", diff, diff)
 
 
-def beam_search(x: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best-first search of all queries at once: (ids, squared distances), both (queries, beam),
-    nearest first, padded with -1 and infinity."""
+    nearest first, padded with -1 and infinity, and the number of vectors that each query touched."""
     n, m = len(x), len(q)
     ids = np.full((m, beam), -1, dtype=np.int64)
     dist = np.full((m, beam), np.inf, dtype=np.float32)
@@ -49,7 +49,7 @@ def beam_search(x: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, bea
     while True:
         rows = np.flatnonzero(~done.all(axis=1))
         if not len(rows):
-            return ids, dist
+            return ids, dist, seen.sum(axis=1)
         at = np.argmin(done[rows], axis=1)  # the nearest that is not expanded
         done[rows, at] = True
         near = edges[ids[rows, at]]
@@ -103,7 +103,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
             batch = order[at:at + BATCH]
-            found, _ = beam_search(x, edges, medoid, x[batch], beam)
+            found, _, _ = beam_search(x, edges, medoid, x[batch], beam)
             edges[batch] = robust_prune(x, batch, np.concatenate([found, edges[batch]], axis=1), degree, relax)
             src, dst = np.repeat(batch, degree), edges[batch].ravel()
             src, dst = src[dst >= 0], dst[dst >= 0]
@@ -195,7 +195,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM
         rows = []
         for at in range(0, len(qs), BATCH):
             part = qs[at:at + BATCH]
-            near, _ = beam_search(x, edges, shard["medoid"][0].as_py(), part.astype(np.float32), wide)
+            near, _, _ = beam_search(x, edges, shard["medoid"][0].as_py(), part.astype(np.float32), wide)
             exact = np.sqrt(((x[near].astype(np.float64) - part[:, None, :]) ** 2).sum(axis=2))
             for name, ns, ds in zip(names[at:at + BATCH], near, exact):
                 best = sorted(

@@ -239,6 +239,18 @@ def test_graph_search_recall_and_scores(spark):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def test_graph_search_touches_few_vectors():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(8192, 12)) @ rng.normal(size=(12, 64)) + 0.1 * rng.normal(size=(8192, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    edges, medoid = ann.build_graph(x)
+    q = x[::40]
+    ids, _, touched = ann.beam_search(x, edges, medoid, q, ann.SEARCH_BEAM)
+    true = np.argsort(((x[None] - q[:, None]) ** 2).sum(axis=2), axis=1)[:, :11]
+    recall = np.mean([len(set(a[:11]) & set(b)) / 11 for a, b in zip(ids.tolist(), true.tolist())])
+    assert recall >= 0.9 and touched.mean() < 0.12 * len(x), (recall, touched.mean())
+
+
 def test_graph_search_edges(spark):
     rnd = random.Random(1)
     rows = [(i, [rnd.random() for _ in range(4)]) for i in range(1, 60)]

@@ -293,3 +293,31 @@ def test_toxic_spans_and_filter(spark, docs_of):
     assert flags[1]["h"] is False
     empty = toxicity.fit(df, lab.limit(0))
     assert all(r["score"] < 0.01 for r in toxicity.score_documents(df.limit(5), empty).collect())
+
+
+def test_op7_scores_against_plain_python(spark):
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r for r in queries.op7_toxicity(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        g = got[r["doc_id"]]
+        scores = model.emissions(toxicity.tokens(r["text"]))
+        p = toxicity.chain_marginals([scores], model.trans)[0][0] if len(scores) else scores
+        assert abs(g["score"] - model.score(p)) < 1e-5 and g["predicted"] == int(g["score"] >= 0.7)
+        assert g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_training_sample_is_bounded_in_bytes(spark, docs_of, monkeypatch):
+    docs = docs_of([(i, ("vile " if i % 2 else "fine ") * 50) for i in range(60)])
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append(texts))
+    toxicity.fit(docs, labels)
+    toxicity.fit(docs, labels, sample_bytes=1000)
+    toxicity.fit(docs, labels, sample_bytes=1)
+    assert len(seen[0]) > 30 and [len(x) for x in seen[1:]] == [4, 1] and seen[1] == seen[0][:4]
