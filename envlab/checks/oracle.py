@@ -391,6 +391,7 @@ SQL["curve_summary"] = _EVAL_ROWS + "SELECT lr, step, " + ", ".join(
 # ---------------------------------------------------------------- load, encode, batch
 from envlab.functions.text import NON_WHITESPACE  # noqa: E402
 from envlab.operators.encode import SPECIALS  # noqa: E402
+from envlab.operators.curves import DEFAULT_METRICS  # noqa: E402
 from envlab.plans.registry import ACCUM, BATCH, EPOCHS, EVAL_BATCHES, FIXED_LENGTH  # noqa: E402
 
 _SPECIALS = ", ".join(f"'{s}'" for s in SPECIALS)
@@ -541,3 +542,7 @@ SQL["corpus_positions"] = with_(_BY_POSITION) + """SELECT example_id, profession
 FROM bios WHERE example_id % 7 <> 0"""
 SQL["encoded_content"] = SQL["encoded"]
 SQL["curve_summary_refreshed"] = SQL["curve_summary"]
+SQL["seed_csv"] = SQL["seed_aggregate"]
+SQL["curve_csv"] = f"WITH c AS ({SQL['curve_summary']}) " + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, lr, step, {m} AS mean, {m}_std AS std FROM c" for m in DEFAULT_METRICS
+)

@@ -433,6 +433,29 @@ def q_curve_summary_refreshed(spark, d):
     return s.select("lr", "step", *[r9(F.col(c)).alias(c) for c in s.columns if c not in ("lr", "step")])
 
 
+@query("curve_csv")
+def q_curve_csv(spark, d):
+    """C9 as a job: K6 + T5, one CSV per metric, sorted by (lr, step), read back."""
+    base, out = _eval_logs_dir(spark, d), scratch_path(spark, "plots")
+    curve_job(spark, base, out)
+    rows = None
+    for m in CV.DEFAULT_METRICS:
+        back = spark.read.schema("lr double, step long, mean double, std double").option("header", True).csv(f"{out}/summary_{m}")
+        x = back.select(F.lit(m).alias("metric"), "lr", "step", r9(F.col("mean")).alias("mean"), r9(F.col("std")).alias("std"))
+        rows = x if rows is None else rows.unionByName(x)
+    return rows
+
+
+@query("seed_csv")
+def q_seed_csv(spark, d):
+    """C8 as a job: K5, the sorted seed aggregate as CSV, read back."""
+    out = scratch_path(spark, "seeds")
+    seed_job(_history(spark, d), METRIC, out)
+    schema = f"algo string, lr string, model long, n_seeds long, mean_{METRIC} double, std_{METRIC} double"
+    back = spark.read.schema(schema).option("header", True).csv(out)
+    return back.select("algo", "lr", "model", "n_seeds", *[r9(F.col(c)).alias(c) for c in back.columns[4:]])
+
+
 @query("ragged_logs")
 def q_ragged_logs(spark, d):
     """S5 + S6: all discovered eval rows by column name, lr from the path, NaN as missing."""
@@ -727,7 +750,7 @@ def q_eval_stream_parts(spark, d):
 
 
 # ---------------------------------------------------------------- sinks and the corpus reader, written and read back
-from envlab.plans.jobs import map_batches  # noqa: E402
+from envlab.plans.jobs import curve_job, map_batches, seed_job  # noqa: E402
 from envlab.sinks.files import write_csv_report, write_encoded, write_head_snapshots, write_pooled_tsv, write_val_tsv  # noqa: E402
 from envlab.sources.corpus import at_positions, read_corpus  # noqa: E402
 from envlab.sources.tsv import read_pooled  # noqa: E402
