@@ -17,7 +17,7 @@ from envlab.plans.registry import QUERIES  # noqa: E402
 from envlab.session import get_session  # noqa: E402
 
 HEADLINE = ["support_report", "corpus_a", "corpus_b", "encoded", "eval_report", "head_js", "heads_compact",
-            "seed_aggregate", "curve_summary", "loss_moving_avg"]
+            "seed_aggregate", "curve_summary", "loss_moving_avg", "padded", "eval_by_step"]
 OPS = ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct",
        "Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange SinglePartition", "Exchange RoundRobin",
        "Window", "HashAggregate", "ObjectHashAggregate", "SortAggregate", "TakeOrderedAndProject", "Generate",
