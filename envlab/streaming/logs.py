@@ -27,7 +27,12 @@ from envlab.sources.logs import HEADS_COLUMNS
 
 TRAIN_SCHEMA = "run long, step long, train_loss double"
 MA_SCHEMA = "run long, step long, train_loss double, train_loss_moving_avg double, n_late long"
-MA_STATE = "buf array<double>, last long, seen long, steps array<long>, losses array<double>, late long"
+# of the runs of a group, by place
+MA_STATE = (
+    "runs array<long>, buf array<array<double>>, last array<long>, seen array<long>, steps array<array<long>>,"
+    " losses array<array<double>>, late array<long>"
+)
+STATE_GROUPS = 1024  # states that the runs of a stream share
 LATENESS = 10_000  # steps that a row may come after later ones
 
 
@@ -67,30 +72,52 @@ def in_order(steps: np.ndarray, losses: np.ndarray, last: int | None, seen: int
 
 
 def _moving_avg_state(window: int, lateness: int, stride: int):
+    def one(held: tuple, new_steps: np.ndarray, new_losses: np.ndarray):
+        """A run's new state and what it emits: steps, losses, means and numbers of late rows."""
+        buf, last, seen, steps, losses, late = held
+        steps = np.concatenate([np.array(steps, dtype="int64"), new_steps])
+        losses = np.concatenate([np.array(losses, dtype="float64"), new_losses])
+        out, wait, missed, last, seen = in_order(steps, losses, last, seen, lateness, stride)
+        full = np.concatenate([np.asarray(list(buf), dtype="float64"), losses[out]])
+        means = window_means(full, window)[len(buf):]
+        keep = full[-(window - 1):].tolist() if window > 1 else []
+        rows = [*out, *missed]
+        numbers = np.concatenate([np.zeros(len(out), dtype="int64"), late + 1 + np.arange(len(missed), dtype="int64")])
+        after = (keep, last, seen, steps[wait].tolist(), losses[wait].tolist(), late + len(missed))
+        return after, steps[rows], losses[rows], np.concatenate([means, np.full(len(missed), np.nan)]), numbers
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buf, last, seen, steps, losses, late = state.get if state.exists else ([], None, None, [], [], 0)
         parts = [p for p in pdfs if len(p)]
         if not parts:
             return
+        runs = {}
+        if state.exists:
+            names, *fields = state.get
+            runs = dict(zip(names, zip(*fields)))
         pdf = pd.concat(parts)
-        steps = np.concatenate([np.array(steps, dtype="int64"), pdf["step"].to_numpy(dtype="int64")])
-        losses = np.concatenate([np.array(losses, dtype="float64"), pdf["train_loss"].to_numpy(dtype="float64")])
-        out, held, missed, last, seen = in_order(steps, losses, last, seen, lateness, stride)
-        full = np.concatenate([np.asarray(list(buf), dtype="float64"), losses[out]])
-        means = window_means(full, window)[len(buf):]
-        keep = full[-(window - 1):].tolist() if window > 1 else []
-        state.update((keep, last, seen, steps[held].tolist(), losses[held].tolist(), late + len(missed)))
-        rows = [*out, *missed]
+        run, none = pdf["run"].to_numpy(dtype="int64"), pdf["none"].to_numpy(dtype=bool)
+        order = np.lexsort((run, none))
+        run, none = run[order], none[order]
+        steps, losses = pdf["step"].to_numpy(dtype="int64")[order], pdf["train_loss"].to_numpy(dtype="float64")[order]
+        edges = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (none[1:] != none[:-1]), [True]]))
+        done = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            name = None if none[a] else int(run[a])
+            runs[name], *emitted = one(runs.get(name, ([], None, None, [], [], 0)), steps[a:b], losses[a:b])
+            done.append((a, *emitted))
+        state.update((list(runs), *map(list, zip(*runs.values()))))
+        of = np.repeat([d[0] for d in done], [len(d[1]) for d in done])
         yield pd.DataFrame({
-            "run": key[0], "step": steps[rows], "train_loss": losses[rows],
-            "train_loss_moving_avg": np.concatenate([means, np.full(len(missed), np.nan)]),
-            "n_late": np.concatenate([np.zeros(len(out), dtype="int64"), late + 1 + np.arange(len(missed), dtype="int64")]),
+            "run": pd.arrays.IntegerArray(run[of], none[of]), "step": np.concatenate([d[1] for d in done]),
+            "train_loss": np.concatenate([d[2] for d in done]),
+            "train_loss_moving_avg": np.concatenate([d[3] for d in done]), "n_late": np.concatenate([d[4] for d in done]),
         })
 
     return fn
 
 
-def moving_average_stream(source: DataFrame, window: int = WINDOW, lateness: int = LATENESS, stride: int = 1) -> DataFrame:
+def moving_average_stream(source: DataFrame, window: int = WINDOW, lateness: int = LATENESS, stride: int = 1,
+                          groups: int = STATE_GROUPS) -> DataFrame:
     """X2 on a streaming DataFrame of (run, step, train_loss): ``train_loss_moving_avg`` over the last
     ``window`` rows in the order of steps, whatever order they come in.
 
@@ -99,8 +126,13 @@ def moving_average_stream(source: DataFrame, window: int = WINDOW, lateness: int
     equals the batch's for any order of arrival within ``lateness``. A row that comes after its successors
     have gone out has no average (NULL) and ``n_late``, its number among the run's late rows; rows in time
     have ``n_late`` 0. A run's state holds the last ``window - 1`` losses and the rows of less than
-    ``lateness`` steps that wait."""
-    return source.groupBy("run").applyInPandasWithState(
+    ``lateness`` steps that wait. Runs share ``groups`` states by their hash, so a micro-batch calls Python
+    once per group and not once per run."""
+    none = F.col("run").isNull()
+    rows = source.select(
+        F.pmod(F.xxhash64("run"), F.lit(int(groups))).alias("grp"), F.coalesce("run", F.lit(0)).alias("run"), none.alias("none"), "step", "train_loss",
+    )
+    return rows.groupBy("grp").applyInPandasWithState(
         _moving_avg_state(window, lateness, stride), MA_SCHEMA, MA_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
