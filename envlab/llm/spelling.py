@@ -35,7 +35,8 @@ RATIO = 10  # a form occurs at least so many times as often
 GROUP = 256  # words of a key that are compared as they are
 BLOCK = 64  # rows of a matrix block
 TILES = 512  # pairs of blocks compared at once
-MEMO_WORDS = 400_000  # distinct words a task counts before it hands them on
+MEMO_WORDS = 150_000  # distinct words a task counts before it hands them on
+SLICE_WORDS = 100_000  # words of groups that a task lays out at once
 
 
 def misspelt(word: str, crc: int, noise: int) -> str:
@@ -186,10 +187,20 @@ def near_pairs(words: list[str], group: np.ndarray, m: int, lo: np.ndarray, hi:
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def _slices(batch: pa.RecordBatch, most: int):
+    """``batch`` cut into runs of whole groups that hold at most ``most`` words in all, or one group."""
+    ends = np.cumsum(np.diff(batch.column(3).offsets.to_numpy()).astype(np.int64))
+    at, before = 0, 0
+    while at < len(ends):
+        to = max(int(np.searchsorted(ends, before + most, side="right")), at + 1)
+        yield batch.slice(at, to - at)
+        at, before = to, ends[to - 1]
+
+
 def _compare(batches):
     """Per word of a batch of groups: near words met there and the best of them (most frequent, then
     first in code-point order)."""
-    for b in batches:
+    for b in (part for whole in batches for part in _slices(whole, SLICE_WORDS)):
         m, lo, hi = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         lists = b.column(3)
         sizes = np.diff(lists.offsets.to_numpy())
