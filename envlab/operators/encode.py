@@ -27,6 +27,8 @@ SPECIALS = (PAD, UNK, CLS, SEP, PREFIX_GROUP0, PREFIX_GROUP1)
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
 # words that every task holds, the most frequent first, and the longest of them: some 10 MB at most
 DICTIONARY_WORDS, DICTIONARY_CHARS = 100_000, 64
+# words that a task codes at once, but for one longer row: some tens of MB of arrays
+SLICE_WORDS = 1 << 19
 
 
 def max_seq_length(requested: int | None, model_max: int | None = None) -> int | None:
@@ -61,12 +63,22 @@ def build_vocab(texts: DataFrame, size: int | None = None, text_col: str = "text
     return sp.unionByName(words)
 
 
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` cut into runs of rows whose last column, lists, holds at most ``most`` values in all, or one row."""
+    ends = np.cumsum(pc.list_value_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < len(ends):
+        to = max(int(np.searchsorted(ends, before + most, side="right")), at + 1)
+        yield batch.slice(at, to - at)
+        at, before = to, ends[to - 1]
+
+
 def _coder(words: Broadcast, unknown: int | None):
     """Tasks' side of :func:`encode`: the last column, words, becomes ``input_ids``. A word outside the
     dictionary is ``unknown``, or else minus its place (from 1) in ``rare``, the row's distinct such words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids = words.value
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole, SLICE_WORDS)):
             lists = b.column(b.num_columns - 1)
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = lists.flatten()
