@@ -21,7 +21,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,9 @@ from envlab.llm.common import shared_uri, store
 END_ID = 2
 GROUP_KEYS = 2048  # keys a group holds on average
 BUCKET_KEYS = 4  # keys a bucket holds on average
-MEMO_WORDS = 600_000  # some 150 MB
-MEMO_PIECES = 600_000  # some 120 MB
+# newest entries of a memo; as many older ones are kept beside them
+MEMO_WORDS = 600_000  # some 280 MB with the older ones
+MEMO_PIECES = 100_000  # some 40 MB with the older ones
 # beyond Latin, Greek and Cyrillic, two libraries' character tables might be of different age
 FAR = "[^\x00-\u04ff]"
 # the byte-level pre-tokenizer's published pattern (fixed value), its classes spelt for U+0000 to U+04FF
@@ -59,6 +60,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
+class _Memo(dict):
+    """Values of ``make`` by key, each made when it is first asked for. When there are ``most``, they become the
+    older ones in place of those before, from which a key that is asked for again comes back."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Ids of texts, as little-endian bytes of ``width`` bytes an id, by the tokenizers library.
     The memo is used where the file's model is a byte-level BPE whose pieces are independent (no
@@ -76,11 +96,12 @@ class Encoder:
             and not spec.get("normalizer") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
         )
         self.width = 4 if self.library.get_vocab_size() > 1 << 16 else 2
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}  # of words with a blank before them, which the key lacks
+        self.pieces = _Memo(self._piece, MEMO_PIECES)
+        self.words = _Memo(self._word, MEMO_WORDS)  # of words with a blank before them, which the key lacks
         self.find = re.compile(PIECES).findall
         self.cut, self.no_cut = re.compile(CUT).split, re.compile(NO_CUT).search
         self.letters = _byte_letters()
+        self.blank = self.letters[0x20]
         self.merge = self.library.model.tokenize
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.far = re.compile(FAR).search
@@ -98,16 +119,14 @@ class Encoder:
             spelt = piece.encode().decode("latin-1").translate(self.letters)
         return self.packed([t.id for t in self.merge(spelt)])
 
-    def _cut_word(self, word: str) -> bytes:
-        known, out = self.pieces, []
-        for p in self.find(word):
-            ids = known.get(p)
-            if ids is None:
-                if len(known) >= MEMO_PIECES:
-                    known.clear()
-                ids = known[p] = self._piece(p)
-            out.append(ids)
-        return b"".join(out)
+    def _word(self, word: str) -> bytes:
+        """Ids of a word with a blank before it. What it begins with is a word as well, often a known one."""
+        if word.isascii() and word.isalpha():
+            return self.packed([t.id for t in self.merge(self.blank + word)])
+        pieces = self.find(" " + word)
+        if len(pieces) == 1:
+            return self._piece(pieces[0])
+        return self.words[pieces[0][1:]] + b"".join(map(self.pieces.__getitem__, pieces[1:]))
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
@@ -116,17 +135,9 @@ class Encoder:
         if not self.by_piece or self.far(text) or any(a in text for a in self.added):
             return self._whole(text)
         words = self.cut(text) if self.no_cut(text) else text.split(" ")
-        first = self._cut_word(words[0])  # no blank before it
+        first = b"".join(map(self.pieces.__getitem__, self.find(words[0])))  # no blank before it
         del words[0]
-        known = self.words
-        parts = list(map(known.get, words))
-        if None in parts:
-            if len(known) >= MEMO_WORDS:
-                known.clear()
-            for w in {w for w, ids in zip(words, parts) if ids is None}:
-                known[w] = self._cut_word(" " + w)
-            parts = [known[w] if ids is None else ids for w, ids in zip(words, parts)]
-        return first + b"".join(parts)
+        return first + b"".join(map(self.words.__getitem__, words))
 
 
 _ENCODERS: dict[str, Encoder] = {}  # a worker process keeps its encoder over tasks

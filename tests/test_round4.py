@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from envlab.functions.text import PREFIX_GROUP0, tokens
+from envlab.llm import tokens as TK
 from envlab.operators import encode as EN
 
 TEXTS = ["The cat\tthe CAT", None, "", "  \x0b lead tail \n", "a\x1cB\x1d\x1eC\x1f", f"{PREFIX_GROUP0} <aaa> [SEP] [sep] [Sep]", "ΟΔΟΣ ΣΑΣ Σ ΑΣ'Α İx K",
@@ -61,3 +62,16 @@ def test_a_word_leaves_a_block_once(monkeypatch):
     assert [(r["_block"] - (3 << 32), r["_from"], r["_rare"]) for r in out] == [
         (0, 0, None), (0, 0, ["x", "y"]), (0, 2, None), (0, 2, ["z", "w"]), (1, 0, ["x", "y", "v"])]
     assert [r["input_ids"] for r in out] == [[2, 7, -1, -2, 3], [2, -2, -1, 7, 3], [2, -1, -3, 3], [2, -3, -4, 3], [2, -1, -2, -3, -1, 3]]
+
+
+def test_words_in_use_stay_in_a_full_memo_and_lend_their_pieces(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(TK, "MEMO_WORDS", 6)
+    monkeypatch.setattr(TK, "MEMO_PIECES", 6)
+    enc = TK.Encoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    merged, merge = [], enc.merge
+    monkeypatch.setattr(enc, "merge", lambda w: merged.append(w) or merge(w))
+    for text in ("x the cat sat, on", "x the hat", "x the mat the, 'll a1 \u0436\u0436.", "x the dog", "x the fox the."):
+        assert enc.encode(text) == enc._whole(text)
+    assert merged.count("\u0120the") == 1 and merged.count("\u0120sat") == 1
