@@ -11,7 +11,9 @@ and a foreign key is told by its fingerprint.
 Encoding is the tokenizers library's. A worker remembers the ids of what it has seen: the library's
 byte-level pre-tokenizer cuts a text into pieces that are merged on their own, so a text's ids are its
 pieces' ids in turn. A blank before a character that is none begins a piece, so a text is first cut
-there, into words with what is attached to them, and only new words are cut into pieces. Texts that
+there, into words with what is attached to them, and only new words are cut into pieces. Arrow cuts and
+numbers the words of many texts at once, so that each distinct word is looked up once. New words of
+letters are merged many at a time where no token of the vocabulary goes on over a blank. Texts that
 hold an added token's string go to the library whole.
 """
 from __future__ import annotations
@@ -19,12 +21,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +40,11 @@ from envlab.llm.common import shared_uri, store
 END_ID = 2
 GROUP_KEYS = 2048  # keys a group holds on average
 BUCKET_KEYS = 4  # keys a bucket holds on average
-# newest entries of a memo; as many older ones are kept beside them
-MEMO_WORDS = 600_000  # some 280 MB with the older ones
-MEMO_PIECES = 100_000  # some 40 MB with the older ones
+MEMO_WORDS = 800_000  # newest words of the memo; the older ones of letters alone are kept beside them; some 280 MB in all
+MEMO_PIECES = 100_000  # some 20 MB
+SLICE_BYTES = 16 << 20  # text whose words are looked up at once
+JOINED_WORDS = 32  # words of letters that are merged at once
+MARKS = string.punctuation.replace("'", "")  # a run of these is a piece; an apostrophe may begin one with letters
 # beyond Latin, Greek and Cyrillic, two libraries' character tables might be of different age
 FAR = "[^\x00-\u04ff]"
 # the byte-level pre-tokenizer's published pattern (fixed value), its classes spelt for U+0000 to U+04FF
@@ -48,8 +54,11 @@ PIECES = (
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?(?:[^\w{_SPACE}]|_)+"
     rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
-# a blank that begins a piece, and a blank that begins none
-CUT, NO_CUT = rf" (?=[^{_SPACE}])", rf" (?:[{_SPACE}]|$)"
+CUT = rf" (?=[^{_SPACE}])"  # a blank that begins a piece
+# Arrow's pattern of texts with a far character, or a blank that begins no piece
+ALONE = r"[^\x{0}-\x{4ff}]| [\t-\r \x{85}\x{a0}]| \z"
+# in the others a blank put before other spaces that follow something begins no piece either, and is told by that
+TO_CUT = (r"([^\t-\r \x{85}\x{a0}])([\t-\r\x{85}\x{a0}])", r"\1 \2")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -61,21 +70,16 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """Values of ``make`` by key, each made when it is first asked for. When there are ``most``, they become the
-    older ones in place of those before, from which a key that is asked for again comes back."""
+    """Values of ``make`` by key, each made when it is first asked for; all are dropped when there are ``most``."""
 
     def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
-        self.make, self.most, self.older = make, most, {}
+        self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
         if len(self) >= self.most:
-            self.older = dict(self)
             self.clear()
-        self[key] = value
+        value = self[key] = self.make(key)
         return value
 
 
@@ -95,49 +99,166 @@ class Encoder:
             pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
             and not spec.get("normalizer") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
         )
+        vocabulary = self.library.get_vocab()
         self.width = 4 if self.library.get_vocab_size() > 1 << 16 else 2
         self.pieces = _Memo(self._piece, MEMO_PIECES)
-        self.words = _Memo(self._word, MEMO_WORDS)  # of words with a blank before them, which the key lacks
+        # of words with a blank before them, which the key lacks, or with a space of their own
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.most = MEMO_WORDS
         self.find = re.compile(PIECES).findall
-        self.cut, self.no_cut = re.compile(CUT).split, re.compile(NO_CUT).search
+        self.cut, self.space = re.compile(CUT).split, re.compile(f"[{_SPACE}]").match
         self.letters = _byte_letters()
         self.blank = self.letters[0x20]
         self.merge = self.library.model.tokenize
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.far = re.compile(FAR).search
         self.code = "H" if self.width == 2 else "I"
+        # where no token goes on over a blank, words are merged many at a time: a token that begins with one begins a word
+        self.joined = not any(map(self._joins, vocabulary))
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(self.blank)]] = True
+
+    def _joins(self, token: str) -> bool:
+        """Whether a token goes on over a blank and may lie in letters and blanks: it has no other whole character."""
+        if self.blank not in token.lstrip(self.blank):
+            return False
+        of = {c: b for b, c in self.letters.items()}
+        return all(c == " " or c.isalpha() for c in bytes(of[c] for c in token if c in of).decode("utf-8", "ignore"))
 
     def _whole(self, text: str) -> bytes:
         return self.packed(self.library.encode(text, add_special_tokens=False).ids)
 
+    def _spelt(self, text: str) -> str:
+        """A text's bytes as Latin-1 characters, then as the vocabulary's letters; of printable ASCII only the
+        blank has another letter."""
+        if text.isascii() and text.isprintable():
+            return text.replace(" ", self.blank)
+        return text.encode().decode("latin-1").translate(self.letters)
+
     def _piece(self, piece: str) -> bytes:
-        """Ids of a piece, merged by the library's model: its bytes as Latin-1 characters, then as the
-        vocabulary's letters; of printable ASCII only the blank has another letter."""
-        if piece.isascii() and piece.isprintable():
-            spelt = piece.replace(" ", self.letters[0x20])
-        else:
-            spelt = piece.encode().decode("latin-1").translate(self.letters)
-        return self.packed([t.id for t in self.merge(spelt)])
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a word with a blank before it. What it begins with is a word as well, often a known one."""
-        if word.isascii() and word.isalpha():
-            return self.packed([t.id for t in self.merge(self.blank + word)])
-        pieces = self.find(" " + word)
-        if len(pieces) == 1:
-            return self._piece(pieces[0])
-        return self.words[pieces[0][1:]] + b"".join(map(self.pieces.__getitem__, pieces[1:]))
+        """Ids of a piece, merged by the library's model."""
+        return self.packed([t.id for t in self.merge(self._spelt(piece))])
+
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, each with a blank before it."""
+        if not self.joined:
+            return [self._piece(" " + s) for s in stems]
+        found = []
+        for k in range(0, len(stems), JOINED_WORDS):
+            ids = np.array([t.id for t in self.merge(self._spelt(" " + " ".join(stems[k:k + JOINED_WORDS])))], dtype=f"<u{self.width}")
+            edges = (np.flatnonzero(self.begins[ids]) * self.width).tolist()
+            packed = ids.tobytes()
+            found += [packed[i:j] for i, j in zip(edges, [*edges[1:], len(packed)])]
+        return found
+
+    def _learn(self, missing: list[str]) -> None:
+        """Put words into the memo. A word is often one of letters with marks behind it, which are a piece; other
+        words are cut into pieces, of which the first is a word as well."""
+        words, older = self.words, self.older
+        new, made = {}, []
+        for word in missing:
+            value = older.get(word)
+            if value is not None:
+                words[word] = value
+                continue
+            if word.isalpha():
+                new[word] = None
+                continue
+            stem = word.rstrip(MARKS)
+            if stem.isalpha():
+                rest = [word[len(stem):]]
+            elif self.space(word):
+                words[word] = self._first(word)
+                continue
+            else:
+                first, *rest = self.find(" " + word)
+                stem = first[1:]
+            if stem not in words and stem not in new:
+                value = older.get(stem)
+                if value is not None:
+                    words[stem] = value
+                elif stem.isalpha():
+                    new[stem] = None
+                else:
+                    words[stem] = self._piece(first)
+            if rest:
+                made.append((word, stem, rest))
+        words.update(zip(new, self._stems(list(new))))
+        for word, stem, rest in made:
+            words[word] = words[stem] + b"".join(map(self.pieces.__getitem__, rest))
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words, none empty, each with a blank before it unless it begins with a space."""
+        found = list(map(self.words.get, words))
+        at = [k for k, ids in enumerate(found) if ids is None]
+        self._learn([words[k] for k in at])
+        for k in at:
+            found[k] = self.words[words[k]]
+        if len(self.words) >= self.most:  # what was merged becomes the older ones, from which a word in use comes back
+            self.words, self.older = {}, {w: ids for w, ids in self.words.items() if w.isalpha()}
+        return found
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
+    def _first(self, word: str) -> bytes:
+        """Ids of a word with no blank before it."""
+        return b"".join(map(self.pieces.__getitem__, self.find(word)))
+
     def encode(self, text: str) -> bytes:
-        if not self.by_piece or self.far(text) or any(a in text for a in self.added):
+        if not self.by_piece or any(a in text for a in self.added) or not text.isascii() and self.far(text):
             return self._whole(text)
-        words = self.cut(text) if self.no_cut(text) else text.split(" ")
-        first = b"".join(map(self.pieces.__getitem__, self.find(words[0])))  # no blank before it
-        del words[0]
-        return first + b"".join(map(self.words.__getitem__, words))
+        first, *words = self.cut(text)
+        return self._first(first) + b"".join(self.word_ids(words))
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """``encode`` of every text of a string column without nulls, in order, some SLICE_BYTES of text at once."""
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield from self._slice(texts.slice(at, stop - at))
+            at = stop
+
+    def _slice(self, texts: pa.Array) -> Iterator[bytes]:
+        """Words of the texts that blanks and other spaces cut are looked up once per slice; the ids of a text are gathered
+        from those of the slice's distinct words. Other texts are encoded by themselves."""
+        if not self.by_piece:
+            yield from map(self._whole, texts.to_pylist())
+            return
+        alone = pc.match_substring_regex(texts, ALONE)
+        for a in self.added:
+            alone = pc.or_(alone, pc.match_substring(texts, a))
+        lists = pc.split_pattern(pc.replace_substring_regex(texts.filter(pc.invert(alone)), *TO_CUT), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, of = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        firsts = of[edges[:-1]]  # these have no blank before them: they get ids of their own, behind the others'
+        of[edges[:-1]] = np.arange(len(words), len(words) + len(firsts))
+        used = np.zeros(len(words) + len(firsts), dtype=bool)
+        used[of] = True
+        known = iter(self.word_ids([w for w, u in zip(words, used.tolist()) if u]))
+        ids = [next(known) if u else b"" for u in used[:len(words)].tolist()]
+        ids += [self._first(words[k]) for k in firsts.tolist()]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.width
+        pool = np.frombuffer(b"".join(ids), dtype=f"<u{self.width}")
+        each = sizes[of]
+        number = np.int32 if max(int(each.sum()), len(pool)) < 1 << 31 else np.int64
+        ends = np.cumsum(each, dtype=number)
+        places = np.repeat((np.cumsum(sizes) - sizes)[of].astype(number) - ends + each.astype(number), each)
+        places += np.arange(len(places), dtype=number)
+        gathered = pool[places].tobytes()
+        del places, lists, coded
+        bounds = iter((np.concatenate([[0], ends]).astype(np.int64)[edges] * self.width).tolist())
+        begin = next(bounds)
+        for k, by_itself in enumerate(alone.to_pylist()):
+            if by_itself:
+                yield self.encode(texts[k].as_py())
+            else:
+                end = next(bounds)
+                yield gathered[begin:end]
+                begin = end
 
 
 _ENCODERS: dict[str, Encoder] = {}  # a worker process keeps its encoder over tasks
@@ -177,13 +298,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
                 enc = encoder(tokenizer_path)
                 end = enc.packed([end_id])
             entries = []
-            for i, text, file in zip(b.column(0).to_pylist(), (t.as_py() for t in b.column(1)), b.column(2).to_pylist()):
+            for i, ids, file in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1)), b.column(2).to_pylist()):
                 out = out or files.Appender(folder, f"ids-{file:06d}", ".bin")
                 copy = copy + 1 if not none and i == last else 0
                 last, none = i, False
-                ids = enc.encode(text) + end
-                out.write(ids)
-                n = len(ids) // enc.width
+                out.write(ids + end)
+                n = len(ids) // enc.width + 1
                 entries.append({"doc_id": i, "copy": copy, "file": file, "uri": out.uri, "at": at, "n_tokens": n, "width": enc.width})
                 at += n
             yield pa.RecordBatch.from_pylist(entries, schema=schema)

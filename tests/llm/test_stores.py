@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +172,26 @@ def test_piecewise_encoding_equals_the_library(spark):
     assert enc.by_piece and enc.width == 2
 
 
+def test_slices_of_texts_equal_the_library_and_merge_words_together(monkeypatch):
+    texts = ["", " ", "one two", "two one, two.\nOne", "a\n\nb\n\n c", "\nx y\tz", "tail ", "two  blanks", "x \n y", "中 two", "a<|endoftext|> b", "it's 'two' ... _1", "nb\xa0sp \xa0\xa0 à \x85", "é è Σ ж à", "one"]
+    enc = tokens.Encoder(tokenizer_path())
+    want = [enc._whole(t) for t in texts]
+    for size in (1, 30, 1 << 24):
+        monkeypatch.setattr(tokens, "SLICE_BYTES", size)
+        assert list(enc.encode_all(pa.array(texts))) == want
+    assert list(enc.encode_all(pa.array([], pa.string()))) == []
+    enc.most = 3  # the memo is full all the time
+    assert list(enc.encode_all(pa.array(texts))) == want
+    enc, calls = tokens.Encoder(tokenizer_path()), []
+    merge = enc.merge
+    enc.merge = lambda spelt: calls.append(spelt) or merge(spelt)
+    letters = "abcdefghijklmnopqrst"
+    words = [a + b + c for a in letters for b in letters for c in "xyz"]  # 1,200
+    new = ["x " + " ".join(words), "y " + ", ".join(words)]
+    assert list(enc.encode_all(pa.array(new))) == [enc._whole(t) for t in new] and len(calls) < 100
+    assert not enc._joins("ĠÂłĠÂł") and enc._joins("oĠt")  # a no-break space is no letter
+
+
 def test_token_files_match_brute_force(spark):
     lib = tokens.Encoder(tokenizer_path()).library
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
