@@ -65,7 +65,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     big = max(np.abs(a).max(initial=0), 1.0) * max(np.abs(b).max(initial=0), 1.0) * max(a.shape[1], 1)
     if big < EXACT:
         return np.rint(a @ b.T).astype(np.int64)
-    if big >= LARGEST:
+    if big >= LARGEST and not (np.abs(a) @ np.abs(b).T).max(initial=0) < LARGEST:
         raise OverflowError("an inner product does not fit in a long")
     return a.astype(np.int64) @ b.astype(np.int64).T
 

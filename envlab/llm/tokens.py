@@ -44,6 +44,7 @@ MEMO_WORDS = 800_000  # newest words of the memo; the older ones of letters alon
 MEMO_PIECES = 100_000  # some 20 MB
 SLICE_BYTES = 16 << 20  # text whose words are looked up at once
 JOINED_WORDS = 32  # words of letters that are merged at once
+LEAD = 32  # characters of a text that order rows of one id over files; more of them would be sampled to the driver
 MARKS = string.punctuation.replace("'", "")  # a run of these is a piece; an apostrophe may begin one with letters
 # beyond Latin, Greek and Cyrillic, two libraries' character tables might be of different age
 FAR = "[^\x00-\u04ff]"
@@ -280,14 +281,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
     the file), n_tokens, width (bytes an id), start (ids of all documents before it)``.
 
     A NULL text is empty (its ids are the end id alone); NULL ids come first; rows with equal ids
-    are ordered by the hash of the text and numbered by ``copy``; an empty table writes no file; other
-    columns are ignored. Rows with equal ids may lie in several files, equal rows lie in one."""
+    are ordered by the text and numbered by ``copy``; an empty table writes no file; other columns are
+    ignored. Rows with equal ids may lie in several files, those whose texts begin alike lie in one."""
     spark = docs.sparkSession
     folder = shared_uri(spark, "tokens")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .withColumn("h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+        .withColumn("lead", F.substring("text", 1, LEAD)).repartitionByRange(parts, "doc_id", "lead").sortWithinPartitions("doc_id", "text")
         .select("doc_id", "text", F.spark_partition_id().cast("long").alias("file"))
     )
 
