@@ -32,6 +32,7 @@ MA_STATE = (
     "runs array<long>, buf array<array<double>>, last array<long>, seen array<long>, steps array<array<long>>,"
     " losses array<array<double>>, late array<long>"
 )
+MA_BLOCK_STATE = f"{MA_STATE}, blocks array<long>"
 STATE_GROUPS = 1024  # states that the runs of a stream share
 LATENESS = 10_000  # steps that a row may come after later ones
 
@@ -71,9 +72,10 @@ def in_order(steps: np.ndarray, losses: np.ndarray, last: int | None, seen: int
     return out, [], late, last, seen
 
 
-def _moving_avg_state(window: int, lateness: int, stride: int):
-    def one(held: tuple, new_steps: np.ndarray, new_losses: np.ndarray):
-        """A run's new state and what it emits: steps, losses, means and numbers of late rows."""
+def _moving_avg_state(window: int, lateness: int, stride: int, block: int | None = None):
+    def one(held: tuple, new_steps: np.ndarray, new_losses: np.ndarray, start: int):
+        """A run's new state and what it emits: steps, losses, means and numbers of late rows. Of a block, which
+        begins at step ``start``, the rows before it only fill the first windows."""
         buf, last, seen, steps, losses, late = held
         steps = np.concatenate([np.array(steps, dtype="int64"), new_steps])
         losses = np.concatenate([np.array(losses, dtype="float64"), new_losses])
@@ -81,6 +83,9 @@ def _moving_avg_state(window: int, lateness: int, stride: int):
         full = np.concatenate([np.asarray(list(buf), dtype="float64"), losses[out]])
         means = window_means(full, window)[len(buf):]
         keep = full[-(window - 1):].tolist() if window > 1 else []
+        if start:
+            before = int((steps[out] < start).sum())
+            out, means, missed = out[before:], means[before:], [at for at in missed if steps[at] >= start]
         rows = [*out, *missed]
         numbers = np.concatenate([np.zeros(len(out), dtype="int64"), late + 1 + np.arange(len(missed), dtype="int64")])
         after = (keep, last, seen, steps[wait].tolist(), losses[wait].tolist(), late + len(missed))
@@ -93,19 +98,24 @@ def _moving_avg_state(window: int, lateness: int, stride: int):
         runs = {}
         if state.exists:
             names, *fields = state.get
-            runs = dict(zip(names, zip(*fields)))
+            places = fields.pop() if block else [0] * len(names)
+            runs = dict(zip(zip(names, places), zip(*fields)))
         pdf = pd.concat(parts)
-        run, none = pdf["run"].to_numpy(dtype="int64"), pdf["none"].to_numpy(dtype=bool)
-        order = np.lexsort((run, none))
-        run, none = run[order], none[order]
+        run, none, place = pdf["run"].to_numpy(dtype="int64"), pdf["none"].to_numpy(dtype=bool), pdf["block"].to_numpy(dtype="int64")
+        order = np.lexsort((place, run, none))
+        run, none, place = run[order], none[order], place[order]
         steps, losses = pdf["step"].to_numpy(dtype="int64")[order], pdf["train_loss"].to_numpy(dtype="float64")[order]
-        edges = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (none[1:] != none[:-1]), [True]]))
+        change = (run[1:] != run[:-1]) | (none[1:] != none[:-1]) | (place[1:] != place[:-1])
+        edges = np.flatnonzero(np.concatenate([[True], change, [True]]))
         done = []
         for a, b in zip(edges[:-1], edges[1:]):
-            name = None if none[a] else int(run[a])
-            runs[name], *emitted = one(runs.get(name, ([], None, None, [], [], 0)), steps[a:b], losses[a:b])
+            name = (None if none[a] else int(run[a]), int(place[a]))
+            start = name[1] * (block or 0) * stride
+            held = runs.get(name, ([], start - window * stride if start else None, None, [], [], 0))
+            runs[name], *emitted = one(held, steps[a:b], losses[a:b], start)
             done.append((a, *emitted))
-        state.update((list(runs), *map(list, zip(*runs.values()))))
+        names, places = zip(*runs)
+        state.update((list(names), *map(list, zip(*runs.values())), *([list(places)] if block else [])))
         of = np.repeat([d[0] for d in done], [len(d[1]) for d in done])
         yield pd.DataFrame({
             "run": pd.arrays.IntegerArray(run[of], none[of]), "step": np.concatenate([d[1] for d in done]),
@@ -117,7 +127,7 @@ def _moving_avg_state(window: int, lateness: int, stride: int):
 
 
 def moving_average_stream(source: DataFrame, window: int = WINDOW, lateness: int = LATENESS, stride: int = 1,
-                          groups: int = STATE_GROUPS) -> DataFrame:
+                          groups: int = STATE_GROUPS, block: int | None = None) -> DataFrame:
     """X2 on a streaming DataFrame of (run, step, train_loss): ``train_loss_moving_avg`` over the last
     ``window`` rows in the order of steps, whatever order they come in.
 
@@ -127,24 +137,41 @@ def moving_average_stream(source: DataFrame, window: int = WINDOW, lateness: int
     have gone out has no average (NULL) and ``n_late``, its number among the run's late rows; rows in time
     have ``n_late`` 0. A run's state holds the last ``window - 1`` losses and the rows of less than
     ``lateness`` steps that wait. Runs share ``groups`` states by their hash, so a micro-batch calls Python
-    once per group and not once per run."""
+    once per group and not once per run.
+
+    With ``block`` (for runs whose steps all come) a row waits for its predecessors however late they come, and
+    ``lateness`` does not count. As up to a whole run may wait then, a run is cut into blocks of ``block`` steps
+    that wait on their own, each with copies of the ``window - 1`` rows before it, and the blocks of all runs share
+    the states: no state holds a long run. ``n_late`` numbers the rows of a block that come again."""
+    if block and block < window:
+        raise ValueError("block must be at least the window")
     none = F.col("run").isNull()
-    rows = source.select(
-        F.pmod(F.xxhash64("run"), F.lit(int(groups))).alias("grp"), F.coalesce("run", F.lit(0)).alias("run"), none.alias("none"), "step", "train_loss",
+    place, unit = F.lit(0).cast("long"), ["run"]
+    if block:
+        # a row goes to its own block, and a block's last rows to the next block as well
+        span = int(block) * stride
+        own, in_tail = F.floor(F.col("step") / span).cast("long"), F.pmod(F.col("step"), F.lit(span)) >= span - (window - 1) * stride
+        place, unit = F.explode(F.when(in_tail, F.array(own, own + 1)).otherwise(F.array(own))), ["run", "block"]
+        lateness = span + window * stride
+    rows = source.select("run", "step", "train_loss", place.alias("block")).select(
+        F.pmod(F.xxhash64(*unit), F.lit(int(groups))).alias("grp"), F.coalesce("run", F.lit(0)).alias("run"), none.alias("none"), "block", "step", "train_loss",
     )
     return rows.groupBy("grp").applyInPandasWithState(
-        _moving_avg_state(window, lateness, stride), MA_SCHEMA, MA_STATE, "append", GroupStateTimeout.NoTimeout
+        _moving_avg_state(window, lateness, stride, block), MA_SCHEMA, MA_BLOCK_STATE if block else MA_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
 def run_moving_average_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                              window: int = WINDOW, every: int | None = None, files_per_trigger: int = 1,
-                              lateness: int = LATENESS, stride: int = 1) -> None:
+                              window: int = WINDOW, every: int | None = None, files_per_trigger: int | None = 1,
+                              lateness: int = LATENESS, stride: int = 1, block: int | None = None) -> None:
     """X1 + X2 (+ X3): process every log file available under ``source_dir`` (Parquet parts of
-    ``TRAIN_SCHEMA``) in micro-batches, appending rows with their moving average to ``sink_dir``, also where
-    steps arrive out of order (:func:`moving_average_stream`). Restartable from ``checkpoint_dir``."""
-    src = spark.readStream.schema(TRAIN_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
-    out = moving_average_stream(src, window, lateness, stride)
+    ``TRAIN_SCHEMA``) in micro-batches (one, if ``files_per_trigger`` is None), appending rows with their moving
+    average to ``sink_dir``, also where steps arrive out of order (:func:`moving_average_stream`, also for
+    ``block``). Restartable from ``checkpoint_dir``."""
+    src = spark.readStream.schema(TRAIN_SCHEMA)
+    if files_per_trigger:
+        src = src.option("maxFilesPerTrigger", files_per_trigger)
+    out = moving_average_stream(src.parquet(source_dir), window, lateness, stride, block=block)
     if every:
         out = out.where(F.pmod(F.col("step"), F.lit(int(every))) == 0)
     q = (out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
