@@ -160,7 +160,8 @@ class Subtree:
         n, norm = len(q), (q * q).sum(axis=1)
         margin = slack(math.sqrt(self.top), math.sqrt(norm.max(initial=0.0)))
         best, ids = np.full((n, k), LEAST, dtype=np.int64), np.full((n, k), NONE, dtype=np.int64)
-        bound = np.sqrt(np.maximum(norm + self.top - 2.0 * least, 0.0)) + margin
+        # finite, as an infinite ``lower`` marks a page that is done or not known yet
+        bound = np.minimum(np.sqrt(np.maximum(norm + self.top - 2.0 * least, 0.0)) + margin, np.finfo(float).max)
         lower, parent = np.full((n, len(self.pages)), np.inf), np.full((n, len(self.pages)), np.nan)
         lower[:, 0] = 0.0
         while True:
