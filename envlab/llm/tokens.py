@@ -142,16 +142,14 @@ class Encoder:
         return self.packed([t.id for t in self.merge(self._spelt(piece))])
 
     def _stems(self, stems: list[str]) -> list[bytes]:
-        """Ids of words of letters alone, each with a blank before it."""
-        if not self.joined:
-            return [self._piece(" " + s) for s in stems]
-        found = []
-        for k in range(0, len(stems), JOINED_WORDS):
+        """Ids of words of letters alone, each with a blank before it; words too few to be joined are merged singly."""
+        found, many = [], len(stems) // JOINED_WORDS * JOINED_WORDS if self.joined else 0
+        for k in range(0, many, JOINED_WORDS):
             ids = np.array([t.id for t in self.merge(self._spelt(" " + " ".join(stems[k:k + JOINED_WORDS])))], dtype=f"<u{self.width}")
             edges = (np.flatnonzero(self.begins[ids]) * self.width).tolist()
             packed = ids.tobytes()
             found += [packed[i:j] for i, j in zip(edges, [*edges[1:], len(packed)])]
-        return found
+        return found + [self._piece(" " + s) for s in stems[many:]]
 
     def _learn(self, missing: list[str]) -> None:
         """Put words into the memo. A word is often one of letters with marks behind it, which are a piece; other
